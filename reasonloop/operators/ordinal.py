@@ -6,6 +6,12 @@ range-sorted across all partitions, each row gets its index inside its partition
 the per-partition counts is added back. The prefix table has one row per partition,
 so its broadcast is bounded by the partition count, not by the data.
 
+The tagged frame is checkpointed (reliably, into ``spark.checkpoint.dir``) before it is
+used twice: the count branch and the main branch would otherwise be planned as two
+separate exchanges, and adaptive execution may coalesce them differently, so partition
+indexes would not agree between them. The checkpoint also cuts the lineage, so a lost
+executor re-reads the checkpoint instead of re-running the sort.
+
 ``group_row_number`` builds on it: the ordinal of a row minus the smallest ordinal of its
 group. Unlike a window partitioned by the group key, a hot group is not pushed through
 one task: the sort is range-partitioned and the per-group minimum is a partial
@@ -19,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -32,8 +40,9 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "o
     keys = _sort_cols(order_by)
     sorted_df = (df.repartitionByRange(num_partitions, *keys) if num_partitions
                  else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
-    tagged = (sorted_df
-              .withColumn("__mid", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = (sorted_df.withColumn("__mid", F.monotonically_increasing_id())
+              .checkpoint(eager=True)
               .withColumn("__pid", F.shiftright(F.col("__mid"), 33))
               .withColumn("__local", F.col("__mid").bitwiseAND(F.lit(_LOW_BITS))))
     counts = tagged.groupBy("__pid").agg((F.max("__local") + 1).alias("__n"))

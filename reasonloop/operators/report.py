@@ -156,11 +156,13 @@ def zero_shot_record(df: DataFrame, generated_col: str = "generated",
     from ..functions.text import trim_u
     gen = trim_u(_c(generated_col))
     staged = (df.withColumn("generated", gen)
-              .withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
-              .withColumn("answer", A.extract_cascade_last(F.col("generated")))
-              .withColumn("gold_extracted", A.extract_cascade_last(F.col("gold"))))
+              .withColumn("gold", F.coalesce(_c(gold_col), F.lit(""))))
+    staged = A.with_extracted(staged, "cascade_last", "generated", "answer")
+    staged = A.with_extracted(staged, "cascade_last", "gold", "gold_extracted")
+    staged = A.with_normalized(staged, "integral", "answer", "__pn")
+    staged = A.with_normalized(staged, "integral", "gold_extracted", "__gn")
     return (staged
             .withColumn("rationale", rationale_from_generation(F.col("generated")))
             .withColumn("em", F.when(F.col("gold_extracted") == "", F.lit(None).cast("int"))
-                        .otherwise((A.normalize_integral(F.col("gold_extracted")) ==
-                                    A.normalize_integral(F.col("answer"))).cast("int"))))
+                        .otherwise((F.col("__gn") == F.col("__pn")).cast("int")))
+            .drop("__pn", "__gn"))

@@ -47,9 +47,7 @@ def score_candidates(cands: DataFrame, problems: DataFrame, profile: str = "hash
                      em_col: str = "em") -> DataFrame:
     """Join each candidate to its problem's gold text and add the EM Column."""
     gold = problems.select(id_col, F.col(gold_col).alias("__gold"))
-    return (cands.join(gold, id_col)
-            .withColumn(em_col, A.score(profile, F.col("__gold"), F.col(text_col)))
-            .drop("__gold"))
+    return A.with_em(cands.join(gold, id_col), profile, "__gold", text_col, em_col).drop("__gold")
 
 
 # ---- R3 / R5 ----------------------------------------------------------------
@@ -62,8 +60,9 @@ def keep_first_correct(cands: DataFrame, problems: DataFrame, profile: str = "ha
     Output ``id, question, rationale, final, cand_idx`` (``final`` is the gold text)."""
     probs = problems.select(id_col, F.col(question_col).alias("question"),
                             F.col(gold_col).alias("final"))
-    hits = (cands.select(id_col, idx_col, text_col).join(probs, id_col)
-            .filter(A.score(profile, F.col("final"), F.col(text_col)))
+    joined = cands.select(id_col, idx_col, text_col).join(probs, id_col)
+    hits = (A.with_em(joined, profile, "final", text_col, "__em")
+            .filter(A.is_match("__em"))
             .groupBy(id_col)
             .agg(F.min_by(F.struct(F.col(idx_col).alias("cand_idx"),
                                    F.col(text_col).alias("rationale"),
@@ -146,7 +145,7 @@ def retry_keep_correct(misses: DataFrame, outputs: DataFrame, profile: str = "ha
                        id_col: str = "id", text_col: str = "text") -> DataFrame:
     """One output per miss, kept only when it matches the gold; ``em_after`` true."""
     j = misses.join(outputs.select(id_col, F.col(text_col).alias("output")), id_col)
-    return (j.filter(A.score(profile, F.col("gold_answer"), F.col("output")))
+    return (A.with_em(j, profile, "gold_answer", "output", "__em").filter(A.is_match("__em"))
              .select(id_col, "question", "gold_answer", "output", F.lit(True).alias("em_after")))
 
 
@@ -155,8 +154,9 @@ def retry_shortest_correct(misses: DataFrame, outputs: DataFrame, profile: str =
                            text_col: str = "text") -> DataFrame:
     """Among the K outputs that match, the shortest text; ties go to the earliest."""
     gold = misses.select(id_col, "gold_answer")
-    best = (outputs.select(id_col, idx_col, text_col).join(gold, id_col)
-            .filter(A.score(profile, F.col("gold_answer"), F.col(text_col)))
+    joined = outputs.select(id_col, idx_col, text_col).join(gold, id_col)
+    best = (A.with_em(joined, profile, "gold_answer", text_col, "__em")
+            .filter(A.is_match("__em"))
             .groupBy(id_col)
             .agg(F.min_by(F.struct(F.col(text_col).alias("output"),
                                    F.col(idx_col).alias("cand_idx")),
@@ -170,8 +170,8 @@ def retry_flag_all(misses: DataFrame, outputs: DataFrame, profile: str = "hash_l
                    id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Every output kept with ``em_after`` true/false."""
     j = misses.join(outputs.select(id_col, F.col(text_col).alias("output")), id_col)
-    return j.select(id_col, "question", "gold_answer", "output",
-                    A.score(profile, F.col("gold_answer"), F.col("output")).alias("em_after"))
+    j = A.with_em(j, profile, "gold_answer", "output", "__em")
+    return j.select(id_col, "question", "gold_answer", "output", A.is_match("__em").alias("em_after"))
 
 
 # ---- R11 / R12 ----------------------------------------------------------------

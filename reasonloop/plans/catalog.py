@@ -7,10 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import prompts as PR
+from ..functions import records as RC
+from ..operators import batches as B
 from ..operators import report as R
 from ..operators import selection as S
+from ..operators.generate import TableGenerator, generate
+from ..operators.ordinal import with_ordinal
+from ..sources import splits as SP
 from . import fixture as FX
 
+RATIONALIZE_SHIFT = 2   # rationalised candidates: same lines, shapes shifted by two
+RETRY_SHIFT = 4         # greedy retry outputs: shapes shifted by four
+PREV_RETRY_SHIFT = 3    # the previous iteration's greedy retry outputs
+
 
 def keep_first_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 with the ``hash_then_any`` profile: first correct candidate per problem."""
@@ -27,7 +37,440 @@ def greedy_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.em_accuracy(preds).withColumn("accuracy", F.round("accuracy", 8))
 
 
+def _forward_and_missed(spark, sf_dir, probs=None, lines=None):
+    probs = probs if probs is not None else FX.problems(spark, sf_dir)
+    kept = S.keep_first_correct(FX.candidates(spark, sf_dir, lines=lines), probs)
+    return probs, kept, S.missed_problems(probs, kept)
+
+
+def missed_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems with no kept forward candidate."""
+    _, _, missed = _forward_and_missed(spark, sf_dir)
+    return missed.select("id", "question", "answer")
+
+
+def _rationalize(spark, sf_dir, missed, lines=None):
+    """Hint prompt with the numeric gold (P4/P1), K stored generations (R1), first
+    correct kept (R3)."""
+    prompts = missed.select(
+        "id", "question", "answer",
+        PR.render(PR.RATIONALIZE, question=F.col("question"),
+                  gold_final=RC.hint_final(F.col("answer"))).alias("prompt"))
+    gen = TableGenerator(FX.candidates(spark, sf_dir, shift=RATIONALIZE_SHIFT, lines=lines))
+    outs = generate(prompts, gen, k=None)
+    return S.keep_first_correct(outs, prompts)
+
+
+def rationalize_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rationalised kept rows for the forward misses."""
+    _, _, missed = _forward_and_missed(spark, sf_dir)
+    return _rationalize(spark, sf_dir, missed)
+
+
+def one_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R14 + R6 + P5 + P10: forward, rationalise the misses, merge (rationalised rows win),
+    class-format text, format gate."""
+    lines = FX.numbered_lines(spark, sf_dir)
+    probs = FX.problems(spark, sf_dir)
+    _, kept, missed = _forward_and_missed(spark, sf_dir, probs, lines)
+    rat = _rationalize(spark, sf_dir, missed, lines)
+    merged = S.merge_last_wins([kept.select("id", "question", "rationale", "final"),
+                                rat.select("id", "question", "rationale", "final")])
+    out = merged.select("id", RC.class_text(F.col("question"), F.col("rationale"),
+                                            F.col("final")).alias("text"), "src")
+    return RC.check_training_format(out, quarantine=True)
+
+
+def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 on overlapping sources: first-correct picks over the forward candidates and over
+    the shifted candidates for *all* problems; the later source wins per id, the position
+    of the first sighting is kept."""
+    probs = FX.problems(spark, sf_dir)
+    lines = FX.numbered_lines(spark, sf_dir)
+    a = S.keep_first_correct(FX.candidates(spark, sf_dir, lines=lines), probs)
+    b = S.keep_first_correct(FX.candidates(spark, sf_dir, shift=RATIONALIZE_SHIFT, lines=lines), probs)
+    m = S.merge_last_wins([a.select("id", "rationale", "cand_idx"),
+                           b.select("id", "rationale", "cand_idx")])
+    return m.select("id", "rationale", "cand_idx", "src",
+                    F.col("pos.__src").alias("first_src"), F.col("pos.__ord").alias("first_pos"))
+
+
+def _misses_for_retry(spark, sf_dir, probs=None, lines=None):
+    _, _, missed = _forward_and_missed(spark, sf_dir, probs, lines)
+    return missed.select("id", "question", F.col("answer").alias("gold_answer"))
+
+
+def retry_keep_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hinted greedy output per miss (the first shifted candidate), kept when the
+    ``hash_loose`` match holds."""
+    lines = FX.numbered_lines(spark, sf_dir)
+    misses = _misses_for_retry(spark, sf_dir, lines=lines)
+    outs = FX.candidates(spark, sf_dir, shift=RETRY_SHIFT, lines=lines).filter(F.col("cand_idx") == 1)
+    return S.retry_keep_correct(misses, outs)
+
+
+def retry_shortest_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of K retries per miss — the shortest matching text, ties to the earliest."""
+    lines = FX.numbered_lines(spark, sf_dir)
+    misses = _misses_for_retry(spark, sf_dir, lines=lines)
+    outs = FX.candidates(spark, sf_dir, shift=RATIONALIZE_SHIFT, lines=lines)
+    return S.retry_shortest_correct(misses, outs)
+
+
+def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 vs R9 on all problems (``hash_then_any``): the problems whose first correct and
+    shortest correct candidates differ."""
+    probs = FX.problems(spark, sf_dir)
+    lines = FX.numbered_lines(spark, sf_dir)
+    cands = FX.candidates(spark, sf_dir, lines=lines)
+    first = S.keep_first_correct(cands, probs)
+    scored = S.score_candidates(cands, probs).filter("em")
+    short = scored.groupBy("id").agg(F.min_by(F.col("cand_idx"), F.struct(
+        F.length("text"), F.col("cand_idx"))).alias("shortest_idx"))
+    return (first.select("id", F.col("cand_idx").alias("first_idx")).join(short, "id")
+            .filter(F.col("first_idx") != F.col("shortest_idx")))
+
+
+def retry_flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain-prompt retry, every output kept with ``em_after``."""
+    lines = FX.numbered_lines(spark, sf_dir)
+    misses = _misses_for_retry(spark, sf_dir, lines=lines)
+    outs = FX.candidates(spark, sf_dir, shift=RETRY_SHIFT, lines=lines).filter(F.col("cand_idx") == 1)
+    return S.retry_flag_all(misses, outs)
+
+
+def _retry_rows(spark, sf_dir, shift, lines, misses, keep_all):
+    outs = FX.candidates(spark, sf_dir, shift=shift, lines=lines).filter(F.col("cand_idx") == 1)
+    return S.retry_flag_all(misses, outs) if keep_all else S.retry_keep_correct(misses, outs)
+
+
+def train_set_correct_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """This iteration's kept retries with an extractable final, bag-unioned with the
+    previous iteration's set (no dedupe)."""
+    lines = FX.numbered_lines(spark, sf_dir)
+    misses = _misses_for_retry(spark, sf_dir, lines=lines)
+    prev = S.training_rows(_retry_rows(spark, sf_dir, PREV_RETRY_SHIFT, lines, misses, False))
+    cur = S.training_rows(_retry_rows(spark, sf_dir, RETRY_SHIFT, lines, misses, False))
+    return S.cumulative_training_set(cur, prev)
+
+
+def train_set_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every retry row (answer "" when no final), bag-unioned with the previous set."""
+    lines = FX.numbered_lines(spark, sf_dir)
+    misses = _misses_for_retry(spark, sf_dir, lines=lines)
+    prev = S.training_rows(_retry_rows(spark, sf_dir, PREV_RETRY_SHIFT, lines, misses, True),
+                           correct_only=False)
+    cur = S.training_rows(_retry_rows(spark, sf_dir, RETRY_SHIFT, lines, misses, True),
+                          correct_only=False)
+    return S.cumulative_training_set(cur, prev)
+
+
+def _greedy_predictions(spark, sf_dir):
+    """Batched-eval style predictions: ``hf_test_<orderkey>`` ids, first candidate as the
+    output, ``hash_loose`` em. Orders in status P lose their question and urgent orders
+    their gold, so the backfill path has work to do."""
+    probs = FX.problems(spark, sf_dir)
+    orders = FX.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
+    first = FX.candidates(spark, sf_dir).filter(F.col("cand_idx") == 1).select("id", "text")
+    j = probs.join(orders, "id").join(first, "id", "left")
+    return j.select(
+        F.concat(F.lit("hf_test_"), F.col("id").cast("string")).alias("id"),
+        F.when(F.col("o_orderstatus") != "P", F.col("question")).alias("question"),
+        F.when(F.col("o_orderpriority") != "1-URGENT", F.col("answer")).alias("gold_answer"),
+        F.col("text").alias("output"),
+        A.em_hash_loose(F.col("answer"), F.col("text")).alias("em"))
+
+
+def collect_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misses of the greedy evaluation, question and gold backfilled from the dataset
+    by the index parsed from the id."""
+    preds = _greedy_predictions(spark, sf_dir)
+    dataset = FX.problems(spark, sf_dir).select(F.col("id").alias("ordinal"), "question", "answer")
+    return S.collect_misses(preds, dataset)
+
+
+def extract_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1, X2, X2f, X3, X4 (both cue lists), X5 over every candidate text."""
+    c = FX.candidates(spark, sf_dir)
+    t = F.col("text")
+    return c.select("id", "cand_idx",
+                    A.extract_hash_loose(t).alias("x_hash_loose"),
+                    A.extract_hash_strict(t).alias("x_hash_strict"),
+                    A.extract_last_number(t).alias("x_last_number"),
+                    A.extract_cascade_last(t).alias("x_cascade_last"),
+                    A.extract_cascade_first(t).alias("x_cascade_first"),
+                    A.extract_cascade_first(t, with_result=False).alias("x_cascade_first_shell"),
+                    A.extract_solution_number(t).alias("x_solution_number"))
+
+
+def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M4 and the N1-N4 normalisations over every (candidate, gold) pair."""
+    c = FX.candidates(spark, sf_dir).join(FX.problems(spark, sf_dir).select("id", "answer"), "id")
+    t, g = F.col("text"), F.col("answer")
+    d = A.with_extracted(c, "cascade_last", "text", "x3")
+    d = A.with_extracted(d, "cascade_first", "text", "x4")
+    d = A.with_normalized(d, "integral", "x3", "n_integral")
+    d = A.with_normalized(d, "rounded", "x4", "n_rounded")
+    d = A.with_em(d, "cascade_last", "answer", "text", "em_cascade_last")
+    d = A.with_em(d, "cascade_first", "answer", "text", "em_cascade_first")
+    return d.select(
+        "id", "cand_idx",
+        A.normalize_trim(F.col("text")).alias("n_trim"),
+        A.normalize_money(A.extract_last_number(t)).alias("n_money"),
+        "n_integral", "n_rounded",
+        A.em_hash_loose(g, t).cast("int").alias("em_hash_loose"),
+        A.em_hash_then_any(g, t).cast("int").alias("em_hash_then_any"),
+        "em_cascade_last", "em_cascade_first")
+
+
+def zero_shot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3 + A3: wide zero-shot prediction rows (P8 rationale, X3 answer, M3 em) re-scored
+    from stored generations (every candidate against its problem's gold)."""
+    c = FX.candidates(spark, sf_dir).join(FX.problems(spark, sf_dir).select("id", "question", "answer"), "id")
+    recs = R.zero_shot_record(c.select("id", "cand_idx", "question",
+                                       F.col("text").alias("generated"),
+                                       F.col("answer").alias("gold")))
+    return recs.select("id", "cand_idx", "question", "generated", "rationale", "answer", "gold",
+                       "gold_extracted", "em")
+
+
+def rescore_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + A3: gold-only accuracy of the re-scored zero-shot rows, per candidate index."""
+    recs = zero_shot_records(spark, sf_dir)
+    out = R.em_accuracy_gold_only(recs, group_by=["cand_idx"])
+    return out.withColumn("accuracy", F.round("accuracy", 8))
+
+
+def _variant_predictions(spark, sf_dir):
+    """Problems x the three prompt variants; the stored generation for variant i is the
+    problem's i-th candidate; M4 (first-match cascade) em."""
+    probs = FX.problems(spark, sf_dir)
+    pv = probs.select("id", "question", "answer",
+                      F.explode(F.array(*[F.lit(n) for n in PR.VARIANTS])).alias("variant"))
+    pv = pv.withColumn("cand_idx", F.substring_index("variant", "_", -1).cast("int"))
+    cands = FX.candidates(spark, sf_dir)
+    j = pv.join(cands, ["id", "cand_idx"], "left")
+    j = A.with_em(j, "cascade_first_shell", "answer", "text", "em")
+    return j.select("id", "variant", F.col("text").alias("generated"), "answer", "em")
+
+
+def prompt_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM and mismatch counts per prompt variant over the same problems."""
+    p = _variant_predictions(spark, sf_dir)
+    return p.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.sum("em").cast("bigint").alias("correct"),
+        F.sum(1 - F.col("em")).cast("bigint").alias("mismatches"),
+        F.round(F.sum("em") / F.count(F.lit(1)), 8).alias("em_rate"))
+
+
+def ablation_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 per variant: the first six mismatches of each variant in problem order."""
+    p = _variant_predictions(spark, sf_dir).withColumn("ordinal", F.col("id"))
+    return R.top_mismatches(p, 6, group_by=["variant"]).select("variant", "id", "generated", "em")
+
+
+def experiment_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 + A4: label -> EM %, evaluated/total, parseable count, for three stored
+    prediction sets (first, second and third candidates re-scored with M3)."""
+    recs = zero_shot_records(spark, sf_dir)
+    runs = {f"cand{i}": recs.filter(F.col("cand_idx") == i) for i in (1, 2, 3)}
+    out = R.compare_experiments(runs)
+    return out.withColumn("accuracy", F.round("accuracy", 8))
+
+
+def top_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: the first 20 greedy-evaluation mismatches in problem order."""
+    probs = FX.problems(spark, sf_dir)
+    first = FX.candidates(spark, sf_dir).filter(F.col("cand_idx") == 1).select("id", "text")
+    p = probs.join(first, "id", "left").withColumn(
+        "em", A.em_hash_loose(F.col("answer"), F.col("text")).cast("int"))
+    return R.top_mismatches(p.withColumn("ordinal", F.col("id")), 20).select("id", "text", "answer", "em")
+
+
+def mismatch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: every M3 mismatch with raw and extracted gold and prediction."""
+    recs = zero_shot_records(spark, sf_dir).filter(F.col("cand_idx") == 1)
+    return R.mismatch_export(recs).select(
+        "id", F.col("gold").alias("gold_raw"), "gold_extracted",
+        F.col("generated").alias("pred_raw"), F.col("answer").alias("pred_extracted"), "em")
+
+
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per stage metric of an iteration: greedy EM, misses, generated, kept,
+    train size."""
+    lines = FX.numbered_lines(spark, sf_dir)
+    probs = FX.problems(spark, sf_dir)
+    first = FX.candidates(spark, sf_dir, lines=lines).filter(F.col("cand_idx") == 1)
+    preds = probs.join(first.select("id", "text"), "id", "left").withColumn(
+        "em", A.em_hash_loose(F.col("answer"), F.col("text")).cast("int"))
+    misses = _misses_for_retry(spark, sf_dir, probs, lines)
+    kept = _retry_rows(spark, sf_dir, RETRY_SHIFT, lines, misses, False)
+    train = S.training_rows(kept)
+    return R.stage_report("fixture", [
+        ("zero_shot", "em", preds, F.round(F.sum(F.coalesce("em", F.lit(0))) /
+                                           F.greatest(F.count(F.lit(1)), F.lit(1)), 8)),
+        ("iter2", "misses", misses, F.count(F.lit(1))),
+        ("iter2", "generated", misses, F.count(F.lit(1))),
+        ("iter2", "kept_correct", kept, F.count(F.lit(1))),
+        ("iter2", "train_size", train, F.count(F.lit(1))),
+    ])
+
+
+def progress_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running forward-kept / rationalised-kept totals every 10 micro-batches of 16
+    problems (problem order = id)."""
+    lines = FX.numbered_lines(spark, sf_dir)
+    probs = with_ordinal(FX.problems(spark, sf_dir), ["id"])
+    _, kept, missed = _forward_and_missed(spark, sf_dir, probs, lines)
+    rat = _rationalize(spark, sf_dir, missed, lines)
+    flags = (probs.select("id", "ordinal")
+             .join(kept.select("id", F.lit(1).alias("f")), "id", "left")
+             .join(rat.select("id", F.lit(1).alias("r")), "id", "left"))
+    stats = SP.batch_ids(flags, 16).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum("f"), F.lit(0)).cast("bigint").alias("fwd_kept"),
+        F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("rat_kept"))
+    out = R.progress_counters(stats, every=10)
+    return out.select("batch_id", "fwd_kept", "rat_kept", "cum_fwd_kept", "cum_rat_kept")
+
+
+def loss_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run/phase/epoch loss, perplexity, best-so-far loss, run averages."""
+    out = R.loss_rollup(FX.loss_log(spark, sf_dir))
+    for c in ("epoch_loss", "perplexity", "best_loss", "avg_loss", "avg_perplexity"):
+        out = out.withColumn(c, F.round(c, 8))
+    return out
+
+
+def _csv(c):
+    return F.array_join(F.col(c), ",").alias(c)
+
+
+def sft_batches(spark: SparkSession, sf_dir: str, max_seq_len: int | None = 32) -> DataFrame:
+    """T1 + T2: concatenate/mask token arrays, batches of 8 consecutive examples (line-item
+    order), cut to ``min(longest, 32)`` and right-pad."""
+    ex = with_ordinal(FX.token_examples(spark, sf_dir),
+                      ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
+    b = B.pad_batches(B.concat_and_mask(SP.batch_ids(ex, 8)), max_seq_len=max_seq_len, pad_id=0)
+    return b.select("ordinal", "batch_id", "max_len", _csv("input_ids"),
+                    _csv("attention_mask"), _csv("labels"))
+
+
+def sft_batches_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pad to the longest example of the batch, no cut."""
+    return sft_batches(spark, sf_dir, max_seq_len=None)
+
+
+def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5, S6, S7, S9, S10 on the problem table in id order: ordinal ids, head-100 flag,
+    tail hold-out flag, shard of 4 and batch of 16."""
+    probs = with_ordinal(FX.problems(spark, sf_dir).select("id"), ["id"])
+    n = probs.count()
+    per = SP.shard_size(n, 4)
+    holdout_from = n - SP.holdout_size(n)
+    out = SP.batch_ids(SP.ordinal_ids(probs, "hf_test_", id_col="test_id"), 16)
+    return out.select(
+        "id", "ordinal", "test_id",
+        (F.col("ordinal") < 100).alias("in_head"),
+        (F.col("ordinal") >= holdout_from).alias("is_val"),
+        F.floor(F.col("ordinal") / per).cast("int").alias("shard"),
+        "batch_id")
+
+
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded 10 % test split by key hash; every problem with its side."""
+    probs = FX.problems(spark, sf_dir).select("id")
+    train, test = SP.hash_split(probs, 0.1, seed=42)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5, P7, P8, P10 over (user turn, next assistant turn) pairs: rationale split,
+    class-format text, SFT target (reference and legacy profiles), format gate."""
+    pairs = FX.conversation_pairs(spark, sf_dir)
+    g = F.col("generated")
+    staged = pairs.select("conv_id", "turn", "question", "generated",
+                          RC.rationale_from_generation(g).alias("rationale"),
+                          F.coalesce(A.extract_last_number(g), F.lit("")).alias("final"))
+    out = staged.select(
+        "conv_id", "turn", "rationale",
+        RC.class_text(F.col("question"), F.col("rationale"), F.col("final")).alias("text"),
+        RC.sft_target(F.col("rationale"), F.col("final"), "reference").alias("target"),
+        RC.sft_target(F.col("rationale"), F.col("final"), "legacy").alias("target_legacy"))
+    return out.withColumn("format_ok", RC.format_ok(F.col("text")))
+
+
+def sft_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SFT triples from worked solutions (candidate texts) and answer fields."""
+    c = FX.candidates(spark, sf_dir).join(FX.problems(spark, sf_dir).select("id", "question", "answer"), "id")
+    rationale, answer = RC.sft_triple(F.col("text"), F.col("answer"))
+    legacy_r, legacy_a = RC.sft_triple_legacy(F.col("text"), F.lit(None).cast("string"), F.col("answer"))
+    return c.select("id", "cand_idx", "question", rationale.alias("rationale"), answer.alias("answer"),
+                    legacy_r.alias("legacy_rationale"), legacy_a.alias("legacy_answer"))
+
+
+def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward, rationalise (numeric gold hint), hint, zero-shot and SFT
+    prompts per problem."""
+    p = FX.problems(spark, sf_dir)
+    q, a = F.col("question"), F.col("answer")
+    return p.select("id",
+                    PR.render(PR.FORWARD, question=q).alias("forward"),
+                    PR.render(PR.RATIONALIZE, question=q, gold_final=RC.hint_final(a)).alias("rationalize"),
+                    PR.render(PR.RATIONALIZE, question=q, gold_final=RC.hint_final(a, True)).alias("rationalize_full"),
+                    PR.render(PR.HINT, question=q).alias("hint"),
+                    PR.render(PR.ZERO_SHOT, q=q).alias("zero_shot"),
+                    PR.render(PR.SFT_PROMPT, q=q).alias("sft"))
+
+
+def prompt_echo_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded outputs that echo the forward prompt, with the echo removed."""
+    c = FX.candidates(spark, sf_dir).join(FX.problems(spark, sf_dir).select("id", "question"), "id")
+    prompt = PR.render(PR.FORWARD, question=F.col("question"))
+    echoed = F.when(F.col("cand_idx") % 2 == 0, F.concat(prompt, F.col("text"))).otherwise(F.col("text"))
+    return c.select("id", "cand_idx", RC.strip_prompt_echo(echoed, prompt).alias("output"))
+
+
+def regroup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: candidates regrouped per problem (count, first and last by index)."""
+    return S.regroup_candidates(FX.candidates(spark, sf_dir))
+
+
 QUERIES = {
     "keep_first_correct": keep_first_correct,
     "greedy_accuracy": greedy_accuracy,
+    "missed_problems": missed_problems,
+    "rationalize_missed": rationalize_missed,
+    "one_iteration": one_iteration,
+    "merge_last_wins": merge_last_wins,
+    "retry_keep_correct": retry_keep_correct,
+    "retry_shortest_correct": retry_shortest_correct,
+    "shortest_vs_first": shortest_vs_first,
+    "retry_flag_all": retry_flag_all,
+    "train_set_correct_only": train_set_correct_only,
+    "train_set_keep_all": train_set_keep_all,
+    "collect_misses": collect_misses,
+    "extract_profiles": extract_profiles,
+    "em_profiles": em_profiles,
+    "zero_shot_records": zero_shot_records,
+    "rescore_accuracy": rescore_accuracy,
+    "prompt_ablation": prompt_ablation,
+    "ablation_mismatches": ablation_mismatches,
+    "experiment_comparison": experiment_comparison,
+    "top_mismatches": top_mismatches,
+    "mismatch_export": mismatch_export,
+    "stage_report": stage_report,
+    "progress_counters": progress_counters,
+    "loss_rollup": loss_rollup,
+    "sft_batches": sft_batches,
+    "sft_batches_uncapped": sft_batches_uncapped,
+    "split_assignments": split_assignments,
+    "hash_split": hash_split,
+    "conversation_records": conversation_records,
+    "sft_triples": sft_triples,
+    "render_prompts": render_prompts,
+    "prompt_echo_strip": prompt_echo_strip,
+    "regroup_candidates": regroup_candidates,
 }
