@@ -18,8 +18,8 @@ from ..sources import splits as SP
 from . import fixture as FX
 
 RATIONALIZE_SHIFT = 2   # rationalised candidates: same lines, shapes shifted by two
-RETRY_SHIFT = 4         # greedy retry outputs: shapes shifted by four
-PREV_RETRY_SHIFT = 3    # the previous iteration's greedy retry outputs
+RETRY_SHIFT = 1         # greedy retry output: the last candidate, shapes shifted by one
+PREV_RETRY_SHIFT = 0    # the previous iteration's greedy retry output: last candidate as is
 
 
 def keep_first_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +100,17 @@ def _misses_for_retry(spark, sf_dir, probs=None, lines=None):
     return missed.select("id", "question", F.col("answer").alias("gold_answer"))
 
 
+def _greedy_retry_outputs(spark, sf_dir, shift, lines):
+    """One stored greedy output per problem: its last candidate (R2 pick) of a shifted set."""
+    g = S.regroup_candidates(FX.candidates(spark, sf_dir, shift=shift, lines=lines))
+    return g.select("id", F.col("last_text").alias("text"))
+
+
 def retry_keep_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hinted greedy output per miss (the first shifted candidate), kept when the
-    ``hash_loose`` match holds."""
+    """One hinted greedy output per miss, kept when the ``hash_loose`` match holds."""
     lines = FX.numbered_lines(spark, sf_dir)
     misses = _misses_for_retry(spark, sf_dir, lines=lines)
-    outs = FX.candidates(spark, sf_dir, shift=RETRY_SHIFT, lines=lines).filter(F.col("cand_idx") == 1)
-    return S.retry_keep_correct(misses, outs)
+    return S.retry_keep_correct(misses, _greedy_retry_outputs(spark, sf_dir, RETRY_SHIFT, lines))
 
 
 def retry_shortest_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,15 +136,14 @@ def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retry_flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain-prompt retry, every output kept with ``em_after``."""
+    """Plain-prompt greedy retry, every output kept with ``em_after``."""
     lines = FX.numbered_lines(spark, sf_dir)
     misses = _misses_for_retry(spark, sf_dir, lines=lines)
-    outs = FX.candidates(spark, sf_dir, shift=RETRY_SHIFT, lines=lines).filter(F.col("cand_idx") == 1)
-    return S.retry_flag_all(misses, outs)
+    return S.retry_flag_all(misses, _greedy_retry_outputs(spark, sf_dir, RETRY_SHIFT, lines))
 
 
 def _retry_rows(spark, sf_dir, shift, lines, misses, keep_all):
-    outs = FX.candidates(spark, sf_dir, shift=shift, lines=lines).filter(F.col("cand_idx") == 1)
+    outs = _greedy_retry_outputs(spark, sf_dir, shift, lines)
     return S.retry_flag_all(misses, outs) if keep_all else S.retry_keep_correct(misses, outs)
 
 

@@ -151,3 +151,51 @@ def fixture_ctes(rationalized: bool = False) -> str:
     if rationalized:
         parts.append(candidates_cte("rcand", 2))
     return "WITH " + ",\n".join(parts)
+
+
+def m3_stage(gold: str, text: str) -> tuple[str, str]:
+    """(select-list adding gx/px, expression over gx/px) for the M3 profile."""
+    return (f"{x3(gold)} AS gx, {x3(text)} AS px",
+            f"CASE WHEN gx = '' THEN NULL ELSE CAST({n3('gx')} = {n3('px')} AS INTEGER) END")
+
+
+def m4(gold: str, text: str, with_result: bool = True) -> str:
+    g = n4(x4(gold, with_result))
+    p = n4(x4(text, with_result))
+    return f"CAST(({g}) <> '' AND ({p}) <> '' AND ({g}) = ({p}) AS INTEGER)"
+
+
+LINE_SPLIT = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def rationale_expr(g: str) -> str:
+    """P8 over an already stripped text expression ``g``."""
+    lines = (f"list_filter(list_transform(string_split_regex({g}, {q(LINE_SPLIT)}), "
+             f"lambda x: {trim_ws('x')}), lambda x: x <> '')")
+    return (f"CASE WHEN len({lines}) > 1 THEN array_to_string(({lines})[1:len({lines}) - 1], chr(10)) "
+            f"ELSE {g} END")
+
+
+def render_sql(template: str, **exprs: str) -> str:
+    from string import Formatter
+    parts = []
+    for literal, field, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(q(literal))
+        if field is not None:
+            parts.append(f"CAST({exprs[field]} AS VARCHAR)")
+    return " || ".join(parts) if parts else "''"
+
+
+def kept_cte(name: str = "kept", cand: str = "cand") -> str:
+    """First correct (M2) candidate per problem."""
+    return f"""{name} AS (
+  SELECT c.id, p.question, c.text AS rationale, p.answer AS final, c.cand_idx
+  FROM {cand} c JOIN prob p ON c.id = p.id
+  WHERE {m2('p.answer', 'c.text')}
+  QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY c.cand_idx) = 1)"""
+
+
+def missed_cte(name: str = "missed", kept: str = "kept") -> str:
+    return f"""{name} AS (
+  SELECT p.* FROM prob p ANTI JOIN {kept} k ON p.id = k.id)"""
