@@ -288,23 +288,59 @@ def is_match(c) -> Column:
 
 def with_em(df: DataFrame, profile: str, gold, text, out: str = "em") -> DataFrame:
     """Add the exact-match column ``out`` for ``profile`` (same values as :func:`score`),
-    computing the extracted and normalised sides as intermediate columns."""
+    computing the normalised gold and prediction keys as intermediate columns."""
+    d = with_gold_key(df, profile, gold, "__em_gk")
+    d = with_pred_key(d, profile, text, "__em_pk")
+    return d.withColumn(out, em_from_keys(profile, "__em_gk", "__em_pk")).drop("__em_gk", "__em_pk")
+
+
+# ---- key form: gold side once per problem, prediction side per candidate ------
+#
+# Every profile compares a normalised gold key with a normalised prediction key. The gold
+# key depends only on the problem, so it is computed on the problem table (one row per
+# problem) before the candidate join instead of once per candidate.
+
+def with_gold_key(df: DataFrame, profile: str, gold, out: str) -> DataFrame:
+    """Add the normalised gold key of ``profile`` (NULL when the profile scores no gold)."""
+    g = _col(gold)
+    if profile == "hash_loose":
+        return df.withColumn(out, trim_u(F.coalesce(extract_hash_loose(g), g)))
+    if profile == "hash_then_any":
+        return df.withColumn(out, normalize_money(F.coalesce(extract_hash_strict(g), g)))
+    if profile == "cascade_last":
+        d = with_extracted(df, "cascade_last", gold, "__gk_x")
+        d = with_normalized(d, "integral", "__gk_x", "__gk_n")
+        return d.withColumn(out, F.when(F.col("__gk_x") != F.lit(""), F.col("__gk_n"))).drop("__gk_x", "__gk_n")
+    if profile in ("cascade_first", "cascade_first_shell"):
+        d = with_extracted(df, profile, gold, "__gk_x")
+        d = with_normalized(d, "rounded", "__gk_x", "__gk_n")
+        return d.withColumn(out, F.nullif(F.col("__gk_n"), F.lit(""))).drop("__gk_x", "__gk_n")
+    raise ValueError(f"unknown EM profile {profile!r}; known: {sorted(SCORERS)}")
+
+
+def with_pred_key(df: DataFrame, profile: str, text, out: str) -> DataFrame:
+    """Add the normalised prediction key of ``profile``."""
+    t = _col(text)
+    if profile == "hash_loose":
+        return df.withColumn(out, trim_u(F.coalesce(extract_hash_loose(t), F.lit(""))))
+    if profile == "hash_then_any":
+        return df.withColumn(out, normalize_money(F.coalesce(extract_hash_strict(t), extract_last_number(t))))
+    if profile == "cascade_last":
+        d = with_extracted(df, "cascade_last", text, "__pk_x")
+        return with_normalized(d, "integral", "__pk_x", out).drop("__pk_x")
+    if profile in ("cascade_first", "cascade_first_shell"):
+        d = with_extracted(df, profile, text, "__pk_x")
+        return with_normalized(d, "rounded", "__pk_x", out).drop("__pk_x")
+    raise ValueError(f"unknown EM profile {profile!r}; known: {sorted(SCORERS)}")
+
+
+def em_from_keys(profile: str, gold_key, pred_key) -> Column:
+    """The EM value of ``profile`` from its two keys (same values as :func:`score`)."""
+    g, p = _col(gold_key), _col(pred_key)
     if profile in ("hash_loose", "hash_then_any"):
-        return df.withColumn(out, score(profile, gold, text))
+        return F.coalesce(p == g, F.lit(False))
     if profile == "cascade_last":
-        d = with_extracted(df, "cascade_last", gold, "__em_gx")
-        d = with_extracted(d, "cascade_last", text, "__em_px")
-        d = with_normalized(d, "integral", "__em_gx", "__em_gn")
-        d = with_normalized(d, "integral", "__em_px", "__em_pn")
-        d = d.withColumn(out, F.when(F.col("__em_gx") == F.lit(""), F.lit(None).cast("int"))
-                         .otherwise((F.col("__em_gn") == F.col("__em_pn")).cast("int")))
-    elif profile in ("cascade_first", "cascade_first_shell"):
-        d = with_extracted(df, profile, gold, "__em_gx")
-        d = with_extracted(d, profile, text, "__em_px")
-        d = with_normalized(d, "rounded", "__em_gx", "__em_gn")
-        d = with_normalized(d, "rounded", "__em_px", "__em_pn")
-        g, p = F.col("__em_gn"), F.col("__em_pn")
-        d = d.withColumn(out, ((g != F.lit("")) & (p != F.lit("")) & (g == p)).cast("int"))
-    else:
-        raise ValueError(f"unknown EM profile {profile!r}; known: {sorted(SCORERS)}")
-    return d.drop("__em_gx", "__em_px", "__em_gn", "__em_pn")
+        return F.when(g.isNull(), F.lit(None).cast("int")).otherwise((g == p).cast("int"))
+    if profile in ("cascade_first", "cascade_first_shell"):
+        return F.coalesce((p != F.lit("")) & (g == p), F.lit(False)).cast("int")
+    raise ValueError(f"unknown EM profile {profile!r}; known: {sorted(SCORERS)}")

@@ -148,19 +148,28 @@ def mismatch_export(scored: DataFrame, em_col: str = "em") -> DataFrame:
     return scored.filter(F.coalesce(_c(em_col).cast("int"), F.lit(-1)) == 0)
 
 
-def zero_shot_record(df: DataFrame, generated_col: str = "generated",
-                     gold_col: str = "gold", question_col: str = "question") -> DataFrame:
+def zero_shot_record(df: DataFrame, generated_col: str = "generated", gold_col: str = "gold",
+                     golds: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """L3: one wide prediction row — stripped generation, rationale (all non-blank lines but
     the last), extracted answer (X3), gold, extracted gold and M3 em (NULL when the gold
-    extracts to "")."""
+    extracts to "").
+
+    With ``golds`` (``id, gold`` and any other per-problem columns) the gold side is
+    extracted once per problem and joined to the generations; otherwise ``df`` carries the
+    gold itself."""
     from ..functions.text import trim_u
-    gen = trim_u(_c(generated_col))
-    staged = (df.withColumn("generated", gen)
-              .withColumn("gold", F.coalesce(_c(gold_col), F.lit(""))))
+    if golds is not None:
+        g = golds.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
+        g = A.with_extracted(g, "cascade_last", "gold", "gold_extracted")
+        g = A.with_normalized(g, "integral", "gold_extracted", "__gn")
+        staged = df.join(g, id_col)
+    else:
+        staged = df.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
+        staged = A.with_extracted(staged, "cascade_last", "gold", "gold_extracted")
+        staged = A.with_normalized(staged, "integral", "gold_extracted", "__gn")
+    staged = staged.withColumn("generated", trim_u(_c(generated_col)))
     staged = A.with_extracted(staged, "cascade_last", "generated", "answer")
-    staged = A.with_extracted(staged, "cascade_last", "gold", "gold_extracted")
     staged = A.with_normalized(staged, "integral", "answer", "__pn")
-    staged = A.with_normalized(staged, "integral", "gold_extracted", "__gn")
     return (staged
             .withColumn("rationale", rationale_from_generation(F.col("generated")))
             .withColumn("em", F.when(F.col("gold_extracted") == "", F.lit(None).cast("int"))

@@ -42,32 +42,55 @@ def flatten_candidates(grouped: DataFrame, id_col: str = "id", texts_col: str =
 
 # ---- scoring join -----------------------------------------------------------
 
+def gold_keys(problems: DataFrame, profile: str, id_col: str = "id", gold_col: str = "answer",
+              key_col: str = "__gk") -> DataFrame:
+    """``(id, key)``: the normalised gold of every problem, computed once per problem."""
+    return A.with_gold_key(problems.select(id_col, gold_col), profile, gold_col, key_col) \
+        .select(id_col, key_col)
+
+
+def _scored(cands: DataFrame, keys: DataFrame, profile: str, id_col: str, text_col: str,
+            em_col: str) -> DataFrame:
+    j = A.with_pred_key(cands.join(keys, id_col), profile, text_col, "__pk")
+    return j.withColumn(em_col, A.em_from_keys(profile, "__gk", "__pk")).drop("__gk", "__pk")
+
+
 def score_candidates(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
                      id_col: str = "id", gold_col: str = "answer", text_col: str = "text",
                      em_col: str = "em") -> DataFrame:
-    """Join each candidate to its problem's gold text and add the EM Column."""
-    gold = problems.select(id_col, F.col(gold_col).alias("__gold"))
-    return A.with_em(cands.join(gold, id_col), profile, "__gold", text_col, em_col).drop("__gold")
+    """Each candidate with the EM of its text against its problem's gold. The gold side is
+    normalised once per problem and only ``(id, key)`` is joined to the candidates."""
+    return _scored(cands, gold_keys(problems, profile, id_col, gold_col), profile, id_col,
+                   text_col, em_col)
 
 
 # ---- R3 / R5 ----------------------------------------------------------------
 
+def first_correct_index(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
+                        id_col: str = "id", idx_col: str = "cand_idx", text_col: str = "text",
+                        gold_col: str = "answer") -> DataFrame:
+    """``(id, cand_idx, rationale)`` of the lowest-index matching candidate per problem."""
+    hits = _scored(cands.select(id_col, idx_col, text_col),
+                   gold_keys(problems, profile, id_col, gold_col), profile, id_col, text_col, "__em")
+    best = (hits.filter(A.is_match("__em"))
+            .groupBy(id_col)
+            .agg(F.min_by(F.struct(F.col(idx_col).alias("cand_idx"),
+                                   F.col(text_col).alias("rationale")), F.col(idx_col)).alias("k")))
+    return best.select(id_col, "k.cand_idx", "k.rationale")
+
+
 def keep_first_correct(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
                        id_col: str = "id", idx_col: str = "cand_idx", text_col: str = "text",
                        question_col: str = "question", gold_col: str = "answer") -> DataFrame:
     """Per problem the lowest-index candidate whose text matches the gold.
 
-    Output ``id, question, rationale, final, cand_idx`` (``final`` is the gold text)."""
+    Output ``id, question, rationale, final, cand_idx`` (``final`` is the gold text). The
+    candidate side carries only ``(id, key)`` through the scoring join; question and gold
+    text join back to the (at most one per problem) kept rows."""
+    best = first_correct_index(cands, problems, profile, id_col, idx_col, text_col, gold_col)
     probs = problems.select(id_col, F.col(question_col).alias("question"),
                             F.col(gold_col).alias("final"))
-    joined = cands.select(id_col, idx_col, text_col).join(probs, id_col)
-    hits = (A.with_em(joined, profile, "final", text_col, "__em")
-            .filter(A.is_match("__em"))
-            .groupBy(id_col)
-            .agg(F.min_by(F.struct(F.col(idx_col).alias("cand_idx"),
-                                   F.col(text_col).alias("rationale"),
-                                   "question", "final"), F.col(idx_col)).alias("k")))
-    return hits.select(id_col, "k.question", "k.rationale", "k.final", "k.cand_idx")
+    return best.join(probs, id_col).select(id_col, "question", "rationale", "final", "cand_idx")
 
 
 def missed_problems(problems: DataFrame, kept: DataFrame, id_col: str = "id") -> DataFrame:
@@ -144,18 +167,19 @@ def collect_misses(preds: DataFrame, dataset: DataFrame | None = None, id_col: s
 def retry_keep_correct(misses: DataFrame, outputs: DataFrame, profile: str = "hash_loose",
                        id_col: str = "id", text_col: str = "text") -> DataFrame:
     """One output per miss, kept only when it matches the gold; ``em_after`` true."""
-    j = misses.join(outputs.select(id_col, F.col(text_col).alias("output")), id_col)
-    return (A.with_em(j, profile, "gold_answer", "output", "__em").filter(A.is_match("__em"))
-             .select(id_col, "question", "gold_answer", "output", F.lit(True).alias("em_after")))
+    keys = gold_keys(misses, profile, id_col, "gold_answer")
+    hits = _scored(outputs.select(id_col, F.col(text_col).alias("output")), keys, profile, id_col,
+                   "output", "__em").filter(A.is_match("__em"))
+    return (misses.select(id_col, "question", "gold_answer").join(hits.select(id_col, "output"), id_col)
+            .select(id_col, "question", "gold_answer", "output", F.lit(True).alias("em_after")))
 
 
 def retry_shortest_correct(misses: DataFrame, outputs: DataFrame, profile: str = "hash_loose",
                            id_col: str = "id", idx_col: str = "cand_idx",
                            text_col: str = "text") -> DataFrame:
     """Among the K outputs that match, the shortest text; ties go to the earliest."""
-    gold = misses.select(id_col, "gold_answer")
-    joined = outputs.select(id_col, idx_col, text_col).join(gold, id_col)
-    best = (A.with_em(joined, profile, "gold_answer", text_col, "__em")
+    keys = gold_keys(misses, profile, id_col, "gold_answer")
+    best = (_scored(outputs.select(id_col, idx_col, text_col), keys, profile, id_col, text_col, "__em")
             .filter(A.is_match("__em"))
             .groupBy(id_col)
             .agg(F.min_by(F.struct(F.col(text_col).alias("output"),
@@ -169,9 +193,11 @@ def retry_shortest_correct(misses: DataFrame, outputs: DataFrame, profile: str =
 def retry_flag_all(misses: DataFrame, outputs: DataFrame, profile: str = "hash_loose",
                    id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Every output kept with ``em_after`` true/false."""
-    j = misses.join(outputs.select(id_col, F.col(text_col).alias("output")), id_col)
-    j = A.with_em(j, profile, "gold_answer", "output", "__em")
-    return j.select(id_col, "question", "gold_answer", "output", A.is_match("__em").alias("em_after"))
+    keys = gold_keys(misses, profile, id_col, "gold_answer")
+    scored = _scored(outputs.select(id_col, F.col(text_col).alias("output")), keys, profile, id_col,
+                     "output", "__em")
+    return (misses.select(id_col, "question", "gold_answer").join(scored, id_col)
+            .select(id_col, "question", "gold_answer", "output", A.is_match("__em").alias("em_after")))
 
 
 # ---- R11 / R12 ----------------------------------------------------------------

@@ -208,32 +208,37 @@ def extract_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1-M4 and the N1-N4 normalisations over every (candidate, gold) pair."""
-    c = FX.candidates(spark, sf_dir).join(FX.problems(spark, sf_dir).select("id", "answer"), "id")
-    t, g = F.col("text"), F.col("answer")
-    d = A.with_extracted(c, "cascade_last", "text", "x3")
+    """M1-M4 and the N1-N4 normalisations over every (candidate, gold) pair. Gold keys are
+    computed once per problem; the extracted prediction values double as the M3/M4 keys."""
+    probs = FX.problems(spark, sf_dir).select("id", "answer")
+    keys = A.with_gold_key(probs, "hash_loose", "answer", "gk_loose")
+    keys = A.with_gold_key(keys, "hash_then_any", "answer", "gk_any")
+    keys = A.with_gold_key(keys, "cascade_last", "answer", "gk_last")
+    keys = A.with_gold_key(keys, "cascade_first", "answer", "gk_first").drop("answer")
+    d = FX.candidates(spark, sf_dir).join(keys, "id")
+    d = A.with_extracted(d, "cascade_last", "text", "x3")
     d = A.with_extracted(d, "cascade_first", "text", "x4")
     d = A.with_normalized(d, "integral", "x3", "n_integral")
     d = A.with_normalized(d, "rounded", "x4", "n_rounded")
-    d = A.with_em(d, "cascade_last", "answer", "text", "em_cascade_last")
-    d = A.with_em(d, "cascade_first", "answer", "text", "em_cascade_first")
+    d = A.with_pred_key(d, "hash_loose", "text", "pk_loose")
+    d = A.with_pred_key(d, "hash_then_any", "text", "pk_any")
     return d.select(
         "id", "cand_idx",
         A.normalize_trim(F.col("text")).alias("n_trim"),
-        A.normalize_money(A.extract_last_number(t)).alias("n_money"),
+        A.normalize_money(A.extract_last_number(F.col("text"))).alias("n_money"),
         "n_integral", "n_rounded",
-        A.em_hash_loose(g, t).cast("int").alias("em_hash_loose"),
-        A.em_hash_then_any(g, t).cast("int").alias("em_hash_then_any"),
-        "em_cascade_last", "em_cascade_first")
+        A.em_from_keys("hash_loose", "gk_loose", "pk_loose").cast("int").alias("em_hash_loose"),
+        A.em_from_keys("hash_then_any", "gk_any", "pk_any").cast("int").alias("em_hash_then_any"),
+        A.em_from_keys("cascade_last", "gk_last", "n_integral").alias("em_cascade_last"),
+        A.em_from_keys("cascade_first", "gk_first", "n_rounded").alias("em_cascade_first"))
 
 
 def zero_shot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3 + A3: wide zero-shot prediction rows (P8 rationale, X3 answer, M3 em) re-scored
     from stored generations (every candidate against its problem's gold)."""
-    c = FX.candidates(spark, sf_dir).join(FX.problems(spark, sf_dir).select("id", "question", "answer"), "id")
-    recs = R.zero_shot_record(c.select("id", "cand_idx", "question",
-                                       F.col("text").alias("generated"),
-                                       F.col("answer").alias("gold")))
+    probs = FX.problems(spark, sf_dir).select("id", "question", F.col("answer").alias("gold"))
+    gens = FX.candidates(spark, sf_dir).select("id", "cand_idx", F.col("text").alias("generated"))
+    recs = R.zero_shot_record(gens, golds=probs)
     return recs.select("id", "cand_idx", "question", "generated", "rationale", "answer", "gold",
                        "gold_extracted", "em")
 
@@ -249,13 +254,14 @@ def _variant_predictions(spark, sf_dir):
     """Problems x the three prompt variants; the stored generation for variant i is the
     problem's i-th candidate; M4 (first-match cascade) em."""
     probs = FX.problems(spark, sf_dir)
-    pv = probs.select("id", "question", "answer",
-                      F.explode(F.array(*[F.lit(n) for n in PR.VARIANTS])).alias("variant"))
+    keys = A.with_gold_key(probs.select("id", "answer"), "cascade_first_shell", "answer", "gk")
+    pv = keys.select("id", "answer", "gk",
+                     F.explode(F.array(*[F.lit(n) for n in PR.VARIANTS])).alias("variant"))
     pv = pv.withColumn("cand_idx", F.substring_index("variant", "_", -1).cast("int"))
     cands = FX.candidates(spark, sf_dir)
-    j = pv.join(cands, ["id", "cand_idx"], "left")
-    j = A.with_em(j, "cascade_first_shell", "answer", "text", "em")
-    return j.select("id", "variant", F.col("text").alias("generated"), "answer", "em")
+    j = A.with_pred_key(pv.join(cands, ["id", "cand_idx"], "left"), "cascade_first_shell", "text", "pk")
+    return j.select("id", "variant", F.col("text").alias("generated"), "answer",
+                    A.em_from_keys("cascade_first_shell", "gk", "pk").alias("em"))
 
 
 def prompt_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
