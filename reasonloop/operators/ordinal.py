@@ -12,10 +12,9 @@ separate exchanges, and adaptive execution may coalesce them differently, so par
 indexes would not agree between them. The checkpoint also cuts the lineage, so a lost
 executor re-reads the checkpoint instead of re-running the sort.
 
-``group_row_number`` builds on it: the ordinal of a row minus the smallest ordinal of its
-group. Unlike a window partitioned by the group key, a hot group is not pushed through
-one task: the sort is range-partitioned and the per-group minimum is a partial
-aggregate.
+``group_row_number`` numbers rows inside groups: ordinary groups by a window, hot groups
+(over a row threshold) by the ordinal of a row minus the smallest ordinal of its group, so
+a hot group is spread over range partitions instead of one task.
 """
 
 from __future__ import annotations
@@ -56,12 +55,41 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "o
             .drop("__mid", "__pid", "__local", "__off"))
 
 
-def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
-                     name: str = "rn", base: int = 1) -> DataFrame:
-    """``row_number() over (partition by group_by order by order_by)`` (``base``-based),
-    computed without putting any group into a single task."""
+HOT_GROUP_ROWS = 2_000_000
+
+
+def _sorted_group_row_number(df: DataFrame, group_by: Sequence[str], order_by, name: str,
+                             base: int) -> DataFrame:
     ordered = with_ordinal(df, [*group_by, *order_by], name="__ord")
     firsts = ordered.groupBy(*group_by).agg(F.min("__ord").alias("__first"))
     return (ordered.join(firsts, list(group_by))
             .withColumn(name, (F.col("__ord") - F.col("__first") + base).cast("int"))
             .drop("__ord", "__first"))
+
+
+def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
+                     name: str = "rn", base: int = 1,
+                     hot_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """``row_number() over (partition by group_by order by order_by)`` (``base``-based)
+    that never pushes a hot group through one task.
+
+    Group sizes come from a partial aggregate. Groups up to ``hot_group_rows`` rows are
+    numbered by the ordinary window (one shuffle, each task bounded); larger groups are
+    numbered from a global range-sorted ordinal minus the group's first ordinal, which
+    spreads a hot group over many range partitions. The set of hot keys holds at most
+    ``rows / hot_group_rows`` entries. When no group is hot (one small action checks it)
+    the plan is the plain window."""
+    keys = list(group_by)
+    window = Window.partitionBy(*keys).orderBy(*_sort_cols(order_by))
+
+    def numbered(d: DataFrame) -> DataFrame:
+        return d.withColumn(name, (F.row_number().over(window) + (base - 1)).cast("int"))
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gsize"))
+    hot = sizes.filter(F.col("__gsize") > hot_group_rows).select(*keys)
+    if not hot.take(1):
+        return numbered(df)
+    cold_rows = df.join(hot, keys, "left_anti")
+    hot_rows = df.join(hot, keys, "left_semi")
+    return numbered(cold_rows).unionByName(
+        _sorted_group_row_number(hot_rows, keys, order_by, name, base))

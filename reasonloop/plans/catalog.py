@@ -14,7 +14,10 @@ from ..operators import report as R
 from ..operators import selection as S
 from ..operators.generate import TableGenerator, generate
 from ..operators.ordinal import with_ordinal
+from ..session import scratch_path
+from ..sources import jsonl as J
 from ..sources import splits as SP
+from ..streaming import incremental as ST
 from . import fixture as FX
 
 RATIONALIZE_SHIFT = 2   # rationalised candidates: same lines, shapes shifted by two
@@ -447,6 +450,60 @@ def regroup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.regroup_candidates(FX.candidates(spark, sf_dir))
 
 
+def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: the forward + rationalise pass as a file stream over the orders table with
+    ``foreachBatch`` into ``batch_id=`` folders; the committed output, class-formatted,
+    equals the batch iteration's."""
+    schema = FX.table(spark, sf_dir, "orders").schema
+    golds = FX.order_golds(spark, sf_dir)
+    lines = FX.numbered_lines(spark, sf_dir)
+    paths = ST.incremental_pass(
+        spark, sf_dir, schema, lambda b: FX.problems_from_orders(b, golds),
+        TableGenerator(FX.candidates(spark, sf_dir, lines=lines)),
+        TableGenerator(FX.candidates(spark, sf_dir, shift=RATIONALIZE_SHIFT, lines=lines)),
+        scratch_path(spark, "incremental"), file_glob="orders.parquet")
+    out = ST.read_outputs(spark, paths)
+    return out.select("id", RC.class_text(F.col("question"), F.col("rationale"),
+                                          F.col("final")).alias("text"), "src")
+
+
+def self_training_loop(spark: SparkSession, sf_dir: str, iterations: int = 2) -> DataFrame:
+    """The iterative loop over a seeded 90/10 split of the problems. The stand-in
+    model is an integer; its generations are the stored candidates shifted by the model
+    number (the first one for evaluation, the last one as the greedy retry) and training
+    moves it to the next number. Checks data flow, not model quality."""
+    from . import selftrain as ST13
+    lines = FX.numbered_lines(spark, sf_dir)
+    probs = FX.problems(spark, sf_dir).select("id", "question", "answer")
+    train, test = SP.hash_split(probs, 0.1, seed=42)
+
+    def generator_for(model: int, purpose: str):
+        c = FX.candidates(spark, sf_dir, shift=model, lines=lines)
+        if purpose == "eval":
+            return TableGenerator(c.filter(F.col("cand_idx") == 1))
+        last = S.regroup_candidates(c).select("id", F.lit(1).alias("cand_idx"), F.col("last_text").alias("text"))
+        return TableGenerator(last)
+
+    hooks = ST13.LoopHooks(generator_for=generator_for, train=lambda start, path, it: start + 1)
+    rep = ST13.run_self_training(spark, train, test, hooks, 0, scratch_path(spark, "selftrain"),
+                                 iterations=iterations, run="fixture")
+    return rep.withColumn("value", F.round("value", 8))
+
+
+KEPT_SCHEMA = "id bigint, question string, rationale string, final string, cand_idx int"
+
+
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept rows written as JSON lines (NULLs kept) to the shared scratch folder and
+    read back with an explicit schema in FAILFAST mode; an absent path reads as empty."""
+    kept = keep_first_correct(spark, sf_dir)
+    path = scratch_path(spark, "kept-jsonl")
+    J.write_jsonl(kept, path)
+    back = J.read_jsonl(spark, path, KEPT_SCHEMA)
+    absent = J.read_jsonl(spark, path + "-absent", KEPT_SCHEMA, missing_ok=True)
+    return back.unionByName(absent)
+
+
 QUERIES = {
     "keep_first_correct": keep_first_correct,
     "greedy_accuracy": greedy_accuracy,
@@ -482,4 +539,7 @@ QUERIES = {
     "render_prompts": render_prompts,
     "prompt_echo_strip": prompt_echo_strip,
     "regroup_candidates": regroup_candidates,
+    "incremental_stream": incremental_stream,
+    "jsonl_round_trip": jsonl_round_trip,
+    "self_training_loop": self_training_loop,
 }

@@ -30,12 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id bigint, question string, answer string, gold bigint`` — one row per order."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    gold = (table(spark, sf_dir, "lineitem")
+def order_golds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``l_orderkey, gold``: the largest line quantity per order (partial aggregate)."""
+    return (table(spark, sf_dir, "lineitem")
             .groupBy("l_orderkey")
             .agg(F.max("l_quantity").cast("bigint").alias("gold")))
+
+
+def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id bigint, question string, answer string, gold bigint`` — one row per order."""
+    return problems_from_orders(table(spark, sf_dir, "orders"), order_golds(spark, sf_dir))
+
+
+def problems_from_orders(orders: DataFrame, gold: DataFrame) -> DataFrame:
+    """Problems for a set of orders (a table or one micro-batch of a stream)."""
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     j = orders.join(gold, orders.o_orderkey == gold.l_orderkey, "left")
     g = F.coalesce(F.col("gold"), F.lit(0).cast("bigint"))
     return j.select(

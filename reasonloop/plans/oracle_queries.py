@@ -429,4 +429,6 @@ ORACLE = {
     "render_prompts": RENDER_PROMPTS,
     "prompt_echo_strip": PROMPT_ECHO_STRIP,
     "regroup_candidates": REGROUP_CANDIDATES,
+    "incremental_stream": ONE_ITERATION,
+    "jsonl_round_trip": KEEP_FIRST_CORRECT,
 }

@@ -20,8 +20,15 @@ def test_group_row_number_matches_window_with_hot_key(spark):
     df = spark.range(0, 6000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
         ((F.col("id") * 31) % 6007).alias("v"))
-    ours = group_row_number(df, ["g"], ["v"], name="rn")
+    ours = group_row_number(df, ["g"], ["v"], name="rn", hot_group_rows=500)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v")))
     a = sorted(map(tuple, ours.select("g", "v", "rn").collect()))
     b = sorted(map(tuple, ref.select("g", "v", "rn").collect()))
     assert a == b
+
+
+def test_group_row_number_without_hot_groups(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 40).alias("g"), ((F.col("id") * 17) % 3001).alias("v"))
+    ours = group_row_number(df, ["g"], ["v"], name="rn", base=0)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v")) - 1)
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.select("g", "v", "rn").collect()))
