@@ -253,6 +253,26 @@ def rescore_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("accuracy", F.round("accuracy", 8))
 
 
+def rescore_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + P3: re-score stored zero-shot predictions. The gold is resolved through the
+    ``gold, answer, final_answer, answer_text`` chain and the prediction through
+    ``answer, generated, final_answer`` (``a or b`` semantics: empty falls through), both
+    re-extracted (X3) when non-empty; em is NULL without a gold, else the N3 comparison."""
+    stored = zero_shot_records(spark, sf_dir).select("id", "cand_idx", "question", "generated", "answer", "gold")
+    g_raw = RC.resolve_field(stored, RC.GOLD_ALIASES_EVAL)
+    p_raw = RC.resolve_field(stored, RC.PRED_ALIASES)
+    d = stored.select("id", "cand_idx", g_raw.alias("gold_raw"), p_raw.alias("pred_raw"))
+    d = A.with_extracted(d, "cascade_last", "gold_raw", "__gx")
+    d = A.with_extracted(d, "cascade_last", "pred_raw", "__px")
+    d = (d.withColumn("gold_extracted", F.when(F.col("gold_raw") != "", F.col("__gx")).otherwise(F.col("gold_raw")))
+          .withColumn("pred_extracted", F.when(F.col("pred_raw") != "", F.col("__px")).otherwise(F.col("pred_raw"))))
+    d = A.with_normalized(d, "integral", "gold_extracted", "__gn")
+    d = A.with_normalized(d, "integral", "pred_extracted", "__pn")
+    d = d.withColumn("em", F.when(F.col("gold_raw") == "", F.lit(None).cast("int"))
+                     .otherwise((F.col("__gn") == F.col("__pn")).cast("int")))
+    return d.select("id", "cand_idx", "gold_raw", "gold_extracted", "pred_raw", "pred_extracted", "em")
+
+
 def _variant_predictions(spark, sf_dir):
     """Problems x the three prompt variants; the stored generation for variant i is the
     problem's i-th candidate; M4 (first-match cascade) em."""
@@ -522,6 +542,7 @@ QUERIES = {
     "em_profiles": em_profiles,
     "zero_shot_records": zero_shot_records,
     "rescore_accuracy": rescore_accuracy,
+    "rescore_stored_predictions": rescore_stored_predictions,
     "prompt_ablation": prompt_ablation,
     "ablation_mismatches": ablation_mismatches,
     "experiment_comparison": experiment_comparison,

@@ -38,8 +38,11 @@ def order_golds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id bigint, question string, answer string, gold bigint`` — one row per order."""
-    return problems_from_orders(table(spark, sf_dir, "orders"), order_golds(spark, sf_dir))
+    """``id bigint, question string, answer string, gold bigint`` — one row per order,
+    hash-partitioned by id: joins with the candidates (partitioned by the same key) then
+    shuffle only this side, and adaptive execution sees its measured size when it chooses
+    a build side."""
+    return problems_from_orders(table(spark, sf_dir, "orders"), order_golds(spark, sf_dir)).repartition("id")
 
 
 def problems_from_orders(orders: DataFrame, gold: DataFrame) -> DataFrame:

@@ -211,6 +211,22 @@ SELECT id, gold AS gold_raw, gold_extracted, generated AS pred_raw, answer AS pr
 FROM zs WHERE cand_idx = 1 AND em = 0
 """
 
+RESCORE_STORED_PREDICTIONS = _ZS_BASE + f""",
+r0 AS (
+  SELECT id, cand_idx,
+         coalesce(nullif(gold, ''), nullif(answer, ''), '') AS gold_raw,
+         coalesce(nullif(answer, ''), nullif(generated, ''), '') AS pred_raw
+  FROM zs),
+r1 AS (
+  SELECT *, CASE WHEN gold_raw <> '' THEN {x3('gold_raw')} ELSE gold_raw END AS gold_extracted,
+            CASE WHEN pred_raw <> '' THEN {x3('pred_raw')} ELSE pred_raw END AS pred_extracted
+  FROM r0)
+SELECT id, cand_idx, gold_raw, gold_extracted, pred_raw, pred_extracted,
+       CASE WHEN gold_raw = '' THEN NULL
+            ELSE CAST({n3('gold_extracted')} = {n3('pred_extracted')} AS INTEGER) END AS em
+FROM r1
+"""
+
 _VARIANTS = FIX + f""",
 pv AS (
   SELECT p.id, p.answer, v.variant, CAST(right(v.variant, 1) AS INTEGER) AS cand_idx
@@ -413,6 +429,7 @@ ORACLE = {
     "em_profiles": EM_PROFILES,
     "zero_shot_records": ZERO_SHOT_RECORDS,
     "rescore_accuracy": RESCORE_ACCURACY,
+    "rescore_stored_predictions": RESCORE_STORED_PREDICTIONS,
     "prompt_ablation": PROMPT_ABLATION,
     "ablation_mismatches": ABLATION_MISMATCHES,
     "experiment_comparison": EXPERIMENT_COMPARISON,
