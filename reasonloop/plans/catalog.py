@@ -14,7 +14,7 @@ from ..operators import report as R
 from ..operators import selection as S
 from ..operators.generate import TableGenerator, generate
 from ..operators.ordinal import with_ordinal
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import jsonl as J
 from ..sources import splits as SP
 from ..streaming import incremental as ST
@@ -27,56 +27,61 @@ PREV_RETRY_SHIFT = 0    # the previous iteration's greedy retry output: last can
 
 def keep_first_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 with the ``hash_then_any`` profile: first correct candidate per problem."""
-    return S.keep_first_correct(FX.candidates(spark, sf_dir), FX.problems(spark, sf_dir))
+    fx = FX.Tables(spark, sf_dir)
+    return S.keep_first_correct(fx.candidates(), fx.problems)
 
 
 def greedy_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 over a greedy evaluation: each problem's first candidate scored with
     ``hash_loose``; problems with no candidate count as wrong."""
-    probs = FX.problems(spark, sf_dir)
-    first = FX.candidates(spark, sf_dir).filter(F.col("cand_idx") == 1)
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems
+    first = fx.candidates().filter(F.col("cand_idx") == 1)
     preds = probs.join(first.select("id", "text"), "id", "left").withColumn(
         "em", A.em_hash_loose(F.col("answer"), F.col("text")))
     return R.em_accuracy(preds).withColumn("accuracy", F.round("accuracy", 8))
 
 
-def _forward_and_missed(spark, sf_dir, probs=None, lines=None):
-    probs = probs if probs is not None else FX.problems(spark, sf_dir)
-    kept = S.keep_first_correct(FX.candidates(spark, sf_dir, lines=lines), probs)
+def _forward_and_missed(fx: FX.Tables, materialize_kept: bool = False):
+    probs = fx.problems
+    kept = S.keep_first_correct(fx.candidates(), probs)
+    if materialize_kept:
+        kept = materialize(kept, "kept", bucket_by="id")
     return probs, kept, S.missed_problems(probs, kept)
 
 
 def missed_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems with no kept forward candidate."""
-    _, _, missed = _forward_and_missed(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir)
+    _, _, missed = _forward_and_missed(fx)
     return missed.select("id", "question", "answer")
 
 
-def _rationalize(spark, sf_dir, missed, lines=None):
+def _rationalize(fx: FX.Tables, missed):
     """Hint prompt with the numeric gold (P4/P1), K stored generations (R1), first
     correct kept (R3)."""
     prompts = missed.select(
         "id", "question", "answer",
         PR.render(PR.RATIONALIZE, question=F.col("question"),
                   gold_final=RC.hint_final(F.col("answer"))).alias("prompt"))
-    gen = TableGenerator(FX.candidates(spark, sf_dir, shift=RATIONALIZE_SHIFT, lines=lines))
+    gen = TableGenerator(fx.candidates(RATIONALIZE_SHIFT))
     outs = generate(prompts, gen, k=None)
     return S.keep_first_correct(outs, prompts)
 
 
 def rationalize_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rationalised kept rows for the forward misses."""
-    _, _, missed = _forward_and_missed(spark, sf_dir)
-    return _rationalize(spark, sf_dir, missed)
+    fx = FX.Tables(spark, sf_dir)
+    _, _, missed = _forward_and_missed(fx)
+    return _rationalize(fx, missed)
 
 
 def one_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R14 + R6 + P5 + P10: forward, rationalise the misses, merge (rationalised rows win),
     class-format text, format gate."""
-    lines = FX.numbered_lines(spark, sf_dir)
-    probs = FX.problems(spark, sf_dir)
-    _, kept, missed = _forward_and_missed(spark, sf_dir, probs, lines)
-    rat = _rationalize(spark, sf_dir, missed, lines)
+    fx = FX.Tables(spark, sf_dir)
+    _, kept, missed = _forward_and_missed(fx, materialize_kept=True)
+    rat = _rationalize(fx, missed)
     merged = S.merge_last_wins([kept.select("id", "question", "rationale", "final"),
                                 rat.select("id", "question", "rationale", "final")])
     out = merged.select("id", RC.class_text(F.col("question"), F.col("rationale"),
@@ -88,48 +93,48 @@ def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 on overlapping sources: first-correct picks over the forward candidates and over
     the shifted candidates for *all* problems; the later source wins per id, the position
     of the first sighting is kept."""
-    probs = FX.problems(spark, sf_dir)
-    lines = FX.numbered_lines(spark, sf_dir)
-    a = S.keep_first_correct(FX.candidates(spark, sf_dir, lines=lines), probs)
-    b = S.keep_first_correct(FX.candidates(spark, sf_dir, shift=RATIONALIZE_SHIFT, lines=lines), probs)
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems
+    a = S.keep_first_correct(fx.candidates(), probs)
+    b = S.keep_first_correct(fx.candidates(RATIONALIZE_SHIFT), probs)
     m = S.merge_last_wins([a.select("id", "rationale", "cand_idx"),
                            b.select("id", "rationale", "cand_idx")])
     return m.select("id", "rationale", "cand_idx", "src",
                     F.col("pos.__src").alias("first_src"), F.col("pos.__ord").alias("first_pos"))
 
 
-def _misses_for_retry(spark, sf_dir, probs=None, lines=None):
-    _, _, missed = _forward_and_missed(spark, sf_dir, probs, lines)
+def _misses_for_retry(fx: FX.Tables):
+    _, _, missed = _forward_and_missed(fx)
     return missed.select("id", "question", F.col("answer").alias("gold_answer"))
 
 
-def _greedy_retry_outputs(spark, sf_dir, shift, lines):
+def _greedy_retry_outputs(fx: FX.Tables, shift: int):
     """One stored greedy output per problem: its last candidate (R2 pick) of a shifted set."""
-    g = S.regroup_candidates(FX.candidates(spark, sf_dir, shift=shift, lines=lines))
+    g = S.regroup_candidates(fx.candidates(shift))
     return g.select("id", F.col("last_text").alias("text"))
 
 
 def retry_keep_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hinted greedy output per miss, kept when the ``hash_loose`` match holds."""
-    lines = FX.numbered_lines(spark, sf_dir)
-    misses = _misses_for_retry(spark, sf_dir, lines=lines)
-    return S.retry_keep_correct(misses, _greedy_retry_outputs(spark, sf_dir, RETRY_SHIFT, lines))
+    fx = FX.Tables(spark, sf_dir)
+    misses = _misses_for_retry(fx)
+    return S.retry_keep_correct(misses, _greedy_retry_outputs(fx, RETRY_SHIFT))
 
 
 def retry_shortest_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best of K retries per miss — the shortest matching text, ties to the earliest."""
-    lines = FX.numbered_lines(spark, sf_dir)
-    misses = _misses_for_retry(spark, sf_dir, lines=lines)
-    outs = FX.candidates(spark, sf_dir, shift=RATIONALIZE_SHIFT, lines=lines)
+    fx = FX.Tables(spark, sf_dir)
+    misses = _misses_for_retry(fx)
+    outs = fx.candidates(RATIONALIZE_SHIFT)
     return S.retry_shortest_correct(misses, outs)
 
 
 def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 vs R9 on all problems (``hash_then_any``): the problems whose first correct and
     shortest correct candidates differ."""
-    probs = FX.problems(spark, sf_dir)
-    lines = FX.numbered_lines(spark, sf_dir)
-    cands = FX.candidates(spark, sf_dir, lines=lines)
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems
+    cands = fx.candidates()
     first = S.keep_first_correct(cands, probs)
     scored = S.score_candidates(cands, probs).filter("em")
     short = scored.groupBy("id").agg(F.min_by(F.col("cand_idx"), F.struct(
@@ -140,45 +145,45 @@ def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retry_flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain-prompt greedy retry, every output kept with ``em_after``."""
-    lines = FX.numbered_lines(spark, sf_dir)
-    misses = _misses_for_retry(spark, sf_dir, lines=lines)
-    return S.retry_flag_all(misses, _greedy_retry_outputs(spark, sf_dir, RETRY_SHIFT, lines))
+    fx = FX.Tables(spark, sf_dir)
+    misses = _misses_for_retry(fx)
+    return S.retry_flag_all(misses, _greedy_retry_outputs(fx, RETRY_SHIFT))
 
 
-def _retry_rows(spark, sf_dir, shift, lines, misses, keep_all):
-    outs = _greedy_retry_outputs(spark, sf_dir, shift, lines)
+def _retry_rows(fx: FX.Tables, shift, misses, keep_all):
+    outs = _greedy_retry_outputs(fx, shift)
     return S.retry_flag_all(misses, outs) if keep_all else S.retry_keep_correct(misses, outs)
 
 
 def train_set_correct_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """This iteration's kept retries with an extractable final, bag-unioned with the
     previous iteration's set (no dedupe)."""
-    lines = FX.numbered_lines(spark, sf_dir)
-    misses = _misses_for_retry(spark, sf_dir, lines=lines)
-    prev = S.training_rows(_retry_rows(spark, sf_dir, PREV_RETRY_SHIFT, lines, misses, False))
-    cur = S.training_rows(_retry_rows(spark, sf_dir, RETRY_SHIFT, lines, misses, False))
+    fx = FX.Tables(spark, sf_dir)
+    misses = _misses_for_retry(fx)
+    prev = S.training_rows(_retry_rows(fx, PREV_RETRY_SHIFT, misses, False))
+    cur = S.training_rows(_retry_rows(fx, RETRY_SHIFT, misses, False))
     return S.cumulative_training_set(cur, prev)
 
 
 def train_set_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every retry row (answer "" when no final), bag-unioned with the previous set."""
-    lines = FX.numbered_lines(spark, sf_dir)
-    misses = _misses_for_retry(spark, sf_dir, lines=lines)
-    prev = S.training_rows(_retry_rows(spark, sf_dir, PREV_RETRY_SHIFT, lines, misses, True),
+    fx = FX.Tables(spark, sf_dir)
+    misses = _misses_for_retry(fx)
+    prev = S.training_rows(_retry_rows(fx, PREV_RETRY_SHIFT, misses, True),
                            correct_only=False)
-    cur = S.training_rows(_retry_rows(spark, sf_dir, RETRY_SHIFT, lines, misses, True),
+    cur = S.training_rows(_retry_rows(fx, RETRY_SHIFT, misses, True),
                           correct_only=False)
     return S.cumulative_training_set(cur, prev)
 
 
-def _greedy_predictions(spark, sf_dir):
+def _greedy_predictions(fx: FX.Tables):
     """Batched-eval style predictions: ``hf_test_<orderkey>`` ids, first candidate as the
     output, ``hash_loose`` em. Orders in status P lose their question and urgent orders
     their gold, so the backfill path has work to do."""
-    probs = FX.problems(spark, sf_dir)
-    orders = FX.table(spark, sf_dir, "orders").select(
+    probs = fx.problems
+    orders = FX.table(fx.spark, fx.sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
-    first = FX.candidates(spark, sf_dir).filter(F.col("cand_idx") == 1).select("id", "text")
+    first = fx.candidates().filter(F.col("cand_idx") == 1).select("id", "text")
     j = probs.join(orders, "id").join(first, "id", "left")
     return j.select(
         F.concat(F.lit("hf_test_"), F.col("id").cast("string")).alias("id"),
@@ -191,14 +196,16 @@ def _greedy_predictions(spark, sf_dir):
 def collect_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misses of the greedy evaluation, question and gold backfilled from the dataset
     by the index parsed from the id."""
-    preds = _greedy_predictions(spark, sf_dir)
-    dataset = FX.problems(spark, sf_dir).select(F.col("id").alias("ordinal"), "question", "answer")
+    fx = FX.Tables(spark, sf_dir)
+    preds = _greedy_predictions(fx)
+    dataset = fx.problems.select(F.col("id").alias("ordinal"), "question", "answer")
     return S.collect_misses(preds, dataset)
 
 
 def extract_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1, X2, X2f, X3, X4 (both cue lists), X5 over every candidate text."""
-    c = FX.candidates(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir)
+    c = fx.candidates()
     t = F.col("text")
     return c.select("id", "cand_idx",
                     A.extract_hash_loose(t).alias("x_hash_loose"),
@@ -213,12 +220,13 @@ def extract_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1-M4 and the N1-N4 normalisations over every (candidate, gold) pair. Gold keys are
     computed once per problem; the extracted prediction values double as the M3/M4 keys."""
-    probs = FX.problems(spark, sf_dir).select("id", "answer")
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems.select("id", "answer")
     keys = A.with_gold_key(probs, "hash_loose", "answer", "gk_loose")
     keys = A.with_gold_key(keys, "hash_then_any", "answer", "gk_any")
     keys = A.with_gold_key(keys, "cascade_last", "answer", "gk_last")
     keys = A.with_gold_key(keys, "cascade_first", "answer", "gk_first").drop("answer")
-    d = FX.candidates(spark, sf_dir).join(keys, "id")
+    d = fx.candidates().join(keys, "id")
     d = A.with_extracted(d, "cascade_last", "text", "x3")
     d = A.with_extracted(d, "cascade_first", "text", "x4")
     d = A.with_normalized(d, "integral", "x3", "n_integral")
@@ -239,8 +247,9 @@ def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zero_shot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3 + A3: wide zero-shot prediction rows (P8 rationale, X3 answer, M3 em) re-scored
     from stored generations (every candidate against its problem's gold)."""
-    probs = FX.problems(spark, sf_dir).select("id", "question", F.col("answer").alias("gold"))
-    gens = FX.candidates(spark, sf_dir).select("id", "cand_idx", F.col("text").alias("generated"))
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems.select("id", "question", F.col("answer").alias("gold"))
+    gens = fx.candidates().select("id", "cand_idx", F.col("text").alias("generated"))
     recs = R.zero_shot_record(gens, golds=probs)
     return recs.select("id", "cand_idx", "question", "generated", "rationale", "answer", "gold",
                        "gold_extracted", "em")
@@ -273,15 +282,15 @@ def rescore_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", "cand_idx", "gold_raw", "gold_extracted", "pred_raw", "pred_extracted", "em")
 
 
-def _variant_predictions(spark, sf_dir):
+def _variant_predictions(fx: FX.Tables):
     """Problems x the three prompt variants; the stored generation for variant i is the
     problem's i-th candidate; M4 (first-match cascade) em."""
-    probs = FX.problems(spark, sf_dir)
+    probs = fx.problems
     keys = A.with_gold_key(probs.select("id", "answer"), "cascade_first_shell", "answer", "gk")
     pv = keys.select("id", "answer", "gk",
                      F.explode(F.array(*[F.lit(n) for n in PR.VARIANTS])).alias("variant"))
     pv = pv.withColumn("cand_idx", F.substring_index("variant", "_", -1).cast("int"))
-    cands = FX.candidates(spark, sf_dir)
+    cands = fx.candidates()
     j = A.with_pred_key(pv.join(cands, ["id", "cand_idx"], "left"), "cascade_first_shell", "text", "pk")
     return j.select("id", "variant", F.col("text").alias("generated"), "answer",
                     A.em_from_keys("cascade_first_shell", "gk", "pk").alias("em"))
@@ -289,7 +298,8 @@ def _variant_predictions(spark, sf_dir):
 
 def prompt_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EM and mismatch counts per prompt variant over the same problems."""
-    p = _variant_predictions(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir)
+    p = _variant_predictions(fx)
     return p.groupBy("variant").agg(
         F.count(F.lit(1)).alias("total"),
         F.sum("em").cast("bigint").alias("correct"),
@@ -299,7 +309,8 @@ def prompt_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ablation_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1 per variant: the first six mismatches of each variant in problem order."""
-    p = _variant_predictions(spark, sf_dir).withColumn("ordinal", F.col("id"))
+    fx = FX.Tables(spark, sf_dir)
+    p = _variant_predictions(fx).withColumn("ordinal", F.col("id"))
     return R.top_mismatches(p, 6, group_by=["variant"]).select("variant", "id", "generated", "em")
 
 
@@ -314,8 +325,9 @@ def experiment_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: the first 20 greedy-evaluation mismatches in problem order."""
-    probs = FX.problems(spark, sf_dir)
-    first = FX.candidates(spark, sf_dir).filter(F.col("cand_idx") == 1).select("id", "text")
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems
+    first = fx.candidates().filter(F.col("cand_idx") == 1).select("id", "text")
     p = probs.join(first, "id", "left").withColumn(
         "em", A.em_hash_loose(F.col("answer"), F.col("text")).cast("int"))
     return R.top_mismatches(p.withColumn("ordinal", F.col("id")), 20).select("id", "text", "answer", "em")
@@ -332,13 +344,13 @@ def mismatch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per stage metric of an iteration: greedy EM, misses, generated, kept,
     train size."""
-    lines = FX.numbered_lines(spark, sf_dir)
-    probs = FX.problems(spark, sf_dir)
-    first = FX.candidates(spark, sf_dir, lines=lines).filter(F.col("cand_idx") == 1)
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems
+    first = fx.candidates().filter(F.col("cand_idx") == 1)
     preds = probs.join(first.select("id", "text"), "id", "left").withColumn(
         "em", A.em_hash_loose(F.col("answer"), F.col("text")).cast("int"))
-    misses = _misses_for_retry(spark, sf_dir, probs, lines)
-    kept = _retry_rows(spark, sf_dir, RETRY_SHIFT, lines, misses, False)
+    misses = _misses_for_retry(fx)
+    kept = _retry_rows(fx, RETRY_SHIFT, misses, False)
     train = S.training_rows(kept)
     return R.stage_report("fixture", [
         ("zero_shot", "em", preds, F.round(F.sum(F.coalesce("em", F.lit(0))) /
@@ -353,10 +365,10 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running forward-kept / rationalised-kept totals every 10 micro-batches of 16
     problems (problem order = id)."""
-    lines = FX.numbered_lines(spark, sf_dir)
-    probs = with_ordinal(FX.problems(spark, sf_dir), ["id"])
-    _, kept, missed = _forward_and_missed(spark, sf_dir, probs, lines)
-    rat = _rationalize(spark, sf_dir, missed, lines)
+    fx = FX.Tables(spark, sf_dir)
+    probs = with_ordinal(fx.problems, ["id"])
+    _, kept, missed = _forward_and_missed(fx, materialize_kept=True)
+    rat = _rationalize(fx, missed)
     flags = (probs.select("id", "ordinal")
              .join(kept.select("id", F.lit(1).alias("f")), "id", "left")
              .join(rat.select("id", F.lit(1).alias("r")), "id", "left"))
@@ -398,7 +410,8 @@ def sft_batches_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5, S6, S7, S9, S10 on the problem table in id order: ordinal ids, head-100 flag,
     tail hold-out flag, shard of 4 and batch of 16."""
-    probs = with_ordinal(FX.problems(spark, sf_dir).select("id"), ["id"])
+    fx = FX.Tables(spark, sf_dir)
+    probs = with_ordinal(fx.problems.select("id"), ["id"])
     n = probs.count()
     per = SP.shard_size(n, 4)
     holdout_from = n - SP.holdout_size(n)
@@ -413,7 +426,8 @@ def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded 10 % test split by key hash; every problem with its side."""
-    probs = FX.problems(spark, sf_dir).select("id")
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems.select("id")
     train, test = SP.hash_split(probs, 0.1, seed=42)
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
@@ -436,7 +450,8 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sft_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SFT triples from worked solutions (candidate texts) and answer fields."""
-    c = FX.candidates(spark, sf_dir).join(FX.problems(spark, sf_dir).select("id", "question", "answer"), "id")
+    fx = FX.Tables(spark, sf_dir)
+    c = fx.candidates().join(fx.problems.select("id", "question", "answer"), "id")
     rationale, answer = RC.sft_triple(F.col("text"), F.col("answer"))
     legacy_r, legacy_a = RC.sft_triple_legacy(F.col("text"), F.lit(None).cast("string"), F.col("answer"))
     return c.select("id", "cand_idx", "question", rationale.alias("rationale"), answer.alias("answer"),
@@ -446,7 +461,8 @@ def sft_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward, rationalise (numeric gold hint), hint, zero-shot and SFT
     prompts per problem."""
-    p = FX.problems(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir)
+    p = fx.problems
     q, a = F.col("question"), F.col("answer")
     return p.select("id",
                     PR.render(PR.FORWARD, question=q).alias("forward"),
@@ -459,7 +475,8 @@ def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_echo_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded outputs that echo the forward prompt, with the echo removed."""
-    c = FX.candidates(spark, sf_dir).join(FX.problems(spark, sf_dir).select("id", "question"), "id")
+    fx = FX.Tables(spark, sf_dir)
+    c = fx.candidates().join(fx.problems.select("id", "question"), "id")
     prompt = PR.render(PR.FORWARD, question=F.col("question"))
     echoed = F.when(F.col("cand_idx") % 2 == 0, F.concat(prompt, F.col("text"))).otherwise(F.col("text"))
     return c.select("id", "cand_idx", RC.strip_prompt_echo(echoed, prompt).alias("output"))
@@ -467,20 +484,21 @@ def prompt_echo_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regroup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: candidates regrouped per problem (count, first and last by index)."""
-    return S.regroup_candidates(FX.candidates(spark, sf_dir))
+    fx = FX.Tables(spark, sf_dir)
+    return S.regroup_candidates(fx.candidates())
 
 
 def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1: the forward + rationalise pass as a file stream over the orders table with
     ``foreachBatch`` into ``batch_id=`` folders; the committed output, class-formatted,
     equals the batch iteration's."""
+    fx = FX.Tables(spark, sf_dir)
     schema = FX.table(spark, sf_dir, "orders").schema
     golds = FX.order_golds(spark, sf_dir)
-    lines = FX.numbered_lines(spark, sf_dir)
     paths = ST.incremental_pass(
         spark, sf_dir, schema, lambda b: FX.problems_from_orders(b, golds),
-        TableGenerator(FX.candidates(spark, sf_dir, lines=lines)),
-        TableGenerator(FX.candidates(spark, sf_dir, shift=RATIONALIZE_SHIFT, lines=lines)),
+        TableGenerator(fx.candidates()),
+        TableGenerator(fx.candidates(RATIONALIZE_SHIFT)),
         scratch_path(spark, "incremental"), file_glob="orders.parquet")
     out = ST.read_outputs(spark, paths)
     return out.select("id", RC.class_text(F.col("question"), F.col("rationale"),
@@ -492,13 +510,13 @@ def self_training_loop(spark: SparkSession, sf_dir: str, iterations: int = 2) ->
     model is an integer; its generations are the stored candidates shifted by the model
     number (the first one for evaluation, the last one as the greedy retry) and training
     moves it to the next number. Checks data flow, not model quality."""
+    fx = FX.Tables(spark, sf_dir)
     from . import selftrain as ST13
-    lines = FX.numbered_lines(spark, sf_dir)
-    probs = FX.problems(spark, sf_dir).select("id", "question", "answer")
+    probs = fx.problems.select("id", "question", "answer")
     train, test = SP.hash_split(probs, 0.1, seed=42)
 
     def generator_for(model: int, purpose: str):
-        c = FX.candidates(spark, sf_dir, shift=model, lines=lines)
+        c = fx.candidates(model)
         if purpose == "eval":
             return TableGenerator(c.filter(F.col("cand_idx") == 1))
         last = S.regroup_candidates(c).select("id", F.lit(1).alias("cand_idx"), F.col("last_text").alias("text"))

@@ -127,3 +127,39 @@ def token_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("l_linenumber")), F.lit(1), n_prompt).alias("prompt_ids"),
         F.sequence(F.lit(1), F.col("l_quantity").cast("int")).alias("target_ids"),
     )
+
+
+class Tables:
+    """The fixture tables of one query, each computed once and written (bucketed by id)
+    under the shared checkpoint folder: every branch of the query reads the same table
+    instead of re-running its plan, joins and aggregations on id stay co-located, and the
+    lineage is cut at the table."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._problems: DataFrame | None = None
+        self._lines: DataFrame | None = None
+
+    @property
+    def problems(self) -> DataFrame:
+        if self._problems is None:
+            from ..session import materialize
+            p = problems_from_orders(table(self.spark, self.sf_dir, "orders"),
+                                     order_golds(self.spark, self.sf_dir))
+            self._problems = materialize(p, "problems", bucket_by="id")
+        return self._problems
+
+    @property
+    def lines(self) -> DataFrame:
+        """``id, q, cand_idx``: line items numbered inside their order."""
+        if self._lines is None:
+            from ..session import materialize
+            nl = numbered_lines(self.spark, self.sf_dir).select(
+                F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("bigint").alias("q"), "cand_idx")
+            self._lines = materialize(nl, "lines", bucket_by="id")
+        return self._lines
+
+    def candidates(self, shift: int = 0) -> DataFrame:
+        """``id, cand_idx, text`` with the shapes shifted by ``shift``."""
+        return self.lines.select("id", "cand_idx",
+                                 candidate_text(F.col("cand_idx"), F.col("q"), shift).alias("text"))
