@@ -149,13 +149,19 @@ def collect_misses(preds: DataFrame, dataset: DataFrame | None = None, id_col: s
     if dataset is None:
         out = miss.withColumn("__q", F.col(question_col)).withColumn("__g", F.col(gold_col))
     else:
+        # Only rows with an index take part in the join: rows without one would all share
+        # the NULL key and pile into a single task.
         ds = dataset.select(F.col(dataset_index).alias("__idx"),
                             F.col(dataset_question).alias("__dq"),
                             F.col(dataset_gold).alias("__dg"))
-        out = miss.join(ds, "__idx", "left")
+        keyed = miss.filter(F.col("__idx").isNotNull()).join(ds, "__idx", "left")
         hit = F.col("__needs") & F.col("__dq").isNotNull()
-        out = (out.withColumn("__q", F.when(hit, F.col("__dq")).otherwise(F.col(question_col)))
-                  .withColumn("__g", F.when(hit, F.col("__dg")).otherwise(F.col(gold_col))))
+        keyed = (keyed.withColumn("__q", F.when(hit, F.col("__dq")).otherwise(F.col(question_col)))
+                      .withColumn("__g", F.when(hit, F.col("__dg")).otherwise(F.col(gold_col)))
+                      .drop("__dq", "__dg"))
+        rest = (miss.filter(F.col("__idx").isNull())
+                .withColumn("__q", F.col(question_col)).withColumn("__g", F.col(gold_col)))
+        out = keyed.unionByName(rest)
     out = out.filter((F.coalesce(F.col("__q"), F.lit("")) != "") &
                      (F.coalesce(F.col("__g"), F.lit("")) != ""))
     return out.select(F.col(id_col).alias("id"), F.col("__q").alias("question"),

@@ -71,7 +71,7 @@ def _rationalize(fx: FX.Tables, missed):
 
 def rationalize_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rationalised kept rows for the forward misses."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     _, _, missed = _forward_and_missed(fx)
     return _rationalize(fx, missed)
 
@@ -79,7 +79,7 @@ def rationalize_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R14 + R6 + P5 + P10: forward, rationalise the misses, merge (rationalised rows win),
     class-format text, format gate."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     _, kept, missed = _forward_and_missed(fx, materialize_kept=True)
     rat = _rationalize(fx, missed)
     merged = S.merge_last_wins([kept.select("id", "question", "rationale", "final"),
@@ -93,7 +93,7 @@ def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 on overlapping sources: first-correct picks over the forward candidates and over
     the shifted candidates for *all* problems; the later source wins per id, the position
     of the first sighting is kept."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     probs = fx.problems
     a = S.keep_first_correct(fx.candidates(), probs)
     b = S.keep_first_correct(fx.candidates(RATIONALIZE_SHIFT), probs)
@@ -116,14 +116,14 @@ def _greedy_retry_outputs(fx: FX.Tables, shift: int):
 
 def retry_keep_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hinted greedy output per miss, kept when the ``hash_loose`` match holds."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     misses = _misses_for_retry(fx)
     return S.retry_keep_correct(misses, _greedy_retry_outputs(fx, RETRY_SHIFT))
 
 
 def retry_shortest_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best of K retries per miss — the shortest matching text, ties to the earliest."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     misses = _misses_for_retry(fx)
     outs = fx.candidates(RATIONALIZE_SHIFT)
     return S.retry_shortest_correct(misses, outs)
@@ -132,7 +132,7 @@ def retry_shortest_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 vs R9 on all problems (``hash_then_any``): the problems whose first correct and
     shortest correct candidates differ."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     probs = fx.problems
     cands = fx.candidates()
     first = S.keep_first_correct(cands, probs)
@@ -145,7 +145,7 @@ def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retry_flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain-prompt greedy retry, every output kept with ``em_after``."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     misses = _misses_for_retry(fx)
     return S.retry_flag_all(misses, _greedy_retry_outputs(fx, RETRY_SHIFT))
 
@@ -158,7 +158,7 @@ def _retry_rows(fx: FX.Tables, shift, misses, keep_all):
 def train_set_correct_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """This iteration's kept retries with an extractable final, bag-unioned with the
     previous iteration's set (no dedupe)."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     misses = _misses_for_retry(fx)
     prev = S.training_rows(_retry_rows(fx, PREV_RETRY_SHIFT, misses, False))
     cur = S.training_rows(_retry_rows(fx, RETRY_SHIFT, misses, False))
@@ -167,7 +167,7 @@ def train_set_correct_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_set_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every retry row (answer "" when no final), bag-unioned with the previous set."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     misses = _misses_for_retry(fx)
     prev = S.training_rows(_retry_rows(fx, PREV_RETRY_SHIFT, misses, True),
                            correct_only=False)
@@ -344,7 +344,7 @@ def mismatch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per stage metric of an iteration: greedy EM, misses, generated, kept,
     train size."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     probs = fx.problems
     first = fx.candidates().filter(F.col("cand_idx") == 1)
     preds = probs.join(first.select("id", "text"), "id", "left").withColumn(
@@ -365,7 +365,7 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running forward-kept / rationalised-kept totals every 10 micro-batches of 16
     problems (problem order = id)."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     probs = with_ordinal(fx.problems, ["id"])
     _, kept, missed = _forward_and_missed(fx, materialize_kept=True)
     rat = _rationalize(fx, missed)
@@ -492,7 +492,7 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1: the forward + rationalise pass as a file stream over the orders table with
     ``foreachBatch`` into ``batch_id=`` folders; the committed output, class-formatted,
     equals the batch iteration's."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     schema = FX.table(spark, sf_dir, "orders").schema
     golds = FX.order_golds(spark, sf_dir)
     paths = ST.incremental_pass(
@@ -510,7 +510,7 @@ def self_training_loop(spark: SparkSession, sf_dir: str, iterations: int = 2) ->
     model is an integer; its generations are the stored candidates shifted by the model
     number (the first one for evaluation, the last one as the greedy retry) and training
     moves it to the next number. Checks data flow, not model quality."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=True)
     from . import selftrain as ST13
     probs = fx.problems.select("id", "question", "answer")
     train, test = SP.hash_split(probs, 0.1, seed=42)

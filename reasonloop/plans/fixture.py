@@ -135,8 +135,10 @@ class Tables:
     instead of re-running its plan, joins and aggregations on id stay co-located, and the
     lineage is cut at the table."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, shared_lines: bool = False):
+        """``shared_lines``: materialise the numbered line items too (for queries that
+        read the candidates more than once); otherwise they stay a lazy plan."""
+        self.spark, self.sf_dir, self.shared_lines = spark, sf_dir, shared_lines
         self._problems: DataFrame | None = None
         self._lines: DataFrame | None = None
 
@@ -156,7 +158,7 @@ class Tables:
             from ..session import materialize
             nl = numbered_lines(self.spark, self.sf_dir).select(
                 F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("bigint").alias("q"), "cand_idx")
-            self._lines = materialize(nl, "lines", bucket_by="id")
+            self._lines = materialize(nl, "lines", bucket_by="id") if self.shared_lines else nl
         return self._lines
 
     def candidates(self, shift: int = 0) -> DataFrame:
