@@ -346,6 +346,13 @@ SELECT id, ordinal, 'hf_test_' || CAST(ordinal AS VARCHAR) AS test_id,
 FROM p
 """
 
+HASH_SPLIT = """
+SELECT o_orderkey AS id,
+       CASE WHEN CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '#42'), 1, 8)) AS BIGINT) % 1000000
+                 < 100000 THEN 'test' ELSE 'train' END AS split
+FROM orders
+"""
+
 CONVERSATION_RECORDS = f"""
 WITH pairs AS (
   SELECT u.conv_id, u.turn, u.text AS question, a.text AS generated
@@ -411,6 +418,48 @@ SELECT id, count(*) AS n_candidates, min(cand_idx) AS first_idx, max(cand_idx) A
 FROM cand GROUP BY id
 """
 
+def _self_training_loop() -> str:
+    """The two-iteration loop of the ``self_training_loop`` query, unrolled: model m's
+    evaluation output is candidate 1 of the shift-m set, its retry output the last one."""
+    ctes = [FIX, candidates_cte("c1", 1), candidates_cte("c2", 2), """split AS (
+  SELECT id, question, answer,
+         CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '#42'), 1, 8)) AS BIGINT) % 1000000 < 100000
+           AS is_test
+  FROM prob)"""]
+    for m, c in enumerate(("cand", "c1", "c2")):
+        ctes.append(f"""pred{m} AS (
+  SELECT s.id, s.is_test, s.question, s.answer, {m1('s.answer', 'f.text')} AS em
+  FROM split s LEFT JOIN (SELECT id, text FROM {c} WHERE cand_idx = 1) f ON s.id = f.id)""")
+    for m, c in enumerate(("cand", "c1")):
+        ctes.append(f"""miss{m} AS (
+  SELECT id, question, answer FROM pred{m}
+  WHERE NOT is_test AND NOT coalesce(em, false)
+    AND coalesce(question, '') <> '' AND coalesce(answer, '') <> '')""")
+        ctes.append(f"""kept{m} AS (
+  SELECT mm.id, l.text AS output
+  FROM miss{m} mm JOIN (SELECT id, arg_max(text, cand_idx) AS text FROM {c} GROUP BY id) l
+    ON mm.id = l.id
+  WHERE {m1('mm.answer', 'l.text')})""")
+        ctes.append(f"""train{m} AS (SELECT count(*) AS n FROM kept{m} WHERE {x1('output')} IS NOT NULL)""")
+    body = """
+SELECT 'fixture' AS run, 1 AS iter, 'zero_shot' AS stage, 'em' AS metric,
+       round(CAST(avg(CAST(em AS INTEGER)) AS DOUBLE), 8) AS value FROM pred0 WHERE is_test
+UNION ALL SELECT 'fixture', 2, 'loop', 'misses', CAST(count(*) AS DOUBLE) FROM miss0
+UNION ALL SELECT 'fixture', 2, 'loop', 'generated', CAST(count(*) AS DOUBLE) FROM miss0
+UNION ALL SELECT 'fixture', 2, 'loop', 'kept_correct', CAST(count(*) AS DOUBLE) FROM kept0
+UNION ALL SELECT 'fixture', 2, 'loop', 'train_size', CAST(n AS DOUBLE) FROM train0
+UNION ALL SELECT 'fixture', 2, 'loop', 'em', round(CAST(avg(CAST(em AS INTEGER)) AS DOUBLE), 8) FROM pred1 WHERE is_test
+UNION ALL SELECT 'fixture', 3, 'loop', 'misses', CAST(count(*) AS DOUBLE) FROM miss1
+UNION ALL SELECT 'fixture', 3, 'loop', 'generated', CAST(count(*) AS DOUBLE) FROM miss1
+UNION ALL SELECT 'fixture', 3, 'loop', 'kept_correct', CAST(count(*) AS DOUBLE) FROM kept1
+UNION ALL SELECT 'fixture', 3, 'loop', 'train_size', CAST(t0.n + t1.n AS DOUBLE) FROM train0 t0, train1 t1
+UNION ALL SELECT 'fixture', 3, 'loop', 'em', round(CAST(avg(CAST(em AS INTEGER)) AS DOUBLE), 8) FROM pred2 WHERE is_test
+"""
+    return ",\n".join(ctes) + body
+
+
+SELF_TRAINING_LOOP = _self_training_loop()
+
 ORACLE = {
     "keep_first_correct": KEEP_FIRST_CORRECT,
     "greedy_accuracy": GREEDY_ACCURACY,
@@ -441,6 +490,7 @@ ORACLE = {
     "sft_batches": SFT_BATCHES,
     "sft_batches_uncapped": SFT_BATCHES_UNCAPPED,
     "split_assignments": SPLIT_ASSIGNMENTS,
+    "hash_split": HASH_SPLIT,
     "conversation_records": CONVERSATION_RECORDS,
     "sft_triples": SFT_TRIPLES,
     "render_prompts": RENDER_PROMPTS,
@@ -448,4 +498,5 @@ ORACLE = {
     "regroup_candidates": REGROUP_CANDIDATES,
     "incremental_stream": ONE_ITERATION,
     "jsonl_round_trip": KEEP_FIRST_CORRECT,
+    "self_training_loop": SELF_TRAINING_LOOP,
 }

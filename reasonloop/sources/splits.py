@@ -47,11 +47,18 @@ def is_holdout(n: Column | int, ordinal_col: str = "ordinal"):
     return F.col(ordinal_col) >= n - nval
 
 
+def hash_bucket(key: Column, seed: int, buckets: int = 1_000_000) -> Column:
+    """A seeded bucket in ``[0, buckets)``: the first 32 bits of ``md5(key || '#' || seed)``.
+    A portable hash (any engine with md5 computes the same split) that depends on the key
+    only, so the split is the same under any partitioning or re-run."""
+    h = F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+
+
 def hash_split(df: DataFrame, test_fraction: float, seed: int = 42, key_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """Seeded split by a hash of the key — stable under repartitioning and re-runs
     (same intent as a seeded shuffle split; not the same rows)."""
-    bucket = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.lit(seed)), F.lit(1_000_000))
-    is_test = bucket < F.lit(int(round(test_fraction * 1_000_000)))
+    is_test = hash_bucket(F.col(key_col), seed) < F.lit(int(round(test_fraction * 1_000_000)))
     return df.filter(~is_test), df.filter(is_test)
 
 
