@@ -82,6 +82,8 @@ def extract_solution_number(c) -> Column:
     return last_match(c, SOLUTION_NUMBER)
 
 
+# The cue groups ``[+-]?\d+\.?\d*`` can never hold a comma, so the workload's comma removal
+# on a cue match is a no-op and is not repeated here.
 def _fallbacks(stripped: Column) -> list[Column]:
     no_commas = F.regexp_replace(stripped, ",", "")
     return [last_match(no_commas, LOOSE_NUMBER, 0), last_line(stripped)]
@@ -92,7 +94,7 @@ def extract_cascade_last(c) -> Column:
     last match; then the last number (commas removed); then the last line; "" for NULL."""
     t = trim_u(_col(c))
     low = F.lower(t)
-    cues = [F.regexp_replace(last_match(low, p), ",", "") for p in CASCADE_LAST]
+    cues = [last_match(low, p) for p in CASCADE_LAST]
     return F.when(_col(c).isNull(), F.lit("")).otherwise(F.coalesce(*cues, *_fallbacks(t)))
 
 
@@ -101,7 +103,7 @@ def extract_cascade_first(c, with_result: bool = True) -> Column:
     ``####``; ``with_result=False`` is the shell variant without the ``result`` cue."""
     t = trim_u(_col(c))
     low = F.lower(t)
-    cues = [F.regexp_replace(first_match(low, p), ",", "")
+    cues = [first_match(low, p)
             for p in (CASCADE_FIRST if with_result else CASCADE_FIRST_SHELL)]
     return F.when(_col(c).isNull(), F.lit("")).otherwise(F.coalesce(*cues, *_fallbacks(t)))
 
@@ -244,9 +246,9 @@ def _staged_cascade(df: DataFrame, src, out: str, first: bool, with_result: bool
     low, t = F.col("__xs_low"), F.col("__xs_t")
     if first:
         pats = CASCADE_FIRST if with_result else CASCADE_FIRST_SHELL
-        cues = [F.regexp_replace(first_match(low, p), ",", "") for p in pats]
+        cues = [first_match(low, p) for p in pats]
     else:
-        cues = [F.regexp_replace(last_match(low, p), ",", "") for p in CASCADE_LAST]
+        cues = [last_match(low, p) for p in CASCADE_LAST]
     d = d.withColumn(out, F.when(F.col("__xs_null"), F.lit("")).otherwise(
         F.coalesce(*cues, *_fallbacks(t))))
     return d.drop("__xs_t", "__xs_low", "__xs_null")
