@@ -35,10 +35,14 @@ def _sort_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "ordinal",
                  num_partitions: int | None = None) -> DataFrame:
-    """Add a dense 0-based ``name`` column following ``order_by`` (ties broken arbitrarily)."""
-    keys = _sort_cols(order_by)
-    sorted_df = (df.repartitionByRange(num_partitions, *keys) if num_partitions
-                 else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    """Add a dense 0-based ``name`` column following ``order_by`` (ties broken arbitrarily).
+
+    A random tie-breaker is the last sort key, so even a key value shared by a third of the
+    rows is cut across several range partitions instead of landing in one."""
+    keys = _sort_cols(order_by) + [F.col("__tie")]
+    d = df.withColumn("__tie", F.rand(17))
+    sorted_df = (d.repartitionByRange(num_partitions, *keys) if num_partitions
+                 else d.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     ensure_checkpoint_dir(df.sparkSession)
     tagged = (sorted_df.withColumn("__mid", F.monotonically_increasing_id())
               .checkpoint(eager=True)
@@ -52,7 +56,7 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "o
             Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     return (tagged.join(F.broadcast(offsets), "__pid")
             .withColumn(name, F.col("__off") + F.col("__local"))
-            .drop("__mid", "__pid", "__local", "__off"))
+            .drop("__mid", "__pid", "__local", "__off", "__tie"))
 
 
 HOT_GROUP_ROWS = 2_000_000

@@ -32,3 +32,13 @@ def test_group_row_number_without_hot_groups(spark):
     ours = group_row_number(df, ["g"], ["v"], name="rn", base=0)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v")) - 1)
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.select("g", "v", "rn").collect()))
+
+
+def test_with_ordinal_spreads_a_hot_key(spark):
+    # a third of the rows share one key value; they must not all land in one range partition
+    df = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    out = with_ordinal(df, ["k"], num_partitions=6)
+    ords = sorted(r.ordinal for r in out.collect())
+    assert ords == list(range(9000))
+    ks = [r.k for r in out.orderBy("ordinal").collect()]
+    assert ks == sorted(ks)
