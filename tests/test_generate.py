@@ -27,3 +27,12 @@ def test_table_generator(spark):
     prompts = spark.createDataFrame([(1, "p"), (3, "q")], "id bigint, prompt string")
     rows = sorted(tuple(r) for r in generate(prompts, TableGenerator(gens), k=1).collect())
     assert rows == [(1, 1, "x")]
+
+
+def test_loader_builds_generator_once_per_worker(spark):
+    def loader():
+        prefix = "loaded"
+        return lambda prompts, k: [[f"{prefix}:{p}"] * k for p in prompts]
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "id bigint, prompt string")
+    rows = generate(prompts, None, k=1, loader=loader).collect()
+    assert sorted(r.text for r in rows)[0] == "loaded:p0" and len(rows) == 20

@@ -65,3 +65,12 @@ def test_format_gate(spark):
 def test_prompt_echo(spark):
     df = spark.createDataFrame([("P: ", "P:  answer "), ("P: ", "other")], "p string, t string")
     assert [r[0] for r in df.select(RC.strip_prompt_echo(F.col("t"), F.col("p"))).collect()] == ["answer", "other"]
+
+
+def test_rationale_split_uses_python_line_breaks(spark):
+    # \x1c-\x1e, \x85,  / , \x0b, \x0c and \r\n all break lines, as str.splitlines does
+    text = "a\x1cb\x1dc\x1ed\x85e f g\x0bh\x0ci\r\nj\rk\nlast"
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(RC.rationale_from_generation(F.col("t"))).collect()[0][0]
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    assert got == "\n".join(lines[:-1])
