@@ -68,3 +68,30 @@ def test_hash_split_stable_under_repartition(spark):
     _, t2 = SP.hash_split(df.repartition(11), 0.1, seed=7)
     a, b = sorted(r.id for r in t1.collect()), sorted(r.id for r in t2.collect())
     assert a == b and 120 < len(a) < 280
+
+
+def test_metrics_files_to_long_table(spark):
+    import json
+
+    from reasonloop.sources import metrics as M
+    d = tempfile.mkdtemp(prefix="rl-metrics-")
+    for run, losses in (("runA", [0.9, 0.7, 0.4]), ("runB", [1.2])):
+        obj = {s: [] for s in M.SERIES}
+        obj.update(train_step_loss=losses, train_loss=[sum(losses) / len(losses)], val_loss=[0.5], ts="t")
+        with open(os.path.join(d, f"{run}.json"), "w") as f:
+            json.dump(obj, f, indent=2)
+    long = M.metrics_long(M.read_metrics(spark, d))
+    rows = sorted((r.run, r.series, r.granularity, r.idx, r.value) for r in long.collect())
+    assert ("runA", "train_step_loss", "step", 2, 0.4) in rows
+    assert ("runB", "val_loss", "epoch", 0, 0.5) in rows
+    assert len([r for r in rows if r[1] == "train_step_loss"]) == 4
+
+
+def test_numeric_id_read_as_text(spark):
+    from reasonloop.sources import schemas
+    d = tempfile.mkdtemp(prefix="rl-json-")
+    p = os.path.join(d, "p.jsonl")
+    with open(p, "w") as f:
+        f.write('{"id": 7, "question": "q", "answer": "steps\\n#### 18"}\n')
+    r = J.read_jsonl(spark, p, schemas.PROBLEM_RAW).collect()[0]
+    assert r.id == "7" and r.answer.endswith("#### 18")
