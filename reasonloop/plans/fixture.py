@@ -158,7 +158,9 @@ class Tables:
             from ..session import materialize
             nl = numbered_lines(self.spark, self.sf_dir).select(
                 F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("bigint").alias("q"), "cand_idx")
-            self._lines = materialize(nl, "lines", bucket_by="id") if self.shared_lines else nl
+            # the numbering window already hash-partitions the lines by order key
+            self._lines = (materialize(nl, "lines", bucket_by="id", repartition=False)
+                           if self.shared_lines else nl)
         return self._lines
 
     def candidates(self, shift: int = 0) -> DataFrame:
