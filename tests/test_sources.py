@@ -95,3 +95,16 @@ def test_numeric_id_read_as_text(spark):
         f.write('{"id": 7, "question": "q", "answer": "steps\\n#### 18"}\n')
     r = J.read_jsonl(spark, p, schemas.PROBLEM_RAW).collect()[0]
     assert r.id == "7" and r.answer.endswith("#### 18")
+
+
+def test_ascii_escaped_sink(spark):
+    import json
+    d = tempfile.mkdtemp(prefix="rl-json-")
+    df = spark.createDataFrame([("é", "naïve 😀 text", None)], SCHEMA)
+    J.write_jsonl(df, os.path.join(d, "a"), ensure_ascii=True)
+    raw = "".join(open(os.path.join(d, "a", f), encoding="utf-8").read()
+                  for f in os.listdir(os.path.join(d, "a")) if f.startswith("part-"))
+    assert raw.isascii() and "\\u00e9" in raw and "\\ud83d\\ude00" in raw and '"em":null' in raw
+    assert json.loads(raw.strip()) == {"id": "é", "question": "naïve 😀 text", "em": None}
+    back = J.read_jsonl(spark, os.path.join(d, "a"), SCHEMA).collect()[0]
+    assert (back.id, back.question, back.em) == ("é", "naïve 😀 text", None)
