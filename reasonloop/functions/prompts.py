@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from string import Formatter
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -116,22 +116,13 @@ def render(template: str, **fields) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def variant_table(names: list[str] | None = None) -> Column:
-    """An array of ``(variant, template)`` structs to ``explode`` next to each problem
-    (a generator, not a join)."""
+def explode_variants(df: DataFrame, question_col: str = "question", names: list[str] | None = None,
+                     slot: str = "q") -> DataFrame:
+    """A6 input: every row once per prompt variant, with ``variant`` and the rendered
+    ``prompt``. The variants are an array exploded next to each row (a generator, not a
+    join), so the problem table is read once and never shuffled for this."""
     names = names or VARIANTS
-    return F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(TEMPLATES[n]).alias("template"))
+    q = F.col(question_col)
+    opts = F.array(*[F.struct(F.lit(n).alias("variant"), render(TEMPLATES[n], **{slot: q}).alias("prompt"))
                      for n in names])
-
-
-def render_variants(question: Column, names: list[str] | None = None,
-                    slot: str = "q") -> tuple[Column, Column]:
-    """``(variant, prompt)`` Columns for use after ``explode(variant_table())``: each variant
-    template is rendered with a CASE on the variant name."""
-    names = names or VARIANTS
-    v = F.col("v.variant")
-    prompt = None
-    for n in names:
-        r = render(TEMPLATES[n], **{slot: question})
-        prompt = F.when(v == n, r) if prompt is None else prompt.when(v == n, r)
-    return v.alias("variant"), prompt.alias("prompt")
+    return df.withColumn("__v", F.explode(opts)).select("*", "__v.variant", "__v.prompt").drop("__v")

@@ -283,15 +283,15 @@ def rescore_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variant_predictions(fx: FX.Tables):
-    """Problems x the three prompt variants; the stored generation for variant i is the
-    problem's i-th candidate; M4 (first-match cascade) em."""
-    probs = fx.problems
-    keys = A.with_gold_key(probs.select("id", "answer"), "cascade_first_shell", "answer", "gk")
-    pv = keys.select("id", "answer", "gk",
-                     F.explode(F.array(*[F.lit(n) for n in PR.VARIANTS])).alias("variant"))
-    pv = pv.withColumn("cand_idx", F.substring_index("variant", "_", -1).cast("int"))
-    cands = fx.candidates()
-    j = A.with_pred_key(pv.join(cands, ["id", "cand_idx"], "left"), "cascade_first_shell", "text", "pk")
+    """Problems x the three prompt variants (rendered, A6); the stored generation for
+    variant i is the problem's i-th candidate (stored generations keyed by problem and
+    variant); M4 em with the first-match cascade as in the ablation script."""
+    keys = A.with_gold_key(fx.problems.select("id", "question", "answer"), "cascade_first_shell",
+                           "answer", "gk")
+    pv = PR.explode_variants(keys)
+    stored = fx.candidates().withColumn("variant", F.concat(F.lit("variant_"), F.col("cand_idx").cast("string")))
+    gens = stored.filter(F.col("cand_idx") <= len(PR.VARIANTS)).select("id", "variant", "text")
+    j = A.with_pred_key(pv.join(gens, ["id", "variant"], "left"), "cascade_first_shell", "text", "pk")
     return j.select("id", "variant", F.col("text").alias("generated"), "answer",
                     A.em_from_keys("cascade_first_shell", "gk", "pk").alias("em"))
 

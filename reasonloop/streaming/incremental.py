@@ -82,6 +82,14 @@ def incremental_pass(spark: SparkSession, source_dir: str, source_schema: Struct
     return paths
 
 
+def progress(spark: SparkSession, paths: dict[str, str], every: int = 10) -> DataFrame:
+    """A8 over the committed batches: running forward / rationalised kept totals reported
+    after every ``every``-th micro-batch."""
+    from ..operators.report import progress_counters
+    stats = spark.read.parquet(paths["stats"])
+    return progress_counters(stats, every=every)
+
+
 def read_outputs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Forward and rationalised rows of all committed batches (``src`` 0 / 1)."""
     fw = spark.read.parquet(paths["forward"]).withColumn("src", F.lit(0))

@@ -74,3 +74,10 @@ def test_rationale_split_uses_python_line_breaks(spark):
     got = df.select(RC.rationale_from_generation(F.col("t"))).collect()[0][0]
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     assert got == "\n".join(lines[:-1])
+
+
+def test_explode_variants(spark):
+    df = spark.createDataFrame([(1, "How many?")], "id int, question string")
+    rows = sorted((r.variant, r.prompt) for r in PR.explode_variants(df).collect())
+    assert [v for v, _ in rows] == PR.VARIANTS
+    assert rows[0][1] == PR.VARIANT_1.format(q="How many?")

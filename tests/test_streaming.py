@@ -37,3 +37,6 @@ def test_micro_batches_equal_batch(spark):
     assert ST.read_outputs(spark, paths).count() == len(b)
     totals = stats.agg(F.sum("fwd_kept"), F.sum("rat_kept")).collect()[0]
     assert totals[0] + totals[1] == len(b)
+    last = ST.progress(spark, paths, every=2).orderBy("batch_id").collect()
+    assert [r.batch_id for r in last] == [1, 3]
+    assert last[-1].cum_fwd_kept + last[-1].cum_rat_kept == len(b)
