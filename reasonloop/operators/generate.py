@@ -38,7 +38,8 @@ class TableGenerator:
         if k is not None:
             g = g.filter(F.col("cand_idx") <= k)
         return (prompts.select(F.col(id_col).alias("__gid")).join(g, "__gid")
-                .withColumnRenamed("__gid", id_col))
+                .withColumnRenamed("__gid", id_col)
+                .withColumn("error", F.lit(None).cast("string")))
 
 
 _worker_cache: dict[int, Callable] = {}

@@ -118,7 +118,8 @@ def loss_rollup(log: DataFrame, run_col: str = "run", phase_col: str = "phase",
                 epoch_col: str = "epoch", loss_col: str = "loss") -> DataFrame:
     """Per run, phase and epoch: ``epoch_loss = sum(loss or 0) / batches``,
     ``perplexity = exp(epoch_loss)``, ``best_loss`` = running minimum over epochs, and the
-    run averages of epoch losses and of perplexities (not exp of the average)."""
+    run averages of epoch losses, of perplexities (not exp of the average) and of the
+    running best (what the workload reports as the average validation loss)."""
     per_epoch = log.groupBy(run_col, phase_col, epoch_col).agg(
         F.count(F.lit(1)).alias("batches"),
         (F.sum(F.coalesce(_c(loss_col), F.lit(0.0))) / F.count(F.lit(1))).alias("epoch_loss"))
@@ -128,7 +129,8 @@ def loss_rollup(log: DataFrame, run_col: str = "run", phase_col: str = "phase",
             .withColumn("perplexity", F.exp("epoch_loss"))
             .withColumn("best_loss", F.min("epoch_loss").over(w_best))
             .withColumn("avg_loss", F.avg("epoch_loss").over(w_run))
-            .withColumn("avg_perplexity", F.avg("perplexity").over(w_run)))
+            .withColumn("avg_perplexity", F.avg("perplexity").over(w_run))
+            .withColumn("avg_best_loss", F.avg("best_loss").over(w_run)))
 
 
 # ---- L1 / L2 / L3 -------------------------------------------------------------

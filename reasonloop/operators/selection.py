@@ -135,7 +135,7 @@ def collect_misses(preds: DataFrame, dataset: DataFrame | None = None, id_col: s
 
     ``strict=True`` raises when such an id has no parsable index (one count action)."""
     em = F.col(em_col)
-    miss = preds.filter(~F.coalesce(em.cast("boolean"), F.lit(False)))
+    miss = preds.filter(~F.coalesce(em.try_cast("boolean"), F.lit(False)))
     rid = F.col(id_col).cast("string")
     idx = F.when(rid.startswith(id_prefix),
                  F.substring_index(rid, "_", -1).try_cast("bigint"))

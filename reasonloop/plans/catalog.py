@@ -383,7 +383,7 @@ def progress_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loss_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run/phase/epoch loss, perplexity, best-so-far loss, run averages."""
     out = R.loss_rollup(FX.loss_log(spark, sf_dir))
-    for c in ("epoch_loss", "perplexity", "best_loss", "avg_loss", "avg_perplexity"):
+    for c in ("epoch_loss", "perplexity", "best_loss", "avg_loss", "avg_perplexity", "avg_best_loss"):
         out = out.withColumn(c, F.round(c, 8))
     return out
 

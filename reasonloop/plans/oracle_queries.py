@@ -294,14 +294,18 @@ WITH log AS (
   FROM events),
 pe AS (
   SELECT run, phase, epoch, count(*) AS batches, sum(coalesce(loss, 0.0)) / count(*) AS epoch_loss
-  FROM log GROUP BY run, phase, epoch)
+  FROM log GROUP BY run, phase, epoch),
+best AS (
+  SELECT *, min(epoch_loss) OVER (PARTITION BY run, phase ORDER BY epoch
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_loss
+  FROM pe)
 SELECT run, phase, epoch, batches, round(epoch_loss, 8) AS epoch_loss,
        round(exp(epoch_loss), 8) AS perplexity,
-       round(min(epoch_loss) OVER (PARTITION BY run, phase ORDER BY epoch
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS best_loss,
+       round(best_loss, 8) AS best_loss,
        round(avg(epoch_loss) OVER (PARTITION BY run, phase), 8) AS avg_loss,
-       round(avg(exp(epoch_loss)) OVER (PARTITION BY run, phase), 8) AS avg_perplexity
-FROM pe
+       round(avg(exp(epoch_loss)) OVER (PARTITION BY run, phase), 8) AS avg_perplexity,
+       round(avg(best_loss) OVER (PARTITION BY run, phase), 8) AS avg_best_loss
+FROM best
 """
 
 

@@ -26,7 +26,7 @@ def test_table_generator(spark):
     gens = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "id bigint, cand_idx int, text string")
     prompts = spark.createDataFrame([(1, "p"), (3, "q")], "id bigint, prompt string")
     rows = sorted(tuple(r) for r in generate(prompts, TableGenerator(gens), k=1).collect())
-    assert rows == [(1, 1, "x")]
+    assert rows == [(1, 1, "x", None)]
 
 
 def test_loader_builds_generator_once_per_worker(spark):
