@@ -97,3 +97,28 @@ def test_regroup_and_flatten(spark):
     assert g[1] == (3, "I think #### 4", "#### 5") and g[3] == (2, "#### 9 ", "## 9 #### 9")
     arr = spark.createDataFrame([(1, ["a", "b"])], "id int, texts array<string>")
     assert [tuple(r) for r in S.flatten_candidates(arr).collect()] == [(1, 1, "a"), (1, 2, "b")]
+
+
+def test_first_and_shortest_with_a_hot_problem(spark):
+    # problem 0 holds a third of all candidates; picks must be exact regardless
+    rows = []
+    for i in range(3000):
+        pid = 0 if i % 3 == 0 else i % 97 + 1
+        rows.append((pid, i, f"#### {i % 5}" + " pad" * (i % 7)))
+    c = spark.createDataFrame(rows, "id bigint, cand_idx int, text string").repartition(8)
+    p = spark.createDataFrame([(k, f"q{k}", "#### 3") for k in range(98)], "id bigint, question string, answer string")
+    kept = {r.id: r.cand_idx for r in S.keep_first_correct(c, p).collect()}
+    exp = {}
+    for pid, i, t in sorted(rows, key=lambda r: r[1]):
+        if t.startswith("#### 3") and pid not in exp:
+            exp[pid] = i
+    assert kept == exp
+    misses = p.select("id", "question", F.col("answer").alias("gold_answer"))
+    short = {r.id: r.cand_idx for r in S.retry_shortest_correct(misses, c).collect()}
+    best = {}
+    for pid, i, t in rows:
+        if t.startswith("#### 3"):
+            key = (len(t), i)
+            if pid not in best or key < best[pid][0]:
+                best[pid] = (key, i)
+    assert short == {k: v[1] for k, v in best.items()}
