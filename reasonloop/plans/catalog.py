@@ -488,18 +488,25 @@ def regroup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.regroup_candidates(fx.candidates())
 
 
-def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: the forward + rationalise pass as a file stream over the orders table with
+def incremental_stream(spark: SparkSession, sf_dir: str, micro_batches: int = 4) -> DataFrame:
+    """ST1: the forward + rationalise pass as a file stream over the orders with
     ``foreachBatch`` into ``batch_id=`` folders; the committed output, class-formatted,
-    equals the batch iteration's."""
+    equals the batch iteration's. The orders are first laid out as range-partitioned files
+    in the shared folder and the stream takes about ``1 / micro_batches`` of them per
+    trigger, so each micro-batch grows with the data."""
     fx = FX.Tables(spark, sf_dir, shared_lines=True)
-    schema = FX.table(spark, sf_dir, "orders").schema
+    orders = FX.table(spark, sf_dir, "orders")
+    src = scratch_path(spark, "orders-stream-source")
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders.repartitionByRange(n_files, "o_orderkey").write.parquet(src)
+    written = len([f for f in spark.read.parquet(src).inputFiles()])
     golds = FX.order_golds(spark, sf_dir)
     paths = ST.incremental_pass(
-        spark, sf_dir, schema, lambda b: FX.problems_from_orders(b, golds),
+        spark, src, orders.schema, lambda b: FX.problems_from_orders(b, golds),
         TableGenerator(fx.candidates()),
         TableGenerator(fx.candidates(RATIONALIZE_SHIFT)),
-        scratch_path(spark, "incremental"), file_glob="orders.parquet")
+        scratch_path(spark, "incremental"),
+        max_files_per_trigger=max(1, -(-written // micro_batches)))
     out = ST.read_outputs(spark, paths)
     return out.select("id", RC.class_text(F.col("question"), F.col("rationale"),
                                           F.col("final")).alias("text"), "src")
