@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 
 
+# Fixed value: the id prefix of test problems numbered by their position in the split.
+TEST_ID_PREFIX = "hf_test_"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -126,7 +130,7 @@ def merge_last_wins(sources: Sequence[DataFrame], id_col: str = "id",
 
 def collect_misses(preds: DataFrame, dataset: DataFrame | None = None, id_col: str = "id",
                    em_col: str = "em", question_col: str = "question",
-                   gold_col: str = "gold_answer", id_prefix: str = "hf_test_",
+                   gold_col: str = "gold_answer", id_prefix: str = TEST_ID_PREFIX,
                    dataset_index: str = "ordinal", dataset_question: str = "question",
                    dataset_gold: str = "answer", strict: bool = False) -> DataFrame:
     """Prediction rows whose ``em`` is falsy (NULL counts as a miss). When question or

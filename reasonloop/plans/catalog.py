@@ -186,7 +186,7 @@ def _greedy_predictions(fx: FX.Tables):
     first = fx.candidates().filter(F.col("cand_idx") == 1).select("id", "text")
     j = probs.join(orders, "id").join(first, "id", "left")
     return j.select(
-        F.concat(F.lit("hf_test_"), F.col("id").cast("string")).alias("id"),
+        F.concat(F.lit(S.TEST_ID_PREFIX), F.col("id").cast("string")).alias("id"),
         F.when(F.col("o_orderstatus") != "P", F.col("question")).alias("question"),
         F.when(F.col("o_orderpriority") != "1-URGENT", F.col("answer")).alias("gold_answer"),
         F.col("text").alias("output"),
@@ -415,7 +415,7 @@ def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = probs.count()
     per = SP.shard_size(n, 4)
     holdout_from = n - SP.holdout_size(n)
-    out = SP.batch_ids(SP.ordinal_ids(probs, "hf_test_", id_col="test_id"), 16)
+    out = SP.batch_ids(SP.ordinal_ids(probs, S.TEST_ID_PREFIX, id_col="test_id"), 16)
     return out.select(
         "id", "ordinal", "test_id",
         (F.col("ordinal") < 100).alias("in_head"),
