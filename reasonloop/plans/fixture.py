@@ -116,8 +116,9 @@ def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``l_orderkey, l_linenumber, ex_key, prompt_ids array<int>, target_ids array<int>``:
-    a prompt of 1-3 ids and a target of ``l_quantity`` ids per line item."""
+    """``l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, prompt_ids array<int>,
+    target_ids array<int>``: a prompt of 1-3 ids and a target of ``l_quantity`` ids per line
+    item (the first five columns order the examples)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     n_prompt = (F.col("l_partkey") % 3 + 1).cast("int")
