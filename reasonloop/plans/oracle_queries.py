@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import prompts as PR
 from .oracle_sql import (candidates_cte, fixture_ctes, kept_cte, m1, m2, m3_stage, m4,
-                         missed_cte, n2, n3, n4, q, rationale_expr, render_sql, trim_ws, x1,
+                         missed_cte, n2, n3, n4, rationale_expr, render_sql, trim_ws, x1,
                          x2, x2f, x3, x4, x5)
 
 NL = "chr(10)"
