@@ -78,15 +78,12 @@ def rationalize_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R14 + R6 + P5 + P10: forward, rationalise the misses, merge (rationalised rows win),
-    class-format text, format gate."""
+    class-format text, format gate — the generic iteration with stored generations."""
+    from .iteration import run_iteration
     fx = FX.Tables(spark, sf_dir, shared_lines=True)
-    _, kept, missed = _forward_and_missed(fx, materialize_kept=True)
-    rat = _rationalize(fx, missed)
-    merged = S.merge_last_wins([kept.select("id", "question", "rationale", "final"),
-                                rat.select("id", "question", "rationale", "final")])
-    out = merged.select("id", RC.class_text(F.col("question"), F.col("rationale"),
-                                            F.col("final")).alias("text"), "src")
-    return RC.check_training_format(out, quarantine=True)
+    res = run_iteration(fx.problems, TableGenerator(fx.candidates()),
+                        TableGenerator(fx.candidates(RATIONALIZE_SHIFT)))
+    return res.train
 
 
 def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
