@@ -19,25 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import prompts as PR
-from ..functions import records as RC
 from ..operators import selection as S
-from ..operators.generate import TableGenerator, generate
+from ..operators.generate import TableGenerator
+from ..plans.iteration import forward_pass, rationalize_pass
 
 
 def process_batch(problems: DataFrame, forward: TableGenerator, rationalizer: TableGenerator,
                   profile: str = "hash_then_any") -> tuple[DataFrame, DataFrame]:
     """Forward-kept and rationalised-kept rows for one batch of problems
     (``id, question, answer``)."""
-    prompts = problems.select("id", "question", "answer",
-                              PR.render(PR.FORWARD, question=F.col("question")).alias("prompt"))
-    kept = S.keep_first_correct(generate(prompts, forward, k=None), prompts, profile)
-    missed = S.missed_problems(prompts, kept)
-    rprompts = missed.select("id", "question", "answer",
-                             PR.render(PR.RATIONALIZE, question=F.col("question"),
-                                       gold_final=RC.hint_final(F.col("answer"))).alias("prompt"))
-    rat = S.keep_first_correct(generate(rprompts, rationalizer, k=None), rprompts, profile)
-    return kept, rat
+    kept = forward_pass(problems, forward, profile=profile)
+    missed = S.missed_problems(problems.select("id", "question", "answer"), kept)
+    return kept, rationalize_pass(missed, rationalizer, profile=profile)
 
 
 def incremental_pass(spark: SparkSession, source_dir: str, source_schema: StructType | str,
