@@ -47,3 +47,18 @@ def test_picks_aggregate_map_side(plans):
     assert "partial_min_by" in plans["keep_first_correct"]
     assert "partial_min_by" in plans["retry_shortest_correct"]
     assert "partial_max_by" in plans["merge_last_wins"]
+
+
+def test_regex_heavy_queries_compile(spark):
+    """With codegen fallback off, a generated method over the 64 KB limit raises instead of
+    silently running interpreted."""
+    import __spark_entry__ as E
+    qs = E.queries()
+    old = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("em_profiles", "extract_profiles", "zero_shot_records", "mismatch_export",
+                     "ablation_mismatches", "rescore_stored_predictions", "keep_first_correct"):
+            qs[name](spark, SF_SMALL).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", old)
