@@ -58,9 +58,16 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
                       hooks: LoopHooks, base_model, out_root: str, iterations: int = 5, k: int = 1,
                       restart: str = "incremental", run: str = "run",
                       eval_template: str = PR.FORWARD, retry_template: str = PR.HINT,
-                      profile: str = "hash_loose", allow_overlap: bool = False) -> DataFrame:
+                      profile: str = "hash_loose", allow_overlap: bool = False,
+                      keep_all: bool = False, stop_early: bool = True) -> DataFrame:
     """Run up to ``iterations`` rounds (numbered 2..iterations+1 as in the workload) and
-    return the stage report ``run, iter, stage, metric, value``."""
+    return the stage report ``run, iter, stage, metric, value``.
+
+    Default: correct retries only (R8 / R9 when ``k > 1``), correct-only cumulative set
+    (R11), stop when nothing is missed. ``keep_all=True`` keeps every greedy retry with its
+    ``em_after`` flag (R10) and builds the keep-all set (R12); ``stop_early=False`` runs every
+    round even without misses (the second controller's behaviour, which also uses
+    ``retry_template=FORWARD`` and ``restart="from_base"``)."""
     if restart not in ("incremental", "from_base"):
         raise ValueError("restart must be 'incremental' or 'from_base'")
     if not allow_overlap and train_problems.join(test_problems.select("id"), "id", "left_semi").take(1):
@@ -79,17 +86,23 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
     for it in range(2, iterations + 2):
         misses = S.collect_misses(train_preds)
         misses = _write(misses, out_root, "misses", it)
-        if not misses.take(1):
+        if stop_early and not misses.take(1):
             report(it, [("loop", "misses", misses, F.count(F.lit(1))),
                         ("loop", "stopped_early", misses, F.lit(1))])
             break
         prompts = misses.select("id", "question", "gold_answer",
                                 PR.render(retry_template, question=F.col("question")).alias("prompt"))
         outs = generate(prompts, hooks.generator_for(model, "retry"), k=k)
-        kept = (S.retry_keep_correct(misses, outs.filter(F.col("cand_idx") == 1), profile) if k <= 1
-                else S.retry_shortest_correct(misses, outs, profile))
+        greedy = outs.filter(F.col("cand_idx") == 1)
+        if keep_all:
+            kept = S.retry_flag_all(misses, greedy, profile)
+        elif k <= 1:
+            kept = S.retry_keep_correct(misses, greedy, profile)
+        else:
+            kept = S.retry_shortest_correct(misses, outs, profile)
         kept = _write(kept.select("id", "question", "gold_answer", "output", "em_after"), out_root, "kept", it)
-        train = _write(S.cumulative_training_set(S.training_rows(kept), prev_train), out_root, "train", it)
+        rows = S.training_rows(kept, correct_only=not keep_all)
+        train = _write(S.cumulative_training_set(rows, prev_train), out_root, "train", it)
         prev_train = train
         start = model if restart == "incremental" else base_model
         model = hooks.train(start, os.path.join(out_root, "train", f"iter={it}"), it)
@@ -98,7 +111,7 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
         report(it, [
             ("loop", "misses", misses, F.count(F.lit(1))),
             ("loop", "generated", misses, F.count(F.lit(1))),
-            ("loop", "kept_correct", kept, F.count(F.lit(1))),
+            ("loop", "kept_correct", kept, F.count_if(F.col("em_after"))),
             ("loop", "train_size", train, F.count(F.lit(1))),
             ("loop", "em", test_preds, F.avg(F.coalesce(F.col("em").cast("int"), F.lit(0)))),
         ])

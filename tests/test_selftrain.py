@@ -42,3 +42,16 @@ def test_overlap_refused(spark):
     hooks = ST.LoopHooks(generator_for=lambda m, p: _model_generator(0), train=lambda s, p, i: s)
     with pytest.raises(ValueError):
         ST.run_self_training(spark, probs, probs, hooks, 0, tempfile.mkdtemp(prefix="rl-loop-"))
+
+
+def test_keep_all_without_early_stop(spark):
+    rows = [(i, f"problem {i}", f"#### {i}") for i in range(20)]
+    probs = spark.createDataFrame(rows, "id bigint, question string, answer string")
+    train, test = probs.filter("id < 15"), probs.filter("id >= 15")
+    hooks = ST.LoopHooks(generator_for=lambda m, purpose: _model_generator(100), train=lambda s, p, i: s)
+    rep = ST.run_self_training(spark, train, test, hooks, 0, tempfile.mkdtemp(prefix="rl-loop-"),
+                               iterations=2, keep_all=True, stop_early=False, restart="from_base")
+    got = {(r.iter, r.metric): r.value for r in rep.collect()}
+    # every problem is answered correctly: no misses, yet both rounds run
+    assert got[(2, "misses")] == 0 and got[(3, "misses")] == 0 and (3, "em") in got
+    assert got[(3, "em")] == 1.0
