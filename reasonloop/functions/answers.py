@@ -239,29 +239,32 @@ def normalize(profile: str, text) -> Column:
 # the next projection references it more than once, so the optimizer keeps the
 # projections apart instead of inlining the tree, and the plan stays linear in size.
 
-def _staged_cascade(df: DataFrame, src, out: str, first: bool, with_result: bool = True) -> DataFrame:
+_CASCADES = {
+    "cascade_last": (False, CASCADE_LAST),
+    "cascade_first": (True, CASCADE_FIRST),
+    "cascade_first_shell": (True, CASCADE_FIRST_SHELL),
+}
+
+
+def with_cascades(df: DataFrame, src, outputs: dict[str, str]) -> DataFrame:
+    """Add several cascade extractions of the same text (``{profile: out_column}``),
+    stripping and lower-casing it once for all of them."""
     c = _col(src)
     d = df.withColumn("__xs_t", trim_u(c)).withColumn("__xs_null", c.isNull())
     d = d.withColumn("__xs_low", F.lower(F.col("__xs_t")))
     low, t = F.col("__xs_low"), F.col("__xs_t")
-    if first:
-        pats = CASCADE_FIRST if with_result else CASCADE_FIRST_SHELL
-        cues = [first_match(low, p) for p in pats]
-    else:
-        cues = [last_match(low, p) for p in CASCADE_LAST]
-    d = d.withColumn(out, F.when(F.col("__xs_null"), F.lit("")).otherwise(
-        F.coalesce(*cues, *_fallbacks(t))))
+    for profile, out in outputs.items():
+        first, pats = _CASCADES[profile]
+        cues = [(first_match if first else last_match)(low, p) for p in pats]
+        d = d.withColumn(out, F.when(F.col("__xs_null"), F.lit("")).otherwise(
+            F.coalesce(*cues, *_fallbacks(t))))
     return d.drop("__xs_t", "__xs_low", "__xs_null")
 
 
 def with_extracted(df: DataFrame, profile: str, src, out: str) -> DataFrame:
     """Add ``out`` = extractor ``profile`` applied to ``src`` (staged for the cascades)."""
-    if profile == "cascade_last":
-        return _staged_cascade(df, src, out, first=False)
-    if profile == "cascade_first":
-        return _staged_cascade(df, src, out, first=True)
-    if profile == "cascade_first_shell":
-        return _staged_cascade(df, src, out, first=True, with_result=False)
+    if profile in _CASCADES:
+        return with_cascades(df, src, {profile: out})
     return df.withColumn(out, extract(profile, src))
 
 

@@ -224,8 +224,7 @@ def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = A.with_gold_key(keys, "cascade_last", "answer", "gk_last")
     keys = A.with_gold_key(keys, "cascade_first", "answer", "gk_first").drop("answer")
     d = fx.candidates().join(keys, "id")
-    d = A.with_extracted(d, "cascade_last", "text", "x3")
-    d = A.with_extracted(d, "cascade_first", "text", "x4")
+    d = A.with_cascades(d, "text", {"cascade_last": "x3", "cascade_first": "x4"})
     d = A.with_normalized(d, "integral", "x3", "n_integral")
     d = A.with_normalized(d, "rounded", "x4", "n_rounded")
     d = A.with_pred_key(d, "hash_loose", "text", "pk_loose")
