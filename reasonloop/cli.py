@@ -69,15 +69,18 @@ def rescore(spark: SparkSession, path: str, profile: str = "cascade_last") -> Da
 
 
 def compare(spark: SparkSession, specs: list[str]) -> DataFrame:
-    runs = {}
+    runs, paths = {}, {}
     for spec in specs:
         if ":" not in spec:
             raise SystemExit(f"bad experiment spec {spec!r}; use Label:path.jsonl")
         label, path = spec.split(":", 1)
+        paths[label.strip()] = path.strip()
         df = J.read_jsonl(spark, path.strip(), PREDICTION_FIELDS)
         runs[label.strip()] = df.select(_em_value(F.col("em")).alias("em"),
                                         RC.resolve_field(df, ["generated"]).alias("generated"))
-    return R.compare_experiments(runs).withColumn("accuracy", F.round("accuracy", 6))
+    path_col = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in paths.items()])
+    return (R.compare_experiments(runs).withColumn("accuracy", F.round("accuracy", 6))
+            .withColumn("path", path_col))
 
 
 def build(spark: SparkSession, forward: str, rationalized: str) -> DataFrame:

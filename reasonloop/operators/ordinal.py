@@ -60,6 +60,7 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "o
 
 
 HOT_GROUP_ROWS = 2_000_000
+HOT_GROUP_CONF = "spark.reasonloop.hotGroupRows"   # session setting that overrides the default
 
 
 def _sorted_group_row_number(df: DataFrame, group_by: Sequence[str], order_by, name: str,
@@ -73,7 +74,7 @@ def _sorted_group_row_number(df: DataFrame, group_by: Sequence[str], order_by, n
 
 def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
                      name: str = "rn", base: int = 1,
-                     hot_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                     hot_group_rows: int | None = None) -> DataFrame:
     """``row_number() over (partition by group_by order by order_by)`` (``base``-based)
     that never pushes a hot group through one task.
 
@@ -83,6 +84,8 @@ def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[
     spreads a hot group over many range partitions. The set of hot keys holds at most
     about ``2 * rows / hot_group_rows`` entries. When no group is hot (one small action
     checks it) the plan is the plain window."""
+    if hot_group_rows is None:
+        hot_group_rows = int(df.sparkSession.conf.get(HOT_GROUP_CONF, str(HOT_GROUP_ROWS)))
     keys = list(group_by)
     window = Window.partitionBy(*keys).orderBy(*_sort_cols(order_by))
 
