@@ -16,6 +16,8 @@ GOLD_ALIASES_EVAL = ["gold", "answer", "final_answer", "answer_text"]
 GOLD_ALIASES_RESCORE = ["gold", "answer", "A", "gold_answer"]
 PRED_ALIASES = ["answer", "generated", "final_answer"]
 QUESTION_ALIASES = ["question", "Q", "q"]
+RATIONALE_ALIASES = ["gold_rationale", "rationale", "solution", "explanation"]
+FINAL_ALIASES = ["final", "gold_answer", "answer"]
 # Class-format markers and the legacy SFT separator.
 INPUT_MARK = "###Input:"
 OUTPUT_MARK = "###Output:"
@@ -50,6 +52,15 @@ def class_text(question: Column, rationale: Column, final: Column) -> Column:
                     rationale, F.lit("\n" + FINAL_MARK), final)
 
 
+def class_records(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """P5 over a table whose field names vary: question, rationale and final are resolved
+    through their alias chains (empty values fall through), then ``id, text``."""
+    q = resolve_field(df, QUESTION_ALIASES)
+    r = resolve_field(df, RATIONALE_ALIASES)
+    f = resolve_field(df, FINAL_ALIASES)
+    return df.select(id_col, class_text(q, r, f).alias("text"))
+
+
 def sft_triple(solution: Column, answer: Column) -> tuple[Column, Column]:
     """``(rationale, answer)`` — rationale is the stripped solution; answer is
     ``#### n`` from the solution's last ``#### n`` (X5), else the stripped answer field."""

@@ -81,3 +81,11 @@ def test_explode_variants(spark):
     rows = sorted((r.variant, r.prompt) for r in PR.explode_variants(df).collect())
     assert [v for v, _ in rows] == PR.VARIANTS
     assert rows[0][1] == PR.VARIANT_1.format(q="How many?")
+
+
+def test_class_records_resolve_names(spark):
+    df = spark.createDataFrame([("1", "Q1", "", "sol", "7"), ("2", "Q2", "rat", None, "8")],
+                               "id string, question string, rationale string, solution string, gold_answer string")
+    got = {r.id: r.text for r in RC.class_records(df).collect()}
+    assert got["1"] == "###Input:\nQ1\n\n###Output:\nsol\n#### 7"
+    assert got["2"] == "###Input:\nQ2\n\n###Output:\nrat\n#### 8"
