@@ -40,13 +40,6 @@ def tail_holdout(df: DataFrame, ordinal_col: str = "ordinal",
     return df.filter(o < cut), df.filter(o >= cut)
 
 
-def is_holdout(n: Column | int, ordinal_col: str = "ordinal"):
-    """S7 as a column, for a count ``n`` that is itself a Column (e.g. a scalar join)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    nval = F.when(n > 1, F.greatest(F.lit(1), F.floor(n * F.lit(0.1)).cast("bigint"))).otherwise(0)
-    return F.col(ordinal_col) >= n - nval
-
-
 def hash_bucket(key: Column, seed: int, buckets: int = 1_000_000) -> Column:
     """A seeded bucket in ``[0, buckets)``: the first 32 bits of ``md5(key || '#' || seed)``.
     A portable hash (any engine with md5 computes the same split) that depends on the key

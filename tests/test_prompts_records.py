@@ -89,3 +89,11 @@ def test_class_records_resolve_names(spark):
     got = {r.id: r.text for r in RC.class_records(df).collect()}
     assert got["1"] == "###Input:\nQ1\n\n###Output:\nsol\n#### 7"
     assert got["2"] == "###Input:\nQ2\n\n###Output:\nrat\n#### 8"
+
+
+def test_load_template_file_or_fallback(tmp_path):
+    p = tmp_path / "t.txt"
+    p.write_text("Q: {question}\n")
+    assert PR.load_template(str(p), PR.FORWARD) == "Q: {question}\n"
+    assert PR.load_template(str(tmp_path / "absent.txt"), PR.FORWARD) == PR.FORWARD
+    assert PR.load_template(None, PR.HINT) == PR.HINT

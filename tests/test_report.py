@@ -73,3 +73,9 @@ def test_stage_report(spark):
     df = spark.createDataFrame([(1,), (0,)], "em int")
     rep = R.stage_report("r", [("s", "n", df, F.count(F.lit(1))), ("s", "em", df, F.avg("em"))]).collect()
     assert sorted((r.metric, r.value) for r in rep) == [("em", 0.5), ("n", 2.0)]
+
+
+def test_parse_ok_count(spark):
+    df = spark.createDataFrame([("a #### 1", "x"), ("none", "x"), (None, "y")], "generated string, g string")
+    out = {r.g: r.parse_ok for r in R.parse_ok_count(df, group_by=["g"]).collect()}
+    assert out == {"x": 1, "y": 0}
