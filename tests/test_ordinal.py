@@ -42,3 +42,10 @@ def test_with_ordinal_spreads_a_hot_key(spark):
     assert ords == list(range(9000))
     ks = [r.k for r in out.orderBy("ordinal").collect()]
     assert ks == sorted(ks)
+
+
+def test_hot_key_rows_span_several_partitions(spark):
+    df = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    out = with_ordinal(df, ["k"], num_partitions=6).withColumn("pid", F.spark_partition_id())
+    parts = {r.pid for r in out.filter(F.col("k") == 7).select("pid").distinct().collect()}
+    assert len(parts) >= 2
