@@ -55,7 +55,11 @@ def gold_keys(problems: DataFrame, profile: str, id_col: str = "id", gold_col: s
 
 def _scored(cands: DataFrame, keys: DataFrame, profile: str, id_col: str, text_col: str,
             em_col: str) -> DataFrame:
-    j = A.with_pred_key(cands.join(keys, id_col), profile, text_col, "__pk")
+    # The prediction key (the regex work) is computed before the join, on the candidates'
+    # own evenly split partitions, so a problem with a huge number of candidates does not
+    # concentrate the scoring in the task that receives its key.
+    p = A.with_pred_key(cands, profile, text_col, "__pk")
+    j = p.join(keys, id_col)
     return j.withColumn(em_col, A.em_from_keys(profile, "__gk", "__pk")).drop("__gk", "__pk")
 
 
@@ -70,17 +74,32 @@ def score_candidates(cands: DataFrame, problems: DataFrame, profile: str = "hash
 
 # ---- R3 / R5 ----------------------------------------------------------------
 
+def best_matching(cands: DataFrame, keys: DataFrame, profile: str, order_key: Column,
+                  id_col: str = "id", idx_col: str = "cand_idx", text_col: str = "text") -> DataFrame:
+    """``(id, cand_idx, text)`` of the matching candidate that is smallest by ``order_key``.
+
+    Under every profile a candidate matches exactly when its prediction key equals the
+    problem's (non-NULL) gold key. So the prediction key is computed map-side, candidates
+    are reduced per ``(id, key)`` (partial aggregation collapses equal predictions before
+    the shuffle, distinct ones spread over partitions by the pair), and one equi-join on
+    ``(id, key) = (id, gold key)`` keeps the matching group. A problem with a third of all
+    candidates never lands in one task, and nothing is aggregated after the join."""
+    p = A.with_pred_key(cands.select(id_col, idx_col, text_col), profile, text_col, "__pk")
+    best = (p.filter(F.col("__pk").isNotNull())
+            .groupBy(id_col, "__pk")
+            .agg(F.min_by(F.struct(F.col(idx_col).alias("cand_idx"), F.col(text_col).alias("text")),
+                          order_key).alias("b")))
+    gold = keys.filter(F.col("__gk").isNotNull()).withColumnRenamed("__gk", "__pk")
+    return best.join(gold, [id_col, "__pk"]).select(id_col, "b.cand_idx", "b.text")
+
+
 def first_correct_index(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
                         id_col: str = "id", idx_col: str = "cand_idx", text_col: str = "text",
                         gold_col: str = "answer") -> DataFrame:
     """``(id, cand_idx, rationale)`` of the lowest-index matching candidate per problem."""
-    hits = _scored(cands.select(id_col, idx_col, text_col),
-                   gold_keys(problems, profile, id_col, gold_col), profile, id_col, text_col, "__em")
-    best = (hits.filter(A.is_match("__em"))
-            .groupBy(id_col)
-            .agg(F.min_by(F.struct(F.col(idx_col).alias("cand_idx"),
-                                   F.col(text_col).alias("rationale")), F.col(idx_col)).alias("k")))
-    return best.select(id_col, "k.cand_idx", "k.rationale")
+    keys = gold_keys(problems, profile, id_col, gold_col)
+    best = best_matching(cands, keys, profile, F.col(idx_col), id_col, idx_col, text_col)
+    return best.withColumnRenamed("text", "rationale")
 
 
 def keep_first_correct(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
@@ -189,14 +208,10 @@ def retry_shortest_correct(misses: DataFrame, outputs: DataFrame, profile: str =
                            text_col: str = "text") -> DataFrame:
     """Among the K outputs that match, the shortest text; ties go to the earliest."""
     keys = gold_keys(misses, profile, id_col, "gold_answer")
-    best = (_scored(outputs.select(id_col, idx_col, text_col), keys, profile, id_col, text_col, "__em")
-            .filter(A.is_match("__em"))
-            .groupBy(id_col)
-            .agg(F.min_by(F.struct(F.col(text_col).alias("output"),
-                                   F.col(idx_col).alias("cand_idx")),
-                          F.struct(F.length(text_col), F.col(idx_col))).alias("b")))
+    best = best_matching(outputs, keys, profile, F.struct(F.length(text_col), F.col(idx_col)),
+                         id_col, idx_col, text_col)
     return (misses.join(best, id_col)
-            .select(id_col, "question", "gold_answer", "b.output", "b.cand_idx",
+            .select(id_col, "question", "gold_answer", F.col("text").alias("output"), "cand_idx",
                     F.lit(True).alias("em_after")))
 
 

@@ -46,7 +46,7 @@ def _forward_and_missed(fx: FX.Tables, materialize_kept: bool = False):
     probs = fx.problems
     kept = S.keep_first_correct(fx.candidates(), probs)
     if materialize_kept:
-        kept = materialize(kept, "kept", bucket_by="id")
+        kept = materialize(kept, "kept")
     return probs, kept, S.missed_problems(probs, kept)
 
 

@@ -131,10 +131,14 @@ def token_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Tables:
-    """The fixture tables of one query, each computed once and written (bucketed by id)
-    under the shared checkpoint folder: every branch of the query reads the same table
-    instead of re-running its plan, joins and aggregations on id stay co-located, and the
-    lineage is cut at the table."""
+    """The fixture tables of one query, each computed once and written under the shared
+    checkpoint folder: every branch of the query reads the same table instead of re-running
+    its plan, and the lineage is cut at the table.
+
+    The tables are plain Parquet, not bucketed by id: a bucket is read by one task, so a
+    problem holding a third of all candidates would put a third of the scoring into one
+    task. Plain files split evenly by size; joins on id are then broadcast (when measured
+    small) or shuffled on both sides, where adaptive execution splits a hot partition."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, shared_lines: bool = False):
         """``shared_lines``: materialise the numbered line items too (for queries that
@@ -149,7 +153,7 @@ class Tables:
             from ..session import materialize
             p = problems_from_orders(table(self.spark, self.sf_dir, "orders"),
                                      order_golds(self.spark, self.sf_dir))
-            self._problems = materialize(p, "problems", bucket_by="id")
+            self._problems = materialize(p, "problems")
         return self._problems
 
     @property
@@ -159,9 +163,7 @@ class Tables:
             from ..session import materialize
             nl = numbered_lines(self.spark, self.sf_dir).select(
                 F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("bigint").alias("q"), "cand_idx")
-            # the numbering window already hash-partitions the lines by order key
-            self._lines = (materialize(nl, "lines", bucket_by="id", repartition=False)
-                           if self.shared_lines else nl)
+            self._lines = materialize(nl, "lines") if self.shared_lines else nl
         return self._lines
 
     def candidates(self, shift: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ rationalisation prompts (P4, P1) -> K generations -> first correct kept (R5) ->
 merge, rationalised rows win (R6) -> class-format text (P5) -> format gate (P10).
 
 The kept rows are read by both the anti-join and the merge, so they are written once to
-the shared folder (bucketed by id) instead of being recomputed per branch.
+the shared folder instead of being recomputed per branch.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def rationalize_pass(missed: DataFrame, generator, k: int | None = None, profile
 def run_iteration(problems: DataFrame, forward_generator, rationalize_generator, k: int | None = None,
                   profile: str = "hash_then_any", quarantine: bool = True) -> IterationResult:
     """R14 over ``problems`` (``id, question, answer``)."""
-    kept = materialize(forward_pass(problems, forward_generator, k, profile), "kept", bucket_by="id")
+    kept = materialize(forward_pass(problems, forward_generator, k, profile), "kept")
     missed = S.missed_problems(problems.select("id", "question", "answer"), kept)
     rat = rationalize_pass(missed, rationalize_generator, k, profile)
     cols = ["id", "question", "rationale", "final"]
