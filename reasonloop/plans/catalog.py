@@ -130,13 +130,12 @@ def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 vs R9 on all problems (``hash_then_any``): the problems whose first correct and
     shortest correct candidates differ."""
     fx = FX.Tables(spark, sf_dir, shared_lines=True)
-    probs = fx.problems
+    keys = S.gold_keys(fx.problems, "hash_then_any")
     cands = fx.candidates()
-    first = S.keep_first_correct(cands, probs)
-    scored = S.score_candidates(cands, probs).filter("em")
-    short = scored.groupBy("id").agg(F.min_by(F.col("cand_idx"), F.struct(
-        F.length("text"), F.col("cand_idx"))).alias("shortest_idx"))
-    return (first.select("id", F.col("cand_idx").alias("first_idx")).join(short, "id")
+    first = S.best_matching(cands, keys, "hash_then_any", F.col("cand_idx"))
+    short = S.best_matching(cands, keys, "hash_then_any", F.struct(F.length("text"), F.col("cand_idx")))
+    return (first.select("id", F.col("cand_idx").alias("first_idx"))
+            .join(short.select("id", F.col("cand_idx").alias("shortest_idx")), "id")
             .filter(F.col("first_idx") != F.col("shortest_idx")))
 
 
