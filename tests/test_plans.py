@@ -62,3 +62,9 @@ def test_regex_heavy_queries_compile(spark):
             qs[name](spark, SF_SMALL).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.set("spark.sql.codegen.fallback", old)
+
+
+def test_picks_shuffle_by_problem_and_prediction(plans):
+    # candidates are reduced per (id, prediction key) before any shuffle on id alone
+    for name in ("keep_first_correct", "retry_shortest_correct"):
+        assert re.search(r"hashpartitioning\(id#\d+L?, __pk#\d+", plans[name]), name
