@@ -47,10 +47,12 @@ def flatten_candidates(grouped: DataFrame, id_col: str = "id", texts_col: str =
 # ---- scoring join -----------------------------------------------------------
 
 def gold_keys(problems: DataFrame, profile: str, id_col: str = "id", gold_col: str = "answer",
-              key_col: str = "__gk") -> DataFrame:
-    """``(id, key)``: the normalised gold of every problem, computed once per problem."""
-    return A.with_gold_key(problems.select(id_col, gold_col), profile, gold_col, key_col) \
-        .select(id_col, key_col)
+              key_col: str = "__gk", carry: Sequence[str] = ()) -> DataFrame:
+    """``(id, key, *carry)``: the normalised gold of every problem, computed once per
+    problem; ``carry`` columns ride along (one row per problem) to the join."""
+    cols = [id_col, gold_col] + [c for c in carry if c not in (id_col, gold_col)]
+    keyed = A.with_gold_key(problems.select(*cols), profile, gold_col, key_col)
+    return keyed.select(id_col, key_col, *[c for c in carry if c != id_col])
 
 
 def _scored(cands: DataFrame, keys: DataFrame, profile: str, id_col: str, text_col: str,
@@ -90,7 +92,8 @@ def best_matching(cands: DataFrame, keys: DataFrame, profile: str, order_key: Co
             .agg(F.min_by(F.struct(F.col(idx_col).alias("cand_idx"), F.col(text_col).alias("text")),
                           order_key).alias("b")))
     gold = keys.filter(F.col("__gk").isNotNull()).withColumnRenamed("__gk", "__pk")
-    return best.join(gold, [id_col, "__pk"]).select(id_col, "b.cand_idx", "b.text")
+    extra = [c for c in gold.columns if c not in (id_col, "__pk")]
+    return best.join(gold, [id_col, "__pk"]).select(id_col, "b.cand_idx", "b.text", *extra)
 
 
 def first_correct_index(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
@@ -107,13 +110,14 @@ def keep_first_correct(cands: DataFrame, problems: DataFrame, profile: str = "ha
                        question_col: str = "question", gold_col: str = "answer") -> DataFrame:
     """Per problem the lowest-index candidate whose text matches the gold.
 
-    Output ``id, question, rationale, final, cand_idx`` (``final`` is the gold text). The
-    candidate side carries only ``(id, key)`` through the scoring join; question and gold
-    text join back to the (at most one per problem) kept rows."""
-    best = first_correct_index(cands, problems, profile, id_col, idx_col, text_col, gold_col)
+    Output ``id, question, rationale, final, cand_idx`` (``final`` is the gold text).
+    Question and gold text ride on the per-problem side of the ``(id, key)`` join, so no
+    second join is needed."""
     probs = problems.select(id_col, F.col(question_col).alias("question"),
                             F.col(gold_col).alias("final"))
-    return best.join(probs, id_col).select(id_col, "question", "rationale", "final", "cand_idx")
+    keys = gold_keys(probs, profile, id_col, "final", carry=["question", "final"])
+    best = best_matching(cands, keys, profile, F.col(idx_col), id_col, idx_col, text_col)
+    return best.select(id_col, "question", F.col("text").alias("rationale"), "final", "cand_idx")
 
 
 def missed_problems(problems: DataFrame, kept: DataFrame, id_col: str = "id") -> DataFrame:
@@ -207,12 +211,11 @@ def retry_shortest_correct(misses: DataFrame, outputs: DataFrame, profile: str =
                            id_col: str = "id", idx_col: str = "cand_idx",
                            text_col: str = "text") -> DataFrame:
     """Among the K outputs that match, the shortest text; ties go to the earliest."""
-    keys = gold_keys(misses, profile, id_col, "gold_answer")
+    keys = gold_keys(misses, profile, id_col, "gold_answer", carry=["question", "gold_answer"])
     best = best_matching(outputs, keys, profile, F.struct(F.length(text_col), F.col(idx_col)),
                          id_col, idx_col, text_col)
-    return (misses.join(best, id_col)
-            .select(id_col, "question", "gold_answer", F.col("text").alias("output"), "cand_idx",
-                    F.lit(True).alias("em_after")))
+    return best.select(id_col, "question", "gold_answer", F.col("text").alias("output"), "cand_idx",
+                       F.lit(True).alias("em_after"))
 
 
 def retry_flag_all(misses: DataFrame, outputs: DataFrame, profile: str = "hash_loose",
