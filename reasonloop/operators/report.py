@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions.records import rationale_from_generation
 from ..functions.text import trim_u
+from .skew import salted_join
 
 
 def _c(c) -> Column:
@@ -164,7 +165,7 @@ def zero_shot_record(df: DataFrame, generated_col: str = "generated", gold_col:
         g = golds.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
         g = A.with_extracted(g, "cascade_last", "gold", "gold_extracted")
         g = A.with_normalized(g, "integral", "gold_extracted", "__gn")
-        staged = df.join(g, id_col)
+        staged = salted_join(df, g, id_col)
     else:
         staged = df.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
         staged = A.with_extracted(staged, "cascade_last", "gold", "gold_extracted")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from .skew import salted_join
 
 
 # Fixed value: the id prefix of test problems numbered by their position in the split.
@@ -69,9 +70,11 @@ def score_candidates(cands: DataFrame, problems: DataFrame, profile: str = "hash
                      id_col: str = "id", gold_col: str = "answer", text_col: str = "text",
                      em_col: str = "em") -> DataFrame:
     """Each candidate with the EM of its text against its problem's gold. The gold side is
-    normalised once per problem and only ``(id, key)`` is joined to the candidates."""
-    return _scored(cands, gold_keys(problems, profile, id_col, gold_col), profile, id_col,
-                   text_col, em_col)
+    normalised once per problem and only ``(id, key)`` is joined to the candidates, with hot
+    problem ids salted."""
+    p = A.with_pred_key(cands, profile, text_col, "__pk")
+    j = salted_join(p, gold_keys(problems, profile, id_col, gold_col), id_col)
+    return j.withColumn(em_col, A.em_from_keys(profile, "__gk", "__pk")).drop("__gk", "__pk")
 
 
 # ---- R3 / R5 ----------------------------------------------------------------

@@ -14,6 +14,7 @@ from ..operators import report as R
 from ..operators import selection as S
 from ..operators.generate import TableGenerator, generate
 from ..operators.ordinal import with_ordinal
+from ..operators.skew import salted_join
 from ..session import materialize, scratch_path
 from ..sources import jsonl as J
 from ..sources import splits as SP
@@ -222,7 +223,7 @@ def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = A.with_gold_key(keys, "hash_then_any", "answer", "gk_any")
     keys = A.with_gold_key(keys, "cascade_last", "answer", "gk_last")
     keys = A.with_gold_key(keys, "cascade_first", "answer", "gk_first").drop("answer")
-    d = fx.candidates().join(keys, "id")
+    d = salted_join(fx.candidates(), keys, "id")
     d = A.with_cascades(d, "text", {"cascade_last": "x3", "cascade_first": "x4"})
     d = A.with_normalized(d, "integral", "x3", "n_integral")
     d = A.with_normalized(d, "rounded", "x4", "n_rounded")
@@ -446,7 +447,7 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sft_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SFT triples from worked solutions (candidate texts) and answer fields."""
     fx = FX.Tables(spark, sf_dir)
-    c = fx.candidates().join(fx.problems.select("id", "question", "answer"), "id")
+    c = salted_join(fx.candidates(), fx.problems.select("id", "question", "answer"), "id")
     rationale, answer = RC.sft_triple(F.col("text"), F.col("answer"))
     legacy_r, legacy_a = RC.sft_triple_legacy(F.col("text"), F.lit(None).cast("string"), F.col("answer"))
     return c.select("id", "cand_idx", "question", rationale.alias("rationale"), answer.alias("answer"),
@@ -471,7 +472,7 @@ def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_echo_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded outputs that echo the forward prompt, with the echo removed."""
     fx = FX.Tables(spark, sf_dir)
-    c = fx.candidates().join(fx.problems.select("id", "question"), "id")
+    c = salted_join(fx.candidates(), fx.problems.select("id", "question"), "id")
     prompt = PR.render(PR.FORWARD, question=F.col("question"))
     echoed = F.when(F.col("cand_idx") % 2 == 0, F.concat(prompt, F.col("text"))).otherwise(F.col("text"))
     return c.select("id", "cand_idx", RC.strip_prompt_echo(echoed, prompt).alias("output"))

@@ -25,13 +25,15 @@ def test_entry_smoke(spark):
 
 def test_hot_group_path_matches_oracle(spark):
     """With a tiny hot-group threshold nearly every order takes the range-sorted numbering
-    path; the fixture-based queries must still equal their oracles."""
+    path and the salted joins salt nearly every id; the queries must still equal their
+    oracles."""
     from reasonloop.operators.ordinal import HOT_GROUP_CONF
     from tools.oracle_check import compare
     spark.conf.set(HOT_GROUP_CONF, "3")
     try:
         res = compare(spark, SF_SMALL, ["keep_first_correct", "one_iteration", "regroup_candidates",
-                                        "retry_shortest_correct"], verbose=False)
+                                        "retry_shortest_correct", "em_profiles", "zero_shot_records",
+                                        "sft_triples"], verbose=False)
     finally:
         spark.conf.unset(HOT_GROUP_CONF)
     assert all(v[0] == "match" for v in res.values()), res
