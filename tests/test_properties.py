@@ -52,3 +52,28 @@ def test_rationale_split_matches_python(spark, docs, sep):
         g = t.strip()
         lines = [x.strip() for x in g.splitlines() if x.strip()]
         assert got[i] == ("\n".join(lines[:-1]) if len(lines) > 1 else g), repr(t)
+
+
+@SETTINGS
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=300), st.integers(1, 7))
+def test_ordinals_dense_and_sorted_with_duplicates(spark, keys, parts):
+    from reasonloop.operators.ordinal import with_ordinal
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    rows = with_ordinal(df, ["k"], num_partitions=parts).collect()
+    pairs = sorted((r.ordinal, r.k) for r in rows)
+    assert [p[0] for p in pairs] == list(range(len(keys)))
+    assert [p[1] for p in pairs] == sorted(keys)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 1000)), min_size=1, max_size=300,
+                unique_by=lambda t: t[1]),
+       st.sampled_from([2, 10, 10_000]))
+def test_group_row_number_equals_window(spark, rows, hot_rows):
+    from pyspark.sql import Window
+
+    from reasonloop.operators.ordinal import group_row_number
+    df = spark.createDataFrame(rows, "g int, v int")
+    ours = sorted(map(tuple, group_row_number(df, ["g"], ["v"], name="rn", hot_group_rows=hot_rows).collect()))
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v")))
+    assert ours == sorted(map(tuple, ref.collect()))
