@@ -77,3 +77,59 @@ def test_group_row_number_equals_window(spark, rows, hot_rows):
     ours = sorted(map(tuple, group_row_number(df, ["g"], ["v"], name="rn", hot_group_rows=hot_rows).collect()))
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v")))
     assert ours == sorted(map(tuple, ref.collect()))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 10**6)), min_size=1, max_size=300),
+       st.sampled_from([2, 20, 10_000]), st.sampled_from(["inner", "left"]))
+def test_salted_join_equals_plain_join(spark, rows, hot_rows, how):
+    from reasonloop.operators.skew import salted_join
+    fact = spark.createDataFrame(rows, "k int, v long")
+    dim = spark.createDataFrame([(k, k * 3) for k in range(0, 5)], "k int, w int")
+    got = sorted(map(tuple, salted_join(fact, dim, "k", how, salts=4, hot_rows=hot_rows).collect()))
+    assert got == sorted(map(tuple, fact.join(dim, "k", how).collect()))
+
+
+answers_text = st.sampled_from(["#### 1", "#### 2", "x = 2", "Final answer: 2", "none", "#### 2 pad",
+                                "the answer is 1", "", "#### 1,2"])
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 4), answers_text), min_size=1, max_size=120),
+       st.sampled_from(["hash_then_any", "hash_loose", "cascade_last", "cascade_first"]))
+def test_picks_equal_brute_force(spark, cands, profile):
+    from reasonloop.operators import selection as S
+    rows = [(pid, i, t) for i, (pid, t) in enumerate(cands)]
+    c = spark.createDataFrame(rows, "id long, cand_idx int, text string")
+    probs = spark.createDataFrame([(p, f"q{p}", "#### 2" if p % 2 else "#### 1") for p in range(5)],
+                                  "id long, question string, answer string")
+    scored = c.join(probs.select("id", "answer"), "id").select(
+        "id", "cand_idx", "text", A.score(profile, F.col("answer"), F.col("text")).alias("em")).collect()
+    hits = [(r.id, r.cand_idx, r.text) for r in scored if r.em in (True, 1)]
+    first, short = {}, {}
+    for pid, i, t in sorted(hits, key=lambda h: h[1]):
+        first.setdefault(pid, i)
+        if pid not in short or (len(t), i) < short[pid][0]:
+            short[pid] = ((len(t), i), i)
+    got_first = {r.id: r.cand_idx for r in S.keep_first_correct(c, probs, profile).collect()}
+    misses = probs.select("id", "question", F.col("answer").alias("gold_answer"))
+    got_short = {r.id: r.cand_idx for r in S.retry_shortest_correct(misses, c, profile).collect()}
+    assert got_first == first
+    assert got_short == {k: v[1] for k, v in short.items()}
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 6)), min_size=1, max_size=60))
+def test_merge_last_wins_equals_dict_updates(spark, rows):
+    from reasonloop.operators import selection as S
+    data = [(src, pos, key, f"v{src}-{pos}") for pos, (src, key) in enumerate(rows)]
+    frames = [spark.createDataFrame([(k, v, p) for s, p, k, v in data if s == src] or [(None, None, None)],
+                                    "id int, val string, ord int").na.drop() for src in (0, 1)]
+    keep, first_seen = {}, {}
+    for src in (0, 1):
+        for s, p, k, v in sorted((d for d in data if d[0] == src), key=lambda d: d[1]):
+            keep[k] = v
+            first_seen.setdefault(k, (src, p))
+    got = {r.id: (r.val, (r.pos["__src"], r.pos["__ord"]))
+           for r in S.merge_last_wins(frames, order_col="ord").collect()}
+    assert got == {k: (keep[k], first_seen[k]) for k in keep}
