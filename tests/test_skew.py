@@ -47,3 +47,24 @@ def test_too_many_hot_keys_fall_back(spark):
     assert hot_keys(fact, "k", hot_rows=10, max_keys=5) is None
     got = salted_join(fact, dim, "k", hot_rows=10, max_hot_keys=5).count()
     assert got == fact.join(dim, "k").count()
+
+
+def test_exact_copies_of_a_hot_row_spread(spark):
+    fact = spark.range(0, 6000).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
+    dim = spark.createDataFrame([(1, "w")], "k int, w string")
+    j = salted_join(fact, dim, "k", salts=8, hot_rows=1000)
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        rows = j.select(F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert len(rows) == 6000 and len({r.p for r in rows}) >= 2
