@@ -43,3 +43,10 @@ def test_run_iteration_with_python_generators(spark):
     assert res.forward.count() == 5 and res.rationalized.count() == 4
     train = res.train.collect()
     assert len(train) == 9 and all(r.text.startswith("###Input:\nproblem") for r in train)
+
+
+def test_batched_eval_limit_cuts_inside_the_shard(spark):
+    probs = _problems(spark)
+    preds, acc = EV.batched_eval(probs, _answering(100), num_shards=2, shard_idx=1, limit=2)
+    assert sorted(r.id for r in preds.collect()) == ["hf_test_6", "hf_test_7"]
+    assert acc.collect()[0].correct == 2
