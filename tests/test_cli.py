@@ -38,3 +38,11 @@ def test_rescore_compare_build_check(spark, capsys):
     assert cli.main(["check-format", out]) == 0
     printed = capsys.readouterr().out
     assert '"written": 2' in printed and '"ok": 2' in printed
+
+
+def test_check_format_quarantine(spark, capsys):
+    d = tempfile.mkdtemp(prefix="rl-cli-")
+    train = os.path.join(d, "train.jsonl")
+    _write(train, [{"id": "a", "text": "###Input:\nq\n\n###Output:\nr\n#### 1"}, {"id": "b", "text": "plain"}])
+    assert cli.main(["check-format", train, "--quarantine", os.path.join(d, "bad")]) == 0
+    assert '"bad": 1' in capsys.readouterr().out
