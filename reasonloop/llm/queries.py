@@ -132,10 +132,10 @@ tri as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from pos)
 again as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as c from tri) where c > 1),
 covered as (select rid, count(distinct j) as n_repeat from (select rid, unnest([i, i + 1, i + 2]) as j from again) group by rid),
 f as (
-  select d.rid, doc_id, text, len(w) as n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0) as word_chars,
+  select d.rid, doc_id, text, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     length(regexp_replace(text, '[^!?]', '', 'g')) as n_bangs,
-    len(list_filter(w, x -> regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as n_alpha,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as n_alpha,
     coalesce(n_lines, 0) as n_lines, coalesce(n_dup, 0) as n_dup_lines, coalesce(n_repeat, 0) as n_repeat_words
   from d left join line_counts l on l.rid = d.rid left join covered c on c.rid = d.rid)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
@@ -154,7 +154,7 @@ cls as materialized (
 sh as materialized (
   select distinct rep, g from (
     select rep, unnest(case when len(w) < 5 then [words] else
-      list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) as g from cls)),
+      list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from cls)),
 n as (select rep, count(*) as n from sh group by rep),
 inter as (select a.rep as a, b.rep as b, count(*) as c from sh a join sh b on a.g = b.g and a.rep < b.rep group by 1, 2),
 link as materialized (
