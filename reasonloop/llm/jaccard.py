@@ -253,11 +253,11 @@ def _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes) ->
             .select("s.band", "s.hash",
                     F.greatest(F.ceil(F.col("n") / F.lit(block)),
                                F.ceil(F.col("s.size") / F.lit(block_bytes))).cast("int").alias("nb")))
-    member = (entries.join(kept, ["band", "hash"])
+    member = (entries.join(kept.hint("merge"), ["band", "hash"])
               .groupBy("key").agg(F.collect_list(F.struct("band", "hash", "nb")).alias("at")))   # at most `bands` entries
     member = materialize(member.join(classes.select("key", "rep.id", "rep.th", "bands"), "key"), "jaccard-members")
     texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
-    dealt = (texts.join(member, F.col("rid").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")))
+    dealt = (texts.join(member.hint("merge"), F.col("rid").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")))
              .select("key", "text", "bands", F.explode("at").alias("p"))
              .select("key", "text", "bands", "p.band", "p.hash",
                      F.pmod(F.xxhash64("key", F.lit(3)), F.col("p.nb")).cast("int").alias("blk"), "p.nb")

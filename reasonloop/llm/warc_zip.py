@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     # payloads that occur again, with the page that keeps them; summed before the shuffle
     twins = (p.where(F.col("size") >= min_dedup).groupBy(F.col("digest").alias("d"))
              .agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").drop("n"))
-    p = p.join(materialize(twins, "warc-twins"), F.col("digest") == F.col("d"), "left").drop("d")
+    p = p.join(materialize(twins, "warc-twins").hint("merge"), F.col("digest") == F.col("d"), "left").drop("d")
     p = p.withColumn("refers_to", F.when(F.col("id").isNull() | (F.col("id") != F.col("keeper")), F.col("keeper"))).drop("keeper")
     p = p.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
 
