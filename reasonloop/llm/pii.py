@@ -13,7 +13,7 @@ entity's canonical form:
 * *distinctness*: surrogates of a type are compared with each other and with all entities that
   occur; of those that collide all but one draw again until none is left.
 
-Mapping tables hold distinct entities only. Texts meet their replacements by an equi-join on
+Mapping tables hold distinct entities only. Texts without an entity are not shuffled; the others meet their replacements by an equi-join on
 the text's md5, so copies of a text share one row there. Null texts stay null, texts without
 entities stay as they are; repeated rows are changed alike; every other column passes through.
 """
@@ -190,9 +190,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     sorted types found (comma-joined)."""
     t = F.col(text_col).cast("string")
     names = docs.columns
-    keyed = docs.withColumn("__m", F.coalesce(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>")))
-    found = keyed.where(F.size("__m") > 0).select(F.md5(t.cast("binary")).alias("th"), F.col("__m").alias("m")).dropDuplicates(["th"])
-    found = materialize(found, "pii-found")
+    # texts with an entity are written aside once; the others pass through and are never shuffled
+    some = F.coalesce(t.rlike(ENTITY), F.lit(False))
+    keyed = materialize(docs.where(some).withColumn("__m", F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)))
+                        .withColumn("__th", F.md5(t.cast("binary"))), "pii-matched")
+    found = materialize(keyed.select(F.col("__th").alias("th"), F.col("__m").alias("m")).dropDuplicates(["th"]), "pii-found")
     surfaces = found.select(F.explode("m").alias("surface")).distinct().withColumn("kind", classify(F.col("surface")))
     luhn = F.pmod(_luhn_sum(_digits(F.col("surface")), False), F.lit(10)) == 0
     surfaces = surfaces.where(F.col("kind").isNotNull()).where(F.when(F.col("kind") == "card", luhn).otherwise(F.lit(True)))
@@ -206,9 +208,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     hits = (found.select("th", F.posexplode("m").alias("i", "surface")).join(forms, "surface")
             .groupBy("th").agg(F.collect_list(F.struct("i", "to", "kind")).alias("hits")))     # of one text
     hits = materialize(hits, "pii-hits")
-    # rows without a match get keys of their own, so they spread
-    keyed = keyed.withColumn("__th", F.when(F.size("__m") > 0, F.md5(t.cast("binary")))
-                             .otherwise(F.concat(F.lit("-"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).cast("string"))))
     joined = keyed.join(hits, F.col("__th") == F.col("th"), "left")
     by_place = F.map_from_entries(F.transform("hits", lambda x: F.struct(x["i"], x["to"])))
     gaps = F.split(t, ENTITY, -1)
@@ -216,7 +215,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         F.element_at(F.col("__by"), i), F.get(F.col("__m"), i), F.lit(""))))))
     joined = joined.withColumn("__by", by_place)
     new = F.when(F.col("hits").isNotNull(), text).otherwise(t)
-    return joined.withColumn("__new", new).select(
+    changed = joined.withColumn("__new", new).select(
         *[F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
         F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias(count_col),
         F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["kind"]))), ","), F.lit("")).alias(kinds_col))
+    rest = docs.where(~some).withColumn(count_col, F.lit(0).cast("long")).withColumn(kinds_col, F.lit(""))
+    return changed.unionByName(rest.withColumn(text_col, t))
