@@ -19,17 +19,20 @@ U = "(?U)"
 WS = r"[\s\x1c-\x1f]"
 # Python's str.splitlines() breaks: \R covers \r\n, \n, \x0b, \f, \r, \x85, \u2028, \u2029.
 LINE_BREAK = r"(?U)\R|[\x1c-\x1e]"
-_NOT_BREAK = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+# Python's str.isspace() characters, by rule
+_SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def trim_u(c: Column) -> Column:
-    """Python ``str.strip()``: drop leading and trailing Unicode whitespace."""
-    return F.regexp_replace(c, U + r"\A" + WS + "+|" + WS + r"+\z", "")
+    """Python ``str.strip()``: drop leading and trailing Unicode whitespace (linear in the text)."""
+    return F.btrim(c, F.lit(_SPACE_CHARS))
 
 
 def rstrip_dots(c: Column) -> Column:
     """Python ``str.rstrip('.')``."""
-    return F.regexp_replace(c, r"\.+\z", "")
+    return F.rtrim(c, F.lit("."))
 
 
 def split_lines(c: Column) -> Column:
@@ -44,7 +47,7 @@ def nonblank_lines(c: Column) -> Column:
 
 def last_line(c: Column) -> Column:
     """Last line of the text, stripped ("" for an empty text)."""
-    return trim_u(F.regexp_extract(c, U + "(" + _NOT_BREAK + r"*)\z", 1))
+    return trim_u(F.element_at(split_lines(c), -1))
 
 
 @lru_cache(maxsize=1)

@@ -21,10 +21,10 @@ def concat_and_mask(df: DataFrame, prompt_col: str = "prompt_ids",
               .withColumn("labels", F.concat(F.array_repeat(F.lit(IGNORE_INDEX), F.size(p)), t)))
 
 
-def pad_batches(df: DataFrame, batch_col: str = "batch_id", max_seq_len: int | None = 512,
+def pad_batches(df: DataFrame, batch_col: str = "batch_id", *, max_seq_len: int | None,
                 pad_id: int = 0) -> DataFrame:
     """Per batch ``max_len = min(longest input, max_seq_len)``; every row is cut to
-    ``max_len`` and right-padded with ``pad_id`` / 0 / -100. ``max_seq_len=None`` is T2b
+    ``max_len`` and right-padded with ``pad_id`` / 0 / -100. The cut has no default: ``max_seq_len=None`` is T2b
     (pad to the longest, no cut)."""
     longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch_col))
     max_len = longest if max_seq_len is None else F.least(longest, F.lit(max_seq_len))

@@ -16,6 +16,7 @@ of failing the whole job when ``on_error='record'``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,32 +43,40 @@ class TableGenerator:
                 .withColumn("error", F.lit(None).cast("string")))
 
 
-_worker_cache: dict[int, Callable] = {}
+_worker_cache: dict[str, Callable] = {}
 
 
-def _resolve(fn: Callable | None, loader: Callable[[], Callable] | None) -> Callable:
+def _resolve(fn: Callable | None, loader: Callable[[], Callable] | None, key: str) -> Callable:
+    """The generator of this call; a worker keeps the last one it built."""
     if loader is None:
         return fn
-    key = id(loader)
     if key not in _worker_cache:
-        _worker_cache[key] = loader()
+        built = loader()
+        _worker_cache.clear()
+        _worker_cache[key] = built
     return _worker_cache[key]
 
 
 def generate(prompts: DataFrame, generator, k: int = 1, id_col: str = "id",
              prompt_col: str = "prompt", batch_size: int = 16,
-             loader: Callable[[], Callable] | None = None, on_error: str = "raise") -> DataFrame:
-    """K generations per prompt."""
+             loader: Callable[[], Callable] | None = None, on_error: str = "raise",
+             loader_key: str | None = None) -> DataFrame:
+    """K generations per prompt (``None``: all stored ones, or four of a callable). A worker builds the loader's generator once per
+    ``loader_key``; without a key every call of this function counts as a new generator."""
     if isinstance(generator, TableGenerator):
         return generator(prompts, id_col=id_col, k=k)
     id_type = prompts.schema[id_col].dataType
     out_schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("cand_idx", T.IntegerType()),
         T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+    k = 4 if k is None else k
+    if k < 1:
+        raise ValueError("a generator gives one text per prompt or more")
     fn0 = generator
+    key = loader_key or uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _resolve(fn0, loader)
+        fn = _resolve(fn0, loader, key)
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[start:start + batch_size]

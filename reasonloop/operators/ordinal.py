@@ -33,14 +33,21 @@ def _sort_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _row_hash(df: DataFrame, seed: int = 17) -> Column:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return F.xxhash64(*[F.col(f"`{c}`") for c, k in kinds.items() if "map<" not in k and "variant" not in k], F.lit(seed))
+
+
 def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "ordinal",
                  num_partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based ``name`` column following ``order_by`` (ties broken arbitrarily).
 
-    A random tie-breaker is the last sort key, so even a key value shared by a third of the
+    A hash of the row is the last sort key, so even a key value shared by a third of the
     rows is cut across several range partitions instead of landing in one."""
     keys = _sort_cols(order_by) + [F.col("__tie")]
-    d = df.withColumn("__tie", F.rand(17))
+    # the row's hash comes first, so rows that differ go the same way in every run of a task;
+    # the running id only spreads exactly equal rows
+    d = df.withColumn("__tie", F.struct(_row_hash(df).alias("h"), F.monotonically_increasing_id().alias("i")))
     sorted_df = (d.repartitionByRange(num_partitions, *keys) if num_partitions
                  else d.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     ensure_checkpoint_dir(df.sparkSession)

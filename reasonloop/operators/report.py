@@ -119,7 +119,7 @@ def progress_counters(batch_stats: DataFrame, every: int = 10, batch_col: str =
 def loss_rollup(log: DataFrame, run_col: str = "run", phase_col: str = "phase",
                 epoch_col: str = "epoch", loss_col: str = "loss") -> DataFrame:
     """Per run, phase and epoch: ``epoch_loss = sum(loss or 0) / batches``,
-    ``perplexity = exp(epoch_loss)``, ``best_loss`` = running minimum over epochs, and the
+    ``perplexity = exp(epoch_loss)`` (NaN where that overflows), ``best_loss`` = running minimum over epochs, and the
     run averages of epoch losses, of perplexities (not exp of the average) and of the
     running best (what the workload reports as the average validation loss)."""
     per_epoch = log.groupBy(run_col, phase_col, epoch_col).agg(
@@ -128,7 +128,8 @@ def loss_rollup(log: DataFrame, run_col: str = "run", phase_col: str = "phase",
     w_run = Window.partitionBy(run_col, phase_col)
     w_best = w_run.orderBy(epoch_col).rowsBetween(Window.unboundedPreceding, 0)
     return (per_epoch
-            .withColumn("perplexity", F.exp("epoch_loss"))
+            .withColumn("perplexity", F.when(F.exp("epoch_loss") == F.lit(float("inf")), F.lit(float("nan")))
+                        .otherwise(F.exp("epoch_loss")))
             .withColumn("best_loss", F.min("epoch_loss").over(w_best))
             .withColumn("avg_loss", F.avg("epoch_loss").over(w_run))
             .withColumn("avg_perplexity", F.avg("perplexity").over(w_run))

@@ -163,7 +163,7 @@ def collect_misses(preds: DataFrame, dataset: DataFrame | None = None, id_col: s
     gold is NULL and the id is ``<prefix><n>``, both are taken from the dataset row with
     index n. Rows whose question or gold is still NULL or empty are dropped.
 
-    ``strict=True`` raises when such an id has no parsable index (one count action)."""
+    ``strict=True`` raises when such an id has no parsable index, or one outside the dataset."""
     em = F.col(em_col)
     miss = preds.filter(~F.coalesce(em.try_cast("boolean"), F.lit(False)))
     rid = F.col(id_col).cast("string")
@@ -176,6 +176,11 @@ def collect_misses(preds: DataFrame, dataset: DataFrame | None = None, id_col: s
         bad = miss.filter(F.col("__needs") & F.col("__idx").isNull()).limit(1).count()
         if bad:
             raise ValueError(f"a missed row has an id {id_prefix}<n> with no parsable index")
+        if dataset is not None:
+            known = dataset.select(F.col(dataset_index).cast("bigint").alias("__idx"))
+            lost = miss.filter(F.col("__needs")).join(known, "__idx", "left_anti")
+            if lost.limit(1).count():
+                raise ValueError(f"a missed row's index in {id_prefix}<n> is outside the dataset")
     if dataset is None:
         out = miss.withColumn("__q", F.col(question_col)).withColumn("__g", F.col(gold_col))
     else:

@@ -4,8 +4,8 @@ Many-to-one joins (every candidate with its problem's gold key) put all rows of
 into one task. Here the fact side is sampled for hot keys (as in
 :func:`reasonloop.operators.ordinal.group_row_number`). When there are some, and no more
 than ``max_hot_keys`` (a checked bound: the list is collected and shipped as a literal set),
-the rows of each hot key are spread over ``salts`` sub-keys at random (so even exact copies
-of one row spread out), and only the hot keys' rows of the other side are repeated once per
+the rows of each hot key are spread over ``salts`` sub-keys by a hash of the row (the same
+in every run of a task, so a repeated task moves no row), and only the hot keys' rows of the other side are repeated once per
 sub-key; every fact row meets its key's other-side row under whatever sub-key it draws, so
 the result does not depend on the draw. Other keys join as
 usual. Beyond the bound the plain join is used and adaptive execution's skew split is the
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import HOT_GROUP_CONF, HOT_GROUP_ROWS
+from .ordinal import HOT_GROUP_CONF, HOT_GROUP_ROWS, _row_hash
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int, max_keys: int) -> list | None:
@@ -45,7 +45,7 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     if not hot:
         return fact.join(dim, key, how)
     is_hot = F.col(key).isin(hot)
-    f = fact.withColumn("__salt", F.when(is_hot, (F.rand(7) * salts).cast("int")).otherwise(F.lit(0)))
+    f = fact.withColumn("__salt", F.when(is_hot, F.pmod(_row_hash(fact, 7), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     d = dim.withColumn("__salt", F.explode(
         F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return f.join(d, [key, "__salt"], how).drop("__salt")

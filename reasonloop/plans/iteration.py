@@ -30,30 +30,36 @@ class IterationResult:
 
 
 def forward_pass(problems: DataFrame, generator, k: int | None = None, profile: str = "hash_then_any",
-                 template: str = PR.FORWARD, batch_size: int = 16) -> DataFrame:
+                 template: str = PR.FORWARD, batch_size: int = 16,
+                 loader=None, loader_key: str | None = None) -> DataFrame:
     """R1 + R3: forward prompts, K generations, first correct kept."""
     prompts = problems.select("id", "question", "answer",
                               PR.render(template, question=F.col("question")).alias("prompt"))
-    return S.keep_first_correct(generate(prompts, generator, k=k, batch_size=batch_size), prompts, profile)
+    return S.keep_first_correct(generate(prompts, generator, k=k, batch_size=batch_size,
+                                         loader=loader, loader_key=loader_key), prompts, profile)
 
 
 def rationalize_pass(missed: DataFrame, generator, k: int | None = None, profile: str = "hash_then_any",
                      template: str = PR.RATIONALIZE, full_answer_hint: bool = False,
-                     batch_size: int = 16) -> DataFrame:
+                     batch_size: int = 16, loader=None, loader_key: str | None = None) -> DataFrame:
     """Hinted prompts (numeric gold, or the whole answer), K generations, first correct."""
     prompts = missed.select(
         "id", "question", "answer",
         PR.render(template, question=F.col("question"),
                   gold_final=RC.hint_final(F.col("answer"), full_answer_hint)).alias("prompt"))
-    return S.keep_first_correct(generate(prompts, generator, k=k, batch_size=batch_size), prompts, profile)
+    return S.keep_first_correct(generate(prompts, generator, k=k, batch_size=batch_size,
+                                         loader=loader, loader_key=loader_key), prompts, profile)
 
 
 def run_iteration(problems: DataFrame, forward_generator, rationalize_generator, k: int | None = None,
-                  profile: str = "hash_then_any", quarantine: bool = True) -> IterationResult:
-    """R14 over ``problems`` (``id, question, answer``)."""
-    kept = materialize(forward_pass(problems, forward_generator, k, profile), "kept")
+                  profile: str = "hash_then_any", quarantine: bool = True, loader=None,
+                  loader_key: str | None = None) -> IterationResult:
+    """R14 over ``problems`` (``id, question, answer``). ``loader`` builds one generator per
+    worker for both passes (the generator arguments are then unused)."""
+    how = {"loader": loader, "loader_key": loader_key}
+    kept = materialize(forward_pass(problems, forward_generator, k, profile, **how), "kept")
     missed = S.missed_problems(problems.select("id", "question", "answer"), kept)
-    rat = rationalize_pass(missed, rationalize_generator, k, profile)
+    rat = rationalize_pass(missed, rationalize_generator, k, profile, **how)
     cols = ["id", "question", "rationale", "final"]
     merged = S.merge_last_wins([kept.select(*cols), rat.select(*cols)])
     train = merged.select("id", RC.class_text(F.col("question"), F.col("rationale"),

@@ -72,26 +72,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "reasonloop", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df, name: str, bucket_by: str | None = None, buckets: int | None = None,
-                repartition: bool = True):
+def materialize(df, name: str):
     """Write ``df`` once under the shared checkpoint folder and return it read back.
 
     Cuts the lineage (a lost executor re-reads the table instead of recomputing its plan)
-    and lets a table that several branches of one query read be computed once. With
-    ``bucket_by`` the table is written bucketed and sorted by that key (``buckets`` defaults
-    to ``spark.sql.shuffle.partitions``), so later joins and aggregations on the key are
-    co-located: the big side is not shuffled again. ``repartition=False`` skips the
-    hash-partitioning before the write, for a frame that is already hash-partitioned by the
-    key (e.g. the output of a window partitioned by it): the write then needs no shuffle."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    if bucket_by is None:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"reasonloop_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
-    # hash-partition into the bucket count first so each task writes one bucket file
-    src = df.repartition(n, bucket_by) if repartition else df
-    (src.write.mode("overwrite").format("parquet").option("path", path)
-       .bucketBy(n, bucket_by).sortBy(bucket_by).saveAsTable(table))
-    return spark.table(table)
+    and lets a table that several branches of one query read be computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -176,3 +176,15 @@ def test_unicode_whitespace_and_digits(spark):
     assert got[0][0] == "18"            # no-break space counts as whitespace after ####
     assert got[1][1] == "12"            # Arabic-Indic digits read as a number, as Python float does
     assert got[2][2] == "7"             # em space and ideographic space are stripped
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+    from pyspark.sql import functions as F
+    from reasonloop.functions import text as X
+    n = 1_000_000
+    df = spark.createDataFrame([("a" + " " * n + "b",), ("x" * n,)], "t string")
+    began = time.time()
+    got = [(r.a, r.b) for r in df.select(F.length(X.trim_u(F.col("t"))).alias("a"),
+                                         F.length(X.last_line(F.col("t"))).alias("b")).collect()]
+    assert got == [(n + 2, n + 2), (n, n)] and time.time() - began < 10

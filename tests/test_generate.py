@@ -36,3 +36,19 @@ def test_loader_builds_generator_once_per_worker(spark):
     prompts = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "id bigint, prompt string")
     rows = generate(prompts, None, k=1, loader=loader).collect()
     assert sorted(r.text for r in rows)[0] == "loaded:p0" and len(rows) == 20
+
+
+def test_each_loader_gives_its_own_text(spark):
+    prompts = spark.createDataFrame([(i, "p") for i in range(4)], "id long, prompt string")
+    for n in range(12):
+        def loader(n=n):
+            return lambda texts, k: [[f"model {n}"] * k for _ in texts]
+        got = {r.text for r in generate(prompts, None, k=1, loader=loader).collect()}
+        assert got == {f"model {n}"}
+
+
+def test_iteration_runs_with_a_callable_at_defaults(spark):
+    from reasonloop.plans.iteration import run_iteration
+    problems = spark.createDataFrame([(1, "q", "#### 2")], "id long, question string, answer string")
+    r = run_iteration(problems, lambda t, k: [["#### 2"] * k for _ in t], lambda t, k: [["#### 2"] * k for _ in t])
+    assert r.forward.count() == 1

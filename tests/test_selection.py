@@ -122,3 +122,11 @@ def test_first_and_shortest_with_a_hot_problem(spark):
             if pid not in best or key < best[pid][0]:
                 best[pid] = (key, i)
     assert short == {k: v[1] for k, v in best.items()}
+
+
+def test_strict_backfill_refuses_an_index_outside_the_dataset(spark):
+    import pytest
+    preds = spark.createDataFrame([("hf_test_99", 0, None, None)], "id string, em int, question string, gold_answer string")
+    data = spark.createDataFrame([(0, "q", "a")], "ordinal long, question string, answer string")
+    with pytest.raises(ValueError):
+        S.collect_misses(preds, data, strict=True)
