@@ -12,6 +12,7 @@ SURVEY_IDS = (
 
 
 def test_every_operator_has_a_query_and_every_query_an_oracle():
-    assert set(C.COVERAGE) == set(E.queries()) == set(E.oracle_sql())
+    assert set(C.COVERAGE) == set(C.QUERIES) <= set(E.queries())
+    assert set(C.COVERAGE) <= set(E.oracle_sql()) <= set(E.queries())
     covered = {i.strip() for v in C.COVERAGE.values() for i in v.split(",")}
     assert set(SURVEY_IDS) <= covered, sorted(set(SURVEY_IDS) - covered)

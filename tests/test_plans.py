@@ -14,8 +14,8 @@ def plan_of(spark, df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    import __spark_entry__ as E
-    return {name: plan_of(spark, fn(spark, SF_SMALL)) for name, fn in E.queries().items()}
+    from reasonloop.plans import catalog
+    return {name: plan_of(spark, fn(spark, SF_SMALL)) for name, fn in catalog.QUERIES.items()}
 
 
 def test_no_cross_joins_anywhere(plans):
