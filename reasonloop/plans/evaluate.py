@@ -24,29 +24,31 @@ from ..operators.selection import TEST_ID_PREFIX
 from ..sources import splits as SP
 
 
-def _generate_one(prompts: DataFrame, generator, batch_size: int) -> DataFrame:
-    outs = generate(prompts.select("id", "prompt"), generator, k=1, batch_size=batch_size)
+def _generate_one(prompts: DataFrame, generator, batch_size: int, **loading) -> DataFrame:
+    outs = generate(prompts.select("id", "prompt"), generator, k=1, batch_size=batch_size, **loading)
     return prompts.join(outs.filter(F.col("cand_idx") == 1).select("id", F.col("text").alias("generated")),
                         "id", "left")
 
 
 def zero_shot_eval(problems: DataFrame, generator, template: str = PR.ZERO_SHOT,
-                   batch_size: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Zero-shot records ``id, question, generated, rationale, answer, gold, gold_extracted,
+                   batch_size: int = 16, **loading) -> tuple[DataFrame, DataFrame]:
+    """(``loading``: ``loader`` and ``loader_key`` of :func:`generate`, here and below.)
+
+    Zero-shot records ``id, question, generated, rationale, answer, gold, gold_extracted,
     em`` and the accuracy row (A2). Question and gold are resolved through their alias
     chains, so raw and class-format problem tables both work."""
     q = RC.resolve_field(problems, RC.QUESTION_ALIASES, skip_empty=False)
     gold = RC.resolve_field(problems, RC.GOLD_ALIASES)
     base = problems.select("id", q.alias("question"), gold.alias("gold"))
     prompts = base.withColumn("prompt", PR.render(template, q=F.col("question")))
-    recs = R.zero_shot_record(_generate_one(prompts, generator, batch_size), gold_col="gold")
+    recs = R.zero_shot_record(_generate_one(prompts, generator, batch_size, **loading), gold_col="gold")
     recs = recs.select("id", "question", "generated", "rationale", "answer", "gold", "gold_extracted", "em")
     return recs, R.em_accuracy_gold_only(recs)
 
 
 def batched_eval(problems: DataFrame, generator, template: str = PR.FORWARD, batch_size: int = 16,
                  num_shards: int = 1, shard_idx: int = 0, limit: int | None = None,
-                 ordinal_col: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+                 ordinal_col: str = "ordinal", **loading) -> tuple[DataFrame, DataFrame]:
     """Batched evaluation over a problem table that carries its position (``ordinal``):
     rows ``id (hf_test_<ordinal>), em, gold_answer, output`` and the accuracy row (A1)."""
     part = SP.shard(problems, num_shards, shard_idx, ordinal_col, limit=limit) if num_shards > 1 or limit \
@@ -55,19 +57,19 @@ def batched_eval(problems: DataFrame, generator, template: str = PR.FORWARD, bat
     base = part.select(F.concat(F.lit(TEST_ID_PREFIX), F.col(ordinal_col).cast("string")).alias("id"),
                        F.col("question"), gold.alias("gold_answer"))
     prompts = base.withColumn("prompt", PR.render(template, question=F.col("question")))
-    preds = _generate_one(prompts, generator, batch_size)
+    preds = _generate_one(prompts, generator, batch_size, **loading)
     preds = preds.select("id", A.em_hash_loose(F.col("gold_answer"), F.col("generated")).alias("em"),
                          "gold_answer", F.col("generated").alias("output"))
     return preds, R.em_accuracy(preds)
 
 
 def sampled_eval(problems: DataFrame, generator, template: str = PR.FORWARD,
-                 batch_size: int = 16) -> tuple[DataFrame, DataFrame]:
+                 batch_size: int = 16, **loading) -> tuple[DataFrame, DataFrame]:
     """Rows ``id, question, output, pred_final, gold_answer, em`` and the accuracy row."""
     gold = RC.resolve_field(problems, RC.GOLD_ALIASES)
     base = problems.select("id", "question", gold.alias("gold_answer"))
     prompts = base.withColumn("prompt", PR.render(template, question=F.col("question")))
-    preds = _generate_one(prompts, generator, batch_size)
+    preds = _generate_one(prompts, generator, batch_size, **loading)
     preds = preds.select("id", "question", F.col("generated").alias("output"),
                          A.extract_hash_strict(F.col("generated")).alias("pred_final"), "gold_answer",
                          A.em_hash_then_any(F.col("gold_answer"), F.col("generated")).alias("em"))
