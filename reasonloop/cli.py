@@ -22,6 +22,7 @@ from .functions import answers as A
 from .functions import records as RC
 from .operators import report as R
 from .operators import selection as S
+from .operators.ordinal import with_ordinal
 from .sources import jsonl as J
 from .sources import schemas
 
@@ -36,9 +37,17 @@ def _em_value(c):
     return F.when(t.isin("1", "true"), F.lit(1)).when(t.isin("0", "false"), F.lit(0))
 
 
-def _with_ordinal(df: DataFrame) -> DataFrame:
-    # file order: the reader keeps lines in order inside a file; files are few here
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
+def _read_ordered(spark: SparkSession, path: str, schema, missing_ok: bool = False) -> DataFrame:
+    """The rows with their ``ordinal`` in file order: by file path, offset of the split in the file and
+    position in the split (the reader keeps a split's lines in order; splits are scheduled by size)."""
+    df = J.read_jsonl(spark, path, schema, missing_ok=missing_ok)
+    names = df.columns
+    if not df.inputFiles():
+        return df.withColumn("ordinal", F.lit(None).cast("bigint"))
+    placed = df.select(*names, F.col("_metadata.file_path").alias("__file"),
+                       F.col("_metadata.file_block_start").alias("__start"),
+                       F.monotonically_increasing_id().alias("__at"))
+    return with_ordinal(placed, ["__file", "__start", "__at"]).select(*names, "ordinal")
 
 
 def rescore(spark: SparkSession, path: str, profile: str = "cascade_last") -> DataFrame:
@@ -46,7 +55,7 @@ def rescore(spark: SparkSession, path: str, profile: str = "cascade_last") -> Da
     final_answer, answer_text`` chain (``gold, answer, A, gold_answer`` for
     ``cascade_first``), prediction through ``answer, generated, final_answer`` (``generated``
     for ``cascade_first``); em NULL without a gold under ``cascade_last``."""
-    df = _with_ordinal(J.read_jsonl(spark, path, PREDICTION_FIELDS))
+    df = _read_ordered(spark, path, PREDICTION_FIELDS)
     if profile == "cascade_first":
         gold = RC.resolve_field(df, RC.GOLD_ALIASES_RESCORE)
         pred = RC.resolve_field(df, ["generated"])
@@ -84,8 +93,8 @@ def compare(spark: SparkSession, specs: list[str]) -> DataFrame:
 
 
 def build(spark: SparkSession, forward: str, rationalized: str) -> DataFrame:
-    fw = _with_ordinal(J.read_jsonl(spark, forward, schemas.KEPT_RATIONALE))
-    rt = _with_ordinal(J.read_jsonl(spark, rationalized, schemas.KEPT_RATIONALE, missing_ok=True))
+    fw = _read_ordered(spark, forward, schemas.KEPT_RATIONALE)
+    rt = _read_ordered(spark, rationalized, schemas.KEPT_RATIONALE, missing_ok=True)
     merged = S.merge_last_wins([fw, rt], order_col="ordinal")
     return merged.select("id", RC.class_text(F.col("question"), F.col("rationale"),
                                              F.col("final")).alias("text"), "pos")

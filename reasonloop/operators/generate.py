@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+from .skew import block_join
+
 
 class TableGenerator:
-    """Stored generations looked up by problem id (an equi-join; AQE picks the strategy)."""
+    """Stored generations looked up by problem id, each problem's spread by blocks of ``cand_idx``."""
 
     def __init__(self, generations: DataFrame, id_col: str = "id", idx_col: str = "cand_idx",
                  text_col: str = "text"):
@@ -34,11 +37,19 @@ class TableGenerator:
             F.col(id_col).alias("__gid"), F.col(idx_col).cast("int").alias("cand_idx"),
             F.col(text_col).alias("text"))
 
+    def rows(self, id_col: str = "id", k: int | None = None) -> DataFrame:
+        """The stored ``(id, cand_idx, text)`` themselves (the first ``k`` of a problem)."""
+        g = self.generations if k is None else self.generations.filter(F.col("cand_idx") <= k)
+        return g.withColumnRenamed("__gid", id_col)
+
+    def between(self, low, high) -> TableGenerator:
+        """The generations of ids from ``low`` to ``high``: the filter reaches the files' statistics, so a
+        table laid out by id is read in part."""
+        return TableGenerator(self.generations.filter(F.col("__gid").between(F.lit(low), F.lit(high))), "__gid")
+
     def __call__(self, prompts: DataFrame, id_col: str = "id", k: int | None = None) -> DataFrame:
-        g = self.generations
-        if k is not None:
-            g = g.filter(F.col("cand_idx") <= k)
-        return (prompts.select(F.col(id_col).alias("__gid")).join(g, "__gid")
+        g = self.rows("__gid", k)
+        return (block_join(g, prompts.select(F.col(id_col).alias("__gid")), "__gid", "cand_idx")
                 .withColumnRenamed("__gid", id_col)
                 .withColumn("error", F.lit(None).cast("string")))
 
@@ -93,3 +104,12 @@ def generate(prompts: DataFrame, generator, k: int = 1, id_col: str = "id",
                 yield pd.DataFrame(rows, columns=[id_col, "cand_idx", "text", "error"])
 
     return prompts.select(id_col, prompt_col).mapInPandas(run, out_schema)
+
+
+def candidates_for(prompts: DataFrame, generator, k: int | None = None, **how) -> DataFrame:
+    """Candidates to pick from for ``prompts``, in a form that may be read twice. Stored generations
+    are returned as they are: the pick joins its reduced rows with the prompts' gold keys, which
+    leaves out other problems. A callable runs once and its texts are written."""
+    if isinstance(generator, TableGenerator):
+        return generator.rows(k=k)
+    return materialize(generate(prompts, generator, k=k, **how), "generations")

@@ -12,9 +12,9 @@ separate exchanges, and adaptive execution may coalesce them differently, so par
 indexes would not agree between them. The checkpoint also cuts the lineage, so a lost
 executor re-reads the checkpoint instead of re-running the sort.
 
-``group_row_number`` numbers rows inside groups: ordinary groups by a window, hot groups
-(over a row threshold) by the ordinal of a row minus the smallest ordinal of its group, so
-a hot group is spread over range partitions instead of one task.
+``group_row_number`` numbers rows inside groups the same way: a position inside (range, group)
+plus the group's rows in earlier ranges, so a hot group is spread over range partitions instead
+of one task.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -66,51 +66,33 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "o
             .drop("__mid", "__pid", "__local", "__off", "__tie"))
 
 
-HOT_GROUP_ROWS = 2_000_000
-HOT_GROUP_CONF = "spark.reasonloop.hotGroupRows"   # session setting that overrides the default
-
-
-def _sorted_group_row_number(df: DataFrame, group_by: Sequence[str], order_by, name: str,
-                             base: int) -> DataFrame:
-    ordered = with_ordinal(df, [*group_by, *order_by], name="__ord")
-    firsts = ordered.groupBy(*group_by).agg(F.min("__ord").alias("__first"))
-    return (ordered.join(firsts, list(group_by))
-            .withColumn(name, (F.col("__ord") - F.col("__first") + base).cast("int"))
-            .drop("__ord", "__first"))
-
-
 def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
-                     name: str = "rn", base: int = 1,
-                     hot_group_rows: int | None = None) -> DataFrame:
+                     name: str = "rn", base: int = 1) -> DataFrame:
     """``row_number() over (partition by group_by order by order_by)`` (``base``-based)
-    that never pushes a hot group through one task.
-
-    Group sizes are estimated on a sample. Groups up to about ``hot_group_rows`` rows are
-    numbered by the ordinary window (one shuffle, each task bounded); larger groups are
-    numbered from a global range-sorted ordinal minus the group's first ordinal, which
-    spreads a hot group over many range partitions. The set of hot keys holds at most
-    about ``2 * rows / hot_group_rows`` entries. When no group is hot (one small action
-    checks it) the plan is the plain window."""
-    if hot_group_rows is None:
-        hot_group_rows = int(df.sparkSession.conf.get(HOT_GROUP_CONF, str(HOT_GROUP_ROWS)))
+    that never pushes a whole group through one task.
+
+    The frame is cut into ranges of (group, order, row hash) and written once. Rows are
+    numbered by a window over (range, group), which holds at most one range, and a group
+    that goes on from earlier ranges adds its rows there. Only the first group of a range
+    can go on from an earlier one, so these additions are at most one row per range and
+    their broadcast is bounded by the partition count, whatever the data's size."""
     keys = list(group_by)
-    window = Window.partitionBy(*keys).orderBy(*_sort_cols(order_by))
-
-    def numbered(d: DataFrame) -> DataFrame:
-        return d.withColumn(name, (F.row_number().over(window) + (base - 1)).cast("int"))
-
-    # Hot groups are found on a sample sized so that a hot group shows ~2000 sampled rows:
-    # the check reads only the key columns and shuffles a small fraction of them. Either
-    # numbering path is exact, so a group classified wrongly costs time, never correctness.
-    frac = min(1.0, 2000.0 / hot_group_rows)
-    probe = df.select(*keys)
-    if frac < 1.0:
-        probe = probe.sample(fraction=frac, seed=11)
-    sizes = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gsize"))
-    hot = sizes.filter(F.col("__gsize") >= F.lit(hot_group_rows * frac / 2)).select(*keys)
-    if not hot.take(1):
-        return numbered(df)
-    cold_rows = df.join(hot, keys, "left_anti")
-    hot_rows = df.join(hot, keys, "left_semi")
-    return numbered(cold_rows).unionByName(
-        _sorted_group_row_number(hot_rows, keys, order_by, name, base))
+    order = _sort_cols(order_by)
+    cut = (df.withColumn("__tie", F.struct(_row_hash(df).alias("h"), F.monotonically_increasing_id().alias("i")))
+           .repartitionByRange(*[F.col(k) for k in keys], *order, F.col("__tie"))
+           .withColumn("__pid", F.spark_partition_id()))
+    cut = materialize(cut, "ranges")
+    counts = cut.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    # one row per range that a group touches: the window holds at most one row per range
+    before = counts.withColumn("__before", F.sum("__n").over(
+        Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = before.filter(F.col("__before") > 0).select(
+        F.col("__pid").alias("__cpid"), *[F.col(k).alias(f"__c{i}") for i, k in enumerate(keys)], "__before")
+    same = F.col("__pid") == F.col("__cpid")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__c{i}"))
+    window = Window.partitionBy("__pid", *keys).orderBy(*order, F.col("__tie"))
+    numbered = cut.withColumn("__in", F.row_number().over(window))
+    return (numbered.join(F.broadcast(carried), same, "left")
+            .withColumn(name, (F.coalesce("__before", F.lit(0)) + F.col("__in") + (base - 1)).cast("int"))
+            .select(*df.columns, name))

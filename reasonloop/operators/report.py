@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions.records import rationale_from_generation
 from ..functions.text import trim_u
-from .skew import salted_join
+from .skew import block_join
 
 
 def _c(c) -> Column:
@@ -62,13 +62,19 @@ def compare_experiments(runs: dict[str, DataFrame], em_col: str = "em",
         t = df.select(F.lit(label).alias("label"), _c(em_col).cast("int").alias("em"),
                       _c(text_col).alias("generated"))
         u = t if u is None else u.unionByName(t)
-    em = F.col("em")
-    return u.groupBy("label").agg(
+    return compare_labels(u)
+
+
+def compare_labels(df: DataFrame, label_col: str = "label", em_col: str = "em",
+                   text_col: str = "generated") -> DataFrame:
+    """A5 over one table of predictions with a ``label`` column: one pass for any number of labels."""
+    em = _c(em_col).cast("int")
+    return df.groupBy(label_col).agg(
         F.count(F.lit(1)).alias("total"),
         F.count(em).alias("n_gold"),
         F.coalesce(F.sum(em), F.lit(0)).cast("bigint").alias("correct"),
         F.coalesce(F.avg(em), F.lit(0.0)).alias("accuracy"),
-        F.count_if(F.coalesce(F.contains(F.col("generated"), F.lit("####")), F.lit(False)))
+        F.count_if(F.coalesce(F.contains(_c(text_col), F.lit("####")), F.lit(False)))
          .alias("parse_ok"))
 
 
@@ -88,23 +94,34 @@ def stage_report(run: str, metrics: Sequence[tuple[str, str, DataFrame, Column]]
 
 # ---- running totals (A8) ------------------------------------------------------
 
+def _offsets(totals: DataFrame, block_col: str, value_cols: Sequence[str], block_size: int,
+             n_blocks: int) -> DataFrame:
+    """Per block the sums of ``value_cols`` over all earlier blocks (``__o_*``)."""
+    if n_blocks <= block_size:
+        before = Window.orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(block_col, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__o_{c}")
+                                          for c in value_cols])
+    upto = running_totals(totals, block_col, value_cols, block_size)
+    return upto.select(block_col, *[(F.col(f"cum_{c}") - F.col(c)).alias(f"__o_{c}") for c in value_cols])
+
+
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    block_size: int = 4096) -> DataFrame:
-    """Prefix sums of ``value_cols`` along an integer ``order_col`` without a global
-    single-partition window: block totals (one row per ``block_size`` keys) get their own
-    prefix sum, then each block runs a window of at most ``block_size`` rows."""
-    blk = F.floor(F.col(order_col) / F.lit(block_size))
-    d = df.withColumn("__blk", blk)
-    totals = d.groupBy("__blk").agg(*[F.sum(c).alias(f"__t_{c}") for c in value_cols])
-    w_blocks = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__blk", *[
-        F.coalesce(F.sum(f"__t_{c}").over(w_blocks), F.lit(0)).alias(f"__o_{c}")
-        for c in value_cols])
-    w_in = Window.partitionBy("__blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.join(offsets, "__blk")
+    """Prefix sums of ``value_cols`` along an integer ``order_col`` (one row per value) without
+    a global window: every block of ``block_size`` values runs its own window, and the block
+    totals are summed the same way, level over level, until one block holds them all. No window at any level holds more than
+    ``block_size`` rows. ``df`` is read once per level and should be a stored table."""
+    blk = f"__blk_{order_col}"
+    d = df.withColumn(blk, F.floor(F.col(order_col) / F.lit(block_size)))
+    totals = d.groupBy(blk).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in value_cols])
+    ends = df.agg(F.min(order_col), F.max(order_col)).first()
+    n_blocks = 0 if ends[0] is None else ends[1] // block_size - ends[0] // block_size + 1
+    offsets = _offsets(totals, blk, value_cols, block_size, n_blocks)
+    inside = Window.partitionBy(blk).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(offsets, blk)
     for c in value_cols:
-        out = out.withColumn(f"cum_{c}", F.col(f"__o_{c}") + F.sum(c).over(w_in))
-    return out.drop("__blk", *[f"__o_{c}" for c in value_cols])
+        out = out.withColumn(f"cum_{c}", F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.drop(blk, *[f"__o_{c}" for c in value_cols])
 
 
 def progress_counters(batch_stats: DataFrame, every: int = 10, batch_col: str = "batch_id",
@@ -138,7 +155,7 @@ def loss_rollup(log: DataFrame, run_col: str = "run", phase_col: str = "phase",
 
 # ---- L1 / L2 / L3 -------------------------------------------------------------
 
-def top_mismatches(df: DataFrame, n: int, em_col: str = "em", order_col: str = "ordinal",
+def top_mismatches(df: DataFrame, n: int, em_col: str = "em", order_col: str | list[str] = "ordinal",
                    group_by: Sequence[str] = ()) -> DataFrame:
     """L1: the first ``n`` rows with em = 0 in source order (per group when given)."""
     miss = df.filter(F.coalesce(_c(em_col).cast("int"), F.lit(-1)) == 0)
@@ -154,19 +171,20 @@ def mismatch_export(scored: DataFrame, em_col: str = "em") -> DataFrame:
 
 
 def zero_shot_record(df: DataFrame, generated_col: str = "generated", gold_col: str = "gold",
-                     golds: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+                     golds: DataFrame | None = None, id_col: str = "id",
+                     idx_col: str = "cand_idx") -> DataFrame:
     """L3: one wide prediction row — stripped generation, rationale (all non-blank lines but
     the last), extracted answer (X3), gold, extracted gold and M3 em (NULL when the gold
     extracts to "").
 
     With ``golds`` (``id, gold`` and any other per-problem columns) the gold side is
-    extracted once per problem and joined to the generations; otherwise ``df`` carries the
-    gold itself."""
+    extracted once per problem and joined to the generations, spread by their ``idx_col``;
+    otherwise ``df`` carries the gold itself."""
     if golds is not None:
         g = golds.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
         g = A.with_extracted(g, "cascade_last", "gold", "gold_extracted")
         g = A.with_normalized(g, "integral", "gold_extracted", "__gn")
-        staged = salted_join(df, g, id_col)
+        staged = block_join(df, g, id_col, idx_col)
     else:
         staged = df.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
         staged = A.with_extracted(staged, "cascade_last", "gold", "gold_extracted")

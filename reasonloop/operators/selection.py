@@ -1,8 +1,10 @@
 """Candidate selection, keyed merges and set operations.
 
-All picks are aggregates (``min_by`` / ``max_by`` over an explicit ordering key), not
-windows: Spark pre-aggregates them map-side, so a problem with a huge number of
-candidates never lands whole in one task, and the result does not depend on row order.
+All picks are hash aggregates over the candidate index alone (``cand_idx`` numbers the
+candidates of a problem, no two alike): Spark pre-aggregates them map-side, so a problem with
+a huge number of candidates never lands whole in one task, and no text is sorted or
+carried through an aggregation. The winner's text is fetched by ``(id, cand_idx)``. Candidate
+tables are therefore read twice and should be stored tables.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from .skew import salted_join
+from .skew import block_join
 
 
 # Fixed value: the id prefix of test problems numbered by their position in the split.
@@ -26,17 +28,37 @@ def _c(c) -> Column:
 
 # ---- R2 -------------------------------------------------------------------
 
+def _with_text(picks: DataFrame, cands: DataFrame, idx: str, out: str, id_col: str = "id",
+               idx_col: str = "cand_idx", text_col: str = "text") -> DataFrame:
+    """``picks`` with the text of the candidate its column ``idx`` names, as ``out``. Pairs of id and
+    index are distinct, so a problem with many candidates is spread by the pair."""
+    texts = cands.select(F.col(id_col).alias("__tid"), F.col(idx_col).alias("__tidx"), F.col(text_col).alias(out))
+    return picks.join(texts, (F.col(id_col) == F.col("__tid")) & (F.col(idx) == F.col("__tidx"))).drop("__tid", "__tidx")
+
+
 def regroup_candidates(cands: DataFrame, id_col: str = "id", idx_col: str = "cand_idx",
                        text_col: str = "text") -> DataFrame:
     """R2 summary form: per problem the candidate count and the first / last candidate
     (by index). The long table stays the canonical layout: no per-problem array is built."""
-    return cands.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("n_candidates"),
-        F.min(idx_col).alias("first_idx"),
-        F.max(idx_col).alias("last_idx"),
-        F.min_by(_c(text_col), _c(idx_col)).alias("first_text"),
-        F.max_by(_c(text_col), _c(idx_col)).alias("last_text"),
-    )
+    ends = cands.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_candidates"), F.min(idx_col).alias("first_idx"),
+                                     F.max(idx_col).alias("last_idx"))
+    first = _with_text(ends, cands, "first_idx", "first_text", id_col, idx_col, text_col)
+    return _with_text(first, cands, "last_idx", "last_text", id_col, idx_col, text_col)
+
+
+def last_candidates(cands: DataFrame, id_col: str = "id", idx_col: str = "cand_idx",
+                    text_col: str = "text") -> DataFrame:
+    """``(id, last_idx, text)``: each problem's last candidate."""
+    ends = cands.groupBy(id_col).agg(F.max(idx_col).alias("last_idx"))
+    return _with_text(ends, cands, "last_idx", "text", id_col, idx_col, text_col)
+
+
+def regroup_flat(texts: DataFrame, k: int, pos_col: str = "pos", text_col: str = "text") -> DataFrame:
+    """R2 positional form: a flat list of K texts per prompt (0-based ``pos``) to
+    ``(prompt_idx, cand_idx, text)``; text ``j * k + i`` is candidate ``i + 1`` of prompt ``j``."""
+    p = F.col(pos_col)
+    return texts.select(F.floor(p / F.lit(k)).cast("bigint").alias("prompt_idx"),
+                        (F.pmod(p, F.lit(k)) + 1).cast("int").alias("cand_idx"), F.col(text_col).alias("text"))
 
 
 def flatten_candidates(grouped: DataFrame, id_col: str = "id", texts_col: str = "texts") -> DataFrame:
@@ -68,44 +90,51 @@ def _scored(cands: DataFrame, keys: DataFrame, profile: str, id_col: str, text_c
 
 def score_candidates(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
                      id_col: str = "id", gold_col: str = "answer", text_col: str = "text",
-                     em_col: str = "em") -> DataFrame:
+                     em_col: str = "em", idx_col: str = "cand_idx") -> DataFrame:
     """Each candidate with the EM of its text against its problem's gold. The gold side is
-    normalised once per problem and only ``(id, key)`` is joined to the candidates, with hot
-    problem ids salted."""
+    normalised once per problem and only ``(id, key)`` is joined to the candidates, each
+    problem's spread by blocks of ``idx_col``."""
     p = A.with_pred_key(cands, profile, text_col, "__pk")
-    j = salted_join(p, gold_keys(problems, profile, id_col, gold_col), id_col)
+    j = block_join(p, gold_keys(problems, profile, id_col, gold_col), id_col, idx_col)
     return j.withColumn(em_col, A.em_from_keys(profile, "__gk", "__pk")).drop("__gk", "__pk")
 
 
 # ---- R3 / R5 ----------------------------------------------------------------
 
-def best_matching(cands: DataFrame, keys: DataFrame, profile: str, order_key: Column,
-                  id_col: str = "id", idx_col: str = "cand_idx", text_col: str = "text") -> DataFrame:
-    """``(id, cand_idx, text)`` of the matching candidate that is smallest by ``order_key``.
+_INDEX_BITS = 32
+
+
+def best_index(cands: DataFrame, keys: DataFrame, profile: str, shortest: bool = False,
+               id_col: str = "id", idx_col: str = "cand_idx", text_col: str = "text") -> DataFrame:
+    """``(id, cand_idx)`` and the other columns of ``keys``: the matching candidate with the
+    lowest index, or the shortest one (ties to the lowest index).
 
     Under every profile a candidate matches exactly when its prediction key equals the
     problem's (non-NULL) gold key. So the prediction key is computed map-side, candidates
-    are reduced per ``(id, key)`` (partial aggregation collapses equal predictions before
-    the shuffle, distinct ones spread over partitions by the pair), and one equi-join on
-    ``(id, key) = (id, gold key)`` keeps the matching group. A problem with a third of all
-    candidates never lands in one task, and nothing is aggregated after the join."""
+    are reduced per ``(id, key)`` to one number (length and index share a long), and one
+    equi-join on ``(id, key) = (id, gold key)`` keeps the matching group. Partial aggregation
+    collapses equal predictions before the shuffle and distinct ones spread by the pair; a
+    problem with a third of all candidates never lands in one task.
+
+    Both keys get a leading mark, a missing prediction is the empty text and a missing gold ``!``, so
+    they never meet and no null filter (which would run the extraction a second time) is pushed
+    below the projection."""
+    idx = F.col(idx_col).cast("bigint")
+    rank = F.shiftleft(F.coalesce(F.length(text_col), F.lit(0)).cast("bigint"), _INDEX_BITS) + idx if shortest else idx
     p = A.with_pred_key(cands.select(id_col, idx_col, text_col), profile, text_col, "__pk")
-    best = (p.filter(F.col("__pk").isNotNull())
-            .groupBy(id_col, "__pk")
-            .agg(F.min_by(F.struct(F.col(idx_col).alias("cand_idx"), F.col(text_col).alias("text")),
-                          order_key).alias("b")))
-    gold = keys.filter(F.col("__gk").isNotNull()).withColumnRenamed("__gk", "__pk")
+    best = (p.select(id_col, rank.alias("__rank"), F.coalesce(F.concat(F.lit("="), F.col("__pk")), F.lit("")).alias("__pk"))
+            .groupBy(id_col, "__pk").agg(F.min("__rank").alias("__rank")))
+    gold = keys.withColumn("__pk", F.coalesce(F.concat(F.lit("="), F.col("__gk")), F.lit("!"))).drop("__gk")
     extra = [c for c in gold.columns if c not in (id_col, "__pk")]
-    return best.join(gold, [id_col, "__pk"]).select(id_col, "b.cand_idx", "b.text", *extra)
+    found = F.col("__rank").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1)) if shortest else F.col("__rank")
+    return best.join(gold, [id_col, "__pk"]).select(id_col, found.cast("int").alias("cand_idx"), *extra)
 
 
-def first_correct_index(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
-                        id_col: str = "id", idx_col: str = "cand_idx", text_col: str = "text",
-                        gold_col: str = "answer") -> DataFrame:
-    """``(id, cand_idx, rationale)`` of the lowest-index matching candidate per problem."""
-    keys = gold_keys(problems, profile, id_col, gold_col)
-    best = best_matching(cands, keys, profile, F.col(idx_col), id_col, idx_col, text_col)
-    return best.withColumnRenamed("text", "rationale")
+def best_matching(cands: DataFrame, keys: DataFrame, profile: str, shortest: bool = False,
+                  id_col: str = "id", idx_col: str = "cand_idx", text_col: str = "text") -> DataFrame:
+    """:func:`best_index` with the winner's ``text``."""
+    best = best_index(cands, keys, profile, shortest, id_col, idx_col, text_col)
+    return _with_text(best, cands, "cand_idx", "text", id_col, idx_col, text_col)
 
 
 def keep_first_correct(cands: DataFrame, problems: DataFrame, profile: str = "hash_then_any",
@@ -114,12 +143,11 @@ def keep_first_correct(cands: DataFrame, problems: DataFrame, profile: str = "ha
     """Per problem the lowest-index candidate whose text matches the gold.
 
     Output ``id, question, rationale, final, cand_idx`` (``final`` is the gold text).
-    Question and gold text ride on the per-problem side of the ``(id, key)`` join, so no
-    second join is needed."""
+    Question and gold text ride on the per-problem side of the ``(id, key)`` join."""
     probs = problems.select(id_col, F.col(question_col).alias("question"),
                             F.col(gold_col).alias("final"))
     keys = gold_keys(probs, profile, id_col, "final", carry=["question", "final"])
-    best = best_matching(cands, keys, profile, F.col(idx_col), id_col, idx_col, text_col)
+    best = best_matching(cands, keys, profile, False, id_col, idx_col, text_col)
     return best.select(id_col, "question", F.col("text").alias("rationale"), "final", "cand_idx")
 
 
@@ -130,26 +158,32 @@ def missed_problems(problems: DataFrame, kept: DataFrame, id_col: str = "id") ->
 
 # ---- R6 -----------------------------------------------------------------------
 
-def merge_last_wins(sources: Sequence[DataFrame], id_col: str = "id",
-                    order_col: str | None = None) -> DataFrame:
+def merge_last_wins(sources: Sequence[DataFrame], order_col: str, id_col: str = "id") -> DataFrame:
     """Keyed union where a later row replaces an earlier one (later source, or later
     position in the same source); each id keeps the position of its first sighting.
 
-    ``order_col`` is the row position inside a source (defaults to ``id_col``). Output has
-    the sources' columns plus ``src`` and ``pos`` (struct of source and position of the
-    first sighting), so ``orderBy('pos')`` restores the merged order."""
-    order_col = order_col or id_col
+    ``order_col`` is the row's position inside a source; rows of one id and source have
+    different ones. Output has the sources' columns plus ``src`` and ``pos`` (struct of source
+    and position of the first sighting), so ``orderBy('pos')`` restores the merged order. The
+    positions are reduced alone; the winning rows are fetched by id, source and position."""
     cols = sources[0].columns
     tagged = None
     for i, s in enumerate(sources):
         t = s.select(*cols).withColumn("__src", F.lit(i)).withColumn("__ord", F.col(order_col))
         tagged = t if tagged is None else tagged.unionByName(t)
-    rank = F.struct(F.col("__src"), F.col("__ord"))
-    payload = F.struct(*[F.col(c) for c in cols if c != id_col], F.col("__src").alias("src"))
-    merged = tagged.groupBy(id_col).agg(F.max_by(payload, rank).alias("r"),
-                                        F.min(rank).alias("pos"))
-    keep = [F.col(f"r.{c}") for c in cols if c != id_col]
-    return merged.select(id_col, *keep, F.col("r.src").alias("src"), "pos")
+    at = [F.when(F.col("__src") == i, F.col("__ord")) for i in range(len(sources))]
+    ends = tagged.groupBy(F.col(id_col).alias("__id")).agg(
+        *[F.min(c).alias(f"__lo{i}") for i, c in enumerate(at)],
+        *[F.max(c).alias(f"__hi{i}") for i, c in enumerate(at)])
+    seen = [(i, F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in range(len(sources))]
+    first = F.coalesce(*[F.when(lo.isNotNull(), F.struct(F.lit(i).alias("__src"), lo.alias("__ord"))) for i, lo, _ in seen])
+    last_src = F.coalesce(*[F.when(hi.isNotNull(), F.lit(i)) for i, _, hi in reversed(seen)])
+    last_ord = F.coalesce(*[hi for _, _, hi in reversed(seen)])
+    winners = ends.select("__id", first.alias("pos"), last_src.alias("__wsrc"), last_ord.alias("__word"))
+    won = (F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__src") == F.col("__wsrc"))
+           & (F.col("__ord") == F.col("__word")))
+    return tagged.join(winners, won).select(
+        id_col, *[c for c in cols if c != id_col], F.col("__src").alias("src"), "pos")
 
 
 # ---- R7 -----------------------------------------------------------------------
@@ -205,13 +239,16 @@ def collect_misses(preds: DataFrame, dataset: DataFrame | None = None, id_col: s
 
 # ---- R8 / R9 / R10 ------------------------------------------------------------
 
+def _retried(misses: DataFrame, outputs: DataFrame, profile: str, id_col: str, text_col: str) -> DataFrame:
+    """Misses with their output and its ``__em``; question and gold ride on the key table."""
+    keys = gold_keys(misses, profile, id_col, "gold_answer", carry=["question", "gold_answer"])
+    return _scored(outputs.select(id_col, F.col(text_col).alias("output")), keys, profile, id_col, "output", "__em")
+
+
 def retry_keep_correct(misses: DataFrame, outputs: DataFrame, profile: str = "hash_loose",
                        id_col: str = "id", text_col: str = "text") -> DataFrame:
     """One output per miss, kept only when it matches the gold; ``em_after`` true."""
-    keys = gold_keys(misses, profile, id_col, "gold_answer")
-    hits = _scored(outputs.select(id_col, F.col(text_col).alias("output")), keys, profile, id_col,
-                   "output", "__em").filter(A.is_match("__em"))
-    return (misses.select(id_col, "question", "gold_answer").join(hits.select(id_col, "output"), id_col)
+    return (_retried(misses, outputs, profile, id_col, text_col).filter(A.is_match("__em"))
             .select(id_col, "question", "gold_answer", "output", F.lit(True).alias("em_after")))
 
 
@@ -220,8 +257,7 @@ def retry_shortest_correct(misses: DataFrame, outputs: DataFrame, profile: str =
                            text_col: str = "text") -> DataFrame:
     """Among the K outputs that match, the shortest text; ties go to the earliest."""
     keys = gold_keys(misses, profile, id_col, "gold_answer", carry=["question", "gold_answer"])
-    best = best_matching(outputs, keys, profile, F.struct(F.length(text_col), F.col(idx_col)),
-                         id_col, idx_col, text_col)
+    best = best_matching(outputs, keys, profile, True, id_col, idx_col, text_col)
     return best.select(id_col, "question", "gold_answer", F.col("text").alias("output"), "cand_idx",
                        F.lit(True).alias("em_after"))
 
@@ -229,10 +265,7 @@ def retry_shortest_correct(misses: DataFrame, outputs: DataFrame, profile: str =
 def retry_flag_all(misses: DataFrame, outputs: DataFrame, profile: str = "hash_loose",
                    id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Every output kept with ``em_after`` true/false."""
-    keys = gold_keys(misses, profile, id_col, "gold_answer")
-    scored = _scored(outputs.select(id_col, F.col(text_col).alias("output")), keys, profile, id_col,
-                     "output", "__em")
-    return (misses.select(id_col, "question", "gold_answer").join(scored, id_col)
+    return (_retried(misses, outputs, profile, id_col, text_col)
             .select(id_col, "question", "gold_answer", "output", A.is_match("__em").alias("em_after")))
 
 

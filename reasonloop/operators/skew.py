@@ -1,51 +1,38 @@
-"""Salted equi-join for a fact table whose join key may be hot.
+"""Equi-join of rows that carry a position inside their key, spread by blocks of positions.
 
 Many-to-one joins (every candidate with its problem's gold key) put all rows of one key
-into one task. Here the fact side is sampled for hot keys (as in
-:func:`reasonloop.operators.ordinal.group_row_number`). When there are some, and no more
-than ``max_hot_keys`` (a checked bound: the list is collected and shipped as a literal set),
-the rows of each hot key are spread over ``salts`` sub-keys by a hash of the row (the same
-in every run of a task, so a repeated task moves no row), and only the hot keys' rows of the other side are repeated once per
-sub-key; every fact row meets its key's other-side row under whatever sub-key it draws, so
-the result does not depend on the draw. Other keys join as
-usual. Beyond the bound the plain join is used and adaptive execution's skew split is the
-fallback.
+into one task. Here a row's sub-key is the block of its position inside the key
+(``cand_idx div block``): a key with a third of all rows gets as many sub-keys as it has
+blocks, any other key gets one. The other side's row is repeated once per block that
+occurs, so every row meets it under its own sub-key. One plan serves all sizes: nothing is
+sampled, collected or drawn at random, and a task run again sends every row the same way.
+
+``fact`` is read twice (once for its distinct ``(key, block)`` pairs, which are reduced
+map-side), so it should be a stored table or cheap to scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import HOT_GROUP_CONF, HOT_GROUP_ROWS, _row_hash
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int, max_keys: int) -> list | None:
-    """Keys with about ``hot_rows`` rows or more (sampled); ``None`` when there are more than
-    ``max_keys`` of them."""
-    frac = min(1.0, 2000.0 / hot_rows)
-    probe = df.select(key)
-    if frac < 1.0:
-        probe = probe.sample(fraction=frac, seed=23)
-    hot = (probe.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-           .filter(F.col("__n") >= F.lit(hot_rows * frac / 2)).select(key))
-    rows = hot.limit(max_keys + 1).collect()
-    if len(rows) > max_keys:
-        return None
-    return [r[0] for r in rows if r[0] is not None]
-
-
-def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
-                salts: int = 32, hot_rows: int | None = None, max_hot_keys: int = 10_000) -> DataFrame:
-    """``fact.join(dim, key, how)`` with hot keys of ``fact`` salted (``how`` is ``inner`` or
-    ``left``; ``dim`` holds at most one row per key)."""
-    if hot_rows is None:
-        hot_rows = int(fact.sparkSession.conf.get(HOT_GROUP_CONF, str(HOT_GROUP_ROWS)))
-    hot = hot_keys(fact, key, hot_rows, max_hot_keys)
-    if not hot:
-        return fact.join(dim, key, how)
-    is_hot = F.col(key).isin(hot)
-    f = fact.withColumn("__salt", F.when(is_hot, F.pmod(_row_hash(fact, 7), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-    d = dim.withColumn("__salt", F.explode(
-        F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return f.join(d, [key, "__salt"], how).drop("__salt")
+#: rows of one key that may meet in one task
+BLOCK_ROWS = 100_000
+BLOCK_CONF = "spark.reasonloop.blockRows"   # session setting that overrides the default
+
+
+def block_of(position: str | Column, block: int) -> Column:
+    p = F.col(position) if isinstance(position, str) else position
+    return F.coalesce(F.floor(p / F.lit(block)).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def block_join(fact: DataFrame, dim: DataFrame, key: str, position: str | Column = "cand_idx",
+               how: str = "inner", block: int | None = None) -> DataFrame:
+    """``fact.join(dim, key, how)`` with each key's rows spread by blocks of ``position``
+    (``how`` is ``inner`` or ``left``; ``dim`` holds at most one row per key). A NULL position
+    counts as block 0."""
+    if block is None:
+        block = int(fact.sparkSession.conf.get(BLOCK_CONF, str(BLOCK_ROWS)))
+    f = fact.withColumn("__block", block_of(position, block))
+    blocks = f.select(key, "__block").distinct()
+    return f.join(blocks.join(dim, key), [key, "__block"], how).drop("__block")

@@ -12,9 +12,9 @@ from ..functions import records as RC
 from ..operators import batches as B
 from ..operators import report as R
 from ..operators import selection as S
-from ..operators.generate import TableGenerator, generate
+from ..operators.generate import TableGenerator, candidates_for
 from ..operators.ordinal import with_ordinal
-from ..operators.skew import salted_join
+from ..operators.skew import block_join
 from ..session import materialize, scratch_path
 from ..sources import jsonl as J
 from ..sources import splits as SP
@@ -29,14 +29,14 @@ PREV_RETRY_SHIFT = 0    # the previous iteration's greedy retry output: last can
 def keep_first_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 with the ``hash_then_any`` profile: first correct candidate per problem."""
     fx = FX.Tables(spark, sf_dir)
-    return S.keep_first_correct(fx.candidates(), fx.problems)
+    return S.keep_first_correct(fx.candidates(), fx.problems_once)
 
 
 def greedy_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 over a greedy evaluation: each problem's first candidate scored with
     ``hash_loose``; problems with no candidate count as wrong."""
-    fx = FX.Tables(spark, sf_dir)
-    probs = fx.problems
+    fx = FX.Tables(spark, sf_dir, shared_lines=False)
+    probs = fx.problems_once
     first = fx.candidates().filter(F.col("cand_idx") == 1)
     preds = probs.join(first.select("id", "text"), "id", "left").withColumn(
         "em", A.em_hash_loose(F.col("answer"), F.col("text")))
@@ -66,13 +66,12 @@ def _rationalize(fx: FX.Tables, missed):
         PR.render(PR.RATIONALIZE, question=F.col("question"),
                   gold_final=RC.hint_final(F.col("answer"))).alias("prompt"))
     gen = TableGenerator(fx.candidates(RATIONALIZE_SHIFT))
-    outs = generate(prompts, gen, k=None)
-    return S.keep_first_correct(outs, prompts)
+    return S.keep_first_correct(candidates_for(prompts, gen), prompts)
 
 
 def rationalize_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rationalised kept rows for the forward misses."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     _, _, missed = _forward_and_missed(fx)
     return _rationalize(fx, missed)
 
@@ -81,7 +80,7 @@ def one_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R14 + R6 + P5 + P10: forward, rationalise the misses, merge (rationalised rows win),
     class-format text, format gate — the generic iteration with stored generations."""
     from .iteration import run_iteration
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     res = run_iteration(fx.problems, TableGenerator(fx.candidates()),
                         TableGenerator(fx.candidates(RATIONALIZE_SHIFT)))
     return res.train
@@ -91,37 +90,38 @@ def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 on overlapping sources: first-correct picks over the forward candidates and over
     the shifted candidates for *all* problems; the later source wins per id, the position
     of the first sighting is kept."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     probs = fx.problems
     a = S.keep_first_correct(fx.candidates(), probs)
     b = S.keep_first_correct(fx.candidates(RATIONALIZE_SHIFT), probs)
-    m = S.merge_last_wins([a.select("id", "rationale", "cand_idx"),
-                           b.select("id", "rationale", "cand_idx")])
+    m = S.merge_last_wins([materialize(d.select("id", "rationale", "cand_idx"), "merge-source") for d in (a, b)],
+                          order_col="id")
     return m.select("id", "rationale", "cand_idx", "src",
                     F.col("pos.__src").alias("first_src"), F.col("pos.__ord").alias("first_pos"))
 
 
-def _misses_for_retry(fx: FX.Tables):
+def _misses_for_retry(fx: FX.Tables, shared: bool = False):
+    """``shared``: several branches read the misses, so they are written."""
     _, _, missed = _forward_and_missed(fx)
-    return missed.select("id", "question", F.col("answer").alias("gold_answer"))
+    missed = missed.select("id", "question", F.col("answer").alias("gold_answer"))
+    return materialize(missed, "misses") if shared else missed
 
 
 def _greedy_retry_outputs(fx: FX.Tables, shift: int):
     """One stored greedy output per problem: its last candidate (R2 pick) of a shifted set."""
-    g = S.regroup_candidates(fx.candidates(shift))
-    return g.select("id", F.col("last_text").alias("text"))
+    return S.last_candidates(fx.candidates(shift)).select("id", "text")
 
 
 def retry_keep_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hinted greedy output per miss, kept when the ``hash_loose`` match holds."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     misses = _misses_for_retry(fx)
     return S.retry_keep_correct(misses, _greedy_retry_outputs(fx, RETRY_SHIFT))
 
 
 def retry_shortest_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best of K retries per miss — the shortest matching text, ties to the earliest."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     misses = _misses_for_retry(fx)
     outs = fx.candidates(RATIONALIZE_SHIFT)
     return S.retry_shortest_correct(misses, outs)
@@ -130,11 +130,11 @@ def retry_shortest_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 vs R9 on all problems (``hash_then_any``): the problems whose first correct and
     shortest correct candidates differ."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     keys = S.gold_keys(fx.problems, "hash_then_any")
     cands = fx.candidates()
-    first = S.best_matching(cands, keys, "hash_then_any", F.col("cand_idx"))
-    short = S.best_matching(cands, keys, "hash_then_any", F.struct(F.length("text"), F.col("cand_idx")))
+    first = S.best_index(cands, keys, "hash_then_any")
+    short = S.best_index(cands, keys, "hash_then_any", shortest=True)
     return (first.select("id", F.col("cand_idx").alias("first_idx"))
             .join(short.select("id", F.col("cand_idx").alias("shortest_idx")), "id")
             .filter(F.col("first_idx") != F.col("shortest_idx")))
@@ -142,7 +142,7 @@ def shortest_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retry_flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain-prompt greedy retry, every output kept with ``em_after``."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     misses = _misses_for_retry(fx)
     return S.retry_flag_all(misses, _greedy_retry_outputs(fx, RETRY_SHIFT))
 
@@ -155,8 +155,8 @@ def _retry_rows(fx: FX.Tables, shift, misses, keep_all):
 def train_set_correct_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """This iteration's kept retries with an extractable final, bag-unioned with the
     previous iteration's set (no dedupe)."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
-    misses = _misses_for_retry(fx)
+    fx = FX.Tables(spark, sf_dir)
+    misses = _misses_for_retry(fx, shared=True)
     prev = S.training_rows(_retry_rows(fx, PREV_RETRY_SHIFT, misses, False))
     cur = S.training_rows(_retry_rows(fx, RETRY_SHIFT, misses, False))
     return S.cumulative_training_set(cur, prev)
@@ -164,8 +164,8 @@ def train_set_correct_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_set_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every retry row (answer "" when no final), bag-unioned with the previous set."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
-    misses = _misses_for_retry(fx)
+    fx = FX.Tables(spark, sf_dir)
+    misses = _misses_for_retry(fx, shared=True)
     prev = S.training_rows(_retry_rows(fx, PREV_RETRY_SHIFT, misses, True),
                            correct_only=False)
     cur = S.training_rows(_retry_rows(fx, RETRY_SHIFT, misses, True),
@@ -193,7 +193,7 @@ def _greedy_predictions(fx: FX.Tables):
 def collect_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misses of the greedy evaluation, question and gold backfilled from the dataset
     by the index parsed from the id."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=False)
     preds = _greedy_predictions(fx)
     dataset = fx.problems.select(F.col("id").alias("ordinal"), "question", "answer")
     return S.collect_misses(preds, dataset)
@@ -201,7 +201,7 @@ def collect_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1, X2, X2f, X3, X4 (both cue lists), X5 over every candidate text."""
-    fx = FX.Tables(spark, sf_dir)
+    fx = FX.Tables(spark, sf_dir, shared_lines=False)
     c = fx.candidates()
     t = F.col("text")
     return c.select("id", "cand_idx",
@@ -218,12 +218,12 @@ def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1-M4 and the N1-N4 normalisations over every (candidate, gold) pair. Gold keys are
     computed once per problem; the extracted prediction values double as the M3/M4 keys."""
     fx = FX.Tables(spark, sf_dir)
-    probs = fx.problems.select("id", "answer")
+    probs = fx.problems_once.select("id", "answer")
     keys = A.with_gold_key(probs, "hash_loose", "answer", "gk_loose")
     keys = A.with_gold_key(keys, "hash_then_any", "answer", "gk_any")
     keys = A.with_gold_key(keys, "cascade_last", "answer", "gk_last")
     keys = A.with_gold_key(keys, "cascade_first", "answer", "gk_first").drop("answer")
-    d = salted_join(fx.candidates(), keys, "id")
+    d = block_join(fx.candidates(), keys, "id")
     d = A.with_cascades(d, "text", {"cascade_last": "x3", "cascade_first": "x4"})
     d = A.with_normalized(d, "integral", "x3", "n_integral")
     d = A.with_normalized(d, "rounded", "x4", "n_rounded")
@@ -244,7 +244,7 @@ def zero_shot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3 + A3: wide zero-shot prediction rows (P8 rationale, X3 answer, M3 em) re-scored
     from stored generations (every candidate against its problem's gold)."""
     fx = FX.Tables(spark, sf_dir)
-    probs = fx.problems.select("id", "question", F.col("answer").alias("gold"))
+    probs = fx.problems_once.select("id", "question", F.col("answer").alias("gold"))
     gens = fx.candidates().select("id", "cand_idx", F.col("text").alias("generated"))
     recs = R.zero_shot_record(gens, golds=probs)
     return recs.select("id", "cand_idx", "question", "generated", "rationale", "answer", "gold",
@@ -279,16 +279,21 @@ def rescore_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variant_predictions(fx: FX.Tables):
-    """Problems x the three prompt variants (rendered, A6); the stored generation for
-    variant i is the problem's i-th candidate (stored generations keyed by problem and
-    variant); M4 em with the first-match cascade as in the ablation script."""
-    keys = A.with_gold_key(fx.problems.select("id", "question", "answer"), "cascade_first_shell",
+    """Problems x the three prompt variants (rendered, A6); the stored generations for
+    variant i are the problem's candidates i, i + 3, i + 6 ... (a variant without one counts
+    as a miss); M4 em with the first-match cascade as in the ablation script."""
+    keys = A.with_gold_key(fx.problems_once.select("id", "question", "answer"), "cascade_first_shell",
                            "answer", "gk")
-    pv = PR.explode_variants(keys)
-    stored = fx.candidates().withColumn("variant", F.concat(F.lit("variant_"), F.col("cand_idx").cast("string")))
-    gens = stored.filter(F.col("cand_idx") <= len(PR.VARIANTS)).select("id", "variant", "text")
-    j = A.with_pred_key(pv.join(gens, ["id", "variant"], "left"), "cascade_first_shell", "text", "pk")
-    return j.select("id", "variant", F.col("text").alias("generated"), "answer",
+    pair = F.concat_ws(":", "id", "variant").alias("pair")
+    pv = materialize(PR.explode_variants(keys).select(pair, "id", "variant", "answer", "gk"), "variants")
+    nth = F.pmod(F.col("cand_idx") - 1, F.lit(len(PR.VARIANTS))) + 1
+    stored = fx.candidates().withColumn("variant", F.concat(F.lit("variant_"), nth.cast("string")))
+    gens = stored.select(pair, "cand_idx", "text")
+    scored = block_join(gens, pv, "pair")
+    silent = (pv.join(gens.select("pair").distinct(), "pair", "left_anti")
+              .withColumn("cand_idx", F.lit(None).cast("int")).withColumn("text", F.lit(None).cast("string")))
+    j = A.with_pred_key(scored.unionByName(silent), "cascade_first_shell", "text", "pk")
+    return j.select("id", "variant", "cand_idx", F.col("text").alias("generated"), "answer",
                     A.em_from_keys("cascade_first_shell", "gk", "pk").alias("em"))
 
 
@@ -306,23 +311,23 @@ def prompt_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ablation_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1 per variant: the first six mismatches of each variant in problem order."""
     fx = FX.Tables(spark, sf_dir)
-    p = _variant_predictions(fx).withColumn("ordinal", F.col("id"))
-    return R.top_mismatches(p, 6, group_by=["variant"]).select("variant", "id", "generated", "em")
+    p = _variant_predictions(fx)
+    return (R.top_mismatches(p, 6, order_col=["id", "cand_idx"], group_by=["variant"])
+            .select("variant", "id", "cand_idx", "generated", "em"))
 
 
 def experiment_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5 + A4: label -> EM %, evaluated/total, parseable count, for three stored
-    prediction sets (first, second and third candidates re-scored with M3)."""
+    """A5 + A4: label -> EM %, evaluated/total, parseable count, for every stored prediction set
+    (the candidates of one index, re-scored with M3) in one pass."""
     recs = zero_shot_records(spark, sf_dir)
-    runs = {f"cand{i}": recs.filter(F.col("cand_idx") == i) for i in (1, 2, 3)}
-    out = R.compare_experiments(runs)
+    out = R.compare_labels(recs.withColumn("label", F.concat(F.lit("cand"), F.col("cand_idx").cast("string"))))
     return out.withColumn("accuracy", F.round("accuracy", 8))
 
 
 def top_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: the first 20 greedy-evaluation mismatches in problem order."""
-    fx = FX.Tables(spark, sf_dir)
-    probs = fx.problems
+    fx = FX.Tables(spark, sf_dir, shared_lines=False)
+    probs = fx.problems_once
     first = fx.candidates().filter(F.col("cand_idx") == 1).select("id", "text")
     p = probs.join(first, "id", "left").withColumn(
         "em", A.em_hash_loose(F.col("answer"), F.col("text")).cast("int"))
@@ -331,22 +336,22 @@ def top_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mismatch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: every M3 mismatch with raw and extracted gold and prediction."""
-    recs = zero_shot_records(spark, sf_dir).filter(F.col("cand_idx") == 1)
+    recs = zero_shot_records(spark, sf_dir)
     return R.mismatch_export(recs).select(
-        "id", F.col("gold").alias("gold_raw"), "gold_extracted",
+        "id", "cand_idx", F.col("gold").alias("gold_raw"), "gold_extracted",
         F.col("generated").alias("pred_raw"), F.col("answer").alias("pred_extracted"), "em")
 
 
 def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per stage metric of an iteration: greedy EM, misses, generated, kept,
     train size."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     probs = fx.problems
     first = fx.candidates().filter(F.col("cand_idx") == 1)
     preds = probs.join(first.select("id", "text"), "id", "left").withColumn(
         "em", A.em_hash_loose(F.col("answer"), F.col("text")).cast("int"))
-    misses = _misses_for_retry(fx)
-    kept = _retry_rows(fx, RETRY_SHIFT, misses, False)
+    misses = _misses_for_retry(fx, shared=True)
+    kept = materialize(_retry_rows(fx, RETRY_SHIFT, misses, False), "retried")
     train = S.training_rows(kept)
     return R.stage_report("fixture", [
         ("zero_shot", "em", preds, F.round(F.sum(F.coalesce("em", F.lit(0))) /
@@ -361,8 +366,8 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running forward-kept / rationalised-kept totals every 10 micro-batches of 16
     problems (problem order = id)."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
-    probs = with_ordinal(fx.problems, ["id"])
+    fx = FX.Tables(spark, sf_dir)
+    probs = with_ordinal(fx.problem_ids, ["id"])
     _, kept, missed = _forward_and_missed(fx, materialize_kept=True)
     rat = _rationalize(fx, missed)
     flags = (probs.select("id", "ordinal")
@@ -372,7 +377,7 @@ def progress_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum("f"), F.lit(0)).cast("bigint").alias("fwd_kept"),
         F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("rat_kept"))
-    out = R.progress_counters(stats, every=10)
+    out = R.progress_counters(materialize(stats, "batch-stats"), every=10)
     return out.select("batch_id", "fwd_kept", "rat_kept", "cum_fwd_kept", "cum_rat_kept")
 
 
@@ -405,25 +410,28 @@ def sft_batches_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5, S6, S7, S9, S10 on the problem table in id order: ordinal ids, head-100 flag,
-    tail hold-out flag, shard of 4 and batch of 16."""
+    tail hold-out flag, shard of 4, the first 50 of shard 1 and batch of 16."""
     fx = FX.Tables(spark, sf_dir)
-    probs = with_ordinal(fx.problems.select("id"), ["id"])
+    probs = materialize(with_ordinal(fx.problem_ids, ["id"]), "ordinals")
     n = probs.count()
-    per = SP.shard_size(n, 4)
-    holdout_from = n - SP.holdout_size(n)
-    out = SP.batch_ids(SP.ordinal_ids(probs, S.TEST_ID_PREFIX, id_col="test_id"), 16)
-    return out.select(
-        "id", "ordinal", "test_id",
-        (F.col("ordinal") < 100).alias("in_head"),
-        (F.col("ordinal") >= holdout_from).alias("is_val"),
-        F.floor(F.col("ordinal") / per).cast("int").alias("shard"),
-        "batch_id")
+    train, val = SP.tail_holdout(probs, n=n)
+    sides = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
+    shards = None
+    for i in range(4):
+        part = SP.shard(sides, 4, i, n=n).withColumn("shard", F.lit(i))
+        shards = part if shards is None else shards.unionByName(part)
+    first = SP.head(probs, 100).select("id", F.lit(True).alias("in_head"))
+    in_shard = SP.shard(probs, 4, 1, n=n, limit=50).select("id", F.lit(True).alias("in_limited_shard"))
+    out = SP.batch_ids(SP.ordinal_ids(shards, S.TEST_ID_PREFIX, id_col="test_id"), 16)
+    out = out.join(first, "id", "left").join(in_shard, "id", "left")
+    return out.select("id", "ordinal", "test_id", F.coalesce("in_head", F.lit(False)).alias("in_head"), "is_val", "shard",
+                      F.coalesce("in_limited_shard", F.lit(False)).alias("in_limited_shard"), "batch_id")
 
 
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded 10 % test split by key hash; every problem with its side."""
     fx = FX.Tables(spark, sf_dir)
-    probs = fx.problems.select("id")
+    probs = fx.problem_ids
     train, test = SP.hash_split(probs, 0.1, seed=42)
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
@@ -447,7 +455,7 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sft_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SFT triples from worked solutions (candidate texts) and answer fields."""
     fx = FX.Tables(spark, sf_dir)
-    c = salted_join(fx.candidates(), fx.problems.select("id", "question", "answer"), "id")
+    c = block_join(fx.candidates(), fx.problems_once.select("id", "question", "answer"), "id")
     rationale, answer = RC.sft_triple(F.col("text"), F.col("answer"))
     legacy_r, legacy_a = RC.sft_triple_legacy(F.col("text"), F.lit(None).cast("string"), F.col("answer"))
     return c.select("id", "cand_idx", "question", rationale.alias("rationale"), answer.alias("answer"),
@@ -458,7 +466,7 @@ def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward, rationalise (numeric gold hint), hint, zero-shot and SFT
     prompts per problem."""
     fx = FX.Tables(spark, sf_dir)
-    p = fx.problems
+    p = fx.problems_once
     q, a = F.col("question"), F.col("answer")
     return p.select("id",
                     PR.render(PR.FORWARD, question=q).alias("forward"),
@@ -466,13 +474,14 @@ def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     PR.render(PR.RATIONALIZE, question=q, gold_final=RC.hint_final(a, True)).alias("rationalize_full"),
                     PR.render(PR.HINT, question=q).alias("hint"),
                     PR.render(PR.ZERO_SHOT, q=q).alias("zero_shot"),
+                    *[PR.render(PR.TEMPLATES[v], q=q).alias(v) for v in PR.VARIANTS],
                     PR.render(PR.SFT_PROMPT, q=q).alias("sft"))
 
 
 def prompt_echo_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded outputs that echo the forward prompt, with the echo removed."""
     fx = FX.Tables(spark, sf_dir)
-    c = salted_join(fx.candidates(), fx.problems.select("id", "question"), "id")
+    c = block_join(fx.candidates(), fx.problems_once.select("id", "question"), "id")
     prompt = PR.render(PR.FORWARD, question=F.col("question"))
     echoed = F.when(F.col("cand_idx") % 2 == 0, F.concat(prompt, F.col("text"))).otherwise(F.col("text"))
     return c.select("id", "cand_idx", RC.strip_prompt_echo(echoed, prompt).alias("output"))
@@ -484,36 +493,53 @@ def regroup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.regroup_candidates(fx.candidates())
 
 
-def incremental_stream(spark: SparkSession, sf_dir: str, micro_batches: int = 4) -> DataFrame:
+def _run_stream(spark: SparkSession, sf_dir: str, micro_batches: int = 4) -> dict[str, str]:
     """ST1: the forward + rationalise pass as a file stream over the orders with
     ``foreachBatch`` into ``batch_id=`` folders; the committed output, class-formatted,
     equals the batch iteration's. The orders are first laid out as range-partitioned files
     in the shared folder and the stream takes about ``1 / micro_batches`` of them per
     trigger, so each micro-batch grows with the data."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     orders = FX.table(spark, sf_dir, "orders")
     src = scratch_path(spark, "orders-stream-source")
     n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders.repartitionByRange(n_files, "o_orderkey").write.parquet(src)
     written = len([f for f in spark.read.parquet(src).inputFiles()])
-    golds = FX.order_golds(spark, sf_dir)
+    golds = ST.lay_out_by_id(FX.order_golds(spark, sf_dir), "l_orderkey")
+    forward, rationalized = (ST.lay_out_by_id(fx.candidates(shift)) for shift in (0, RATIONALIZE_SHIFT))
+
+    def to_problems(batch: DataFrame) -> DataFrame:
+        low, high = batch.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+        return FX.problems_from_orders(batch, golds.filter(F.col("l_orderkey").between(low, high)))
+
     paths = ST.incremental_pass(
-        spark, src, orders.schema, lambda b: FX.problems_from_orders(b, golds),
-        TableGenerator(fx.candidates()),
-        TableGenerator(fx.candidates(RATIONALIZE_SHIFT)),
+        spark, src, orders.schema, to_problems, TableGenerator(forward), TableGenerator(rationalized),
         scratch_path(spark, "incremental"),
         max_files_per_trigger=max(1, -(-written // micro_batches)))
-    out = ST.read_outputs(spark, paths)
+    return paths
+
+
+def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 + S4: the committed output of all micro-batches, class-formatted, equals the batch
+    iteration's."""
+    out = ST.read_outputs(spark, _run_stream(spark, sf_dir))
     return out.select("id", RC.class_text(F.col("question"), F.col("rationale"),
                                           F.col("final")).alias("text"), "src")
 
 
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 over the stream's committed batches: the running total after the last one equals the
+    batch iteration's kept counts."""
+    totals = ST.progress(spark, _run_stream(spark, sf_dir), every=1)
+    return totals.agg(F.max("cum_fwd_kept").alias("fwd_kept"), F.max("cum_rat_kept").alias("rat_kept"))
+
+
 def self_training_loop(spark: SparkSession, sf_dir: str, iterations: int = 2) -> DataFrame:
     """The iterative loop over a seeded 90/10 split of the problems. The stand-in
     model is an integer; its generations are the stored candidates shifted by the model
     number (the first one for evaluation, the last one as the greedy retry) and training
     moves it to the next number. Checks data flow, not model quality."""
-    fx = FX.Tables(spark, sf_dir, shared_lines=True)
+    fx = FX.Tables(spark, sf_dir)
     from . import selftrain as ST13
     probs = fx.problems.select("id", "question", "answer")
     train, test = SP.hash_split(probs, 0.1, seed=42)
@@ -522,8 +548,7 @@ def self_training_loop(spark: SparkSession, sf_dir: str, iterations: int = 2) ->
         c = fx.candidates(model)
         if purpose == "eval":
             return TableGenerator(c.filter(F.col("cand_idx") == 1))
-        last = S.regroup_candidates(c).select("id", F.lit(1).alias("cand_idx"), F.col("last_text").alias("text"))
-        return TableGenerator(last)
+        return TableGenerator(S.last_candidates(c).select("id", F.lit(1).alias("cand_idx"), "text"))
 
     hooks = ST13.LoopHooks(generator_for=generator_for, train=lambda start, path, it: start + 1)
     rep = ST13.run_self_training(spark, train, test, hooks, 0, scratch_path(spark, "selftrain"),
@@ -582,6 +607,7 @@ QUERIES = {
     "prompt_echo_strip": prompt_echo_strip,
     "regroup_candidates": regroup_candidates,
     "incremental_stream": incremental_stream,
+    "stream_totals": stream_totals,
     "jsonl_round_trip": jsonl_round_trip,
     "self_training_loop": self_training_loop,
 }
@@ -624,7 +650,8 @@ COVERAGE = {
     "render_prompts": "P1, P2, P4",
     "prompt_echo_strip": "P9",
     "regroup_candidates": "R2",
-    "incremental_stream": "ST1, S4, A8",
+    "incremental_stream": "ST1, S4",
+    "stream_totals": "ST1, A8",
     "jsonl_round_trip": "S1, S2, S3",
     "self_training_loop": "R13, R7, R8, R11, A7",
 }

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordinal import group_row_number
+from ..session import materialize
 
 CANDIDATE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
@@ -37,14 +38,6 @@ def order_golds(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.max("l_quantity").cast("bigint").alias("gold")))
 
 
-def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id bigint, question string, answer string, gold bigint`` — one row per order,
-    hash-partitioned by id: joins with the candidates (partitioned by the same key) then
-    shuffle only this side, and adaptive execution sees its measured size when it chooses
-    a build side."""
-    return problems_from_orders(table(spark, sf_dir, "orders"), order_golds(spark, sf_dir)).repartition("id")
-
-
 def problems_from_orders(orders: DataFrame, gold: DataFrame) -> DataFrame:
     """Problems for a set of orders (a table or one micro-batch of a stream)."""
     orders = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -140,27 +133,32 @@ class Tables:
     task. Plain files split evenly by size; joins on id are then broadcast (when measured
     small) or shuffled on both sides, where adaptive execution splits a hot partition."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, shared_lines: bool = False):
-        """``shared_lines``: materialise the numbered line items too (for queries that
-        read the candidates more than once); otherwise they stay a lazy plan."""
+    def __init__(self, spark: SparkSession, sf_dir: str, shared_lines: bool = True):
+        """``shared_lines``: write the numbered line items (for queries that read the candidates
+        more than once, as picks and joins do); otherwise they stay a lazy plan."""
         self.spark, self.sf_dir, self.shared_lines = spark, sf_dir, shared_lines
         self._problems: DataFrame | None = None
         self._lines: DataFrame | None = None
 
+    @property
+    def problems_once(self) -> DataFrame:
+        """``id, question, answer, gold`` as a lazy plan, for queries that read it once."""
+        return problems_from_orders(table(self.spark, self.sf_dir, "orders"), order_golds(self.spark, self.sf_dir))
+
+    @property
+    def problem_ids(self) -> DataFrame:
+        return table(self.spark, self.sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
     @property
     def problems(self) -> DataFrame:
         if self._problems is None:
-            from ..session import materialize
-            p = problems_from_orders(table(self.spark, self.sf_dir, "orders"),
-                                     order_golds(self.spark, self.sf_dir))
-            self._problems = materialize(p, "problems")
+            self._problems = materialize(self.problems_once, "problems")
         return self._problems
 
     @property
     def lines(self) -> DataFrame:
         """``id, q, cand_idx``: line items numbered inside their order."""
         if self._lines is None:
-            from ..session import materialize
             nl = numbered_lines(self.spark, self.sf_dir).select(
                 F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("bigint").alias("q"), "cand_idx")
             self._lines = materialize(nl, "lines") if self.shared_lines else nl

@@ -4,8 +4,8 @@ forward prompts -> K generations -> first correct kept (R3) -> misses (R4) -> hi
 rationalisation prompts (P4, P1) -> K generations -> first correct kept (R5) -> keyed
 merge, rationalised rows win (R6) -> class-format text (P5) -> format gate (P10).
 
-The kept rows are read by both the anti-join and the merge, so they are written once to
-the shared folder instead of being recomputed per branch.
+The kept rows are read by both the anti-join and the merge, and the merge reads its sources
+twice, so both are written once to the shared folder instead of being recomputed per branch.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as PR
 from ..functions import records as RC
 from ..operators import selection as S
-from ..operators.generate import generate
+from ..operators.generate import candidates_for
 from ..session import materialize
 
 
@@ -35,8 +35,8 @@ def forward_pass(problems: DataFrame, generator, k: int | None = None, profile:
     """R1 + R3: forward prompts, K generations, first correct kept."""
     prompts = problems.select("id", "question", "answer",
                               PR.render(template, question=F.col("question")).alias("prompt"))
-    return S.keep_first_correct(generate(prompts, generator, k=k, batch_size=batch_size,
-                                         loader=loader, loader_key=loader_key), prompts, profile)
+    return S.keep_first_correct(candidates_for(prompts, generator, k, batch_size=batch_size, loader=loader,
+                                               loader_key=loader_key), prompts, profile)
 
 
 def rationalize_pass(missed: DataFrame, generator, k: int | None = None, profile: str = "hash_then_any",
@@ -47,8 +47,8 @@ def rationalize_pass(missed: DataFrame, generator, k: int | None = None, profile
         "id", "question", "answer",
         PR.render(template, question=F.col("question"),
                   gold_final=RC.hint_final(F.col("answer"), full_answer_hint)).alias("prompt"))
-    return S.keep_first_correct(generate(prompts, generator, k=k, batch_size=batch_size,
-                                         loader=loader, loader_key=loader_key), prompts, profile)
+    return S.keep_first_correct(candidates_for(prompts, generator, k, batch_size=batch_size, loader=loader,
+                                               loader_key=loader_key), prompts, profile)
 
 
 def run_iteration(problems: DataFrame, forward_generator, rationalize_generator, k: int | None = None,
@@ -59,9 +59,9 @@ def run_iteration(problems: DataFrame, forward_generator, rationalize_generator,
     how = {"loader": loader, "loader_key": loader_key}
     kept = materialize(forward_pass(problems, forward_generator, k, profile, **how), "kept")
     missed = S.missed_problems(problems.select("id", "question", "answer"), kept)
-    rat = rationalize_pass(missed, rationalize_generator, k, profile, **how)
+    rat = materialize(rationalize_pass(missed, rationalize_generator, k, profile, **how), "rationalized")
     cols = ["id", "question", "rationale", "final"]
-    merged = S.merge_last_wins([kept.select(*cols), rat.select(*cols)])
+    merged = S.merge_last_wins([kept.select(*cols), rat.select(*cols)], order_col="id")
     train = merged.select("id", RC.class_text(F.col("question"), F.col("rationale"),
                                               F.col("final")).alias("text"), "src")
     return IterationResult(kept, rat, RC.check_training_format(train, quarantine=quarantine))

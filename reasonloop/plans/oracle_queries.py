@@ -46,6 +46,10 @@ FROM (SELECT id, question, rationale, final, 0 AS src FROM kept
       UNION ALL SELECT id, question, rationale, final, 1 AS src FROM rat)
 """
 
+STREAM_TOTALS = _RAT + """
+SELECT (SELECT count(*) FROM kept) AS fwd_kept, (SELECT count(*) FROM rat) AS rat_kept
+"""
+
 MERGE_LAST_WINS = FIX_R + ",\n" + kept_cte("a", "cand") + ",\n" + kept_cte("b", "rcand") + """,
 u AS (SELECT id, rationale, cand_idx, 0 AS src FROM a
       UNION ALL SELECT id, rationale, cand_idx, 1 AS src FROM b)
@@ -203,12 +207,12 @@ SELECT 'cand' || CAST(cand_idx AS VARCHAR) AS label, count(*) AS total, count(em
        CAST(coalesce(sum(em), 0) AS BIGINT) AS correct,
        round(coalesce(avg(em), 0.0), 8) AS accuracy,
        count(*) FILTER (WHERE coalesce(contains(generated, '####'), false)) AS parse_ok
-FROM zs WHERE cand_idx IN (1, 2, 3) GROUP BY cand_idx
+FROM zs GROUP BY cand_idx
 """
 
 MISMATCH_EXPORT = _ZS_BASE + """
-SELECT id, gold AS gold_raw, gold_extracted, generated AS pred_raw, answer AS pred_extracted, em
-FROM zs WHERE cand_idx = 1 AND em = 0
+SELECT id, cand_idx, gold AS gold_raw, gold_extracted, generated AS pred_raw, answer AS pred_extracted, em
+FROM zs WHERE em = 0
 """
 
 RESCORE_STORED_PREDICTIONS = _ZS_BASE + f""",
@@ -229,12 +233,12 @@ FROM r1
 
 _VARIANTS = FIX + f""",
 pv AS (
-  SELECT p.id, p.answer, v.variant, CAST(right(v.variant, 1) AS INTEGER) AS cand_idx
+  SELECT p.id, p.answer, v.variant, CAST(right(v.variant, 1) AS INTEGER) AS nth
   FROM prob p CROSS JOIN (VALUES ('variant_1'), ('variant_2'), ('variant_3')) v(variant)),
 vp AS (
-  SELECT pv.id, pv.variant, c.text AS generated, pv.answer,
+  SELECT pv.id, pv.variant, c.cand_idx, c.text AS generated, pv.answer,
          {m4('pv.answer', 'c.text', False)} AS em
-  FROM pv LEFT JOIN cand c ON pv.id = c.id AND pv.cand_idx = c.cand_idx)"""
+  FROM pv LEFT JOIN cand c ON pv.id = c.id AND pv.nth = (c.cand_idx - 1) % 3 + 1)"""
 
 PROMPT_ABLATION = _VARIANTS + """
 SELECT variant, count(*) AS total, CAST(sum(em) AS BIGINT) AS correct,
@@ -243,8 +247,8 @@ FROM vp GROUP BY variant
 """
 
 ABLATION_MISMATCHES = _VARIANTS + """
-SELECT variant, id, generated, em FROM vp WHERE em = 0
-QUALIFY row_number() OVER (PARTITION BY variant ORDER BY id) <= 6
+SELECT variant, id, cand_idx, generated, em FROM vp WHERE em = 0
+QUALIFY row_number() OVER (PARTITION BY variant ORDER BY id, cand_idx NULLS FIRST) <= 6
 """
 
 TOP_MISMATCHES = FIX + f""",
@@ -346,6 +350,7 @@ SELECT id, ordinal, 'hf_test_' || CAST(ordinal AS VARCHAR) AS test_id,
        ordinal >= n - (CASE WHEN n > 1 THEN greatest(1, CAST(floor(0.1 * n) AS BIGINT)) ELSE 0 END)
          AS is_val,
        CAST(floor(ordinal / ceil(n / 4)) AS INTEGER) AS shard,
+       ordinal >= ceil(n / 4) AND ordinal < ceil(n / 4) + 50 AND ordinal < 2 * ceil(n / 4) AS in_limited_shard,
        CAST(floor(ordinal / 16) AS BIGINT) AS batch_id
 FROM p
 """
@@ -401,6 +406,9 @@ SELECT id,
   {render_sql(PR.RATIONALIZE, question='question', gold_final='answer')} AS rationalize_full,
   {render_sql(PR.HINT, question='question')} AS hint,
   {render_sql(PR.ZERO_SHOT, q='question')} AS zero_shot,
+  {render_sql(PR.VARIANT_1, q='question')} AS variant_1,
+  {render_sql(PR.VARIANT_2, q='question')} AS variant_2,
+  {render_sql(PR.VARIANT_3, q='question')} AS variant_3,
   {render_sql(PR.SFT_PROMPT, q='question')} AS sft
 FROM prob
 """
@@ -500,6 +508,7 @@ ORACLE = {
     "render_prompts": RENDER_PROMPTS,
     "prompt_echo_strip": PROMPT_ECHO_STRIP,
     "regroup_candidates": REGROUP_CANDIDATES,
+    "stream_totals": STREAM_TOTALS,
     "incremental_stream": ONE_ITERATION,
     "jsonl_round_trip": KEEP_FIRST_CORRECT,
     "self_training_loop": SELF_TRAINING_LOOP,

@@ -15,3 +15,4 @@ KEPT_RATIONALE = "id string, question string, rationale string, final string"
 RETRY_ROW = "id string, question string, gold_answer string, output string, em_after boolean"
 SFT_TRIPLE = "id string, question string, rationale string, answer string"
 SFT_TEXT = "id string, text string"
+KEPT_ROW = "id bigint, question string, rationale string, final string, cand_idx int"

@@ -2,12 +2,15 @@
 
 Structured Streaming file source (``maxFilesPerTrigger`` problems files per micro-batch)
 with ``foreachBatch``: each micro-batch runs forward selection (R3), the anti-join of
-misses (R4) and rationalisation (R5) against stored generations, and writes both kept
-sets into ``batch_id=<n>`` folders in overwrite mode — a replayed batch rewrites its own
-folder and never duplicates rows. Per-batch counts are written beside them, so running
-totals (A8) are a query over the stats table, not driver state. ``trigger(availableNow)``
-drains what is there and stops; the streaming checkpoint makes a restarted run resume
-after the last committed batch.
+misses (R4) and rationalisation (R5) against stored generations, and appends both kept
+sets as JSON lines in ``batch_id=<n>`` folders (S4): a replayed batch rewrites its own folder
+and never duplicates rows. A batch reads only the generations between its lowest and highest
+id; laid out by id (:func:`lay_out_by_id`), like the source files, they are pruned by the
+files' statistics, so a batch's reading follows the batch, not the table. The outputs are
+counted from what was written; per-batch counts stand beside them, so running totals (A8)
+are a query over the stats table, not driver state. ``trigger(availableNow)`` drains what
+is there and stops; the streaming checkpoint makes a restarted run resume after the last
+committed batch.
 """
 
 from __future__ import annotations
@@ -22,15 +25,26 @@ from pyspark.sql.types import StructType
 from ..operators import selection as S
 from ..operators.generate import TableGenerator
 from ..plans.iteration import forward_pass, rationalize_pass
+from ..session import materialize, scratch_path
+from ..sources.jsonl import append_batch, read_jsonl
+from ..sources.schemas import KEPT_ROW
+
+
+def lay_out_by_id(generations: DataFrame, id_col: str = "id") -> DataFrame:
+    """``generations`` written in files that each hold a range of ids, sorted by id."""
+    path = scratch_path(generations.sparkSession, "generations-by-id")
+    generations.repartitionByRange(id_col).sortWithinPartitions(id_col).write.parquet(path)
+    return generations.sparkSession.read.parquet(path)
 
 
 def process_batch(problems: DataFrame, forward: TableGenerator, rationalizer: TableGenerator,
                   profile: str = "hash_then_any") -> tuple[DataFrame, DataFrame]:
-    """Forward-kept and rationalised-kept rows for one batch of problems
-    (``id, question, answer``)."""
-    kept = forward_pass(problems, forward, profile=profile)
+    """Forward-kept and rationalised-kept rows for one batch of problems (``id, question, answer``, a
+    stored table)."""
+    low, high = problems.agg(F.min("id"), F.max("id")).first()
+    kept = materialize(forward_pass(problems, forward.between(low, high), profile=profile), "batch-kept")
     missed = S.missed_problems(problems.select("id", "question", "answer"), kept)
-    return kept, rationalize_pass(missed, rationalizer, profile=profile)
+    return kept, rationalize_pass(missed, rationalizer.between(low, high), profile=profile)
 
 
 def incremental_pass(spark: SparkSession, source_dir: str, source_schema: StructType | str,
@@ -46,22 +60,13 @@ def incremental_pass(spark: SparkSession, source_dir: str, source_schema: Struct
     ckpt = os.path.join(out_root, "_checkpoint")
 
     def each_batch(batch_df: DataFrame, batch_id: int) -> None:
-        problems = to_problems(batch_df).persist()
-        try:
-            kept, rat = process_batch(problems, forward, rationalizer, profile)
-            kept = kept.persist()
-            rat = rat.persist()
-            part = f"batch_id={batch_id}"
-            kept.write.mode("overwrite").parquet(os.path.join(paths["forward"], part))
-            rat.write.mode("overwrite").parquet(os.path.join(paths["rationalized"], part))
-            stats = spark.createDataFrame(
-                [(int(batch_id), problems.count(), kept.count(), rat.count())],
-                "batch_id bigint, n bigint, fwd_kept bigint, rat_kept bigint")
-            stats.write.mode("overwrite").parquet(os.path.join(paths["stats"], part))
-            kept.unpersist()
-            rat.unpersist()
-        finally:
-            problems.unpersist()
+        problems = materialize(to_problems(batch_df), "batch-problems")
+        kept, rat = process_batch(problems, forward, rationalizer, profile)
+        counts = [spark.read.schema(KEPT_ROW).json(append_batch(rows, paths[name], batch_id)).count()
+                  for name, rows in (("forward", kept), ("rationalized", rat))]
+        stats = spark.createDataFrame([(int(batch_id), problems.count(), *counts)],
+                                      "batch_id bigint, n bigint, fwd_kept bigint, rat_kept bigint")
+        stats.write.mode("overwrite").parquet(os.path.join(paths["stats"], f"batch_id={batch_id}"))
 
     reader = spark.readStream.schema(source_schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if file_glob:
@@ -85,6 +90,6 @@ def progress(spark: SparkSession, paths: dict[str, str], every: int = 10) -> Dat
 
 def read_outputs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Forward and rationalised rows of all committed batches (``src`` 0 / 1)."""
-    fw = spark.read.parquet(paths["forward"]).withColumn("src", F.lit(0))
-    rt = spark.read.parquet(paths["rationalized"]).withColumn("src", F.lit(1))
+    fw = read_jsonl(spark, paths["forward"], KEPT_ROW, missing_ok=True).withColumn("src", F.lit(0))
+    rt = read_jsonl(spark, paths["rationalized"], KEPT_ROW, missing_ok=True).withColumn("src", F.lit(1))
     return fw.unionByName(rt)

@@ -46,3 +46,24 @@ def test_check_format_quarantine(spark, capsys):
     _write(train, [{"id": "a", "text": "###Input:\nq\n\n###Output:\nr\n#### 1"}, {"id": "b", "text": "plain"}])
     assert cli.main(["check-format", train, "--quarantine", os.path.join(d, "bad")]) == 0
     assert '"bad": 1' in capsys.readouterr().out
+
+
+def test_build_order_over_several_files(spark):
+    """The last row in file order wins, whatever the sizes of the files."""
+    d = tempfile.mkdtemp(prefix="rl-cli-")
+    fw = os.path.join(d, "fw")
+    os.mkdir(fw)
+    row = {"id": "a", "question": "q", "rationale": "early", "final": "1"}
+    _write(os.path.join(fw, "part-00000.json"), [row, {**row, "rationale": "inside"}])
+    _write(os.path.join(fw, "part-00001.json"),
+           [{**row, "id": f"x{i}", "rationale": "r" * 200} for i in range(50)] + [{**row, "rationale": "late"}])
+    got = {r.id: r.text for r in cli.build(spark, fw, os.path.join(d, "absent.jsonl")).collect()}
+    assert len(got) == 51 and "late" in got["a"]
+
+
+def test_regroup_flat_is_positional(spark):
+    from reasonloop.operators import selection as S
+    texts = [f"t{i}" for i in range(12)]
+    flat = spark.createDataFrame(list(enumerate(texts)), "pos long, text string")
+    got = {(r.prompt_idx, r.cand_idx): r.text for r in S.regroup_flat(flat, 4).collect()}
+    assert got == {(j, i + 1): texts[j * 4:(j + 1) * 4][i] for j in range(3) for i in range(4)}

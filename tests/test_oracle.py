@@ -23,17 +23,15 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and df.columns == ["id", "question", "rationale", "final", "cand_idx"]
 
 
-def test_hot_group_path_matches_oracle(spark):
-    """With a tiny hot-group threshold nearly every order takes the range-sorted numbering
-    path and the salted joins salt nearly every id; the queries must still equal their
-    oracles."""
-    from reasonloop.operators.ordinal import HOT_GROUP_CONF
+def test_small_blocks_match_oracle(spark):
+    """With blocks of three rows nearly every order has several sub-keys; the queries must still
+    equal their oracles."""
+    from reasonloop.operators.skew import BLOCK_CONF
     from tools.oracle_check import compare
-    spark.conf.set(HOT_GROUP_CONF, "3")
+    spark.conf.set(BLOCK_CONF, "3")
     try:
-        res = compare(spark, SF_SMALL, ["keep_first_correct", "one_iteration", "regroup_candidates",
-                                        "retry_shortest_correct", "em_profiles", "zero_shot_records",
-                                        "sft_triples"], verbose=False)
+        res = compare(spark, SF_SMALL, ["keep_first_correct", "one_iteration", "prompt_ablation", "self_training_loop",
+                                        "em_profiles", "zero_shot_records", "sft_triples"], verbose=False)
     finally:
-        spark.conf.unset(HOT_GROUP_CONF)
+        spark.conf.unset(BLOCK_CONF)
     assert all(v[0] == "match" for v in res.values()), res

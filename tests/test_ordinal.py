@@ -20,7 +20,7 @@ def test_group_row_number_matches_window_with_hot_key(spark):
     df = spark.range(0, 6000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
         ((F.col("id") * 31) % 6007).alias("v"))
-    ours = group_row_number(df, ["g"], ["v"], name="rn", hot_group_rows=500)
+    ours = group_row_number(df, ["g"], ["v"], name="rn")
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v")))
     a = sorted(map(tuple, ours.select("g", "v", "rn").collect()))
     b = sorted(map(tuple, ref.select("g", "v", "rn").collect()))
@@ -34,6 +34,16 @@ def test_group_row_number_without_hot_groups(spark):
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.select("g", "v", "rn").collect()))
 
 
+def test_group_row_number_over_null_keys_ties_and_several_ranges(spark):
+    rows = [(None if i % 3 == 0 else i % 4, i % 5) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, v int")
+    got = group_row_number(df, ["g"], ["v"], name="rn").collect()
+    for g in (None, 0, 1, 2, 3):
+        mine = sorted((r.rn, r.v) for r in got if r.g == g)
+        assert [m[0] for m in mine] == list(range(1, len(mine) + 1))
+        assert [m[1] for m in mine] == sorted(v for k, v in rows if k == g)
+
+
 def test_with_ordinal_spreads_a_hot_key(spark):
     # a third of the rows share one key value; they must not all land in one range partition
     df = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))

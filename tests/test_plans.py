@@ -43,10 +43,30 @@ def test_filters_reach_the_scan(plans):
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(role,assistant\)", p)
 
 
-def test_picks_aggregate_map_side(plans):
-    assert "partial_min_by" in plans["keep_first_correct"]
-    assert "partial_min_by" in plans["retry_shortest_correct"]
-    assert "partial_max_by" in plans["merge_last_wins"]
+PICKS = ("keep_first_correct", "retry_shortest_correct", "shortest_vs_first", "rationalize_missed",
+         "regroup_candidates", "merge_last_wins", "retry_keep_correct")
+
+
+def test_picks_are_hash_aggregates_over_numbers(plans):
+    for name in PICKS:
+        assert "SortAggregate" not in plans[name], name
+        assert "partial_m" in plans[name], name      # partial_min / partial_max before the shuffle
+
+
+def test_picks_extract_once_per_row(plans):
+    # the not-null filter of a prediction key must not run the extraction a second time
+    for name in ("keep_first_correct", "retry_shortest_correct"):
+        for cond in re.findall(r"Condition : ([^\n]*)", plans[name]):
+            assert "regexp_extract" not in cond, (name, cond[:200])
+
+
+def test_misses_are_computed_once(plans):
+    for name in ("train_set_correct_only", "train_set_keep_all"):
+        assert "LeftAnti" not in plans[name], name   # the written misses are read back
+
+
+def test_key_only_query_reads_keys_only(plans):
+    assert set(re.findall(r"ReadSchema: (struct<[^\n]*>)", plans["hash_split"])) == {"struct<o_orderkey:bigint>"}
 
 
 def test_regex_heavy_queries_compile(spark):
@@ -65,7 +85,5 @@ def test_regex_heavy_queries_compile(spark):
 
 
 def test_picks_shuffle_by_problem_and_prediction(plans):
-    # candidates read from a plain table are reduced per (id, prediction key) before any
-    # shuffle on id alone (when they come straight out of the numbering window they are
-    # already clustered by id, whose groups are bounded by the hot-group split)
-    assert re.search(r"hashpartitioning\(id#\d+L?, __pk#\d+", plans["retry_shortest_correct"])
+    for name in ("keep_first_correct", "retry_shortest_correct"):
+        assert re.search(r"hashpartitioning\(id#\d+L?, __pk#\d+", plans[name]), name
