@@ -138,7 +138,9 @@ def _as_double(text: Column) -> Column:
 
 
 def _integer_text(d: Column) -> Column:
-    return d.try_cast("decimal(38,0)").cast("string")
+    """Integer digits of an integral double: exact below 2^63, the shortest digits that give the
+    same double up to 1e38, NULL beyond."""
+    return F.coalesce(d.try_cast("bigint").cast("string"), d.try_cast("decimal(38,0)").cast("string"))
 
 
 def normalize_integral(c) -> Column:

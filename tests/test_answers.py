@@ -188,3 +188,13 @@ def test_long_runs_take_linear_time(spark):
     got = [(r.a, r.b) for r in df.select(F.length(X.trim_u(F.col("t"))).alias("a"),
                                          F.length(X.last_line(F.col("t"))).alias("b")).collect()]
     assert got == [(n + 2, n + 2), (n, n)] and time.time() - began < 10
+
+
+def test_large_integers_keep_their_exact_digits(spark):
+    texts = ["9007199254740993", "-9223372036854775808", "1234567890123456789", "-4611686018427387905", "1e18",
+             "-0.0", "12.0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df = A.with_normalized(A.with_normalized(df, "integral", "t", "n3"), "rounded", "t", "n4")
+    for r in df.collect():
+        exact = str(int(float(r.t)))
+        assert (r.n3, r.n4) == (exact, exact), (r, exact)
