@@ -180,20 +180,18 @@ def zero_shot_record(df: DataFrame, generated_col: str = "generated", gold_col:
     With ``golds`` (``id, gold`` and any other per-problem columns) the gold side is
     extracted once per problem and joined to the generations, spread by their ``idx_col``;
     otherwise ``df`` carries the gold itself."""
-    if golds is not None:
-        g = golds.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
-        g = A.with_extracted(g, "cascade_last", "gold", "gold_extracted")
-        g = A.with_normalized(g, "integral", "gold_extracted", "__gn")
-        staged = block_join(df, g, id_col, idx_col)
-    else:
-        staged = df.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
-        staged = A.with_extracted(staged, "cascade_last", "gold", "gold_extracted")
-        staged = A.with_normalized(staged, "integral", "gold_extracted", "__gn")
-    staged = staged.withColumn("generated", trim_u(_c(generated_col)))
+    if golds is None:
+        df = df.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
+    # the generations' own extraction comes before the join, on their evenly split partitions
+    staged = df.withColumn("generated", trim_u(_c(generated_col)))
     staged = A.with_extracted(staged, "cascade_last", "generated", "answer")
     staged = A.with_normalized(staged, "integral", "answer", "__pn")
+    staged = staged.withColumn("rationale", rationale_from_generation(F.col("generated")))
+    gold = staged if golds is None else golds.withColumn("gold", F.coalesce(_c(gold_col), F.lit("")))
+    gold = A.with_extracted(gold, "cascade_last", "gold", "gold_extracted")
+    gold = A.with_normalized(gold, "integral", "gold_extracted", "__gn")
+    staged = gold if golds is None else block_join(staged, gold, id_col, idx_col)
     return (staged
-            .withColumn("rationale", rationale_from_generation(F.col("generated")))
             .withColumn("em", F.when(F.col("gold_extracted") == "", F.lit(None).cast("int"))
                         .otherwise((F.col("__gn") == F.col("__pn")).cast("int")))
             .drop("__pn", "__gn"))

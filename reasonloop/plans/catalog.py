@@ -223,17 +223,16 @@ def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = A.with_gold_key(keys, "hash_then_any", "answer", "gk_any")
     keys = A.with_gold_key(keys, "cascade_last", "answer", "gk_last")
     keys = A.with_gold_key(keys, "cascade_first", "answer", "gk_first").drop("answer")
-    d = block_join(fx.candidates(), keys, "id")
-    d = A.with_cascades(d, "text", {"cascade_last": "x3", "cascade_first": "x4"})
+    d = A.with_cascades(fx.candidates(), "text", {"cascade_last": "x3", "cascade_first": "x4"})
     d = A.with_normalized(d, "integral", "x3", "n_integral")
     d = A.with_normalized(d, "rounded", "x4", "n_rounded")
     d = A.with_pred_key(d, "hash_loose", "text", "pk_loose")
     d = A.with_pred_key(d, "hash_then_any", "text", "pk_any")
-    return d.select(
-        "id", "cand_idx",
-        A.normalize_trim(F.col("text")).alias("n_trim"),
-        A.normalize_money(A.extract_last_number(F.col("text"))).alias("n_money"),
-        "n_integral", "n_rounded",
+    d = d.select("id", "cand_idx", A.normalize_trim(F.col("text")).alias("n_trim"),
+                 A.normalize_money(A.extract_last_number(F.col("text"))).alias("n_money"),
+                 "n_integral", "n_rounded", "pk_loose", "pk_any")
+    return block_join(d, keys, "id").select(
+        "id", "cand_idx", "n_trim", "n_money", "n_integral", "n_rounded",
         A.em_from_keys("hash_loose", "gk_loose", "pk_loose").cast("int").alias("em_hash_loose"),
         A.em_from_keys("hash_then_any", "gk_any", "pk_any").cast("int").alias("em_hash_then_any"),
         A.em_from_keys("cascade_last", "gk_last", "n_integral").alias("em_cascade_last"),
