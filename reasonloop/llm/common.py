@@ -115,6 +115,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 <<
             i = j
 
 
+def packed(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` as one struct column, so that an operator's own columns and joins cannot clash with
+    the table's names."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges``; a component is named by its smallest node.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import U64, Words, chunks, connected_components, mix, segment_hash, text_array
+from .common import U64, Words, chunks, connected_components, mix, packed, segment_hash, text_array
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -304,8 +304,10 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes)
     stay = (found.where(F.col("id").eqNullSafe(F.col("class_id")))
             .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.count(F.lit(1)).alias("__n")))
-    text = F.col(text_col).cast("string")
-    kept = docs.join(materialize(stay, "jaccard-stay"), F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64(text) == F.col("__th")))
-    once = kept.where("__n = 1").drop("__id", "__th", "__n")
-    return once.unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__th"]).drop("__id", "__th", "__n"))
+    row = F.col("row")
+    text = row.getField(text_col).cast("string")
+    kept = packed(docs).join(materialize(stay, "jaccard-stay"),
+                             row.getField(id_col).cast("long").eqNullSafe(F.col("__id"))
+                             & (F.xxhash64(text) == F.col("__th")))
+    once = kept.where("__n = 1").select("row.*")
+    return once.union(kept.where("__n > 1").dropDuplicates(["__id", "__th"]).select("row.*"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD
+from .common import WORD, packed
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -109,13 +109,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The mix itself: each row of ``docs`` once per epoch that takes it, with all its columns,
-    ``epoch`` (from 0) and ``taken_words``; the text of a source's last row is cut at the budget."""
+    ``epoch`` (from 0) and ``taken_words`` (in place of columns of ``docs`` so named); the text of a
+    source's last row is cut at the budget."""
     plan = plan_mix(docs, id_col, source_col, text_col, **how)
     plan = plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), "th", "size", "n", "epochs", "left")
-    names = docs.columns
-    text = F.col(text_col).cast("string")
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))
-                       & (F.xxhash64(text) == F.col("th")))
+    names = [c for c in docs.columns if c.lower() not in ("epoch", "taken_words")]
+    row = F.col("row")
+    text = row.getField(text_col).cast("string")
+    joined = packed(docs).join(plan, row.getField(id_col).eqNullSafe(F.col("__id"))
+                               & row.getField(source_col).eqNullSafe(F.col("__source")) & (F.xxhash64(text) == F.col("th")))
     one = joined.where("n = 1").withColumn("__nth", F.lit(0).cast("long"))
     many = (joined.where("n > 1").dropDuplicates(["__id", "__source", "th"])
             .withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))))
@@ -126,4 +128,4 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     cut = F.when(F.col("taken_words") < F.col("size"), F.array_join(
         F.slice(F.split(F.ltrim(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1),
                 F.col("taken_words").cast("int")), "")).otherwise(text)
-    return out.withColumn(text_col, cut).select(*names, "epoch", "taken_words")
+    return out.select(*[(cut if c == text_col else row.getField(c)).alias(c) for c in names], "epoch", "taken_words")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import packed
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = (r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
@@ -187,13 +188,16 @@ def render(kind: Column, surface: Column, made: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_replaced",
                  kinds_col: str = "kinds") -> DataFrame:
     """``docs`` with entities replaced in ``text_col``, plus the number of replacements and the
-    sorted types found (comma-joined)."""
+    sorted types found (comma-joined); these two stand in place of columns of ``docs`` so named."""
+    docs = docs.drop(count_col, kinds_col)
     t = F.col(text_col).cast("string")
     names = docs.columns
     # texts with an entity are written aside once; the others pass through and are never shuffled
     some = F.coalesce(t.rlike(ENTITY), F.lit(False))
-    keyed = materialize(docs.where(some).withColumn("__m", F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)))
-                        .withColumn("__th", F.md5(t.cast("binary"))), "pii-matched")
+    row = F.col("row")
+    inner = row.getField(text_col).cast("string")
+    keyed = materialize(packed(docs.where(some)).withColumn("__m", F.regexp_extract_all(inner, F.lit(ENTITY), F.lit(0)))
+                        .withColumn("__th", F.md5(inner.cast("binary"))), "pii-matched")
     found = materialize(keyed.select(F.col("__th").alias("th"), F.col("__m").alias("m")).dropDuplicates(["th"]), "pii-found")
     surfaces = found.select(F.explode("m").alias("surface")).distinct().withColumn("kind", classify(F.col("surface")))
     luhn = F.pmod(_luhn_sum(_digits(F.col("surface")), False), F.lit(10)) == 0
@@ -210,13 +214,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     hits = materialize(hits, "pii-hits")
     joined = keyed.join(hits, F.col("__th") == F.col("th"), "left")
     by_place = F.map_from_entries(F.transform("hits", lambda x: F.struct(x["i"], x["to"])))
-    gaps = F.split(t, ENTITY, -1)
+    gaps = F.split(inner, ENTITY, -1)
     text = F.concat_ws("", F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(
         F.element_at(F.col("__by"), i), F.get(F.col("__m"), i), F.lit(""))))))
     joined = joined.withColumn("__by", by_place)
-    new = F.when(F.col("hits").isNotNull(), text).otherwise(t)
+    new = F.when(F.col("hits").isNotNull(), text).otherwise(inner)
     changed = joined.withColumn("__new", new).select(
-        *[F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+        *[(F.col("__new") if c == text_col else row.getField(c)).alias(c) for c in names],
         F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias(count_col),
         F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["kind"]))), ","), F.lit("")).alias(kinds_col))
     rest = docs.where(~some).withColumn(count_col, F.lit(0).cast("long")).withColumn(kinds_col, F.lit(""))

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed
+
 # the key words' first letters stand alone so that the matcher skips other places at once
 ASSIGN = (r"""[pPsStTaA](?i:(?<=p)assword|(?<=p)asswd|(?<=s)ecret|(?<=t)oken|(?<=a)pi_?key)"""
           r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -201,17 +203,16 @@ def redact(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, mask:
     """``docs`` with every span replaced by ``mask`` (spans that overlap become one mask); rows
     and columns stay, null texts stay null."""
     cut = cutoffs(docs, text_col, alpha)
-    names = docs.columns
-    df = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = with_spans(df, "__text", cut, "__base", "__spans")
-    t = F.col("__text")
+    row, t = F.col("row"), F.col("t")
+    plain = row.getField(text_col).cast("string")
+    df = with_spans(packed(docs).withColumn("t", F.coalesce(plain, F.lit(""))), "t", cut)
 
     def step(a: Column, x: Column) -> Column:
         return (F.when(x["s"] >= a["at"], F.struct(
                     F.concat(a["out"], F.substr(t, a["at"] + 1, x["s"] - a["at"]), F.lit(mask)).alias("out"), x["e"].alias("at")))
                 .otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at"))))
 
-    masked = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
+    masked = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
                          lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1, F.length(t))))
-    return (df.withColumn("__masked", F.when(F.size("__spans") > 0, masked).otherwise(F.col(text_col).cast("string")))
-            .select(*[F.col("__masked").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]))
+    return (df.withColumn("masked", F.when(F.size("spans") > 0, masked).otherwise(plain))
+            .select(*[(F.col("masked") if c == text_col else row.getField(c)).alias(c) for c in docs.columns]))

@@ -287,3 +287,23 @@ def test_odd_inputs(spark, odd):
         assert secret_scan.redact(df).columns == df.columns and quality.cascade(df).columns == df.columns
         assert jaccard.keep_one_per_class(df).columns == df.columns
     assert n == 8 and {r.lang_pred for r in langid.identify(odd).where("doc_id in (1, 2)").collect()} == {"und"}
+
+
+def test_clashing_column_names(spark, odd):
+    """Every name the operators use for their own columns may also be a column of the table; it passes
+    through unharmed, and an operator's own output column stands in place of one so named."""
+    own = ("id th n size left epochs range tokens key_ class_id bands band hash rid t m s e spans base masked row hits "
+           "to i type made __id __th __n __part __times __nth __source __text __m __new __by __base __spans").split()
+    df = odd
+    for c in own + ["epoch", "taken_words", "n_replaced", "kinds"]:
+        df = df.withColumn(c, F.lit(7))
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta", 7)], "item_id long, text string, t int")
+    redacted, one_each = secret_scan.redact(df), jaccard.keep_one_per_class(df)
+    for out in (redacted, one_each, quality.cascade(df), decontam.drop_contaminated(df, bench)):
+        assert out.columns == df.columns
+    mixed, changed = mixing.mixed_rows(df), pii.pseudonymise(df, "k")
+    for out in (redacted, one_each, mixed, changed):
+        rows = [r.asDict() for r in out.collect()]
+        assert len(set(out.columns)) == len(out.columns) and rows and all(r[c] == 7 for r in rows for c in own)
+    assert {r["n_replaced"] for r in rows} == {0}
+    assert mixed.columns == [c for c in df.columns if c not in ("epoch", "taken_words")] + ["epoch", "taken_words"]
