@@ -71,6 +71,14 @@ def sft_triple(solution: Column, answer: Column) -> tuple[Column, Column]:
     return sol, ans
 
 
+def sft_set(df: DataFrame, solution_col: str = "solution", answer_col: str = "answer",
+            id_col: str = "id", question_col: str = "question") -> DataFrame:
+    """P6 over a problem table with worked solutions: ``id, question`` (stripped), ``rationale, answer``."""
+    rationale, answer = sft_triple(F.col(solution_col), F.col(answer_col))
+    return df.select(id_col, trim_u(F.coalesce(F.col(question_col), F.lit(""))).alias("question"),
+                     rationale.alias("rationale"), answer.alias("answer"))
+
+
 def sft_triple_legacy(solution: Column, explanation: Column, answer: Column) -> tuple[Column, Column]:
     """rationale = solution, else explanation, else answer; answer unchanged."""
     rationale = F.coalesce(F.nullif(solution, F.lit("")), F.nullif(explanation, F.lit("")),

@@ -6,7 +6,7 @@ batch (a batch holds at most B rows by construction, so the window is bounded).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IGNORE_INDEX = -100  # fixed value: label id that the loss ignores
@@ -26,10 +26,25 @@ def pad_batches(df: DataFrame, batch_col: str = "batch_id", *, max_seq_len: int
     """Per batch ``max_len = min(longest input, max_seq_len)``; every row is cut to
     ``max_len`` and right-padded with ``pad_id`` / 0 / -100. The cut has no default: ``max_seq_len=None`` is T2b
     (pad to the longest, no cut)."""
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch_col))
-    max_len = longest if max_seq_len is None else F.least(longest, F.lit(max_seq_len))
-    d = df.withColumn("max_len", max_len)
+    return _fit(df.withColumn("max_len", _batch_length(F.size("input_ids"), batch_col, max_seq_len)), pad_id)
 
+
+def padded_examples(df: DataFrame, batch_col: str = "batch_id", prompt_col: str = "prompt_ids",
+                    target_col: str = "target_ids", *, max_seq_len: int | None, pad_id: int = 0) -> DataFrame:
+    """T1 + T2: as :func:`pad_batches` over :func:`concat_and_mask`, but the batch's length is
+    taken from the sizes of the two source arrays, so only those are shuffled; input ids, mask
+    and labels are built after it."""
+    size = F.size(prompt_col) + F.size(target_col)
+    return _fit(concat_and_mask(df.withColumn("max_len", _batch_length(size, batch_col, max_seq_len)),
+                                prompt_col, target_col), pad_id)
+
+
+def _batch_length(size: Column, batch_col: str, max_seq_len: int | None) -> Column:
+    longest = F.max(size).over(Window.partitionBy(batch_col))
+    return longest if max_seq_len is None else F.least(longest, F.lit(max_seq_len))
+
+
+def _fit(d: DataFrame, pad_id: int) -> DataFrame:
     def fit(c: str, pad: int):
         cut = F.slice(F.col(c), 1, F.col("max_len"))
         return F.concat(cut, F.array_repeat(F.lit(pad), F.col("max_len") - F.size(cut)))

@@ -153,6 +153,18 @@ def loss_rollup(log: DataFrame, run_col: str = "run", phase_col: str = "phase",
             .withColumn("avg_best_loss", F.avg("best_loss").over(w_run)))
 
 
+def step_rollup(log: DataFrame, run_col: str = "run", phase_col: str = "phase",
+                step_col: str = "step", loss_col: str = "loss") -> DataFrame:
+    """A9, step series: per run and phase the steps that have a loss, the averages of their losses and
+    of their perplexities (``exp(loss)``, NaN where that overflows), the lowest and the last loss."""
+    loss = _c(loss_col)
+    ppl = F.when(F.exp(loss) == F.lit(float("inf")), F.lit(float("nan"))).otherwise(F.exp(loss))
+    return log.filter(loss.isNotNull()).groupBy(run_col, phase_col).agg(
+        F.count(F.lit(1)).alias("steps"), F.avg(loss).alias("avg_step_loss"),
+        F.avg(ppl).alias("avg_step_perplexity"), F.min(loss).alias("best_step_loss"),
+        F.max_by(loss, _c(step_col)).alias("last_step_loss"))
+
+
 # ---- L1 / L2 / L3 -------------------------------------------------------------
 
 def top_mismatches(df: DataFrame, n: int, em_col: str = "em", order_col: str | list[str] = "ordinal",

@@ -239,6 +239,44 @@ def em_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         A.em_from_keys("cascade_first", "gk_first", "n_rounded").alias("em_cascade_first"))
 
 
+def answer_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1-X5, N1-N4 and M1-M4 over texts with every cue, sign, separator and empty form, against golds
+    that may be null, empty or unmarked (no join: the gold is in the row)."""
+    t = F.col("text")
+    d = A.with_cascades(FX.answer_texts(spark, sf_dir), "text", {"cascade_last": "x_last", "cascade_first": "x_first"})
+    d = A.with_normalized(d, "integral", "x_last", "n_integral")
+    d = A.with_normalized(d, "rounded", "x_first", "n_rounded")
+    for profile in ("hash_loose", "hash_then_any"):
+        d = A.with_pred_key(d, profile, "text", f"pk_{profile}")
+    for profile in ("hash_loose", "hash_then_any", "cascade_last", "cascade_first"):
+        d = A.with_gold_key(d, profile, "gold", f"gk_{profile}")
+    return d.select(
+        "id", "line", "part", "supp", A.extract_hash_loose(t).alias("x_hash_loose"),
+        A.extract_hash_strict(t).alias("x_hash_strict"), A.extract_last_number(t).alias("x_last_number"),
+        A.extract_solution_number(t).alias("x_solution_number"), "x_last", "x_first",
+        A.normalize_trim(t).alias("n_trim"), A.normalize_money(t).alias("n_money"), "n_integral", "n_rounded",
+        A.em_from_keys("hash_loose", "gk_hash_loose", "pk_hash_loose").cast("int").alias("em_hash_loose"),
+        A.em_from_keys("hash_then_any", "gk_hash_then_any", "pk_hash_then_any").cast("int").alias("em_hash_then_any"),
+        A.em_from_keys("cascade_last", "gk_cascade_last", "n_integral").alias("em_cascade_last"),
+        A.em_from_keys("cascade_first", "gk_cascade_first", "n_rounded").alias("em_cascade_first"))
+
+
+def gold_sft_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training set of the baseline stage, from worked solutions (each problem's first
+    candidate; problems without one have an empty solution)."""
+    fx = FX.Tables(spark, sf_dir, shared_lines=False)
+    first = fx.candidates().filter(F.col("cand_idx") == 1).select("id", F.col("text").alias("solution"))
+    return RC.sft_set(fx.problems_once.join(first, "id", "left"))
+
+
+def step_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9, step series: per run and phase over the steps that have a loss."""
+    out = R.step_rollup(FX.loss_log(spark, sf_dir))
+    for c in ("avg_step_loss", "avg_step_perplexity", "best_step_loss", "last_step_loss"):
+        out = out.withColumn(c, F.round(c, 8))
+    return out
+
+
 def zero_shot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3 + A3: wide zero-shot prediction rows (P8 rationale, X3 answer, M3 em) re-scored
     from stored generations (every candidate against its problem's gold)."""
@@ -397,7 +435,7 @@ def sft_batches(spark: SparkSession, sf_dir: str, max_seq_len: int | None = 32)
     order), cut to ``min(longest, 32)`` and right-pad."""
     ex = with_ordinal(FX.token_examples(spark, sf_dir),
                       ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
-    b = B.pad_batches(B.concat_and_mask(SP.batch_ids(ex, 8)), max_seq_len=max_seq_len, pad_id=0)
+    b = B.padded_examples(SP.batch_ids(ex, 8), max_seq_len=max_seq_len, pad_id=0)
     return b.select("ordinal", "batch_id", "max_len", _csv("input_ids"),
                     _csv("attention_mask"), _csv("labels"))
 
@@ -585,6 +623,9 @@ QUERIES = {
     "collect_misses": collect_misses,
     "extract_profiles": extract_profiles,
     "em_profiles": em_profiles,
+    "answer_shapes": answer_shapes,
+    "gold_sft_set": gold_sft_set,
+    "step_rollup": step_rollup,
     "zero_shot_records": zero_shot_records,
     "rescore_accuracy": rescore_accuracy,
     "rescore_stored_predictions": rescore_stored_predictions,
@@ -629,6 +670,9 @@ COVERAGE = {
     "collect_misses": "R7",
     "extract_profiles": "X1, X2, X2f, X3, X4, X5",
     "em_profiles": "N1, N2, N3, N4, M1, M2, M3, M4",
+    "answer_shapes": "X1, X2, X2f, X3, X4, X5, N1, N2, N3, N4, M1, M2, M3, M4",
+    "gold_sft_set": "P6, X5",
+    "step_rollup": "A9",
     "zero_shot_records": "L3, A3, P8, X3, M3",
     "rescore_accuracy": "A2, A3",
     "rescore_stored_predictions": "A3, P3",

@@ -123,6 +123,28 @@ def token_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, line, part, supp, text, gold``: per line item a text with one of the cues, signs, separators
+    and empty forms that answers come in, and a gold that may be null, empty or without a mark."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    n = F.col("l_quantity").cast("bigint").cast("string")
+
+    def around(before: str, after: str = ""):
+        return F.concat(F.lit(before), n, F.lit(after))
+
+    texts = [around("So the final answer is -"), around("The ANSWER: +", ".50"), around("a => ", "."),
+             around("the result is ", ".0 apples"), around("Result: $", ",500.00"), around("#### -1,"),
+             around("  ", "  "), F.lit("nothing here\nlast line words"), F.lit(""), F.lit(None).cast("string"),
+             around("final answer: 7 but x = ", ".75")]
+    golds = [around("#### "), F.lit(None).cast("string"), F.lit(""), around("cost #### $"), around("-", ".0"),
+             around("The answer is ", ".5 or #### 1,")]
+    pick = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(texts))).cast("int")
+    gold = F.pmod(F.col("l_partkey"), F.lit(len(golds))).cast("int")
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
+                     F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
+                     F.get(F.array(*texts), pick).alias("text"), F.get(F.array(*golds), gold).alias("gold"))
+
+
 class Tables:
     """The fixture tables of one query, each computed once and written under the shared
     checkpoint folder: every branch of the query reads the same table instead of re-running

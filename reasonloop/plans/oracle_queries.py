@@ -178,6 +178,61 @@ SELECT id, cand_idx, {trim_ws('text')} AS n_trim, {n2(x2f('text'))} AS n_money,
 FROM st
 """
 
+_SHAPES_SEL, _SHAPES_EXPR = m3_stage("gold", "text")
+ANSWER_SHAPES = f"""
+WITH n AS (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q FROM lineitem),
+t AS (
+  SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
+    CASE (l_orderkey + l_linenumber) % 11
+      WHEN 0 THEN 'So the final answer is -' || q
+      WHEN 1 THEN 'The ANSWER: +' || q || '.50'
+      WHEN 2 THEN 'a => ' || q || '.'
+      WHEN 3 THEN 'the result is ' || q || '.0 apples'
+      WHEN 4 THEN 'Result: $' || q || ',500.00'
+      WHEN 5 THEN '#### -1,' || q
+      WHEN 6 THEN '  ' || q || '  '
+      WHEN 7 THEN 'nothing here' || {NL} || 'last line words'
+      WHEN 8 THEN ''
+      WHEN 9 THEN NULL
+      ELSE 'final answer: 7 but x = ' || q || '.75' END AS text,
+    CASE l_partkey % 6
+      WHEN 0 THEN '#### ' || q
+      WHEN 1 THEN NULL
+      WHEN 2 THEN ''
+      WHEN 3 THEN 'cost #### $' || q
+      WHEN 4 THEN '-' || q || '.0'
+      ELSE 'The answer is ' || q || '.5 or #### 1,' || q END AS gold
+  FROM n),
+st AS (SELECT *, {x3('text')} AS x_last, {x4('text')} AS x_first, {_SHAPES_SEL} FROM t)
+SELECT id, line, part, supp, {x1('text')} AS x_hash_loose, {x2('text')} AS x_hash_strict,
+       {x2f('text')} AS x_last_number, {x5('text')} AS x_solution_number, x_last, x_first,
+       {trim_ws('text')} AS n_trim, {n2('text')} AS n_money, {n3('x_last')} AS n_integral,
+       {n4('x_first')} AS n_rounded,
+       CAST({m1('gold', 'text')} AS INTEGER) AS em_hash_loose,
+       CAST({m2('gold', 'text')} AS INTEGER) AS em_hash_then_any,
+       {_SHAPES_EXPR} AS em_cascade_last, {m4('gold', 'text')} AS em_cascade_first
+FROM st
+"""
+
+GOLD_SFT_SET = FIX + f""",
+s AS (SELECT p.id, p.question, p.answer, {trim_ws("coalesce(c.text, '')")} AS rationale
+      FROM prob p LEFT JOIN (SELECT id, text FROM cand WHERE cand_idx = 1) c ON p.id = c.id)
+SELECT id, {trim_ws('question')} AS question, rationale,
+       coalesce('#### ' || {x5('rationale')}, {trim_ws('answer')}) AS answer
+FROM s
+"""
+
+STEP_ROLLUP = """
+WITH log AS (
+  SELECT user_id AS run, CASE WHEN event_type IN ('view', 'purchase') THEN 'val' ELSE 'train' END AS phase,
+         event_id AS step, value / 100.0 AS loss
+  FROM events WHERE event_type <> 'error' AND value IS NOT NULL)
+SELECT run, phase, count(*) AS steps, round(avg(loss), 8) AS avg_step_loss,
+       round(avg(exp(loss)), 8) AS avg_step_perplexity, round(min(loss), 8) AS best_step_loss,
+       round(arg_max(loss, step), 8) AS last_step_loss
+FROM log GROUP BY run, phase
+"""
+
 _ZS_BASE = FIX + f""",
 zs0 AS (
   SELECT c.id, c.cand_idx, p.question, {trim_ws('c.text')} AS generated,
@@ -488,6 +543,9 @@ ORACLE = {
     "collect_misses": COLLECT_MISSES,
     "extract_profiles": EXTRACT_PROFILES,
     "em_profiles": EM_PROFILES,
+    "answer_shapes": ANSWER_SHAPES,
+    "gold_sft_set": GOLD_SFT_SET,
+    "step_rollup": STEP_ROLLUP,
     "zero_shot_records": ZERO_SHOT_RECORDS,
     "rescore_accuracy": RESCORE_ACCURACY,
     "rescore_stored_predictions": RESCORE_STORED_PREDICTIONS,

@@ -59,7 +59,8 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
                       restart: str = "incremental", run: str = "run",
                       eval_template: str = PR.FORWARD, retry_template: str = PR.HINT,
                       profile: str = "hash_loose", allow_overlap: bool = False,
-                      keep_all: bool = False, stop_early: bool = True) -> DataFrame:
+                      keep_all: bool = False, stop_early: bool = True,
+                      baseline_set: DataFrame | None = None) -> DataFrame:
     """Run up to ``iterations`` rounds (numbered 2..iterations+1 as in the workload) and
     return the stage report ``run, iter, stage, metric, value``.
 
@@ -67,7 +68,12 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
     (R11), stop when nothing is missed. ``keep_all=True`` keeps every greedy retry with its
     ``em_after`` flag (R10) and builds the keep-all set (R12); ``stop_early=False`` runs every
     round even without misses (the second controller's behaviour, which also uses
-    ``retry_template=FORWARD`` and ``restart="from_base"``)."""
+    ``retry_template=FORWARD`` and ``restart="from_base"``).
+
+    ``baseline_set`` (``question, rationale, answer``, e.g. :func:`~reasonloop.functions.records.sft_set`)
+    adds the baseline stage: the base model is fine-tuned on it and evaluated, and the first
+    round starts from that model and its misses. The set itself is no part of the cumulative
+    training sets."""
     if restart not in ("incremental", "from_base"):
         raise ValueError("restart must be 'incremental' or 'from_base'")
     if not allow_overlap and train_problems.join(test_problems.select("id"), "id", "left_semi").take(1):
@@ -80,8 +86,14 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
 
     model = base_model
     test_preds = _write(_predict(test_problems, model, hooks, eval_template, profile), out_root, "test_preds", 1)
+    em = F.avg(F.coalesce(F.col("em").cast("int"), F.lit(0)))
+    report(1, [("zero_shot", "em", test_preds, em)])
+    if baseline_set is not None:
+        _write(baseline_set.select("question", "rationale", "answer"), out_root, "baseline", 1)
+        model = hooks.train(base_model, os.path.join(out_root, "baseline", "iter=1"), 1)
+        test_preds = _write(_predict(test_problems, model, hooks, eval_template, profile), out_root, "baseline_preds", 1)
+        report(1, [("baseline", "em", test_preds, em)])
     train_preds = _write(_predict(train_problems, model, hooks, eval_template, profile), out_root, "train_preds", 1)
-    report(1, [("zero_shot", "em", test_preds, F.avg(F.coalesce(F.col("em").cast("int"), F.lit(0))))])
     prev_train = None
     for it in range(2, iterations + 2):
         misses = S.collect_misses(train_preds)
@@ -113,6 +125,6 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
             ("loop", "generated", misses, F.count(F.lit(1))),
             ("loop", "kept_correct", kept, F.count_if(F.col("em_after"))),
             ("loop", "train_size", train, F.count(F.lit(1))),
-            ("loop", "em", test_preds, F.avg(F.coalesce(F.col("em").cast("int"), F.lit(0)))),
+            ("loop", "em", test_preds, em),
         ])
     return spark.read.parquet(report_path)

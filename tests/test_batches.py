@@ -16,3 +16,6 @@ def test_concat_mask_pad_and_cut(spark):
     ]
     un = sorted((r.batch_id, len(r.input_ids)) for r in B.pad_batches(m, max_seq_len=None).collect())
     assert un == [(0, 5), (0, 5), (1, 7)]
+    for cap in (4, None):        # lengths first, arrays after: the same rows
+        rows = lambda d: sorted((r.batch_id, r.input_ids, r.attention_mask, r.labels, r.max_len) for r in d.collect())
+        assert rows(B.padded_examples(df, max_seq_len=cap)) == rows(B.pad_batches(m, max_seq_len=cap))

@@ -55,3 +55,40 @@ def test_keep_all_without_early_stop(spark):
     # every problem is answered correctly: no misses, yet both rounds run
     assert got[(2, "misses")] == 0 and got[(3, "misses")] == 0 and (3, "em") in got
     assert got[(3, "em")] == 1.0
+
+
+def test_baseline_stage(spark):
+    rows = [(i, f"problem {i}", f"#### {i}") for i in range(40)]
+    probs = spark.createDataFrame(rows, "id bigint, question string, answer string")
+    train, test = probs.filter("id < 30"), probs.filter("id >= 30")
+    seen = []
+
+    def fit(start, path, it):
+        seen.append((start, it, spark.read.parquet(path).count()))
+        return start + 1
+
+    hooks = ST.LoopHooks(generator_for=lambda m, purpose: _model_generator(10 * (m + 1) + (10 if purpose == "retry" else 0)),
+                         train=fit)
+    baseline = train.selectExpr("question", "'worked' AS rationale", "answer")
+    rep = ST.run_self_training(spark, train, test, hooks, 0, tempfile.mkdtemp(prefix="rl-loop-"),
+                               iterations=1, run="t", baseline_set=baseline)
+    got = {(r.iter, r.stage, r.metric): r.value for r in rep.collect()}
+    # the first round starts from the fine-tuned model (answers 0..19): ten misses, not twenty
+    assert got[(1, "zero_shot", "em")] == 0.0 and got[(1, "baseline", "em")] == 0.0
+    assert got[(2, "loop", "misses")] == 10 and got[(2, "loop", "train_size")] == 10
+    assert seen == [(0, 1, 30), (1, 2, 10)]
+
+
+def test_iteration_trains_and_evaluates(spark):
+    from reasonloop.plans.iteration import run_iteration
+    rows = [(i, f"problem {i}", f"#### {i}") for i in range(20)]
+    probs = spark.createDataFrame(rows, "id bigint, question string, answer string")
+    gen = _model_generator(5)
+    res = run_iteration(probs.filter("id < 10"), gen, _model_generator(100), k=2,
+                        train=lambda path: spark.read.parquet(path).count(),
+                        test_problems=probs.filter("id >= 10"), generator_for=lambda model: _model_generator(model + 5))
+    assert res.model == 10 and res.train.count() == 10
+    acc = res.accuracy.first()
+    assert (acc.n, acc.correct) == (10, 5) and res.predictions.count() == 10
+    with pytest.raises(ValueError):
+        run_iteration(probs, gen, gen, test_problems=probs)
