@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import textwrap
 import zipfile
 from collections import Counter, defaultdict
 
@@ -210,6 +211,18 @@ def test_licenses(spark):
     assert got == {1: ("MIT-notice", 0, 12), 2: ("MIT", 2, 100), 3: ("BSD-3-Clause", 0, 0)}
 
 
+def test_licenses_wrapped_and_repeated(spark):
+    notice = licenses.TEMPLATES["MIT-notice"]
+    wrap = {n: "\n".join(textwrap.wrap(licenses.TEMPLATES[n], 72)) for n in ("MIT", "Unlicense")}
+    filler = "\n".join(f"line {i} of the plain story" for i in range(40))
+    docs = spark.createDataFrame([
+        (1, f"{filler}\n{wrap['MIT']}\n{filler}"), (2, f"{filler}\n{wrap['Unlicense']}\n{filler}"),
+        (3, "Licensed under CC\nBY 4.0."), (4, f"{notice} one\n{notice}\n{filler}{filler}\n{notice}"),
+        (5, f"{wrap['MIT']}\n{filler * 4}\n{wrap['MIT']}")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.license, r.n_diff) for r in licenses.scan(docs).collect())
+    assert got == {(1, "MIT", 0): 1, (2, "Unlicense", 0): 1, (3, "CC-BY-4.0-notice", 0): 1, (4, "MIT-notice", 0): 3, (5, "MIT", 0): 2}
+
+
 @pytest.mark.parametrize("most", [warc_zip._MAX32, 100])
 def test_zip_directory(most):
     out = io.BytesIO()
