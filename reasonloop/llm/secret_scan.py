@@ -4,9 +4,11 @@ Base spans: ``assign`` (a key word, ``:`` or ``=``, a value of six or more), ``a
 capitals or digits, 20 or more), ``hex`` (24 or more lower-case hex digits), each kind leftmost and
 non-overlapping. Positions are code points; a span ends before ``end``.
 
-The battery adds ``random`` spans. A token is a run of 24 or more base64 characters that holds
-a letter and a digit; its encoding (hex, base32, base36, base64) is the smallest alphabet that
-fits, base64 needing both cases. Under "drawn uniformly from the alphabet" it is tested for
+The battery adds ``random`` spans. A token is a run of 24 or more base64 characters (plain or
+url-safe) that holds a letter and a digit, or of 40 or more without a digit. Its encoding is the
+smallest alphabet that fits: hex, base32, base36 in either case, base64, or letters only of one or
+both cases. ``- _ + /`` are symbols of base64 alone; in the other encodings they are separators and taken out,
+and the symbols left must still be 24 (letters only: 40). Under "drawn uniformly from the alphabet" it is tested for
 alphabet uniformity (chi-squared, Wilson-Hilferty), runs of high and low symbols, and lag-one
 serial correlation; the three p-values are combined by Fisher's method. Written language fails,
 a random secret does not. Which tokens are told to be *not* random is decided by the
@@ -30,7 +32,10 @@ ASSIGN = (r"""[pPsStTaA](?i:(?<=p)assword|(?<=p)asswd|(?<=s)ecret|(?<=t)oken|(?<
           r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}={0,2}"
+SHORTEST = 24                # symbols of a token with a digit
+SHORTEST_LETTERS = 40        # and of one without
+TOKEN = (r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{%d,}|[A-Za-z+/_-]{%d,})={0,2}"
+         % (SHORTEST, SHORTEST_LETTERS))
 KINDS = ("assign", "access", "hex", "random")
 ALPHA = 0.01
 STEPS = 50
@@ -40,6 +45,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 _DIGITS = "0123456789"
 ALPHABETS = {"hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER,
+             "base36u": _DIGITS + _UPPER, "base26": _LOWER, "base26u": _UPPER, "base52": _UPPER + _LOWER,
              "base64": _UPPER + _LOWER + _DIGITS + "+/"}
 
 
@@ -81,14 +87,24 @@ def base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
         _found(F.col("__h"), t, HEX, 2)))).drop("__v", "__a", "__k", "__h")
 
 
+def _symbols(tok: Column) -> Column:
+    return F.regexp_replace(tok, "[-_+/=]", "")
+
+
 def _encoding(tok: Column) -> Column:
-    plain = F.regexp_replace(tok, "=+$", "")
-    both = plain.rlike("[A-Za-z]") & plain.rlike("[0-9]")
-    return (F.when(~both, F.lit(None))
-            .when(plain.rlike("^[0-9a-f]+$") | plain.rlike("^[0-9A-F]+$"), F.lit("hex"))
-            .when(plain.rlike("^[A-Z2-7]+$"), F.lit("base32"))
-            .when(plain.rlike("^[0-9a-z]+$"), F.lit("base36"))
-            .when(plain.rlike("[a-z]") & plain.rlike("[A-Z]"), F.lit("base64")))
+    def of(bare: Column) -> Column:
+        lower, upper, digit = (bare.rlike(c) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+        n = F.length(bare)
+        return (F.when(~(lower | upper), F.lit(None))
+                .when(digit & lower & upper, F.lit("base64"))
+                .when(n < F.when(digit, F.lit(SHORTEST)).otherwise(F.lit(SHORTEST_LETTERS)), F.lit(None))
+                .when(lower & upper, F.lit("base52"))
+                .when(~digit, F.when(lower, F.lit("base26")).otherwise(F.lit("base26u")))
+                .when(bare.rlike("^[0-9a-f]+$") | bare.rlike("^[0-9A-F]+$"), F.lit("hex"))
+                .when(bare.rlike("^[A-Z2-7]+$"), F.lit("base32"))
+                .otherwise(F.when(lower, F.lit("base36")).otherwise(F.lit("base36u"))))
+
+    return _let(_symbols(tok), of)
 
 
 def _below(z: Column) -> Column:
@@ -123,8 +139,10 @@ def battery(tok: Column, encoding: str) -> Column:
         half = -(F.log(_below(-z1)) + F.log(two(z2)) + F.log(two(z3)))
         return _let(half, lambda v: F.least(F.lit(1.0), F.exp(-v) * (1 + v + v * v / 2)))
 
-    plain = F.regexp_replace(tok, "=+$", "")
-    return _let(F.lower(plain) if encoding == "hex" else F.translate(plain, "-_", "+/"), tests)
+    if encoding == "base64":
+        return _let(F.translate(F.regexp_replace(tok, "=+$", ""), "-_", "+/"), tests)
+    bare = _symbols(tok)
+    return _let(F.lower(bare) if encoding == "hex" else bare, tests)
 
 
 def candidates(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -140,7 +158,7 @@ def candidates(df: DataFrame, text: str, out: str) -> DataFrame:
 
     def judged(x: Column) -> Column:
         p = F.when(x["enc"] == "hex", battery(x["tok"], "hex"))
-        for name in ("base32", "base36", "base64"):
+        for name in [e for e in ALPHABETS if e != "hex"]:
             p = p.when(x["enc"] == name, battery(x["tok"], name))
         size = F.floor(F.log2(F.length(x["tok"]).cast("double")) * 2).cast("string")
         step = F.least(F.lit(MOST_STEPS), F.floor(-F.log10(F.greatest(p, F.lit(1e-290))) * STEPS).cast("int"))

@@ -190,6 +190,20 @@ def test_secrets_base_spans_and_battery(spark, docs):
     assert red[10**6 + 3] is None
 
 
+@pytest.mark.parametrize("symbols, size, pre", [
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 32, ""), ("abcdefghijklmnopqrstuvwxyz0123456789", 44, "sk-"),
+    ("abcdefghijklmnopqrstuvwxyz0123456789-_", 48, ""), ("0123456789abcdef---", 48, ""), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 48, ""),
+    ("abcdefghijklmnopqrstuvwxyz", 48, ""), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 48, "")])
+def test_secrets_of_every_alphabet(spark, symbols, size, pre):
+    rnd = random.Random(5)
+    keys = [pre + "".join(rnd.choice(symbols) for _ in range(size)) for _ in range(60)]
+    prose = "somewhereoverthehillstheoldriverrunsslowlytothesea the-long-way-home-to-the-green-valley-of-2020"
+    docs = spark.createDataFrame([(i, f"see {k} {prose}") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    assert sum(f"random:4:{4 + len(k)}" in got[i].split(",") for i, k in enumerate(keys)) >= 56
+    assert not any(int(x.split(":")[1]) > 4 + len(k) for i, k in enumerate(keys) for x in got[i].split(",") if x)
+
+
 def test_quality_order_does_not_change_the_verdict(spark, docs):
     got = {r.doc_id: r.kept for r in quality.measure(docs).collect()}
     text = pa.array([r.text for r in docs.orderBy("doc_id").collect()])
