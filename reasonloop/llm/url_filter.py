@@ -6,10 +6,13 @@ path starts with the rule's; the longest rule that fits decides.
 *Propagation* judges what no rule decides. Hosts are vertices; a link from a page to another
 host is an edge, weighted by the share of the host's outgoing links. A host most of whose
 pages are blocked by rule is a distrust seed; one with allowed pages and fewer blocked ones a
-trust seed. Personalised PageRank spreads trust from its seeds along links; the same on
-the reversed graph spreads distrust to hosts that link to blocked ones. Both run in one
-iteration over (direction, host) until no score moves by ``TOLERANCE``, ``ITERATIONS`` at most.
-A host is blocked when its distrust is ``THRESHOLD`` or more and above its trust.
+trust seed. A host's distrust is its personalised PageRank for the distrust seeds: the probability
+that a walk from the host along links, ended with ``1 - DAMPING`` at each step, ends on one. Trust is
+the same for the trust seeds and a walk against the links. Each step is shared over the walking
+host's own links, so a seed with many linkers counts no less for each of them. Both run in one iteration over
+(direction, host) until no score moves by ``TOLERANCE``; a round's largest move is at most ``DAMPING``
+times the one before, so it always ends. A host is blocked when its distrust is ``THRESHOLD`` or
+more and above its trust.
 
 Null urls and urls without ``://`` have an empty host and path and are allowed; null html has no
 links. Repeated pages count as often as they stand. Scores are one row per host, written to
@@ -26,7 +29,7 @@ from ..session import materialize
 #: (action, rule)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ITERATIONS = 10
+ITERATIONS = 10              # rounds the oracle SQL unrolls; the operator goes on to the tolerance
 TOLERANCE = 1e-6
 THRESHOLD = 0.1
 MOST_RULES = 1000
@@ -62,19 +65,20 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS,
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
               tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score) for ``seeds`` (kind, host): kind ``trust`` follows the edges, ``distrust``
-    follows them backwards. A seed restarts with ``1 - damping``."""
+    follows them backwards, each weighted by its share of the receiving host's links. A seed
+    restarts with ``1 - damping``."""
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
-    out = both.groupBy("kind", "a").agg(F.sum("n").alias("all"))
-    both = materialize(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")), "url-edges")
+    own = both.groupBy("kind", "b").agg(F.sum("n").alias("all"))
+    both = materialize(both.join(own, ["kind", "b"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")), "url-edges")
     start = materialize(seeds.select("kind", "host", F.lit(1.0 - damping).alias("score")), "url-seeds")
     score = start
     if both.isEmpty():
         return score
-    for _ in range(iterations):
+    while True:
         flow = (both.join(score.withColumnRenamed("host", "a"), ["kind", "a"])
                 .groupBy("kind", F.col("b").alias("host")).agg((F.lit(damping) * F.sum(F.col("w") * F.col("score"))).alias("score")))
         new = flow.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))

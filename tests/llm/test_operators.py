@@ -297,6 +297,23 @@ def test_url_rules_and_propagation(spark):
     assert got[7][2] == "org/fr/" and got[8] == ("a.net", "", None, "allow")
 
 
+def test_url_hub_with_thousands_of_linkers(spark):
+    rows = [(0, "http://hub.net/", "")]
+    rows += [(i, f"http://l{i}.com/", '<a href="http://hub.net/x">') for i in range(1, 3001)]
+    rows += [(3001, "http://half.com/", '<a href="http://hub.net/x"><a href="http://fine.com/">'), (3002, "http://fine.com/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    blocked = {r.page_id for r in url_filter.judge(pages).where("verdict = 'block'").collect()}
+    assert blocked == set(range(3001))
+
+
+def test_url_cycle_is_followed_to_the_tolerance(spark):
+    edges = spark.createDataFrame([("a.com", "b.net", 1), ("b.net", "a.com", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("distrust", "b.net")], "kind string, host string")
+    got = {r.host: r.score for r in url_filter.propagate(edges, seeds).collect()}
+    seed = 0.15 / (1 - 0.85 ** 2)                        # closed form of a walk on the two hosts
+    assert got["b.net"] == pytest.approx(seed, abs=1e-5) and got["a.com"] == pytest.approx(0.85 * seed, abs=1e-5)
+
+
 def test_odd_inputs(spark, odd):
     n = odd.count()
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
