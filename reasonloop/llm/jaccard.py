@@ -165,7 +165,7 @@ def _linked(hs, ds, n, threshold):
         return (inter / union >= threshold - 1e-12) & (union > 0)
 
 
-def _verify_item(texts, bands, band, side, threshold):
+def _verify_item(texts, bands, band, side, across, threshold):
     """(links per text, forest edges) of one work item; a pair counts in its first shared band only."""
     n = len(texts)
     w = Words(text_array(pa.array(texts, pa.string()), lower=True))
@@ -174,7 +174,7 @@ def _verify_item(texts, bands, band, side, threshold):
     for k in range(band):
         ok &= bands[:, k][:, None] != bands[:, k][None, :]
     np.fill_diagonal(ok, False)
-    if side.any():                                    # two blocks: only pairs across them
+    if across:                                        # two blocks: only pairs across them
         ok &= side[:, None] != side[None, :]
     links = ok.sum(1)
     parent = list(range(n))
@@ -205,7 +205,7 @@ def _verify(threshold: float):
             if len(use) < 2:
                 return
             links, edges = _verify_item([r[1] for r in use], np.array([r[2] for r in use], np.int64),
-                                        item[0], np.array([r[3] for r in use], bool), threshold)
+                                        item[0], np.array([r[3] for r in use], bool), item[2] != item[3], threshold)
             for r, k in zip(use, links):
                 if k:
                     out_a.append(r[0]); out_b.append(r[0]); out_n.append(int(k))

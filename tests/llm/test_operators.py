@@ -62,6 +62,16 @@ def test_jaccard_links_and_blocks(spark, block):
     assert kept == {r.class_id for r in got.values()}
 
 
+def test_jaccard_links_counted_once_with_an_empty_block(spark):
+    rnd = random.Random(4)
+    rows = []
+    for g in range(12):                                  # pairs of near copies, each dealt to more blocks than it has texts
+        w = [f"g{g}w{rnd.randrange(900)}" for _ in range(200)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w + ["end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_links for r in jaccard.jaccard_join(docs, block_bytes=800).collect()] == [1] * 24
+
+
 def test_band_plan():
     bands, rows = jaccard.plan_bands(0.8, 0.999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999 and bands * rows <= 128
