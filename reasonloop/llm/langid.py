@@ -8,9 +8,9 @@ counts). A symbol takes 16 bits, so a four-gram is one exact 64-bit key, scrambl
 bijection and kept in a sorted array; a row holds the log-probability in every language.
 The language with the lowest cross-entropy per symbol wins.
 
-* *Fitting* uses at most about ``train_rows`` labelled rows per language and at most
-  ``max_grams`` four-grams (documented bounds of a fitted classifier: the model is what is
-  broadcast). Counting runs in Spark; only counts reach the driver.
+* *Fitting* uses at most about ``train_rows`` labelled rows per language (the documented bound of a
+  fitted classifier: the model is what is broadcast) and every four-gram of those rows. Counting
+  runs in Spark; only counts reach the driver.
 * *Calibration*: ``calib_rows`` other labelled rows per language give the cross-entropy that
   a share ``accept`` of true texts of that language stays under; ``accepted`` is false above.
   The predicted language is given all the same.
@@ -36,7 +36,6 @@ from .common import U64, chunks, text_array
 ORDER = 4
 TRAIN_ROWS = 1500
 CALIB_ROWS = 300
-MAX_GRAMS = 2_000_000
 ACCEPT = 0.999
 SHARPNESS = 8.0
 _ODD = 0x9E3779B97F4A7C15
@@ -231,12 +230,12 @@ def _sample(docs: DataFrame, lang_col: str, pick: Column, rows: int, salt: int)
         raise ValueError("more than 2,000 labels: not a language column")
     share = F.lit(0)
     for lang, n in counts:
-        share = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, rows / n) * 1_000_000))).otherwise(share)
+        share = F.when(F.col(lang_col) == lang, F.lit(max(1, int(min(1.0, rows / n) * 1_000_000)))).otherwise(share)
     return some.where(F.pmod(F.col("__pick"), F.lit(1_000_000)) < share)
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, train: Column, calibrate: Column, pick: Column,
-        train_rows: int = TRAIN_ROWS, calib_rows: int = CALIB_ROWS, max_grams: int = MAX_GRAMS,
+        train_rows: int = TRAIN_ROWS, calib_rows: int = CALIB_ROWS,
         accept: float = ACCEPT) -> Model | None:
     """Fit on rows where ``train`` holds, calibrate on rows where ``calibrate`` holds; ``pick``
     is the hash that chooses the bounded samples. None without a labelled row."""
@@ -267,13 +266,14 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, train: Column, calibrate:
                     names=["l", "k", "n"])
 
     grams = (chosen.select("t", "l").mapInArrow(counts, "l string, k long, n long")
-             .groupBy("l", "k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l", "k").limit(max_grams).toArrow())
+             .groupBy("l", "k").agg(F.sum("n").alias("n")).toArrow())
     if not grams.num_rows:
         return None
-    labels = grams.column("l").to_pylist()
-    langs = sorted(set(labels))
+    codes = grams.column("l").combine_chunks().dictionary_encode()
+    langs = sorted(codes.dictionary.to_pylist())
     where = {x: i for i, x in enumerate(langs)}
-    model = kneser_ney(langs, np.array([where[x] for x in labels]),
+    place = np.array([where[x] for x in codes.dictionary.to_pylist()])
+    model = kneser_ney(langs, place[codes.indices.to_numpy()],
                        grams.column("k").to_numpy().view(np.uint64), grams.column("n").to_numpy(), alphabet)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -146,6 +146,25 @@ def test_language_held_out_and_brute_force(spark, docs):
         assert count[0] == m and abs(got[0, 0] - want / m) < 1e-4
 
 
+def test_language_model_keeps_every_gram_of_the_sample(spark, docs, monkeypatch):
+    seen = []
+    plain = langid.kneser_ney
+    monkeypatch.setattr(langid, "kneser_ney", lambda langs, lang, key, n, alphabet: seen.append((langs, n.sum(), alphabet))
+                        or plain(langs, lang, key, n, alphabet))
+    monkeypatch.setattr(langid, "MAX_GRAMS", 50, raising=False)
+    every = F.lit(True)
+    model = langid.fit(docs, "text", "lang", every, every, F.xxhash64("doc_id"), train_rows=10**6)
+    (langs, total, alphabet), = seen
+    texts = pa.array([r.text for r in docs.where("lang is not null").collect()])
+    assert langs == sorted(r.lang for r in docs.where("lang is not null").select("lang").distinct().collect()) == model.langs
+    assert total == len(langid.Symbols(texts, alphabet).key)
+
+
+def test_language_sample_of_a_huge_label_is_not_empty(spark):
+    some = spark.range(3000).select(F.lit("en").alias("l"), F.pmod(F.col("id"), F.lit(10)).alias("__pick"))
+    assert langid._sample(some, "l", F.lit(True), 0.001, 1).count() == 300
+
+
 def test_pii(spark):
     docs = spark.createDataFrame([
         (1, "Hans.23@mail5.example.com, hans.23@mail5.example.com, +1 (743) 555-3824 or 743-555-3824"),
