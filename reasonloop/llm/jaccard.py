@@ -236,7 +236,8 @@ def _verify(threshold: float):
 
 
 def _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes) -> DataFrame:
-    """(id, th, class_id, copy_id, n_copies, n_links) per row."""
+    """(id, th, is_first, class_id, copy_id, n_copies, n_links) per row; ``is_first`` marks the rows
+    that are their group's representative: smallest id (nulls last), then row hash, then content key."""
     bands, rows = plan_bands(threshold, recall)
     sig = materialize(signatures(docs, id_col, text_col, bands, rows), "jaccard-signatures")
     worded = sig.where("key is not null")
@@ -270,15 +271,17 @@ def _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes) ->
     links = materialize(links, "jaccard-links")
     counts = links.where("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     comps = connected_components(links.where("n = 0"), name="jaccard")
-    named = (classes.select("key", F.col("rep.id").alias("copy_id"), F.col("copies").alias("n_copies"))
+    named = (classes.select("key", F.struct("rep.none", "rep.id", "rep.th", "key").alias("rep"), F.col("copies").alias("n_copies"))
              .join(counts, "key", "left")
              .join(comps.select(F.col("node").alias("key"), "component"), "key", "left"))
     named = materialize(named, "jaccard-named")
-    lowest = named.where("n_links > 0").groupBy("component").agg(F.min("copy_id").alias("low"))
+    lowest = named.where("n_links > 0").groupBy("component").agg(F.min("rep").alias("low"))
     named = (named.join(lowest, "component", "left")
-             .select("key", "copy_id", "n_copies", "n_links", F.coalesce("low", "copy_id").alias("class_id")))
+             .select("key", F.col("rep.id").alias("copy_id"), "n_copies", "n_links", F.coalesce("low", "rep").alias("first"))
+             .select("*", F.col("first.id").alias("class_id")))
     return (sig.select("id", "th", "key").join(named, "key", "left")
-            .select("id", "th",
+            .select("id", "th", (F.col("key").isNull() | ((F.col("key") == F.col("first.key")) & (F.col("th") == F.col("first.th"))
+                                                          & F.col("id").eqNullSafe(F.col("first.id")))).alias("is_first"),
                     F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
                     F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
@@ -292,17 +295,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near-duplicate group), ``copy_id`` (smallest id of the rows with the same words),
     ``n_copies`` (those rows) and ``n_links`` (other distinct texts linked to this one). A row
     without words has itself as class, one copy and no link."""
-    return _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes).drop("th")
+    return _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes).drop("th", "is_first")
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        threshold: float = THRESHOLD, recall: float = RECALL,
                        block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the row whose id names the group.
-    Rows that repeat that id and text are reduced to one; rows without words are groups of
+    """``docs`` with one row of each near-duplicate group: the smallest id, nulls last, ties by
+    row hash and content. Rows that repeat that id and text are reduced to one; rows without words are groups of
     their own and stay."""
     found = _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes)
-    stay = (found.where(F.col("id").eqNullSafe(F.col("class_id")))
+    stay = (found.where("is_first")
             .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.count(F.lit(1)).alias("__n")))
     row = F.col("row")
     text = row.getField(text_col).cast("string")

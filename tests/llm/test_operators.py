@@ -72,6 +72,17 @@ def test_jaccard_links_counted_once_with_an_empty_block(spark):
     assert [r.n_links for r in jaccard.jaccard_join(docs, block_bytes=800).collect()] == [1] * 24
 
 
+def test_one_of_each_near_duplicate_group_with_null_and_tied_ids(spark):
+    rnd = random.Random(6)
+    a, b, c = ([f"{x}{rnd.randrange(900)}" for _ in range(100)] for x in "abc")
+    near = [" ".join(a), " ".join(a + ["x"]), " ".join(a).upper()]
+    rows = ([(None, t) for t in near] + [(None, " ".join(b)), (None, " ".join(b + ["y"]))]
+            + [(7, " ".join(c)), (7, " ".join(c + ["z"])), (7, " ".join(c + ["z"])), (9, " ".join(c))])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text[0].lower()) for r in jaccard.keep_one_per_class(docs).collect()]
+    assert sorted(kept, key=str) == [(7, "c"), (None, "a"), (None, "b")]
+
+
 def test_band_plan():
     bands, rows = jaccard.plan_bands(0.8, 0.999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999 and bands * rows <= 128
