@@ -179,11 +179,11 @@ def find_items(texts: pa.Array, index: ItemIndex) -> list[tuple[int, int, int, i
         start, m, doc, lo, hi, k = (x[near] for x in (start, m, doc, lo, hi, k))
         if not len(start):
             continue
-        # the windows' words side by side; places outside the text hold 0
+        # the windows' words side by side; places outside the text hold symbols of their own, for the walk stops at 0
         offset = np.cumsum(m) - m
         cols = np.arange(m.sum()) - np.repeat(offset - start, m)
         inside = (cols >= np.repeat(lo, m)) & (cols < np.repeat(hi, m))
-        flat = np.append(np.where(inside, padded[np.clip(cols, 0, len(w.h))], U64(0)), U64(0))
+        flat = np.append(np.where(inside, padded[np.clip(cols, 0, len(w.h))], mix((cols + (1 << 40)).astype(np.uint64)) | U64(1)), U64(0))
         cand = []
         for walk in range(WALKS):
             sk = sample_keys(cgk_embed(flat, offset, m, walk), m, walk).ravel()

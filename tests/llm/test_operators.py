@@ -112,6 +112,21 @@ def test_decontamination_recall_and_clean_texts(spark):
     assert decontam.contamination(d, b.limit(0)).count() == 0
 
 
+def _recall(items, texts):
+    index = decontam.ItemIndex(list(range(len(items))), [" ".join(w) for w in items], decontam.MAX_EDIT)
+    hits = {(d, i) for d, i, _, _ in decontam.find_items(pa.array([" ".join(t) for t in texts]), index)}
+    return sum((n, n) in hits for n in range(len(items))) / len(items)
+
+
+@pytest.mark.parametrize("size", [16, 40, 200])
+def test_decontamination_of_items_cut_at_a_documents_ends(size):
+    rnd = random.Random(size)
+    items = [[f"w{rnd.randrange(3000)}" for _ in range(size)] for _ in range(40)]
+    filler = [f"w{rnd.randrange(3000)}" for _ in range(80)]
+    assert _recall(items, [w[1:] + filler for w in items]) == 1
+    assert _recall(items, [filler + w[:-1] for w in items]) == 1
+
+
 def test_cgk_keeps_equal_windows_equal():
     flat = np.array([5, 6, 7, 5, 6, 7, 0], np.uint64)
     e = decontam.cgk_embed(flat, np.array([0, 3]), np.array([3, 3]), 0)
