@@ -8,6 +8,9 @@ runs of letters and digits, so case, spacing and ASCII punctuation do not count
   ``(m - k) // (k + 1)`` words unchanged. Windows of the item's own size are therefore taken
   where the text shares such a run (up to ``SEED`` words) with an item, aligned by the run's
   place in the item: a window skipped by this rule cannot match, so the skip loses nothing.
+* *Pieces.* An item of more than ``PIECE`` words is cut into equal pieces, each found like an item of
+  its own: were every piece over its allowed edits, the item would be too. So what is embedded
+  never gets longer, and a long match has several pieces to be found by.
 * *Embedding.* The CGK random walk reads a window of m words in 3m steps: at each step it
   writes the current word and moves on by a random bit of (step, word). Edit distance
   becomes Hamming distance, because two walks meet again soon after an edit.
@@ -40,9 +43,10 @@ from .common import NON_ALNUM, U64, Words, chunks, mix, text_array
 
 MAX_EDIT = 0.2
 SEED = 3
-WALKS = 4
+WALKS = 8
 TABLES = 12                  # per walk
 BITS = 3
+PIECE = 64                   # words an embedded piece of an item holds at most
 BLOCK_BYTES = 8 << 20
 
 
@@ -114,12 +118,16 @@ class ItemIndex:
         self.ids = ids
         words = Words(text_array(pa.array(texts, pa.string()), lower=True), NON_ALNUM)
         self.words = [words.h[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
+        cuts = [[len(w) * j // n for j in range(n + 1)] for w in self.words for n in [-(-len(w) // PIECE)]]
+        self.item = np.array([i for i, c in enumerate(cuts) for _ in c[1:]], np.int64)       # per piece: its item,
+        self.off = np.array([a for c in cuts for a in c[:-1]], np.int64)                     # first word there and size
+        self.size = np.array([b - a for c in cuts for a, b in zip(c, c[1:])], np.int64)
         seeds: dict[int, list] = defaultdict(list)
-        for i, w in enumerate(self.words):
-            if len(w):
-                q = seed_words(len(w), max_edit)
-                h = window_hashes(w, q)
-                seeds[q].append((h, np.full(len(h), i), np.arange(len(h))))
+        for i, (of, a, n) in enumerate(zip(self.item, self.off, self.size)):
+            w = self.words[of][a:a + n]
+            q = seed_words(len(w), max_edit)
+            h = window_hashes(w, q)
+            seeds[q].append((h, np.full(len(h), i), np.arange(len(h))))
         self.seeds = {}
         for q, parts in seeds.items():
             h, item, off = (np.concatenate(x) for x in zip(*parts))
@@ -128,13 +136,12 @@ class ItemIndex:
             bits[(h >> U64(42)).astype(np.int64)] = True
             self.seeds[q] = (h[order], item[order], off[order], bits)
         flat = np.append(words.h, U64(0))
-        members = np.flatnonzero(np.diff(words.first))
-        base, length = words.first[members], np.diff(words.first)[members]
+        base, length = words.first[self.item] + self.off, self.size
+        members = np.arange(len(length))
         keys = [sample_keys(cgk_embed(flat, base, length, walk), length, walk).ravel() for walk in range(WALKS)]
         keys, owner = np.concatenate(keys), np.tile(np.repeat(members, TABLES), WALKS)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
-        self.size = np.diff(words.first)
         self.max_edit = max_edit
 
 
@@ -189,14 +196,19 @@ def find_items(texts: pa.Array, index: ItemIndex) -> list[tuple[int, int, int, i
             sk = sample_keys(cgk_embed(flat, offset, m, walk), m, walk).ravel()
             a, b = np.searchsorted(index.keys, sk, "left"), np.searchsorted(index.keys, sk, "right")
             row, at = _ranges(a, b)
-            cand.append((row // TABLES) * len(index.words) + index.owner[at])
+            cand.append((row // TABLES) * len(index.size) + index.owner[at])
         cand = np.unique(np.concatenate(cand))
-        row, item = cand // len(index.words), cand % len(index.words)
-        same = index.size[item] == m[row]
-        row, item = row[same], item[same]
-        for size in np.unique(m[row]):
+        row, piece = cand // len(index.size), cand % len(index.size)
+        same = index.size[piece] == m[row]
+        row, piece = row[same], piece[same]
+        # the whole item, where its piece stands in the window
+        spot = np.stack([doc[row], index.item[piece], start[row] - index.off[piece], lo[row], hi[row]])
+        doc, item, start, lo, hi = np.unique(spot, axis=1)
+        sizes = np.array([len(x) for x in index.words], np.int64)[item]
+        for size in np.unique(sizes):
             e = allowed_edits(int(size), index.max_edit)
-            rs, its = row[m[row] == size], item[m[row] == size]
+            rs = np.flatnonzero(sizes == size)
+            its = item[rs]
             region = start[rs][:, None] + np.arange(-e, size + e)
             ok = (region >= lo[rs][:, None]) & (region < hi[rs][:, None])
             reg = np.where(ok, padded[np.clip(region, 0, len(w.h))], U64(0))

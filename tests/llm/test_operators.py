@@ -112,6 +112,14 @@ def test_decontamination_recall_and_clean_texts(spark):
     assert decontam.contamination(d, b.limit(0)).count() == 0
 
 
+def _edited(w, rnd):
+    """``w`` with the allowed edits, mixed, at places of their own."""
+    w = list(w)
+    for p in sorted(rnd.sample(range(len(w)), decontam.allowed_edits(len(w))), reverse=True):
+        w[p:p + 1] = rnd.choice(([], ["zz"], [w[p], "yy"]))
+    return w
+
+
 def _recall(items, texts):
     index = decontam.ItemIndex(list(range(len(items))), [" ".join(w) for w in items], decontam.MAX_EDIT)
     hits = {(d, i) for d, i, _, _ in decontam.find_items(pa.array([" ".join(t) for t in texts]), index)}
@@ -127,6 +135,14 @@ def test_decontamination_of_items_cut_at_a_documents_ends(size):
     assert _recall(items, [filler + w[:-1] for w in items]) == 1
 
 
+@pytest.mark.parametrize("size", [16, 32, 60, 200])
+def test_decontamination_recall_at_all_allowed_edits(size):
+    rnd = random.Random(size)
+    items = [[f"w{rnd.randrange(3000)}" for _ in range(size)] for _ in range(60)]
+    filler = [f"w{rnd.randrange(3000)}" for _ in range(40)]
+    assert _recall(items, [filler + _edited(w, rnd) + filler for w in items]) >= 0.98
+
+
 def test_cgk_keeps_equal_windows_equal():
     flat = np.array([5, 6, 7, 5, 6, 7, 0], np.uint64)
     e = decontam.cgk_embed(flat, np.array([0, 3]), np.array([3, 3]), 0)
