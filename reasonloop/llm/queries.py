@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, licenses, mixing, pii, quality, secret_scan, url_filter, warc_zip
+from . import decontam, filter_audit, jaccard, langid, licenses, mixing, pii, quality, secret_scan, url_filter, warc_zip
 
 PII_KEY = "reasonloop-demo-key"       # a demonstration key; a deployment passes its own
 
@@ -69,9 +69,14 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every step of every order of the five filters, per source."""
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_language_id, op3_decontamination, op4_pii_surrogates, op5_secret_scan, op6_quality_rules,
-    op7_license_scan, op8_jaccard_join, op9_source_mix, op10_warc_zip)}
+    op7_license_scan, op8_jaccard_join, op9_source_mix, op10_warc_zip, op12_filter_audit)}
 
 
 def _pagerank_sql(iterations: int = url_filter.ITERATIONS) -> str:
@@ -206,5 +211,47 @@ select page_id, payload_bytes, p.payload_digest,
 from p left join k on k.payload_digest = p.payload_digest
 """
 
+_OP12 = r"""
+with d as materialized (
+  select coalesce(source, '') as part, doc_id, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+firsts as (select text, min(doc_id) as first_id from d group by text),
+said as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+r as materialized (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    map {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+         'C': 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text),
+         'D': regexp_matches(d.text, '[#$%&*|]'), 'E': coalesce(d.doc_id > first_id, false)} as fails
+  from d join firsts on firsts.text = d.text left join said on said.doc_id = d.doc_id),
+c as materialized (
+  select part, list_aggregate(list_transform(['A','B','C','D','E'], lambda x: case when fails[x] then x else '' end), 'string_agg', '') as mask,
+         count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from r group by 1, 2),
+l as (select unnest(['A','B','C','D','E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as o from l a, l b, l c, l d, l e
+  where a.x <> b.x and a.x <> c.x and a.x <> d.x and a.x <> e.x and b.x <> c.x and b.x <> d.x and b.x <> e.x
+    and c.x <> d.x and c.x <> e.x and d.x <> e.x),
+steps as (select o, unnest(range(1, 6)) as step from orders),
+fate as (
+  select part, o, step, substr(o, step, 1) as f, mask, n, good, toxic,
+    contains(mask, substr(o, step, 1)) as fails_it,
+    regexp_matches(substr(o, 1, step - 1), '[' || mask || '-]') as gone
+  from c, steps),
+figures as (
+  select part, o as filter_order, step, any_value(f) as f,
+    sum(case when not gone and not fails_it then n else 0 end) as kept,
+    sum(case when not gone and fails_it then n else 0 end) as removed,
+    sum(case when gone and fails_it then n else 0 end) as redundant,
+    sum(case when mask = f then n else 0 end) as unique_fails,
+    sum(case when not gone and fails_it then good else 0 end) as good_lost,
+    sum(case when not gone and fails_it then toxic else 0 end) as toxic_lost
+  from fate group by part, o, step),
+whole as (select part, f, sum(removed) as shapley from figures group by part, f)
+select x.part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(shapley as bigint) as shapley
+from figures x join whole w on w.part = x.part and w.f = x.f
+"""
+
 ORACLE = {"op1_url_filter": _OP1, "op6_quality_rules": _OP6, "op8_jaccard_join": _OP8, "op9_source_mix": _OP9,
-          "op10_warc_zip": _OP10}
+          "op10_warc_zip": _OP10, "op12_filter_audit": _OP12}
