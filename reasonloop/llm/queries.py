@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, filter_audit, jaccard, langid, licenses, mixing, pii, quality, secret_scan, url_filter, warc_zip
+from . import decontam, filter_audit, jaccard, langid, licenses, mixing, pii, quality, secret_scan, spelling, url_filter, warc_zip
 
 PII_KEY = "reasonloop-demo-key"       # a demonstration key; a deployment passes its own
 
@@ -69,6 +69,11 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its near words, form and root."""
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of every step of every order of the five filters, per source."""
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -76,7 +81,8 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_language_id, op3_decontamination, op4_pii_surrogates, op5_secret_scan, op6_quality_rules,
-    op7_license_scan, op8_jaccard_join, op9_source_mix, op10_warc_zip, op12_filter_audit)}
+    op7_license_scan, op8_jaccard_join, op9_source_mix, op10_warc_zip,
+    op11_spelling_variants, op12_filter_audit)}
 
 
 def _pagerank_sql(iterations: int = url_filter.ITERATIONS) -> str:
