@@ -6,9 +6,10 @@ SQL where SQL expresses the result; the others are held against brute force in `
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, filter_audit, jaccard, langid, licenses, mixing, pii, quality, secret_scan, spelling, url_filter, warc_zip
+from . import decontam, filter_audit, jaccard, langid, licenses, mixing, packing, pii, quality, secret_scan, spelling, url_filter, warc_zip
 
 PII_KEY = "reasonloop-demo-key"       # a demonstration key; a deployment passes its own
 
@@ -79,10 +80,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_language_id, op3_decontamination, op4_pii_surrogates, op5_secret_scan, op6_quality_rules,
     op7_license_scan, op8_jaccard_join, op9_source_mix, op10_warc_zip,
-    op11_spelling_variants, op12_filter_audit)}
+    op11_spelling_variants, op12_filter_audit, op13_packing)}
 
 
 def _pagerank_sql(iterations: int = url_filter.ITERATIONS) -> str:
