@@ -2,8 +2,8 @@
 
 1. One pass tokenises the whole texts and writes a narrow row per document: its number of tokens
    (the end id included) and the CRC of each ``capacity`` tokens and of the rest. Full stretches of long
-   documents are sequences of their own; the rests are the items to pack. Words are encoded once per
-   task: the tokenizer never joins across white space.
+   documents are sequences of their own; the rests are the items to pack. Words are encoded once
+   each: the tokenizer never joins across white space.
 2. *Histogram.* An item's size is its length, rounded up to one of 32 steps per power of two above 64, so
    there are at most 256 sizes at the standard capacity. The driver holds one count per size and share.
 3. *Linear program.* Rows that are cut pay for full sequences: a share of all documents, drawn by
@@ -46,35 +46,64 @@ SHARES = 256
 GAP = 1e-3                   # relative gap at which column generation ends
 PIVOTS = 40                  # pivots a size at most; every basis is a valid plan, so it may also end there
 SPREAD = 1e-3                # relative change of the counts that keeps the simplex method from ties
-CACHE_WORDS = 500_000        # words a task keeps encoded
+CACHE_WORDS = 300_000        # words a worker keeps encoded
 BLOCK = 1 << 16              # rows of a prefix block, tokens of a stretch of the line
 
 
 class Encoder:
-    """Token ids of texts; the ids of words seen are kept."""
+    """Token ids of texts for a tokenizer that lower-cases, drops white space and parts letters from
+    punctuation, so that lower-cased words and the marks after them are encoded apart and only once.
+
+    New words are encoded many in one text, with a character between them whose id no other character
+    gives; the ids of ``CACHE_WORDS`` words are kept for the following texts."""
+
+    MARK = "\x02"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"       # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
+        mark = self._ids([self.MARK])[0]
+        if len(mark) != 1 or self._ids(["Ab, c."])[0] != sum(self._ids(["ab", ",", "c", "."]), []):
+            raise ValueError("this tokenizer's words cannot be encoded apart")
+        self.mark = mark[0]
         self.at: dict[str, int] = {}
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for e in ids for x in e), np.uint32, int(sizes.sum()))])
+        plain = [w for w in words if self.MARK not in w]
+        odd = [w for w in words if self.MARK in w]
+        flat, sizes = [self.flat], []
+        for k in range(0, len(plain), 20_000):
+            part = plain[k:k + 20_000]
+            texts = [f" {self.MARK} ".join(part[i:i + 1000] + [""]) for i in range(0, len(part), 1000)]
+            ids = np.concatenate([np.array(x, np.uint32) for x in self._ids(texts)])
+            marks = np.flatnonzero(ids == self.mark)
+            sizes.append(np.diff(np.append(-1, marks)) - 1)
+            flat.append(np.delete(ids, marks))
+        if odd:
+            ids = self._ids(odd)
+            sizes.append(np.array([len(x) for x in ids]))
+            flat.append(np.array(sum(ids, []), np.uint32))
+        self.at.update(zip(plain + odd, range(len(self.at), len(self.at) + len(words))))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate(flat)
+
+    def _forget(self, words: list[str]) -> None:
+        """Drops the words learnt last, beyond the cache."""
+        for w in words:
+            del self.at[w]
+        self.first = self.first[:len(self.at) + 1]
+        self.flat = self.flat[:self.first[-1]]
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of text i are ``ids[first[i]:first[i + 1]]`` and end with ``end``."""
-        if len(self.at) > CACHE_WORDS:
-            self.forget()
-        split = pc.ascii_split_whitespace(texts)
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():          # special tokens keep their case
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, "([a-z])([.,;:!?])", r"\1 \2"))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.at]
@@ -85,11 +114,23 @@ class Encoder:
         sizes = self.first[place + 1] - self.first[place]
         upto = np.append(0, np.cumsum(sizes))
         ids = self.flat[np.repeat(self.first[place] - upto[:-1], sizes) + np.arange(upto[-1])]
+        if len(self.at) > CACHE_WORDS:
+            self._forget(new)
         words_upto = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))).astype(np.int64)
         ends = upto[words_upto]
         return np.insert(ids, ends[1:], np.uint32(end)), ends + np.arange(len(ends))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: its words serve the worker's later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("th"), text.alias("t"))
@@ -102,8 +143,8 @@ def _share() -> Column:
 def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(id, th, tokens, crcs) per row: ``crcs`` of every ``capacity`` ids and of the rest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
-        for c in chunks(batches, "t", 8 << 20):
+        encode = encoder(tokenizer)
+        for c in chunks(batches, "t", 4 << 20):
             ids, first = encode(text_array(c.column("t")), end)
             data = memoryview(ids.astype("<u4").tobytes())
             crcs = [[zlib.crc32(data[4 * s:4 * min(s + capacity, b)]) for s in range(a, b, capacity)]
@@ -119,8 +160,8 @@ def cut_tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, shar
                end: int = END) -> DataFrame:
     """(id, th, ids): the rest's ids, four bytes each, of the documents in the first ``shares`` shares."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
-        for c in chunks(batches, "t", 8 << 20):
+        encode = encoder(tokenizer)
+        for c in chunks(batches, "t", 4 << 20):
             ids, first = encode(text_array(c.column("t")), end)
             data = ids.astype("<u4").tobytes()
             rest = [data[4 * (b - (b - a) % capacity):4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]

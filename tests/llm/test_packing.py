@@ -51,11 +51,13 @@ def check(rows, docs, capacity):
         assert covered == {k: want[key] for k in range(key[1])}
 
 
-def test_words_encoded_apart_give_the_ids_of_whole_texts(docs):
+def test_words_encoded_apart_give_the_ids_of_whole_texts(docs, monkeypatch):
     texts = [r.text for r in docs.select("text").collect()] + [
-        "", "  ", "It's a　test of  é ́x İ <|endoftext|> a<|startoftext|>b \x1c\x85 we'LL don't", "漢字 1234 ++--", "\n\ta\r\n"]
+        "", "  ", "It's a　test of  é ́x İ <|endoftext|> a<|startoftext|>b \x1c\x85 we'LL don't", "漢字 1234 ++--", "\n\ta\r\n", "a\x02b \x02 A.B, c?! É.x",
+        "<|STARTOFTEXT|> AB<|endoftext|>CD"]
     encode = packing.Encoder(PATH)
-    for part in (texts[:50], texts[50:], texts[:10]):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3000)
+    for part in (texts[:50], texts[50:205], texts[:10], texts[200:], texts[-1:], texts[-2:-1]):
         ids, first = encode(pa.array(part), 2)
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == ids_of(part)
 
