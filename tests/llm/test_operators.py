@@ -143,6 +143,55 @@ def test_decontamination_recall_at_all_allowed_edits(size):
     assert _recall(items, [filler + _edited(w, rnd) + filler for w in items]) >= 0.98
 
 
+def test_items_without_words_are_matched_by_nothing(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([("a", item), ("b", "other words"), ("c", None), ("d", ""), ("a", item)], "doc_id string, text string")
+    wordless = [("x", ""), ("y", "..."), (None, None), ("z", " \n")]
+    for more, want in (([], []), ([("q", item.upper()), ("q", item)], ["a", "a", "a", "a"])):
+        bench = spark.createDataFrame(wordless + more, "item_id string, text string")
+        for size in (decontam.BLOCK_BYTES, 1):                # also a block of wordless items alone
+            assert sorted(r.doc_id for r in decontam.contamination(docs, bench, block_bytes=size).collect()) == want
+            kept = sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench, block_bytes=size).collect())
+            assert kept == (["b", "c", "d"] if more else ["a", "a", "b", "c", "d"])
+
+
+def test_walks_reach_the_target_recall():
+    assert decontam.plan_walks(0.2, 0.9) < decontam.plan_walks(0.2, 0.98) <= decontam.plan_walks(0.2, 0.999)
+    assert decontam.plan_walks(0.05, 0.98) < decontam.plan_walks(0.2, 0.98)
+
+
+def brute_hits(items, texts):
+    """(text, item) within the allowed edits, by the plain table of free-ended edit distance."""
+    out = set()
+    for d, t in enumerate(texts):
+        for i, w in enumerate(items):
+            row = [0] * (len(t) + 1)
+            for a in range(len(w)):
+                new = [a + 1]
+                for b in range(len(t)):
+                    new.append(min(row[b] + (t[b] != w[a]), row[b + 1] + 1, new[b] + 1))
+                row = new
+            if min(row) <= decontam.allowed_edits(len(w)):
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_against_brute_force():
+    rnd = random.Random(9)
+    items = [[f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 40))] for _ in range(30)]
+    texts = []
+    for n in range(60):                                      # at few and at more than the allowed edits
+        w = list(items[n % 30])
+        for _ in range(rnd.randrange(1 + len(w) // 3)):
+            p = rnd.randrange(len(w) + 1)
+            w[p:p + 1] = rnd.choice(([], [f"w{rnd.randrange(60)}"], w[p:p + 1] + ["yy"]))
+        texts.append([f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(30))] + w)
+    index = decontam.ItemIndex(list(range(30)), [" ".join(w) for w in items], decontam.MAX_EDIT)
+    got = {(d, i) for d, i, _, _ in decontam.find_items(pa.array([" ".join(t) for t in texts]), index)}
+    want = brute_hits(items, texts)
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 40
+
+
 def test_cgk_keeps_equal_windows_equal():
     flat = np.array([5, 6, 7, 5, 6, 7, 0], np.uint64)
     e = decontam.cgk_embed(flat, np.array([0, 3]), np.array([3, 3]), 0)
