@@ -4,17 +4,17 @@
   they are to give ``share`` times all tokens; a source gives at most ``cap`` times its own
   size and what it cannot give is dealt to the others by weight. With sources ordered by
   ``cap * size / weight`` that fixed point has a closed form (running sums), no loop.
-* *Order.* A row's key is the md5 of its id, size and ``seed``: random, and the same in every
-  run. A source's key range is cut into equal parts of about ``RANGE_ROWS`` rows, so a source
+* *Order.* A row's key is the md5 of its id (without one, of its text), size and ``seed``: random, and
+  the same in every run. A source's key range is cut into equal parts of about ``RANGE_ROWS`` rows, so a source
   that holds a third of all rows is spread over many tasks.
 * *Prefix sums.* Token sums per range, running sums over the ranges of a source, and running
   sums inside each range give every row the tokens before it in its source.
 * *Cut.* Every row is taken ``target div size`` times, and in the last epoch from the first row
   on until exactly the source's budget is reached; the row there is cut inside.
 
-Rows with the same id, source and text are one row with a count while keys and sums are made
-and are expanded at the end, so repeated rows (or null ids) never meet in one window. A null
-text has size 0; sources of size 0 get target 0; an empty table gives no rows.
+Rows with the same id, source and text are one row with a count while keys and sums are made, so
+repeated rows never meet in one window. At the end they are numbered over all tasks by the hash of
+the whole row, and each keeps its own other columns. A null text has size 0; sources of size 0 get target 0; an empty table gives no rows.
 
 The per-source table has one row per source and is broadcast only up to ``MOST_SOURCES`` rows.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordinal import group_row_number
 from ..session import materialize
 from .common import WORD, packed
 
@@ -71,8 +72,9 @@ def plan_mix(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed:
     if sources.count() <= MOST_SOURCES:
         sources = F.broadcast(sources)
     sources = sources.withColumnRenamed("source", "__source")
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(seed),
-                            F.col("size").cast("string")).cast("binary"))
+    # rows without an id are told apart by their text
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null"), F.col("th").cast("string"))),
+                            F.lit(seed), F.col("size").cast("string")).cast("binary"))
     dealt = (rows.join(sources, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
              .withColumn("key", key)
              .withColumn("range", F.floor(F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -112,16 +114,22 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     ``epoch`` (from 0) and ``taken_words`` (in place of columns of ``docs`` so named); the text of a
     source's last row is cut at the budget."""
     plan = plan_mix(docs, id_col, source_col, text_col, **how)
-    plan = plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), "th", "size", "n", "epochs", "left")
+    plan = materialize(plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), "th", "size", "n", "epochs", "left"),
+                       "mix-plan")
     names = [c for c in docs.columns if c.lower() not in ("epoch", "taken_words")]
     row = F.col("row")
     text = row.getField(text_col).cast("string")
-    joined = packed(docs).join(plan, row.getField(id_col).eqNullSafe(F.col("__id"))
-                               & row.getField(source_col).eqNullSafe(F.col("__source")) & (F.xxhash64(text) == F.col("th")))
-    one = joined.where("n = 1").withColumn("__nth", F.lit(0).cast("long"))
-    many = (joined.where("n > 1").dropDuplicates(["__id", "__source", "th"])
-            .withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))))
-    out = one.unionByName(many).withColumn("__part", _part(F.col("__nth")))
+
+    def joined(plan: DataFrame) -> DataFrame:
+        return packed(docs).join(plan, row.getField(id_col).eqNullSafe(F.col("__id"))
+                                 & row.getField(source_col).eqNullSafe(F.col("__source")) & (F.xxhash64(text) == F.col("th")))
+
+    one, repeated = plan.where("n = 1"), plan.where("n > 1")
+    out = joined(one).withColumn("__nth", F.lit(0).cast("long"))
+    if not repeated.isEmpty():
+        numbered = group_row_number(joined(repeated), ["__id", "__source", "th"], [], "__nth", base=0)
+        out = out.unionByName(numbered.withColumn("__nth", F.col("__nth").cast("long")))
+    out = out.withColumn("__part", _part(F.col("__nth")))
     out = (out.withColumn("__times", F.col("epochs") + F.when(F.col("__part") > 0, 1).otherwise(0))
            .where("__times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
            .withColumn("taken_words", F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.col("__part"))))

@@ -405,6 +405,18 @@ def test_mix_targets_repeats_and_cut(spark):
     assert sums[0] == sums[1] == sum(r.taken for r in got)
 
 
+def test_mixed_rows_keep_every_rows_own_columns(spark):
+    rows = [(7, "one two three", "s0", lang, {"k": lang}) for lang in ("en", "fr", "de", "en")]
+    rows += [(None, f"t{i} x", "s1", str(i), None) for i in range(40)] + [(None, "t0 x", "s1", "again", None), (8, None, None, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, more map<string,string>")
+    for df in (docs, docs.drop("more").repartition(7)):
+        got = Counter((r.doc_id, r.lang) for r in mixing.mixed_rows(df, range_rows=8, share=2.0).collect())
+        assert got == {k: 2 * n for k, n in Counter((r[0], r[3]) for r in rows[:-1]).items()}
+    plain = docs.drop("more")
+    cut = [sorted(map(str, mixing.mixed_rows(df, range_rows=8).collect())) for df in (plain, plain.repartition(7), plain.repartition(3, "lang"))]
+    assert cut[0] == cut[1] == cut[2]
+
+
 def test_url_rules_and_propagation(spark):
     pages = spark.createDataFrame([
         (1, "HTTP://Sub.Example.NET/en/x?q", None), (2, "http://bad.net/", ""), (3, "http://friend.com/a", '<a href="http://bad.net/x">'),
