@@ -7,7 +7,8 @@ No model ships with the library. A caller supplies either
   is called once per Python worker to build it (e.g. load a model), or
 * a :class:`TableGenerator` — generations already stored in a table
   ``(id, cand_idx, text)``, looked up by an equi-join. The queries and tests use this
-  form; it is also how a replay of a previous run works.
+  form; it is also how a replay of a previous run works; or
+* a ``genstore.PromptStore`` — stored generations looked up by the rendered prompt itself.
 
 Output: ``id, cand_idx int (1-based), text string`` plus an ``error`` column for the
 callable form (a failing batch yields rows with NULL text and the error message instead
@@ -76,6 +77,8 @@ def generate(prompts: DataFrame, generator, k: int = 1, id_col: str = "id",
     ``loader_key``; without a key every call of this function counts as a new generator."""
     if isinstance(generator, TableGenerator):
         return generator(prompts, id_col=id_col, k=k)
+    if hasattr(generator, "lookup"):
+        return generator.lookup(prompts, id_col, prompt_col, k).withColumn("error", F.lit(None).cast("string"))
     id_type = prompts.schema[id_col].dataType
     out_schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("cand_idx", T.IntegerType()),
@@ -112,4 +115,6 @@ def candidates_for(prompts: DataFrame, generator, k: int | None = None, **how) -
     leaves out other problems. A callable runs once and its texts are written."""
     if isinstance(generator, TableGenerator):
         return generator.rows(k=k)
+    if hasattr(generator, "lookup"):                     # by rendered prompt: only the prompts' own texts are read on
+        return materialize(generator.lookup(prompts, k=k), "generations")
     return materialize(generate(prompts, generator, k=k, **how), "generations")

@@ -3,6 +3,7 @@ driver's tables (through the derived fixture in :mod:`reasonloop.plans.fixture`)
 
 from __future__ import annotations
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..operators import batches as B
 from ..operators import report as R
 from ..operators import selection as S
 from ..operators.generate import TableGenerator, candidates_for
+from ..operators.genstore import GenerationRun, PromptStore
 from ..operators.ordinal import with_ordinal
 from ..operators.skew import block_join
 from ..session import materialize, scratch_path
@@ -59,14 +61,14 @@ def missed_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rationalize(fx: FX.Tables, missed):
-    """Hint prompt with the numeric gold (P4/P1), K stored generations (R1), first
-    correct kept (R3)."""
+    """Hint prompt with the numeric gold (P4/P1), the generations stored for that very
+    prompt (R1), first correct kept (R3)."""
     prompts = missed.select(
         "id", "question", "answer",
         PR.render(PR.RATIONALIZE, question=F.col("question"),
                   gold_final=RC.hint_final(F.col("answer"))).alias("prompt"))
-    gen = TableGenerator(fx.candidates(RATIONALIZE_SHIFT))
-    return S.keep_first_correct(candidates_for(prompts, gen), prompts)
+    store = PromptStore(fx.recorded_hinted(RATIONALIZE_SHIFT), FX.RECORDED_SETTINGS)
+    return S.keep_first_correct(candidates_for(prompts, store), prompts)
 
 
 def rationalize_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,18 +318,15 @@ def rescore_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variant_predictions(fx: FX.Tables):
-    """Problems x the three prompt variants (rendered, A6); the stored generations for
-    variant i are the problem's candidates i, i + 3, i + 6 ... (a variant without one counts
-    as a miss); M4 em with the first-match cascade as in the ablation script."""
-    keys = A.with_gold_key(fx.problems_once.select("id", "question", "answer"), "cascade_first_shell",
-                           "answer", "gk")
-    pair = F.concat_ws(":", "id", "variant").alias("pair")
-    pv = materialize(PR.explode_variants(keys).select(pair, "id", "variant", "answer", "gk"), "variants")
-    nth = F.pmod(F.col("cand_idx") - 1, F.lit(len(PR.VARIANTS))) + 1
-    stored = fx.candidates().withColumn("variant", F.concat(F.lit("variant_"), nth.cast("string")))
-    gens = stored.select(pair, "cand_idx", "text")
-    scored = block_join(gens, pv, "pair")
-    silent = (pv.join(gens.select("pair").distinct(), "pair", "left_anti")
+    """Problems x the three prompt variants (rendered, A6), each answered by the generations stored
+    for that very prompt (a variant without one counts as a miss); M4 em with the first-match
+    cascade as in the ablation script."""
+    keys = A.with_gold_key(fx.problems.select("id", "question", "answer"), "cascade_first_shell", "answer", "gk")
+    store = PromptStore(fx.recorded_variants(), FX.RECORDED_SETTINGS)
+    pv = materialize(store.keyed(PR.explode_variants(keys)).select("prompt_key", "id", "variant", "answer", "gk"), "variants")
+    gens = materialize(store.generations, "stored-generations")
+    scored = block_join(gens, pv, "prompt_key")
+    silent = (pv.join(gens.select("prompt_key").distinct(), "prompt_key", "left_anti")
               .withColumn("cand_idx", F.lit(None).cast("int")).withColumn("text", F.lit(None).cast("string")))
     j = A.with_pred_key(scored.unionByName(silent), "cascade_first_shell", "text", "pk")
     return j.select("id", "variant", "cand_idx", F.col("text").alias("generated"), "answer",
@@ -607,6 +606,28 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.unionByName(absent)
 
 
+def resumed_generation(spark: SparkSession, sf_dir: str, units: int = 4) -> DataFrame:
+    """R1 + S9: every user turn's forward prompt answered by a callable. The first run loses its generator
+    in the unit after half of them; the second generates what is not committed, each distinct prompt
+    once in all. ``run`` is the run that generated a text, ``generated`` the prompts that both runs
+    generated together, ``distinct_prompts`` those there are."""
+    turns = FX.user_turns(spark, sf_dir)
+    asked = materialize(turns.select("id", PR.render(PR.FORWARD, question="question").alias("prompt")), "prompts")
+    run = GenerationRun(spark, scratch_path(spark, "generation-run"), k=2, settings={"do_sample": True}, units=units)
+    try:
+        run.fill(asked, FX.StepGenerator(run.settings, units, stop_at=units // 2))
+    except PythonException as e:
+        if "stopped halfway" not in str(e):
+            raise
+    store = run.fill(asked, FX.StepGenerator(run.settings))
+    made = run.generations()
+    generated = sum(r["prompts"] for r in run.records().values())
+    distinct = asked.agg(F.count_distinct("prompt")).first()[0]
+    both = block_join(made, store.keyed(asked).select("prompt_key", "id"), "prompt_key")
+    return both.select("id", "cand_idx", "text", "run", F.lit(generated).cast("bigint").alias("generated"),
+                       F.lit(distinct).cast("bigint").alias("distinct_prompts"))
+
+
 QUERIES = {
     "keep_first_correct": keep_first_correct,
     "greedy_accuracy": greedy_accuracy,
@@ -650,6 +671,7 @@ QUERIES = {
     "stream_totals": stream_totals,
     "jsonl_round_trip": jsonl_round_trip,
     "self_training_loop": self_training_loop,
+    "resumed_generation": resumed_generation,
 }
 
 
@@ -697,4 +719,5 @@ COVERAGE = {
     "stream_totals": "ST1, A8",
     "jsonl_round_trip": "S1, S2, S3",
     "self_training_loop": "R13, R7, R8, R11, A7",
+    "resumed_generation": "R1, S9, P1",
 }

@@ -21,12 +21,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.genstore import prompt_key
 from ..operators.ordinal import group_row_number
+from ..operators.skew import block_join
 from ..session import materialize
 
 CANDIDATE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
+# ---------------------------------------------------------------------------
+# The prompts that the recorded generations were asked with, as they were sent.
+# Each is the text before and after the question (for the hinted one: gold, then question).
+# ---------------------------------------------------------------------------
+RECORDED_VARIANTS = {
+    "variant_1": ("Q: ", "\nLet's think step by step.\nA:"),
+    "variant_2": ("Q: ", "\nLet's think step by step.\nA:\n(Please finish with a final line starting with \"Final answer:\" "
+                         "followed by the numeric answer.)"),
+    "variant_3": ("Q: ", "\nLet's think step by step.\nA:\n(Show your steps and then on the last line write EXACTLY: "
+                         "Final answer: <number>)"),
+}
+RECORDED_HINTED = (
+    "# Rationalize with hint: show steps that arrive at the given correct final.\n"
+    "You are a helpful math tutor. The correct final answer is ",
+    ".\nExplain step by step how to arrive at that answer for the problem below.\n"
+    "Return the same final numeric answer after \"#### \".\n\nQ: ",
+    "\nA:\n",
+)
+RECORDED_SETTINGS = {"max_new_tokens": 160, "do_sample": False}
+# ---------------------------------------------------------------------------
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -190,3 +214,45 @@ class Tables:
         """``id, cand_idx, text`` with the shapes shifted by ``shift``."""
         return self.lines.select("id", "cand_idx",
                                  candidate_text(F.col("cand_idx"), F.col("q"), shift).alias("text"))
+
+    def recorded_variants(self) -> DataFrame:
+        """``prompt_key, cand_idx, text``: variant i of a problem was answered by its candidates i, i + 3, i + 6 ..."""
+        asked = [F.struct(F.lit(n).alias("variant"), prompt_key(F.concat(F.lit(a), "question", F.lit(b)), RECORDED_SETTINGS).alias("prompt_key"))
+                 for n, (a, b) in RECORDED_VARIANTS.items()]
+        keys = (self.problems.select("id", F.explode(F.array(*asked)).alias("v"))
+                .select(F.concat_ws(":", "id", "v.variant").alias("pair"), "v.prompt_key"))
+        nth = F.pmod(F.col("cand_idx") - 1, F.lit(len(RECORDED_VARIANTS))) + 1
+        answered = self.candidates().select(F.concat_ws(":", "id", F.concat(F.lit("variant_"), nth.cast("string"))).alias("pair"),
+                                            "cand_idx", "text")
+        return block_join(answered, keys, "pair").select("prompt_key", "cand_idx", "text")
+
+    def recorded_hinted(self, shift: int) -> DataFrame:
+        """``prompt_key, cand_idx, text``: the hinted prompt of a problem was answered by its shifted candidates."""
+        a, b, c = RECORDED_HINTED
+        prompt = F.concat(F.lit(a), F.col("gold").cast("string"), F.lit(b), "question", F.lit(c))
+        keys = self.problems.select("id", prompt_key(prompt, RECORDED_SETTINGS).alias("prompt_key"))
+        return block_join(self.candidates(shift), keys, "id").select("prompt_key", "cand_idx", "text")
+
+
+def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, question``: the user turns of the conversations, which may repeat."""
+    conv = table(spark, sf_dir, "conversations").filter((F.col("role") == "user") & F.col("text").isNotNull())
+    return conv.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("question"))
+
+
+class StepGenerator:
+    """A callable generator for tests and queries: text j of a prompt tells its length times j. ``stop_at``: the
+    prompts whose key lies in this unit of ``units`` or a later one raise, as a lost model server would."""
+
+    def __init__(self, settings: dict, units: int = 1, stop_at: int | None = None):
+        self.settings, self.units, self.stop_at = settings, units, stop_at
+
+    def __call__(self, prompts: list[str], k: int) -> list[list[str]]:
+        import hashlib
+        import json
+        head = json.dumps(self.settings, sort_keys=True) + "\n"
+        if self.stop_at is not None:
+            for p in prompts:
+                if int(hashlib.md5((head + p).encode()).hexdigest()[:8], 16) % self.units >= self.stop_at:
+                    raise ConnectionError("generator stopped halfway")
+        return [[f"attempt {j}: #### {len(p) * j}" for j in range(1, k + 1)] for p in prompts]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from ..functions import prompts as PR
+from .fixture import RECORDED_HINTED, RECORDED_VARIANTS
 from .oracle_sql import (candidates_cte, fixture_ctes, kept_cte, m1, m2, m3_stage, m4,
-                         missed_cte, n2, n3, n4, rationale_expr, render_sql, trim_ws, x1,
+                         missed_cte, n2, n3, n4, q, rationale_expr, render_sql, trim_ws, x1,
                          x2, x2f, x3, x4, x5)
 
 NL = "chr(10)"
@@ -35,8 +36,47 @@ rat AS (
   WHERE {m2('m.answer', 'r.text')}
   QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY r.cand_idx) = 1)"""
 
-RATIONALIZE_MISSED = _RAT + """
-SELECT id, question, rationale, final, cand_idx FROM rat
+def _key(prompt: str, settings: str) -> str:
+    """Key of a prompt expression under the settings, as SQL."""
+    return f"md5({q(settings)} || chr(10) || {prompt})"
+
+
+_RECORDED = '{"do_sample": false, "max_new_tokens": 160}'
+
+
+def _recorded(parts: tuple[str, ...], *exprs: str) -> str:
+    """SQL of a recorded prompt: its parts with the expressions between them."""
+    out = [q(parts[0])]
+    for e, part in zip(exprs, parts[1:]):
+        out += [f"CAST({e} AS VARCHAR)", q(part)]
+    return " || ".join(out)
+
+
+# the store is keyed by the recorded prompts, looked up by the rendered ones
+RATIONALIZE_MISSED = FIX_R + ",\n" + kept_cte() + ",\n" + missed_cte() + f""",
+store AS (
+  SELECT {_key(_recorded(RECORDED_HINTED, 'p.gold', 'p.question'), _RECORDED)} AS prompt_key, r.cand_idx, r.text
+  FROM rcand r JOIN prob p ON p.id = r.id),
+asked AS (
+  SELECT *, {_key(render_sql(PR.RATIONALIZE, question='question', gold_final=f"coalesce({x2('answer')}, answer)"), _RECORDED)} AS prompt_key
+  FROM missed)
+SELECT a.id, a.question, s.text AS rationale, a.answer AS final, s.cand_idx
+FROM asked a JOIN store s ON s.prompt_key = a.prompt_key
+WHERE {m2('a.answer', 's.text')}
+QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY s.cand_idx) = 1
+"""
+
+_GENERATED = '{"do_sample": true, "k": 2}'
+RESUMED_GENERATION = f"""
+WITH turns AS (
+  SELECT conv_id || ':' || turn AS id, text AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+asked AS (SELECT id, {render_sql(PR.FORWARD, question='question')} AS prompt FROM turns),
+keyed AS (SELECT *, {_key('prompt', _GENERATED)} AS k FROM asked),
+made AS (SELECT id, prompt, unnest([1, 2]) AS cand_idx, CAST('0x' || substr(k, 1, 8) AS BIGINT) % 4 AS unit FROM keyed)
+SELECT id, cand_idx, 'attempt ' || cand_idx || ': #### ' || (length(prompt) * cand_idx) AS text,
+       CASE WHEN unit < 2 THEN 1 ELSE 2 END AS run,
+       (SELECT count(DISTINCT prompt) FROM asked) AS generated, (SELECT count(DISTINCT prompt) FROM asked) AS distinct_prompts
+FROM made
 """
 
 ONE_ITERATION = _RAT + f"""
@@ -287,13 +327,18 @@ FROM r1
 """
 
 _VARIANTS = FIX + f""",
+store AS (
+  SELECT CASE (c.cand_idx - 1) % 3 + 1
+           {" ".join(f"WHEN {i + 1} THEN " + _key(_recorded(RECORDED_VARIANTS[v], 'p.question'), _RECORDED)
+                     for i, v in enumerate(PR.VARIANTS))} END AS prompt_key, c.cand_idx, c.text
+  FROM cand c JOIN prob p ON p.id = c.id),
 pv AS (
-  SELECT p.id, p.answer, v.variant, CAST(right(v.variant, 1) AS INTEGER) AS nth
-  FROM prob p CROSS JOIN (VALUES ('variant_1'), ('variant_2'), ('variant_3')) v(variant)),
+  {" UNION ALL ".join(f"SELECT id, answer, '{v}' AS variant, "
+                      + _key(render_sql(PR.TEMPLATES[v], q='question'), _RECORDED) + " AS prompt_key FROM prob" for v in PR.VARIANTS)}),
 vp AS (
   SELECT pv.id, pv.variant, c.cand_idx, c.text AS generated, pv.answer,
          {m4('pv.answer', 'c.text', False)} AS em
-  FROM pv LEFT JOIN cand c ON pv.id = c.id AND pv.nth = (c.cand_idx - 1) % 3 + 1)"""
+  FROM pv LEFT JOIN store c ON pv.prompt_key = c.prompt_key)"""
 
 PROMPT_ABLATION = _VARIANTS + """
 SELECT variant, count(*) AS total, CAST(sum(em) AS BIGINT) AS correct,
@@ -549,6 +594,7 @@ ORACLE = {
     "zero_shot_records": ZERO_SHOT_RECORDS,
     "rescore_accuracy": RESCORE_ACCURACY,
     "rescore_stored_predictions": RESCORE_STORED_PREDICTIONS,
+    "resumed_generation": RESUMED_GENERATION,
     "prompt_ablation": PROMPT_ABLATION,
     "ablation_mismatches": ABLATION_MISMATCHES,
     "experiment_comparison": EXPERIMENT_COMPARISON,
