@@ -12,6 +12,7 @@ int (``cascade_last``, ``cascade_first``) Column.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -85,27 +86,58 @@ def extract_solution_number(c) -> Column:
 # The cue groups ``[+-]?\d+\.?\d*`` can never hold a comma, so the workload's comma removal
 # on a cue match is a no-op and is not repeated here.
 def _fallbacks(stripped: Column) -> list[Column]:
-    no_commas = F.regexp_replace(stripped, ",", "")
+    no_commas = F.replace(stripped, F.lit(","), F.lit(""))
     return [last_match(no_commas, LOOSE_NUMBER, 0), last_line(stripped)]
 
 
+# ---- one-scan cascade ------------------------------------------------------
+#
+# All cues are one alternation, so one pass over a text finds the hits of every cue. Hits of different
+# cues cannot overlap but in one case: a hit is a cue, blanks and a number, and of the cues only
+# ``final answer`` holds another, ``answer``. Such a hit counts for ``final answer`` alone; the hit that
+# ``answer`` loses by it would only matter if ``final answer``, the first cue of every cascade, had none.
+
+def _one_of(patterns: list[str]) -> str:
+    return "|".join(re.sub(r"\((?!\?)", "(?:", p) for p in patterns)
+
+
+ANY_CUE = _one_of(CASCADE_LAST)
+_CUE_BEGINS = {CUE_FINAL_ANSWER: "final", CUE_ANSWER: "answer", CUE_HASH: "####", CUE_ARROW: "=>", CUE_EQUALS: "=", CUE_RESULT: "result"}
+
+
+def cue_hits(low: Column) -> Column:
+    """Every hit of every cue (cue and number as they stand), in one pass over the lower-cased text."""
+    return F.regexp_extract_all(low, F.lit(U + ANY_CUE), F.lit(0))
+
+
+def pick_hit(hits: Column, patterns: list[str], first: bool) -> Column:
+    """Number of the first or last hit of the first cue of ``patterns`` that hits; NULL if none does."""
+    def ranked(h: Column, i: Column) -> Column:
+        rank = F.lit(len(patterns))
+        # a cue that begins like another one (``=>``, ``=``) is asked for first
+        for p in sorted(patterns, key=lambda x: len(_CUE_BEGINS[x])):
+            rank = F.when(h.startswith(_CUE_BEGINS[p]), F.lit(patterns.index(p))).otherwise(rank)
+        return F.struct(rank.alias("rank"), (i if first else -i).alias("at"), h.alias("hit"))
+
+    best = F.array_min(F.transform(hits, ranked))
+    number = F.regexp_extract(best["hit"], U + LOOSE_NUMBER + r"\z", 0)
+    return F.when(best["rank"] < len(patterns), number)
+
+
 def extract_cascade_last(c) -> Column:
     """On the stripped, lower-cased text, the first cue pattern that hits gives its
     last match; then the last number (commas removed); then the last line; "" for NULL."""
     t = trim_u(_col(c))
-    low = F.lower(t)
-    cues = [last_match(low, p) for p in CASCADE_LAST]
-    return F.when(_col(c).isNull(), F.lit("")).otherwise(F.coalesce(*cues, *_fallbacks(t)))
+    hit = pick_hit(cue_hits(F.lower(t)), CASCADE_LAST, first=False)
+    return F.when(_col(c).isNull(), F.lit("")).otherwise(F.coalesce(hit, *_fallbacks(t)))
 
 
 def extract_cascade_first(c, with_result: bool = True) -> Column:
     """Like X3 but each cue gives its first match and the cue order puts ``=`` before
     ``####``; ``with_result=False`` is the shell variant without the ``result`` cue."""
     t = trim_u(_col(c))
-    low = F.lower(t)
-    cues = [first_match(low, p)
-            for p in (CASCADE_FIRST if with_result else CASCADE_FIRST_SHELL)]
-    return F.when(_col(c).isNull(), F.lit("")).otherwise(F.coalesce(*cues, *_fallbacks(t)))
+    hit = pick_hit(cue_hits(F.lower(t)), CASCADE_FIRST if with_result else CASCADE_FIRST_SHELL, first=True)
+    return F.when(_col(c).isNull(), F.lit("")).otherwise(F.coalesce(hit, *_fallbacks(t)))
 
 
 EXTRACTORS: dict[str, Callable[[Column], Column]] = {
@@ -249,18 +281,22 @@ _CASCADES = {
 
 
 def with_cascades(df: DataFrame, src, outputs: dict[str, str]) -> DataFrame:
-    """Add several cascade extractions of the same text (``{profile: out_column}``),
-    stripping and lower-casing it once for all of them."""
+    """Add several cascade extractions of the same text (``{profile: out_column}``) from one
+    list of its cue hits; the fallback is computed once, for texts in which a cascade finds no cue."""
     c = _col(src)
     d = df.withColumn("__xs_t", trim_u(c)).withColumn("__xs_null", c.isNull())
-    d = d.withColumn("__xs_low", F.lower(F.col("__xs_t")))
-    low, t = F.col("__xs_low"), F.col("__xs_t")
+    d = d.withColumn("__xs_hits", cue_hits(F.lower(F.col("__xs_t"))))
+    picks = {out: f"__xs_{i}" for i, out in enumerate(outputs.values())}
     for profile, out in outputs.items():
         first, pats = _CASCADES[profile]
-        cues = [(first_match if first else last_match)(low, p) for p in pats]
-        d = d.withColumn(out, F.when(F.col("__xs_null"), F.lit("")).otherwise(
-            F.coalesce(*cues, *_fallbacks(t))))
-    return d.drop("__xs_t", "__xs_low", "__xs_null")
+        d = d.withColumn(picks[out], pick_hit(F.col("__xs_hits"), pats, first))
+    none = F.lit(False)
+    for p in picks.values():
+        none = none | F.col(p).isNull()
+    d = d.withColumn("__xs_rest", F.when(none, F.coalesce(*_fallbacks(F.col("__xs_t")))))
+    for out, p in picks.items():
+        d = d.withColumn(out, F.when(F.col("__xs_null"), F.lit("")).otherwise(F.coalesce(p, "__xs_rest")))
+    return d.drop("__xs_t", "__xs_hits", "__xs_null", "__xs_rest", *picks.values())
 
 
 def with_extracted(df: DataFrame, profile: str, src, out: str) -> DataFrame:

@@ -167,10 +167,21 @@ def step_rollup(log: DataFrame, run_col: str = "run", phase_col: str = "phase",
 
 # ---- L1 / L2 / L3 -------------------------------------------------------------
 
+def _scored_once(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed before any filter that follows. A filter on a scored column would
+    be pushed below the scoring and repeat the whole extraction in its condition; a row's partition number,
+    which no filter may pass, keeps it above."""
+    return df.withColumn("__once", F.spark_partition_id()).filter(F.col("__once") >= 0)
+
+
+def _mismatches(df: DataFrame, em_col: str) -> DataFrame:
+    return _scored_once(df).filter(F.coalesce(_c(em_col).cast("int"), F.lit(-1)) == 0).drop("__once")
+
+
 def top_mismatches(df: DataFrame, n: int, em_col: str = "em", order_col: str | list[str] = "ordinal",
                    group_by: Sequence[str] = ()) -> DataFrame:
     """L1: the first ``n`` rows with em = 0 in source order (per group when given)."""
-    miss = df.filter(F.coalesce(_c(em_col).cast("int"), F.lit(-1)) == 0)
+    miss = _mismatches(df, em_col)
     if not group_by:
         return miss.orderBy(order_col).limit(n)
     w = Window.partitionBy(*group_by).orderBy(order_col)
@@ -179,7 +190,7 @@ def top_mismatches(df: DataFrame, n: int, em_col: str = "em", order_col: str | l
 
 def mismatch_export(scored: DataFrame, em_col: str = "em") -> DataFrame:
     """L2: every mismatch (em = 0) with its raw and extracted values."""
-    return scored.filter(F.coalesce(_c(em_col).cast("int"), F.lit(-1)) == 0)
+    return _mismatches(scored, em_col)
 
 
 def zero_shot_record(df: DataFrame, generated_col: str = "generated", gold_col: str = "gold",

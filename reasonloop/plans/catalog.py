@@ -302,7 +302,8 @@ def rescore_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``gold, answer, final_answer, answer_text`` chain and the prediction through
     ``answer, generated, final_answer`` (``a or b`` semantics: empty falls through), both
     re-extracted (X3) when non-empty; em is NULL without a gold, else the N3 comparison."""
-    stored = zero_shot_records(spark, sf_dir).select("id", "cand_idx", "question", "generated", "answer", "gold")
+    stored = materialize(zero_shot_records(spark, sf_dir).select("id", "cand_idx", "question", "generated", "answer", "gold"),
+                         "stored-predictions")
     g_raw = RC.resolve_field(stored, RC.GOLD_ALIASES_EVAL)
     p_raw = RC.resolve_field(stored, RC.PRED_ALIASES)
     d = stored.select("id", "cand_idx", g_raw.alias("gold_raw"), p_raw.alias("pred_raw"))
