@@ -14,13 +14,12 @@ finished ones never generated again. A failed task inside a unit is Spark's to r
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, write_observed
 from ..sources.manifest import Manifest
 from .generate import generate
 from .skew import block_join
@@ -93,9 +92,8 @@ class GenerationRun:
             if part.isEmpty():
                 continue
             texts = generate(part, generator, k=self.k, id_col="prompt_key", batch_size=self.batch_size, **how)
-            seen = Observation(f"unit-{uuid.uuid4().hex}")
             path = self.manifest.attempt("units")
-            (texts.select("prompt_key", "cand_idx", "text", F.lit(run).alias("run"))
-             .observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path))
-            self.manifest.commit(path.rsplit("-", 1)[1], {"path": path, "run": run, "prompts": seen.get["rows"] // self.k})
+            seen = write_observed(texts.select("prompt_key", "cand_idx", "text", F.lit(run).alias("run")), path,
+                                  {"rows": F.count(F.lit(1))})
+            self.manifest.commit(path.rsplit("-", 1)[1], {"path": path, "run": run, "prompts": seen["rows"] // self.k})
         return self.store()

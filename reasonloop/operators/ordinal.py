@@ -12,6 +12,9 @@ separate exchanges, and adaptive execution may coalesce them differently, so par
 indexes would not agree between them. The checkpoint also cuts the lineage, so a lost
 executor re-reads the checkpoint instead of re-running the sort.
 
+Where the source's own order is wanted, ``with_file_ordinal`` and ``with_split_ordinal`` take it from
+the files and neither sort nor exchange rows.
+
 ``group_row_number`` numbers rows inside groups the same way: a position inside (range, group)
 plus the group's rows in earlier ranges, so a hot group is spread over range partitions instead
 of one task.
@@ -66,6 +69,36 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "o
             .drop("__mid", "__pid", "__local", "__off", "__tie"))
 
 
+def with_file_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Add a dense 0-based ``name`` column in source order: files by path, rows as they stand in a file.
+
+    ``df`` is a scan of Parquet files (``spark.read.parquet``), which know each row's index in its file. Only
+    one count per file is aggregated and summed over the files before it; rows are neither
+    sorted nor exchanged. The table of offsets has one row per file, like the file listing that the
+    driver holds for the scan, and is broadcast."""
+    tagged = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    files = tagged.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    return _after_earlier(tagged, files, ["__file"], F.col("__index"), name).select(*df.columns, name)
+
+
+def with_split_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """:func:`with_file_ordinal` for sources whose rows have no index (JSON lines, text, CSV): a row's place is that
+    of its file, its split of the file and its position among the split's rows. ``df`` is the scan itself, and
+    every scan of it cuts the files alike."""
+    m = F.col("_metadata")
+    tagged = df.select("*", m["file_path"].alias("__file"), m["file_block_start"].alias("__split"),
+                       F.monotonically_increasing_id().alias("__mid"))
+    splits = tagged.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    return _after_earlier(tagged, splits, ["__file", "__split"], F.col("__mid") - F.col("__first"), name).select(*df.columns, name)
+
+
+def _after_earlier(tagged: DataFrame, counts: DataFrame, keys: list[str], place: Column, name: str) -> DataFrame:
+    """``name`` = rows of the units (``keys``) before a row's own, and its ``place`` there."""
+    up = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(up), F.lit(0)))
+    return tagged.join(F.broadcast(offsets), keys).withColumn(name, F.col("__off") + place)
+
+
 def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
                      name: str = "rn", base: int = 1) -> DataFrame:
     """``row_number() over (partition by group_by order by order_by)`` (``base``-based)

@@ -15,9 +15,9 @@ from ..operators import report as R
 from ..operators import selection as S
 from ..operators.generate import TableGenerator, candidates_for
 from ..operators.genstore import GenerationRun, PromptStore
-from ..operators.ordinal import with_ordinal
+from ..operators.ordinal import with_file_ordinal, with_ordinal
 from ..operators.skew import block_join
-from ..session import materialize, scratch_path
+from ..session import materialize, materialize_observed, scratch_path
 from ..sources import jsonl as J
 from ..sources import splits as SP
 from ..streaming import incremental as ST
@@ -383,21 +383,19 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per stage metric of an iteration: greedy EM, misses, generated, kept,
     train size."""
     fx = FX.Tables(spark, sf_dir)
-    probs = fx.problems
+    count = F.count(F.lit(1))
     first = fx.candidates().filter(F.col("cand_idx") == 1)
-    preds = probs.join(first.select("id", "text"), "id", "left").withColumn(
-        "em", A.em_hash_loose(F.col("answer"), F.col("text")).cast("int"))
-    misses = _misses_for_retry(fx, shared=True)
-    kept = materialize(_retry_rows(fx, RETRY_SHIFT, misses, False), "retried")
-    train = S.training_rows(kept)
-    return R.stage_report("fixture", [
-        ("zero_shot", "em", preds, F.round(F.sum(F.coalesce("em", F.lit(0))) /
-                                           F.greatest(F.count(F.lit(1)), F.lit(1)), 8)),
-        ("iter2", "misses", misses, F.count(F.lit(1))),
-        ("iter2", "generated", misses, F.count(F.lit(1))),
-        ("iter2", "kept_correct", kept, F.count(F.lit(1))),
-        ("iter2", "train_size", train, F.count(F.lit(1))),
-    ])
+    preds = fx.problems.join(first.select("id", "text"), "id", "left").select(
+        "id", A.em_hash_loose(F.col("answer"), F.col("text")).cast("int").alias("em"))
+    # every metric is observed by the job that writes its table
+    _, em = materialize_observed(preds, "zero-shot", {"em": F.avg(F.coalesce("em", F.lit(0)))})
+    misses, missed = materialize_observed(_misses_for_retry(fx), "misses", {"n": count})
+    kept, right = materialize_observed(_retry_rows(fx, RETRY_SHIFT, misses, False), "retried", {"n": count})
+    _, train = materialize_observed(S.training_rows(kept), "train-set", {"n": count})
+    rows = [("zero_shot", "em", round(em["em"] or 0.0, 8)), ("iter2", "misses", missed["n"]), ("iter2", "generated", missed["n"]),
+            ("iter2", "kept_correct", right["n"]), ("iter2", "train_size", train["n"])]
+    return spark.createDataFrame([("fixture", s, m, float(v)) for s, m, v in rows],
+                                 "run string, stage string, metric string, value double")
 
 
 def progress_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,11 +444,12 @@ def sft_batches_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S5, S6, S7, S9, S10 on the problem table in id order: ordinal ids, head-100 flag,
+    """S5, S6, S7, S9, S10 on the problem table in file order (which is id order): ordinal ids, head-100 flag,
     tail hold-out flag, shard of 4, the first 50 of shard 1 and batch of 16."""
-    fx = FX.Tables(spark, sf_dir)
-    probs = materialize(with_ordinal(fx.problem_ids, ["id"]), "ordinals")
-    n = probs.count()
+    orders = FX.table(spark, sf_dir, "orders").select("o_orderkey")
+    probs = with_file_ordinal(orders).withColumnRenamed("o_orderkey", "id")
+    probs, seen = materialize_observed(probs, "ordinals", {"n": F.count(F.lit(1))})
+    n = seen["n"]
     train, val = SP.tail_holdout(probs, n=n)
     sides = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
     shards = None
@@ -559,7 +558,7 @@ def _run_stream(spark: SparkSession, sf_dir: str, micro_batches: int = 4) -> dic
 def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1 + S4: the committed output of all micro-batches, class-formatted, equals the batch
     iteration's."""
-    out = ST.read_outputs(spark, _run_stream(spark, sf_dir))
+    out = ST.read_outputs(_run_stream(spark, sf_dir))
     return out.select("id", RC.class_text(F.col("question"), F.col("rationale"),
                                           F.col("final")).alias("text"), "src")
 
@@ -567,7 +566,7 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 over the stream's committed batches: the running total after the last one equals the
     batch iteration's kept counts."""
-    totals = ST.progress(spark, _run_stream(spark, sf_dir), every=1)
+    totals = ST.progress(_run_stream(spark, sf_dir), every=1)
     return totals.agg(F.max("cum_fwd_kept").alias("fwd_kept"), F.max("cum_rat_kept").alias("rat_kept"))
 
 
@@ -577,7 +576,13 @@ def self_training_loop(spark: SparkSession, sf_dir: str, iterations: int = 2) ->
     number (the first one for evaluation, the last one as the greedy retry) and training
     moves it to the next number. Checks data flow, not model quality."""
     fx = FX.Tables(spark, sf_dir)
+    return _loop(fx, scratch_path(spark, "selftrain"), iterations)
+
+
+def _loop(fx: FX.Tables, out_root: str, iterations: int, lost_at: int | None = None, **how):
+    """The loop with the stand-in model; ``lost_at``: training fails in this iteration."""
     from . import selftrain as ST13
+    spark = fx.spark
     probs = fx.problems.select("id", "question", "answer")
     train, test = SP.hash_split(probs, 0.1, seed=42)
 
@@ -587,12 +592,31 @@ def self_training_loop(spark: SparkSession, sf_dir: str, iterations: int = 2) ->
             return TableGenerator(c.filter(F.col("cand_idx") == 1))
         return TableGenerator(S.last_candidates(c).select("id", F.lit(1).alias("cand_idx"), "text"))
 
-    hooks = ST13.LoopHooks(generator_for=generator_for, train=lambda start, path, it: start + 1)
-    rep = ST13.run_self_training(spark, train, test, hooks, 0, scratch_path(spark, "selftrain"),
-                                 iterations=iterations, run="fixture")
+    def train_model(start: int, path: str, it: int) -> int:
+        if it == lost_at:
+            raise ConnectionError("trainer lost")
+        return start + 1
+
+    hooks = ST13.LoopHooks(generator_for=generator_for, train=train_model)
+    rep = ST13.run_self_training(spark, train, test, hooks, 0, out_root, iterations=iterations, run="fixture", **how)
     return rep.withColumn("value", F.round("value", 8))
 
 
+def restarted_loop(spark: SparkSession, sf_dir: str, iterations: int = 2) -> DataFrame:
+    """R13 + A7: the loop with its baseline stage (P6 set of worked solutions), stopped by a lost trainer in
+    its last iteration and started again in the same folder: the committed iterations are kept, the
+    lost one runs anew and every report row stands once."""
+    fx = FX.Tables(spark, sf_dir)
+    first = fx.candidates().filter(F.col("cand_idx") == 1).select("id", F.col("text").alias("solution"))
+    worked = RC.sft_set(fx.problems.join(first, "id", "left"))
+    root = scratch_path(spark, "restarted")
+    try:
+        _loop(fx, root, iterations, lost_at=iterations + 1, baseline_set=worked)
+    except ConnectionError:
+        pass
+    return _loop(fx, root, iterations, baseline_set=worked)
+
+
 KEPT_SCHEMA = "id bigint, question string, rationale string, final string, cand_idx int"
 
 
@@ -673,6 +697,7 @@ QUERIES = {
     "jsonl_round_trip": jsonl_round_trip,
     "self_training_loop": self_training_loop,
     "resumed_generation": resumed_generation,
+    "restarted_loop": restarted_loop,
 }
 
 
@@ -721,4 +746,5 @@ COVERAGE = {
     "jsonl_round_trip": "S1, S2, S3",
     "self_training_loop": "R13, R7, R8, R11, A7",
     "resumed_generation": "R1, S9, P1",
+    "restarted_loop": "R13, A7, P6, R11",
 }

@@ -572,6 +572,43 @@ UNION ALL SELECT 'fixture', 3, 'loop', 'em', round(CAST(avg(CAST(em AS INTEGER))
 
 SELF_TRAINING_LOOP = _self_training_loop()
 
+
+def _restarted_loop() -> str:
+    """The same loop after a baseline stage, unrolled: model 0 is evaluated, model 1 is the baseline, models 2
+    and 3 follow the two iterations; model m is the shift-m candidate set."""
+    ctes = [FIX] + [candidates_cte(f"c{m}", m) for m in range(4)] + ["""split AS (
+  SELECT id, question, answer,
+         CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '#42'), 1, 8)) AS BIGINT) % 1000000 < 100000 AS is_test
+  FROM prob)"""]
+    ctes += [f"""pred{m} AS (
+  SELECT s.id, s.is_test, s.question, s.answer, {m1('s.answer', 'f.text')} AS em
+  FROM split s LEFT JOIN (SELECT id, text FROM c{m} WHERE cand_idx = 1) f ON s.id = f.id)""" for m in range(4)]
+    for m in (1, 2):
+        ctes.append(f"""miss{m} AS (
+  SELECT id, question, answer FROM pred{m} WHERE NOT is_test AND NOT coalesce(em, false)
+    AND coalesce(question, '') <> '' AND coalesce(answer, '') <> '')""")
+        ctes.append(f"""kept{m} AS (
+  SELECT l.text AS output
+  FROM miss{m} mm JOIN (SELECT id, arg_max(text, cand_idx) AS text FROM c{m} GROUP BY id) l ON mm.id = l.id
+  WHERE {m1('mm.answer', 'l.text')})""")
+        ctes.append(f"train{m} AS (SELECT count(*) AS n FROM kept{m} WHERE {x1('output')} IS NOT NULL)")
+
+    def em(it, stage, m):
+        return (f"SELECT 'fixture' AS run, {it} AS iter, '{stage}' AS stage, 'em' AS metric, "
+                f"round(CAST(avg(CAST(em AS INTEGER)) AS DOUBLE), 8) AS value FROM pred{m} WHERE is_test")
+
+    def number(it, metric, source, n="count(*)"):
+        return f"SELECT 'fixture', {it}, 'loop', '{metric}', CAST({n} AS DOUBLE) FROM {source}"
+
+    rows = [em(1, "zero_shot", 0), em(1, "baseline", 1)]
+    for it, m, sets, size in ((2, 1, "train1", "train1.n"), (3, 2, "train1, train2", "train1.n + train2.n")):
+        rows += [number(it, "misses", f"miss{m}"), number(it, "generated", f"miss{m}"), number(it, "kept_correct", f"kept{m}"),
+                 number(it, "train_size", sets, size), em(it, "loop", m + 1)]
+    return ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(rows)
+
+
+RESTARTED_LOOP = _restarted_loop()
+
 ORACLE = {
     "keep_first_correct": KEEP_FIRST_CORRECT,
     "greedy_accuracy": GREEDY_ACCURACY,
@@ -595,6 +632,7 @@ ORACLE = {
     "rescore_accuracy": RESCORE_ACCURACY,
     "rescore_stored_predictions": RESCORE_STORED_PREDICTIONS,
     "resumed_generation": RESUMED_GENERATION,
+    "restarted_loop": RESTARTED_LOOP,
     "prompt_ablation": PROMPT_ABLATION,
     "ablation_mismatches": ABLATION_MISMATCHES,
     "experiment_comparison": EXPERIMENT_COMPARISON,

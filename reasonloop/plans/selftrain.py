@@ -1,16 +1,24 @@
 """Iterative self-training loop (R13) and its stage report.
 
 The loop itself is driver-side control flow; every step inside an iteration is a Spark
-job over tables, and every table an iteration produces is written as Parquet under
-``out_root/<table>/iter=<k>`` and read back, which cuts the lineage (a lost executor never
-replays earlier iterations) and lets the next iteration prune to its partition.
+job over tables, and every table an iteration produces is written as Parquet in a folder of
+its own attempt under ``out_root/<table>/iter=<k>`` and read back, which cuts the lineage (a lost
+executor never replays earlier iterations). A table's report metrics are observed by the job that
+writes it; nothing is read again to be counted.
 
-The model is opaque to the library. Two hooks stand in for it:
+An iteration ends with one commit record (``sources.manifest``): its table paths, report rows and
+the model's state. The report is read from the records. A loop that was stopped is started
+again with the same arguments and goes on at the first iteration without a record, from the last
+record's model and tables; what an iteration that was not committed has written is never read.
+
+The model is opaque to the library. Hooks stand in for it:
 
 * ``generator_for(model, purpose)`` returns a generator for :func:`generate`
   (``purpose`` is ``"eval"`` or ``"retry"``);
 * ``train(start_model, train_path, iteration)`` fine-tunes and returns the new model;
-  ``restart="incremental"`` starts from the previous model, ``"from_base"`` from the base.
+  ``restart="incremental"`` starts from the previous model, ``"from_base"`` from the base;
+* ``save(model)`` returns what a record keeps of a model (JSON: a path, a name, a number; default: the
+  model itself) and ``load(saved)`` gives the model back.
 
 Misses are collected from predictions on the *training* problems and accuracy is reported
 on the *test* problems; an overlap between the two is refused unless ``allow_overlap``.
@@ -18,31 +26,54 @@ on the *test* problems; an overlap between the two is refused unless ``allow_ove
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import prompts as PR
-from ..operators import report as R
 from ..operators import selection as S
 from ..operators.generate import generate
+from ..session import write_observed
+from ..sources.manifest import Manifest
 
 
 @dataclass
 class LoopHooks:
     generator_for: Callable[[Any, str], Any]
     train: Callable[[Any, str, int], Any]
+    save: Callable[[Any], Any] = lambda model: model
+    load: Callable[[Any], Any] = lambda saved: saved
+
+
+@dataclass
+class _Iteration:
+    """What one iteration has written and measured so far."""
+    manifest: Manifest
+    it: int
+    paths: dict[str, str] = field(default_factory=dict)
+    report: list[tuple[str, str, float]] = field(default_factory=list)
+
+    def write(self, df: DataFrame, table: str, metrics: dict[tuple[str, str], Column]) -> DataFrame:
+        """``metrics``: (stage, metric) -> aggregate over the written rows."""
+        path = self.paths[table] = self.manifest.attempt(f"{table}/iter={self.it}")
+        seen = write_observed(df, path, {"rows": F.count(F.lit(1))} | {f"{s}.{m}": agg.cast("double") for (s, m), agg in metrics.items()})
+        self.rows = seen["rows"]
+        self.report += [(s, m, seen[f"{s}.{m}"]) for s, m in metrics]
+        return df.sparkSession.read.parquet(path)
 
+    def commit(self, model, stopped: bool = False) -> None:
+        self.manifest.commit(f"iter-{self.it}", {"iter": self.it, "model": model, "stopped": stopped, "paths": self.paths,
+                                                 "report": self.report})
 
-def _write(df: DataFrame, root: str, table: str, it: int) -> DataFrame:
-    path = os.path.join(root, table, f"iter={it}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+
+def read_report(manifest: Manifest, run: str = "run") -> DataFrame:
+    """``run, iter, stage, metric, value`` of the committed iterations."""
+    rows = [(run, r["iter"], s, m, v) for r in manifest.records().values() for s, m, v in r["report"]]
+    return manifest.spark.createDataFrame(rows, "run string, iter int, stage string, metric string, value double")
 
 
 def _predict(problems: DataFrame, model, hooks: LoopHooks, template: str, profile: str) -> DataFrame:
@@ -73,35 +104,43 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
     ``baseline_set`` (``question, rationale, answer``, e.g. :func:`~reasonloop.functions.records.sft_set`)
     adds the baseline stage: the base model is fine-tuned on it and evaluated, and the first
     round starts from that model and its misses. The set itself is no part of the cumulative
-    training sets."""
+    training sets. Iterations that ``out_root`` holds records of are not run again."""
     if restart not in ("incremental", "from_base"):
         raise ValueError("restart must be 'incremental' or 'from_base'")
     if not allow_overlap and train_problems.join(test_problems.select("id"), "id", "left_semi").take(1):
         raise ValueError("train and test problems share ids; pass allow_overlap=True to permit it")
-    report_path = os.path.join(out_root, "report")
-
-    def report(it: int, rows: list[tuple[str, str, DataFrame, Any]]) -> None:
-        rep = R.stage_report(run, rows).withColumn("iter", F.lit(it))
-        rep.select("run", "iter", "stage", "metric", "value").write.mode("append").parquet(report_path)
-
-    model = base_model
-    test_preds = _write(_predict(test_problems, model, hooks, eval_template, profile), out_root, "test_preds", 1)
+    manifest = Manifest(spark, out_root)
+    records = {r["iter"]: r for r in manifest.records().values()}
     em = F.avg(F.coalesce(F.col("em").cast("int"), F.lit(0)))
-    report(1, [("zero_shot", "em", test_preds, em)])
-    if baseline_set is not None:
-        _write(baseline_set.select("question", "rationale", "answer"), out_root, "baseline", 1)
-        model = hooks.train(base_model, os.path.join(out_root, "baseline", "iter=1"), 1)
-        test_preds = _write(_predict(test_problems, model, hooks, eval_template, profile), out_root, "baseline_preds", 1)
-        report(1, [("baseline", "em", test_preds, em)])
-    train_preds = _write(_predict(train_problems, model, hooks, eval_template, profile), out_root, "train_preds", 1)
-    prev_train = None
-    for it in range(2, iterations + 2):
-        misses = S.collect_misses(train_preds)
-        misses = _write(misses, out_root, "misses", it)
-        if stop_early and not misses.take(1):
-            report(it, [("loop", "misses", misses, F.count(F.lit(1))),
-                        ("loop", "stopped_early", misses, F.lit(1))])
+    count = F.count(F.lit(1))
+
+    def predict(problems: DataFrame, model) -> DataFrame:
+        return _predict(problems, model, hooks, eval_template, profile)
+
+    if 1 not in records:
+        now, model = _Iteration(manifest, 1), base_model
+        now.write(predict(test_problems, model), "test_preds", {("zero_shot", "em"): em})
+        if baseline_set is not None:
+            now.write(baseline_set.select("question", "rationale", "answer"), "baseline", {})
+            model = hooks.train(base_model, now.paths["baseline"], 1)
+            now.write(predict(test_problems, model), "baseline_preds", {("baseline", "em"): em})
+        now.write(predict(train_problems, model), "train_preds", {})
+        now.commit(hooks.save(model))
+        records = {1: manifest.records()["iter-1"]}
+    last = records[max(records)]
+    model = hooks.load(last["model"])
+    train_preds = spark.read.parquet(last["paths"]["train_preds"]) if "train_preds" in last["paths"] else None
+    prev_train = spark.read.parquet(last["paths"]["train"]) if "train" in last["paths"] else None
+    for it in range(last["iter"] + 1, iterations + 2):
+        if last["stopped"]:
+            break
+        now = _Iteration(manifest, it)
+        misses = now.write(S.collect_misses(train_preds), "misses", {("loop", "misses"): count})
+        if stop_early and not now.rows:
+            now.report.append(("loop", "stopped_early", 1.0))
+            now.commit(hooks.save(model), stopped=True)
             break
+        now.report.append(("loop", "generated", float(now.rows)))
         prompts = misses.select("id", "question", "gold_answer",
                                 PR.render(retry_template, question=F.col("question")).alias("prompt"))
         outs = generate(prompts, hooks.generator_for(model, "retry"), k=k)
@@ -112,19 +151,13 @@ def run_self_training(spark: SparkSession, train_problems: DataFrame, test_probl
             kept = S.retry_keep_correct(misses, greedy, profile)
         else:
             kept = S.retry_shortest_correct(misses, outs, profile)
-        kept = _write(kept.select("id", "question", "gold_answer", "output", "em_after"), out_root, "kept", it)
+        kept = now.write(kept.select("id", "question", "gold_answer", "output", "em_after"), "kept",
+                         {("loop", "kept_correct"): F.count_if(F.col("em_after"))})
         rows = S.training_rows(kept, correct_only=not keep_all)
-        train = _write(S.cumulative_training_set(rows, prev_train), out_root, "train", it)
-        prev_train = train
+        prev_train = now.write(S.cumulative_training_set(rows, prev_train), "train", {("loop", "train_size"): count})
         start = model if restart == "incremental" else base_model
-        model = hooks.train(start, os.path.join(out_root, "train", f"iter={it}"), it)
-        test_preds = _write(_predict(test_problems, model, hooks, eval_template, profile), out_root, "test_preds", it)
-        train_preds = _write(_predict(train_problems, model, hooks, eval_template, profile), out_root, "train_preds", it)
-        report(it, [
-            ("loop", "misses", misses, F.count(F.lit(1))),
-            ("loop", "generated", misses, F.count(F.lit(1))),
-            ("loop", "kept_correct", kept, F.count_if(F.col("em_after"))),
-            ("loop", "train_size", train, F.count(F.lit(1))),
-            ("loop", "em", test_preds, em),
-        ])
-    return spark.read.parquet(report_path)
+        model = hooks.train(start, now.paths["train"], it)
+        now.write(predict(test_problems, model), "test_preds", {("loop", "em"): em})
+        train_preds = now.write(predict(train_problems, model), "train_preds", {})
+        now.commit(hooks.save(model))
+    return read_report(manifest, run)

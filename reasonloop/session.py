@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -80,3 +80,22 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def write_observed(df: DataFrame, path: str, metrics: dict[str, Column], write=None) -> dict:
+    """Write ``df`` to ``path`` (Parquet, or ``write(df, path)``) and return ``metrics`` (name -> aggregate), which are
+    gathered by the very job that writes: no second pass reads the table for them."""
+    seen = Observation(f"observed-{uuid.uuid4().hex}")
+    watched = df.observe(seen, *[m.alias(name) for name, m in metrics.items()])
+    if write is None:
+        watched.write.mode("overwrite").parquet(path)
+    else:
+        write(watched, path)
+    return dict(seen.get)
+
+
+def materialize_observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """:func:`materialize` and the metrics of the written rows, in one pass."""
+    path = scratch_path(df.sparkSession, name)
+    seen = write_observed(df, path, metrics)
+    return df.sparkSession.read.parquet(path), seen

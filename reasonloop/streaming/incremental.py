@@ -3,12 +3,13 @@
 Structured Streaming file source (``maxFilesPerTrigger`` problems files per micro-batch)
 with ``foreachBatch``: each micro-batch runs forward selection (R3), the anti-join of
 misses (R4) and rationalisation (R5) against stored generations, and appends both kept
-sets as JSON lines in ``batch_id=<n>`` folders (S4): a replayed batch rewrites its own folder
-and never duplicates rows. A batch reads only the generations between its lowest and highest
+sets as JSON lines (S4), each in a folder of the batch's own attempt. One commit record per batch
+(``sources.manifest``) names both and holds the counts; readers follow the records, so a batch is read
+wholly or not at all, whatever an attempt that failed between two outputs left behind, and a
+replayed batch that was committed adds nothing. A batch reads only the generations between its lowest and highest
 id; laid out by id (:func:`lay_out_by_id`), like the source files, they are pruned by the
 files' statistics, so a batch's reading follows the batch, not the table. The outputs are
-counted from what was written; per-batch counts stand beside them, so running totals (A8)
-are a query over the stats table, not driver state. ``trigger(availableNow)`` drains what
+counted by the jobs that write them; running totals (A8) are a query over the batches' counts. ``trigger(availableNow)`` drains what
 is there and stops; the streaming checkpoint makes a restarted run resume after the last
 committed batch.
 """
@@ -25,8 +26,9 @@ from pyspark.sql.types import StructType
 from ..operators import selection as S
 from ..operators.generate import TableGenerator
 from ..plans.iteration import forward_pass, rationalize_pass
-from ..session import materialize, scratch_path
-from ..sources.jsonl import append_batch, read_jsonl
+from ..session import materialize, materialize_observed, scratch_path, write_observed
+from ..sources.jsonl import write_jsonl
+from ..sources.manifest import Manifest
 from ..sources.schemas import KEPT_ROW
 
 
@@ -50,23 +52,27 @@ def process_batch(problems: DataFrame, forward: TableGenerator, rationalizer: Ta
 def incremental_pass(spark: SparkSession, source_dir: str, source_schema: StructType | str,
                      to_problems: Callable[[DataFrame], DataFrame], forward: TableGenerator,
                      rationalizer: TableGenerator, out_root: str, max_files_per_trigger: int = 1,
-                     profile: str = "hash_then_any", file_glob: str | None = None) -> dict[str, str]:
-    """Run the stream to completion; returns the output folders.
+                     profile: str = "hash_then_any", file_glob: str | None = None) -> Manifest:
+    """Run the stream to completion; returns the commit records to read it by.
 
     ``to_problems`` maps a micro-batch of source rows to problems (``id, question,
     answer``) — e.g. a join with a static gold table. ``file_glob`` restricts the files of
     ``source_dir`` that the stream picks up."""
-    paths = {k: os.path.join(out_root, k) for k in ("forward", "rationalized", "stats")}
+    manifest = Manifest(spark, out_root)
     ckpt = os.path.join(out_root, "_checkpoint")
 
     def each_batch(batch_df: DataFrame, batch_id: int) -> None:
-        problems = materialize(to_problems(batch_df), "batch-problems")
+        name = f"batch-{batch_id}"
+        if manifest.committed(name):
+            return
+        problems, seen = materialize_observed(to_problems(batch_df), "batch-problems", {"n": F.count(F.lit(1))})
+        record = {"batch_id": int(batch_id), "n": seen["n"], "paths": {}}
         kept, rat = process_batch(problems, forward, rationalizer, profile)
-        counts = [spark.read.schema(KEPT_ROW).json(append_batch(rows, paths[name], batch_id)).count()
-                  for name, rows in (("forward", kept), ("rationalized", rat))]
-        stats = spark.createDataFrame([(int(batch_id), problems.count(), *counts)],
-                                      "batch_id bigint, n bigint, fwd_kept bigint, rat_kept bigint")
-        stats.write.mode("overwrite").parquet(os.path.join(paths["stats"], f"batch_id={batch_id}"))
+        for out, count, rows in (("forward", "fwd_kept", kept), ("rationalized", "rat_kept", rat)):
+            path = manifest.attempt(out)
+            record[count] = write_observed(rows, path, {"n": F.count(F.lit(1))}, write_jsonl)["n"]
+            record["paths"][out] = path
+        manifest.commit(name, record)
 
     reader = spark.readStream.schema(source_schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if file_glob:
@@ -77,19 +83,29 @@ def incremental_pass(spark: SparkSession, source_dir: str, source_schema: Struct
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
-    return paths
+    return manifest
 
 
-def progress(spark: SparkSession, paths: dict[str, str], every: int = 10) -> DataFrame:
+def stats(manifest: Manifest) -> DataFrame:
+    """``batch_id, n, fwd_kept, rat_kept`` of the committed batches."""
+    rows = [(r["batch_id"], r["n"], r["fwd_kept"], r["rat_kept"]) for r in manifest.records().values()]
+    return manifest.spark.createDataFrame(rows, "batch_id bigint, n bigint, fwd_kept bigint, rat_kept bigint")
+
+
+def progress(manifest: Manifest, every: int = 10) -> DataFrame:
     """A8 over the committed batches: running forward / rationalised kept totals reported
     after every ``every``-th micro-batch."""
     from ..operators.report import progress_counters
-    stats = spark.read.parquet(paths["stats"])
-    return progress_counters(stats, every=every)
+    return progress_counters(stats(manifest), every=every)
 
 
-def read_outputs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+def read_outputs(manifest: Manifest) -> DataFrame:
     """Forward and rationalised rows of all committed batches (``src`` 0 / 1)."""
-    fw = read_jsonl(spark, paths["forward"], KEPT_ROW, missing_ok=True).withColumn("src", F.lit(0))
-    rt = read_jsonl(spark, paths["rationalized"], KEPT_ROW, missing_ok=True).withColumn("src", F.lit(1))
-    return fw.unionByName(rt)
+    spark, records = manifest.spark, manifest.records().values()
+
+    def rows(out: str, src: int) -> DataFrame:
+        paths = [r["paths"][out] for r in records]
+        df = spark.read.schema(KEPT_ROW).option("mode", "FAILFAST").json(paths) if paths else spark.createDataFrame([], KEPT_ROW)
+        return df.withColumn("src", F.lit(src))
+
+    return rows("forward", 0).unionByName(rows("rationalized", 1))

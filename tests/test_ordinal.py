@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reasonloop.operators.ordinal import group_row_number, with_ordinal
+from reasonloop.operators.ordinal import group_row_number, with_file_ordinal, with_ordinal, with_split_ordinal
 
 
 def test_with_ordinal_dense_and_sorted(spark):
@@ -59,3 +59,29 @@ def test_hot_key_rows_span_several_partitions(spark):
     out = with_ordinal(df, ["k"], num_partitions=6).withColumn("pid", F.spark_partition_id())
     parts = {r.pid for r in out.filter(F.col("k") == 7).select("pid").distinct().collect()}
     assert len(parts) >= 2
+
+
+def test_file_ordinals_follow_the_files_without_an_exchange_of_rows(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(0, 1000, 1, 7).selectExpr("id", "id % 3 as g").write.parquet(path)
+    src = spark.read.parquet(path)
+    got = with_file_ordinal(src)
+    want = with_ordinal(src, ["id"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    rows = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    assert all("__file" in line or "SinglePartition" in line for line in rows) and "rangepartitioning" not in plan
+
+
+def test_split_ordinals_of_json_lines(spark, tmp_path):
+    path = str(tmp_path / "j")
+    spark.range(0, 5000, 1, 3).selectExpr("id", "repeat('x', 40) as pad").write.json(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        src = spark.read.schema("id long, pad string").json(path)
+        assert src.rdd.getNumPartitions() > 6
+        got = with_split_ordinal(src).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(r.ordinal == r.id for r in got) and len(got) == 5000

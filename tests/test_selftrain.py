@@ -92,3 +92,33 @@ def test_iteration_trains_and_evaluates(spark):
     assert (acc.n, acc.correct) == (10, 5) and res.predictions.count() == 10
     with pytest.raises(ValueError):
         run_iteration(probs, gen, gen, test_problems=probs)
+
+
+def test_a_stopped_loop_goes_on_where_it_was(spark):
+    rows = [(i, f"problem {i}", f"#### {i}") for i in range(40)]
+    probs = spark.createDataFrame(rows, "id bigint, question string, answer string")
+    train, test = probs.filter("id < 30"), probs.filter("id >= 30")
+    trained = []
+
+    def hooks(lost_at=None):
+        def train_model(start, path, it):
+            if it == lost_at:
+                raise ConnectionError("trainer lost")
+            trained.append(it)
+            return f"m{int(start[1:]) + 1}"
+
+        return ST.LoopHooks(generator_for=lambda m, purpose: _model_generator(10 * int(m[1:]) + (10 if purpose == "retry" else 0)),
+                            train=train_model, save=lambda m: {"name": m}, load=lambda s: s["name"])
+
+    def run(root, **how):
+        rep = ST.run_self_training(spark, train, test, hooks(**how), "m0", root, iterations=2, run="t")
+        return sorted(map(tuple, rep.collect()))
+
+    whole = run(tempfile.mkdtemp(prefix="rl-loop-"))
+    root = tempfile.mkdtemp(prefix="rl-loop-")
+    trained.clear()
+    for lost_at in (2, 3):
+        with pytest.raises(ConnectionError):
+            run(root, lost_at=lost_at)
+    assert run(root) == whole and trained == [2, 3]
+    assert run(root) == whole and trained == [2, 3]            # nothing is left to run, no row is added
