@@ -1,21 +1,22 @@
 """License scan by conditional compression.
 
-A block of a text that mentions licensing is held against every template whose words it holds
-but for the differences allowed. An alignment of the block's words with the template's, blanks of
-the template (``<holder>``) fitting any run of words, finds the part with the fewest differences. A
-license is reported where at most ``max(0, 8 %)`` of the template's words differ; short notices
-must match word for word. Where several fit, the fewest differences for its length, the longer
-template, then the larger reduction wins: the share of the part's bytes that zstandard saves with
-the template as a raw dictionary. The words before and after a license are judged again, so
-repeated notices are each reported.
+A block of a text that mentions licensing is compressed alone and once with each template as
+zstandard raw dictionary. Templates are ranked by the bytes that their dictionary saves, and in that
+order the exact wording decides: an alignment of the block's words with the template's, blanks of
+the template (``<holder>``) fitting any run of words, finds the part with the fewest differences, and
+the first template of which at most ``max(0, 8 %)`` of the words differ is the license; short notices
+must match word for word. A template that the block lacks too many words of cannot be confirmed, so it
+is not aligned. The words before and after a license are ranked and judged again, so repeated
+notices are each reported, until no template is confirmed.
 
 Blocks: ``REACH`` words (the longest template and its allowed differences) on both sides of every cue
 word, wherever lines break; blocks that overlap merge. Blocks are cut at ``BLOCK_WORDS`` words with
 half of them overlapping, so every wording is seen whole in some block. Words are lower-cased
-runs of letters and digits.
+runs of letters and digits; ``licence`` is read as ``license``.
 
 Every whole text is read, in one narrow pass. Equal blocks are judged once per task (a cache
-of bounded size). Null texts are empty; a text without a license gives no row.
+of bounded size). Null texts are empty; a text without a license gives no row. Ids keep their type; repeated rows are
+each reported.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import chunks, text_array
 
@@ -40,6 +42,14 @@ TOLERANCE = 0.08
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT-notice-2": "Licensed under the MIT License.",
+    "MIT-notice-3": "MIT licensed",
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004",
+    "GPL-3.0-text": "GNU General Public License Version 3, 29 June 2007",
+    "GPL-2.0-text": "GNU General Public License Version 2, June 1991",
+    "LGPL-3.0-text": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "LGPL-2.1-text": "GNU Lesser General Public License Version 2.1, February 1999",
+    "AGPL-3.0-text": "GNU Affero General Public License Version 3, 19 November 2007",
+    "MPL-2.0-text": "Mozilla Public License Version 2.0 1. Definitions",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
@@ -106,7 +116,7 @@ _WORD = re.compile(r"<\w+>|[^\W_]+")
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return [w.lower().replace("licenc", "licens") for w in _WORD.findall(text)]
 
 
 #: Words that a wording may reach beyond a hit: the longest template and its allowed differences.
@@ -193,40 +203,49 @@ def _known() -> dict[str, tuple[list[str], Counter, float]]:
 
 
 def _reduction(part: list[str], name: str) -> float:
+    """Share of the part's compressed bytes that the template's dictionary saves."""
     plain, with_ = _compressors()
     text = " ".join(part).encode()
     return 1 - len(with_[name].compress(text)) / len(plain.compress(text))
 
 
+def ranking(part: list[str], names: tuple[str, ...]) -> list[str]:
+    """Templates by the bytes that they save as dictionary of the part, most first; those that save as many by their
+    length, longest first, then by name."""
+    plain, with_ = _compressors()
+    text = " ".join(part).encode()
+    alone = len(plain.compress(text))
+    return sorted(names, key=lambda n: (len(with_[n].compress(text)) - alone, -len(_known()[n][0]), n))
+
+
 @lru_cache(4096)
 def judge(block: str) -> tuple[tuple[str, float, tuple[str, ...], int, int], ...]:
-    """Confirmed licenses of a block: (name, reduction, differences, first word, end word). The
-    best template is taken, then the words before and after it are judged again, until none fits."""
+    """Confirmed licenses of a block: (name, reduction, differences, first word, end word)."""
     w = words(block)
     todo, out = [(0, len(w), tuple(_known()))], []
     while todo:
         lo, hi, names = todo.pop()
-        part, found = w[lo:hi], []
+        part = w[lo:hi]
         have = Counter(part)
-        for name in names:
-            template, counts, most = _known()[name]
-            if sum((counts - have).values()) > most:         # this many words are missing in any alignment
-                continue
-            diff, a, b = differences(template, part)
-            if len(diff) <= most:
-                found.append((len(diff) / len(template), -len(template), -_reduction(part[a:b], name), name, tuple(diff), a, b))
-        if found:
-            _, _, r, name, diff, a, b = min(found)
-            out.append((name, -r, diff, lo + a, lo + b))
-            left = tuple(f[3] for f in found)                # a template that fits nowhere fits in no part
-            todo += [(lo, lo + a, left), (lo + b, hi, left)]
+        # as many words as these are missing in any alignment; what is short of words here is so in every part
+        names = tuple(n for n in names if sum((_known()[n][1] - have).values()) <= _known()[n][2])
+        for k, name in enumerate(ranked := ranking(part, names)):
+            diff, a, b = differences(_known()[name][0], part)
+            if len(diff) <= _known()[name][2]:
+                out.append((name, _reduction(part[a:b], name), tuple(diff), lo + a, lo + b))
+                left = tuple(ranked[k:])                     # those before it fit nowhere, so in no part
+                todo += [(lo, lo + a, left), (lo + b, hi, left)]
+                break
     return tuple(sorted(out, key=lambda x: x[3]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, start, end, reduction, n_diff, differences): one row per confirmed license
     and place (code points of its block)."""
-    schema = "id long, license string, start long, end long, reduction double, n_diff long, differences string"
+    id_type = docs.schema[id_col].dataType
+    schema = f"id {id_type.simpleString()}, license string, start long, end long, reduction double, n_diff long, differences string"
+
+    arrow_id = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, "t"):
@@ -244,9 +263,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                         rows.append((i, name, s, e, reduction, len(diff), " ".join(diff)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(col, t) for col, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(),
+                    [pa.array(col, t) for col, t in zip(zip(*rows), (arrow_id, pa.string(), pa.int64(), pa.int64(),
                                                                      pa.float64(), pa.int64(), pa.string()))],
                     names=["id", "license", "start", "end", "reduction", "n_diff", "differences"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)

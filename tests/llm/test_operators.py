@@ -357,6 +357,42 @@ def test_licenses_wrapped_and_repeated(spark):
     assert got == {(1, "MIT", 0): 1, (2, "Unlicense", 0): 1, (3, "CC-BY-4.0-notice", 0): 1, (4, "MIT-notice", 0): 3, (5, "MIT", 0): 2}
 
 
+def test_the_license_is_the_confirmed_template_that_compresses_best(spark, monkeypatch):
+    header = licenses.TEMPLATES["Apache-2.0"]
+    text = f"notes\n{header}\nmore notes"
+    assert [x[0] for x in licenses.judge.__wrapped__(text)] == ["Apache-2.0"]
+    ranking = licenses.ranking
+    order = ranking(licenses.words(text), tuple(licenses.TEMPLATES))
+    assert order[0] == "Apache-2.0"
+    monkeypatch.setattr(licenses, "ranking", lambda part, names: ranking(part, names)[::-1])
+    assert [x[0] for x in licenses.judge.__wrapped__(text)] != ["Apache-2.0"]
+
+
+def test_licenses_against_every_template_aligned(spark):
+    rnd = random.Random(8)
+    names = list(licenses.TEMPLATES)
+    for n in names:
+        w = licenses.TEMPLATES[n].replace("<holder>", "the Foo Corporation").split()
+        most = int(licenses.TOLERANCE * len(licenses.words(licenses.TEMPLATES[n])))
+        for k in rnd.sample(range(len(w)), most // 6):
+            w[k] = "altered"
+        block = " ".join(["some", "words"] + w + ["and", "more"])
+        fits = {m for m in names if len(licenses.differences(licenses.words(licenses.TEMPLATES[m]), licenses.words(block))[0])
+                <= licenses.TOLERANCE * len(licenses.words(licenses.TEMPLATES[m]))}
+        got = licenses.judge.__wrapped__(block)
+        assert {g[0] for g in got} <= fits and n in fits
+        assert max(len(licenses.words(licenses.TEMPLATES[g[0]])) for g in got) >= len(licenses.words(licenses.TEMPLATES[n])) - 2, (n, got)
+
+
+def test_license_spellings_heads_and_text_ids(spark):
+    docs = spark.createDataFrame([
+        ("a", "It is MIT licensed."), ("b", "Released under the MIT Licence."), ("c", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n"),
+        (None, "                                 Apache License\n                           Version 2.0, January 2004"), ("d", None)],
+        "doc_id string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert got == {"a": "MIT-notice-3", "b": "MIT-notice", "c": "GPL-3.0-text", None: "Apache-2.0-text"}
+
+
 @pytest.mark.parametrize("most", [warc_zip._MAX32, 100])
 def test_zip_directory(most):
     out = io.BytesIO()
