@@ -126,12 +126,12 @@ seeds as materialized (
 links as (
   select host as src, lower(unnest(regexp_extract_all(html, '(?i)href=["'']?(?:[a-z]+:)?//([^/?#"''\s>]+)', 1))) as dst from p),
 plain as (select src, dst, count(*) as n from links where src <> dst and src <> '' group by 1, 2),
-both_ways as (select 'trust' as kind, src as a, dst as b, n from plain union all select 'distrust', dst, src, n from plain),
-edges as materialized (select kind, a, b, n / sum(n) over (partition by kind, a) as w from both_ways),
+shares as (select src, dst, n / sum(n) over (partition by src) as w from plain),
+edges as materialized (select 'trust' as kind, src as a, dst as b, w from shares union all select 'distrust', dst, src, w from shares),
 {_pagerank_sql()},
 per_host as (
-  select host, coalesce(max(score) filter (kind = 'trust'), 0) as trust,
-         coalesce(max(score) filter (kind = 'distrust'), 0) as distrust from s{url_filter.ITERATIONS} group by host)
+  select host, coalesce(max(score) filter (kind = 'trust'), 0) / {1 - url_filter.DAMPING} as trust,
+         coalesce(max(score) filter (kind = 'distrust'), 0) / {1 - url_filter.DAMPING} as distrust from s{url_filter.ITERATIONS} group by host)
 select page_id, p.host, path, rule,
   coalesce(action, case when distrust >= {url_filter.THRESHOLD} and distrust > trust then 'block' else 'allow' end) as verdict
 from p left join per_host h on h.host = p.host

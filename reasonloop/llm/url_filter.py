@@ -4,15 +4,20 @@
 path starts with the rule's; the longest rule that fits decides.
 
 *Propagation* judges what no rule decides. Hosts are vertices; a link from a page to another
-host is an edge, weighted by the share of the host's outgoing links. A host most of whose
+host is an edge, weighted by its share of the linking host's links. A host most of whose
 pages are blocked by rule is a distrust seed; one with allowed pages and fewer blocked ones a
-trust seed. A host's distrust is its personalised PageRank for the distrust seeds: the probability
-that a walk from the host along links, ended with ``1 - DAMPING`` at each step, ends on one. Trust is
-the same for the trust seeds and a walk against the links. Each step is shared over the walking
-host's own links, so a seed with many linkers counts no less for each of them. Both run in one iteration over
-(direction, host) until no score moves by ``TOLERANCE``; a round's largest move is at most ``DAMPING``
-times the one before, so it always ends. A host is blocked when its distrust is ``THRESHOLD`` or
-more and above its trust.
+trust seed. Trust is personalised PageRank from the trust seeds: their mass is shared over their own links,
+and on along the links. Distrust goes against the links: a host takes over the distrust of the hosts it
+links to by its shares of links, so a blocked host with many linkers counts no less for each of them. Both run
+in one iteration over (kind, host) until no score moves by ``TOLERANCE``; a round's largest move is at
+most ``DAMPING`` times the one before, so it always ends.
+
+Scores are read in units of a seed's own restart (``1 - DAMPING``), so a seed's is 1 and a host's distrust is the
+chance that a walk along links from it, ended with ``1 - DAMPING`` at each step, ends on a blocked
+seed, counted as if a walk that begins at one ended there. A host is blocked when that
+is ``THRESHOLD`` or more, that is more likely than not, and above its trust: a chain of up to four hosts that
+link only to the next one is caught (0.85, 0.72, 0.61, 0.52), and a host with three of four links into a blocked one
+(0.64), not one with half of its links there (0.43).
 
 Null urls and urls without ``://`` have an empty host and path and are allowed; null html has no
 links. Repeated pages count as often as they stand. Scores are one row per host, written to
@@ -29,10 +34,10 @@ from ..session import materialize
 #: (action, rule)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ITERATIONS = 10              # rounds the oracle SQL unrolls; the operator goes on to the tolerance
+ITERATIONS = 60              # rounds the oracle SQL unrolls; the operator goes on to the tolerance
 TOLERANCE = 1e-6
-THRESHOLD = 0.1
-MOST_RULES = 1000
+THRESHOLD = 0.5
+MOST_RULES = 1000            # of one expression
 _CASE = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -46,8 +51,6 @@ def path_of(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, action) of the longest rule that fits; nulls where none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError("a rule list this long belongs in a table")
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for act, r in sorted(rules, key=lambda x: len(x[1])):
         h, _, p = r.partition("/")
@@ -57,6 +60,26 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
+def with_rules(pages: DataFrame, rules=RULES, most: int = MOST_RULES) -> DataFrame:
+    """Adds ``rule`` and ``action`` of the longest rule that fits (``host``, ``path``). Up to ``most`` rules are one
+    expression; a longer list is a table, joined with the suffixes of the hosts that occur."""
+    if len(rules) <= most:
+        rule, action = rule_for(F.col("host"), F.col("path"), rules)
+        return pages.withColumn("rule", rule).withColumn("action", action)
+    split = [(a, r, *r.partition("/")[::2]) for a, r in rules]
+    table = pages.sparkSession.createDataFrame(split, "action string, rule string, suffix string, begin string")
+    labels = F.split("host", r"\.")
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)),
+                                   lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    per_host = (pages.select("host").distinct().select("host", suffix.alias("suffix")).join(table, "suffix")
+                .groupBy("host").agg(F.collect_list(F.struct(F.length("rule").alias("n"), "rule", "action", "begin")).alias("fit")))
+    best = F.array_max(F.filter("fit", lambda x: F.startswith(F.col("path"), F.concat(F.lit("/"), x["begin"]))))
+    named = pages.where("host != ''").join(per_host, "host", "left").withColumn("best", best)
+    named = named.select(*pages.columns, F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
+    none = F.lit(None).cast("string")
+    return named.unionByName(pages.where("host = ''").withColumn("rule", none).withColumn("action", none))
+
+
 def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
     """(src, dst, n) of links between different hosts."""
     links = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)href=["']?(?:[a-z]+:)?//([^/?#"'\s>]+)"""), F.lit(1))
@@ -68,12 +91,13 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
               tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score) for ``seeds`` (kind, host): kind ``trust`` follows the edges, ``distrust``
-    follows them backwards, each weighted by its share of the receiving host's links. A seed
+    follows them backwards, each edge weighted by its share of the linking host's links. A seed
     restarts with ``1 - damping``."""
-    both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(
-        edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
-    own = both.groupBy("kind", "b").agg(F.sum("n").alias("all"))
-    both = materialize(both.join(own, ["kind", "b"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")), "url-edges")
+    own = edges.groupBy("src").agg(F.sum("n").alias("all"))
+    shares = edges.join(own, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w"))
+    kinds = F.array(F.struct(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")),
+                    F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b")))
+    both = materialize(shares.select(F.explode(kinds).alias("k"), "w").select("k.*", "w"), "url-edges")
     start = materialize(seeds.select("kind", "host", F.lit(1.0 - damping).alias("score")), "url-seeds")
     score = start
     if both.isEmpty():
@@ -98,8 +122,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     url = F.col(url_col).cast("string")
     p = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"),
                      F.col(html_col).cast("string").alias("html"))
-    rule, action = rule_for(F.col("host"), F.col("path"), rules)
-    p = p.withColumn("rule", rule).withColumn("action", action)
+    p = with_rules(p, rules)
     hosts = p.where("host != ''").groupBy("host").agg(
         F.count(F.lit(1)).alias("pages"), F.count(F.when(F.col("action") == "block", 1)).alias("blocked"),
         F.count(F.when(F.col("action") == "allow", 1)).alias("allowed"))
@@ -108,8 +131,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     seeds = hosts.select(seed.alias("kind"), "host").where("kind is not null")
     score = propagate(host_edges(p.select("host", "html"), "html"), seeds)
     per_host = score.groupBy(F.col("host").alias("h")).agg(
-        F.coalesce(F.max(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"),
-        F.coalesce(F.max(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))
+        *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))) / F.lit(1.0 - DAMPING), F.lit(0.0)).alias(k)
+          for k in ("trust", "distrust")])
     j = p.drop("html").join(materialize(per_host, "url-hosts"), F.col("host") == F.col("h"), "left")
     bad = (F.coalesce("distrust", F.lit(0.0)) >= threshold) & (F.col("distrust") > F.col("trust"))
     return j.select(F.col("id").alias(id_col), "host", "path", "rule",

@@ -474,6 +474,53 @@ def test_url_hub_with_thousands_of_linkers(spark):
     assert blocked == set(range(3001))
 
 
+def _page(i, host, *links, path="x"):
+    return (i, f"http://{host}/{path}", "".join(f'<a href="http://{h}/y">' for h in links))
+
+
+PLANTED = [
+    _page(1, "bad.net"), _page(2, "chain1.com", "bad.net"), _page(3, "chain2.com", "chain1.com"), _page(4, "chain3.com", "chain2.com"),
+    _page(5, "chain4.com", "chain3.com"), _page(6, "chain5.com", "chain4.com"),
+    _page(7, "most.com", "bad.net", "bad.net", "bad.net", "plain.com"), _page(8, "half.com", "bad.net", "plain.com"),
+    _page(9, "cycle1.com", "cycle2.com", "bad.net"), _page(10, "cycle2.com", "cycle1.com"), _page(11, "plain.com"),
+    _page(12, "good1.org", "saved.com", path="fr/"), _page(13, "good2.org", "saved.com", path="fr/"), _page(14, "saved.com", "bad.net"),
+    _page(15, "good3.org", *[f"h{i}.com" for i in range(20)], "lost.com", path="fr/"), _page(16, "lost.com", "bad.net"), (17, None, None),
+    *[_page(100 + i, f"l{i}.com", "bad.net", "plain.com") for i in range(30)]]
+
+
+def test_url_trust_and_distrust_by_host(spark):
+    pages = spark.createDataFrame(PLANTED, "page_id long, url string, html string")
+    rows = {r.host: r for r in url_filter.judge(pages).collect()}
+    blocked = {h for h, r in rows.items() if r.verdict == "block"}
+    assert blocked == {"bad.net", "chain1.com", "chain2.com", "chain3.com", "chain4.com", "most.com", "cycle1.com", "cycle2.com", "lost.com"}
+    # two trusted hosts that link to nothing else outweigh the distrust of saved.com; one link in 21 does not save lost.com
+    assert rows["saved.com"].trust == pytest.approx(1.7, abs=1e-4) and rows["saved.com"].distrust == pytest.approx(0.85, abs=1e-4)
+    assert rows["lost.com"].trust == pytest.approx(0.85 / 21, abs=1e-4) and rows["most.com"].distrust > 0.63
+
+
+def test_url_oracle_computes_the_same_verdicts(spark, tmp_path):
+    import duckdb
+
+    from reasonloop.llm import queries
+    pages = spark.createDataFrame(PLANTED, "page_id long, url string, html string")
+    path = str(tmp_path / "pages")
+    pages.write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{path}/*.parquet')")
+    want = con.execute(f"select page_id, host, path, rule, verdict from ({queries.ORACLE['op1_url_filter']})").fetchall()
+    got = [tuple(r) for r in url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_url_rules_in_a_table(spark):
+    pages = spark.createDataFrame(PLANTED + [(200, "http://a.example.com/de/q", None), (201, "http://x/", None), (202, "http://a.b.net./", "")],
+                                  "page_id long, url string, html string")
+    p = pages.select("page_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    one, table = (sorted(map(tuple, url_filter.with_rules(p, most=most).collect()), key=str) for most in (1000, 1))
+    assert one == table
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
 def test_url_cycle_is_followed_to_the_tolerance(spark):
     edges = spark.createDataFrame([("a.com", "b.net", 1), ("b.net", "a.com", 1)], "src string, dst string, n long")
     seeds = spark.createDataFrame([("distrust", "b.net")], "kind string, host string")
