@@ -8,16 +8,20 @@ similarity of their sets is ``threshold`` or more.
 1. One pass over the texts writes a 128-bit key of the word sequence and the band hashes.
    Rows with equal keys form a class; only one text per class goes on.
 2. ``plan_bands`` picks band and row counts so a pair at the threshold meets in a band with
-   probability ``recall``. Classes are shuffled on (band, hash) as keys, never as texts.
-   Buckets with the very same members as one of an earlier band are dropped.
+   probability ``recall``. Classes are shuffled on (band, hash) as keys; buckets with the very same
+   members as one of an earlier band are dropped before any text is read.
 3. A bucket is dealt to blocks of about ``BLOCK`` texts; each pair of blocks is one work
    item, holds two blocks at most and is verified with one matrix product of the shingle
-   incidence. A pair is counted only in the first band it shares, so nothing is counted
+   incidence. A text is shuffled once per bucket and opposite block, so the texts of a bucket of n blocks n times. A pair is counted only in the first band it shares, so nothing is counted
    twice and no pair is ever emitted: an item returns link counts per class and a spanning
    forest of its links, whose components are the near-duplicate groups.
 
-Null texts count as empty. Null, repeated or tied ids are allowed: rows are matched by
-content, the smallest id of a class (nulls last) is its representative.
+4. Classes are vertices under a binary name that sorts like (id, nulls last; text hash; content), so
+   the smallest name of a component is its representative: no row is joined by component, and
+   classes without a link take no part in that join.
+
+Null texts count as empty. Null, repeated or tied ids of integer or string type are allowed: rows are
+matched by content, the smallest id of a class (nulls last) is its representative.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -133,9 +137,42 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                 [c.column("id"), c.column("th"), content_keys(w), pa.array(np.diff(w.offsets)), lists],
                 names=["id", "th", "key", "n_bytes", "bands"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"),
+    src = docs.select(_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("t"),
                       F.xxhash64(F.col(text_col).cast("string")).alias("th"))
-    return src.mapInArrow(run, "id long, th long, key binary, n_bytes long, bands array<long>")
+    kind = src.schema["id"].dataType.simpleString()
+    return src.mapInArrow(run, f"id {kind}, th long, key binary, n_bytes long, bands array<long>")
+
+
+def _id_type(docs: DataFrame, id_col: str) -> str:
+    """Ids are compared as long, or as string where they are no integers."""
+    return "long" if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+
+
+def _id(docs: DataFrame, id_col: str) -> Column:
+    return F.col(id_col).cast(_id_type(docs, id_col))
+
+
+_FLIP = -(1 << 63)           # turns the order of signed numbers into that of their bytes
+
+
+def _bytes_of(number: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(_FLIP))), 16, "0"))
+
+
+def node_name(id_: Column, th: Column, key: Column, text_id: bool) -> Column:
+    """Bytes that sort like (id is null, id, th, key)."""
+    zero = F.lit(bytearray(1))
+    said = F.concat(F.encode(F.coalesce(id_, F.lit("")), "utf-8"), zero) if text_id else _bytes_of(F.coalesce(id_, F.lit(0)))
+    return F.concat(F.when(id_.isNull(), F.lit(bytearray(b"\x01"))).otherwise(zero), said, _bytes_of(th), key)
+
+
+def id_of_node(node: Column, text_id: bool) -> Column:
+    """The id in a name; text hash and content key are its last 24 bytes."""
+    if text_id:
+        said = F.decode(F.substring(node, F.lit(2), F.length(node) - 26), "utf-8")
+    else:
+        said = (F.conv(F.hex(F.substring(node, 2, 8)), 16, 10).cast("decimal(20,0)") + F.lit(_FLIP).cast("decimal(20,0)")).cast("long")
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", said)
 
 
 def _linked(hs, ds, n, threshold):
@@ -240,11 +277,13 @@ def _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes) ->
     that are their group's representative: smallest id (nulls last), then row hash, then content key."""
     bands, rows = plan_bands(threshold, recall)
     sig = materialize(signatures(docs, id_col, text_col, bands, rows), "jaccard-signatures")
+    text_id = sig.schema["id"].dataType.typeName() == "string"
     worded = sig.where("key is not null")
-    classes = materialize(worded.groupBy("key").agg(
+    classes = worded.groupBy("key").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"),
-        F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"),
-        F.first("bands").alias("bands")), "jaccard-classes")
+        F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", node_name(F.col("rep.id"), F.col("rep.th"), F.col("key"), text_id)),
+                          "jaccard-classes")
     # the classes' band entries, as keys only
     entries = classes.select("key", "n_bytes", F.posexplode("bands").alias("band", "hash"))
     buckets = entries.groupBy("band", "hash").agg(
@@ -256,32 +295,30 @@ def _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes) ->
                                F.ceil(F.col("s.size") / F.lit(block_bytes))).cast("int").alias("nb")))
     member = (entries.join(kept.hint("merge"), ["band", "hash"])
               .groupBy("key").agg(F.collect_list(F.struct("band", "hash", "nb")).alias("at")))   # at most `bands` entries
-    member = materialize(member.join(classes.select("key", "rep.id", "rep.th", "bands"), "key"), "jaccard-members")
-    texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
+    member = materialize(member.join(classes.select("key", "node", "rep.id", "rep.th", "bands"), "key"), "jaccard-members")
+    texts = docs.select(_id(docs, id_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     dealt = (texts.join(member.hint("merge"), F.col("rid").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")))
-             .select("key", "text", "bands", F.explode("at").alias("p"))
-             .select("key", "text", "bands", "p.band", "p.hash",
+             .select("key", "node", "text", "bands", F.explode("at").alias("p"))
+             .select("node", "text", "bands", "p.band", "p.hash",
                      F.pmod(F.xxhash64("key", F.lit(3)), F.col("p.nb")).cast("int").alias("blk"), "p.nb")
              .select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-             .select("key", "text", "bands", "band", "hash",
+             .select(F.col("node").alias("key"), "text", "bands", "band", "hash",
                      F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"),
                      (F.col("blk") > F.col("other")).alias("side")))
     links = (dealt.repartition("band", "hash", "bi", "bj").sortWithinPartitions("band", "hash", "bi", "bj")
              .mapInArrow(_verify(threshold), "a binary, b binary, n long"))
     links = materialize(links, "jaccard-links")
-    counts = links.where("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
-    comps = connected_components(links.where("n = 0"), name="jaccard")
-    named = (classes.select("key", F.struct("rep.none", "rep.id", "rep.th", "key").alias("rep"), F.col("copies").alias("n_copies"))
-             .join(counts, "key", "left")
-             .join(comps.select(F.col("node").alias("key"), "component"), "key", "left"))
-    named = materialize(named, "jaccard-named")
-    lowest = named.where("n_links > 0").groupBy("component").agg(F.min("rep").alias("low"))
-    named = (named.join(lowest, "component", "left")
-             .select("key", F.col("rep.id").alias("copy_id"), "n_copies", "n_links", F.coalesce("low", "rep").alias("first"))
-             .select("*", F.col("first.id").alias("class_id")))
+    counts = links.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    linked = materialize(counts.join(connected_components(links.where("n = 0"), name="jaccard"), "node"), "jaccard-linked")
+    named = (classes.join(linked, "node", "left")
+             .select("key", F.col("rep.id").alias("copy_id"), F.col("copies").alias("n_copies"), "n_links",
+                     F.coalesce("component", "node").alias("first"), "node")
+             .select("*", id_of_node(F.col("first"), text_id).alias("class_id"), (F.col("first") == F.col("node")).alias("own"),
+                     F.substring("node", -24, 8).alias("first_th")))
+    row_th = _bytes_of(F.col("th"))
     return (sig.select("id", "th", "key").join(named, "key", "left")
-            .select("id", "th", (F.col("key").isNull() | ((F.col("key") == F.col("first.key")) & (F.col("th") == F.col("first.th"))
-                                                          & F.col("id").eqNullSafe(F.col("first.id")))).alias("is_first"),
+            .select("id", "th", (F.col("key").isNull() | (F.col("own") & (row_th == F.col("first_th"))
+                                                          & F.col("id").eqNullSafe(F.col("copy_id")))).alias("is_first"),
                     F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
                     F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
@@ -302,15 +339,16 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        threshold: float = THRESHOLD, recall: float = RECALL,
                        block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest id, nulls last, ties by
-    row hash and content. Rows that repeat that id and text are reduced to one; rows without words are groups of
-    their own and stay."""
+    row hash and content. Of the rows that repeat that id and text the one with the smallest hash of all its
+    columns (but maps) stays; rows without words are groups of their own and stay."""
     found = _labelled(docs, id_col, text_col, threshold, recall, block, block_bytes)
     stay = (found.where("is_first")
             .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.count(F.lit(1)).alias("__n")))
     row = F.col("row")
     text = row.getField(text_col).cast("string")
-    kept = packed(docs).join(materialize(stay, "jaccard-stay"),
-                             row.getField(id_col).cast("long").eqNullSafe(F.col("__id"))
-                             & (F.xxhash64(text) == F.col("__th")))
+    its_id = row.getField(id_col).cast(_id_type(docs, id_col))
+    kept = packed(docs).join(materialize(stay, "jaccard-stay"), its_id.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")))
     once = kept.where("__n = 1").select("row.*")
-    return once.union(kept.where("__n > 1").dropDuplicates(["__id", "__th"]).select("row.*"))
+    whole = F.xxhash64(*[row.getField(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    again = kept.where("__n > 1").groupBy("__id", "__th").agg(F.min_by("row", whole).alias("row"))
+    return once.union(again.select("row.*"))

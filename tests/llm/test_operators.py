@@ -83,6 +83,27 @@ def test_one_of_each_near_duplicate_group_with_null_and_tied_ids(spark):
     assert sorted(kept, key=str) == [(7, "c"), (None, "a"), (None, "b")]
 
 
+def test_near_duplicates_of_text_ids_and_tied_rows(spark):
+    rnd = random.Random(12)
+    a, b = ([f"{x}{rnd.randrange(900)}" for _ in range(90)] for x in "ab")
+    rows = [("k9", " ".join(a), "x"), ("k10", " ".join(a + ["z"]), "y"), ("", " ".join(b), "p"), (None, " ".join(b + ["z"]), "q")]
+    rows += [("k10", " ".join(a + ["z"]), c) for c in "cab"]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = {(r.id, r.class_id, r.n_links) for r in jaccard.jaccard_join(docs).collect()}
+    assert got == {("k9", "k10", 1), ("k10", "k10", 1), ("", "", 1), (None, "", 1)}
+    kept = {tuple(sorted((r.doc_id, r.lang) for r in jaccard.keep_one_per_class(docs.repartition(n)).collect())) for n in (1, 3, 7)}
+    (one,) = kept                                         # the same row whatever the partitions
+    assert [i for i, _ in one] == ["", "k10"]
+
+
+def test_node_names_sort_like_ids(spark):
+    ids = [-(2 ** 63), -5, -1, 0, 1, 2 ** 40, 2 ** 63 - 1, None]
+    df = spark.createDataFrame([(i, th, bytearray([k] * 16)) for i in ids for th in (-3, 4) for k in (0, 255)], "id long, th long, key binary")
+    name = jaccard.node_name(F.col("id"), F.col("th"), F.col("key"), False)
+    got = [tuple(r) for r in df.orderBy(name).select("id", "th", jaccard.id_of_node(name, False)).collect()]
+    assert got == sorted(got, key=lambda x: (x[0] is None, x[0] or 0, x[1])) and all(r[0] == r[2] for r in got)
+
+
 def test_band_plan():
     bands, rows = jaccard.plan_bands(0.8, 0.999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999 and bands * rows <= 128
