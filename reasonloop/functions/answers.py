@@ -169,10 +169,40 @@ def _as_double(text: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(t, FLOAT_SYNTAX, 0), "_", "").try_cast("double")
 
 
+_LIMB = 10 ** 9              # decimal limbs, least first
+_STEP = 29                   # bits a limb is shifted by at once: its product and carry stay below 2^63
+
+
+def _shifted(limbs: Column, factor: Column) -> Column:
+    """Decimal limbs times a factor of at most 2^``_STEP``."""
+    div = lambda x: F.call_function("div", x, F.lit(_LIMB))
+    none = F.array().cast("array<bigint>")
+    done = F.aggregate(
+        limbs, F.struct(F.lit(0).cast("bigint").alias("carry"), none.alias("out")),
+        lambda a, x: F.struct(div(x * factor + a["carry"]).alias("carry"),
+                              F.concat(a["out"], F.array((x * factor + a["carry"]) % _LIMB)).alias("out")),
+        lambda a: F.when(a["carry"] > 0, F.concat(a["out"], F.array(a["carry"]))).otherwise(a["out"]))
+    return done
+
+
+def exact_digits(d: Column) -> Column:
+    """Every digit of an integral double of 2^62 or more: its mantissa as decimal limbs, shifted by its exponent."""
+    e = F.floor(F.log2(d)) - 55
+    m = (d / F.pow(F.lit(2.0), e)).cast("bigint")
+    div = lambda x: F.call_function("div", x, F.lit(_LIMB))
+    steps = F.concat(F.array_repeat(F.lit(1 << _STEP).cast("bigint"), (e / _STEP).cast("int")),
+                     F.array(F.pow(F.lit(2.0), e % _STEP).cast("bigint")))
+    limbs = F.aggregate(steps, F.array(m % _LIMB, div(m)), _shifted)
+    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.ltrim(text, F.lit("0"))
+
+
 def _integer_text(d: Column) -> Column:
-    """Integer digits of an integral double: exact below 2^63, the shortest digits that give the
-    same double up to 1e38, NULL beyond."""
-    return F.coalesce(d.try_cast("bigint").cast("string"), d.try_cast("decimal(38,0)").cast("string"))
+    """Every digit of an integral double, as Python's ``int`` prints it."""
+    size = F.abs(d)
+    large = F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), exact_digits(size))
+    return F.when(size < F.lit(float(1 << 63)), d.try_cast("bigint").cast("string")).otherwise(
+        F.when(size < F.lit(float("inf")), large))
 
 
 def normalize_integral(c) -> Column:

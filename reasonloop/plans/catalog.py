@@ -653,6 +653,40 @@ def resumed_generation(spark: SparkSession, sf_dir: str, units: int = 4) -> Data
                        F.lit(distinct).cast("bigint").alias("distinct_prompts"))
 
 
+def resolved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 + P5: every alias chain over records whose first names may be null, empty or absent, in the ``or`` form (an
+    empty value falls through) and the ``get`` form (only null does), and the class text of the record."""
+    rows = FX.alias_rows(spark, sf_dir)
+    chains = {"gold_train": RC.GOLD_ALIASES, "gold_eval": RC.GOLD_ALIASES_EVAL, "gold_rescore": RC.GOLD_ALIASES_RESCORE,
+              "pred": RC.PRED_ALIASES, "asked": RC.QUESTION_ALIASES, "rationale": RC.RATIONALE_ALIASES, "final": RC.FINAL_ALIASES}
+    text = RC.class_text(*[RC.resolve_field(rows, chains[c]) for c in ("asked", "rationale", "final")])
+    return rows.select("id", "line", "part", "supp", *[RC.resolve_field(rows, c).alias(n) for n, c in chains.items()],
+                       *[RC.resolve_field(rows, chains[n], skip_empty=False, default=None).alias(f"{n}_get") for n in ("gold_eval", "asked")],
+                       text.alias("text"))
+
+
+def positional_candidates(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
+    """R2, positional and array forms: the orders' texts in file order are a flat list of K per prompt; regrouped by
+    position, gathered into one array a prompt (K texts) and laid out again."""
+    orders = FX.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    flat = with_file_ordinal(orders, "pos").select("pos", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("text"))
+    grouped = (S.regroup_flat(flat, k).groupBy("prompt_idx")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_idx", "text"))), lambda x: x["text"]).alias("texts")))
+    return S.flatten_candidates(grouped, "prompt_idx")
+
+
+def evaluated_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R14 with its train and evaluate steps: one iteration over the training problems, the stand-in trainer reads
+    the written set, and its model (the shifted candidates, if the set has rows) answers the test problems."""
+    from .iteration import run_iteration
+    fx = FX.Tables(spark, sf_dir)
+    train, test = SP.hash_split(fx.problems.select("id", "question", "answer"), 0.1, seed=42)
+    res = run_iteration(train, TableGenerator(fx.candidates()), TableGenerator(fx.candidates(RATIONALIZE_SHIFT)),
+                        train=lambda path: 0 if spark.read.parquet(path).isEmpty() else 1, test_problems=test,
+                        generator_for=lambda model: TableGenerator(fx.candidates(model).filter(F.col("cand_idx") == 1)))
+    return res.accuracy.withColumn("accuracy", F.round("accuracy", 8))
+
+
 QUERIES = {
     "keep_first_correct": keep_first_correct,
     "greedy_accuracy": greedy_accuracy,
@@ -698,6 +732,9 @@ QUERIES = {
     "self_training_loop": self_training_loop,
     "resumed_generation": resumed_generation,
     "restarted_loop": restarted_loop,
+    "resolved_fields": resolved_fields,
+    "positional_candidates": positional_candidates,
+    "evaluated_iteration": evaluated_iteration,
 }
 
 
@@ -747,4 +784,7 @@ COVERAGE = {
     "self_training_loop": "R13, R7, R8, R11, A7",
     "resumed_generation": "R1, S9, P1",
     "restarted_loop": "R13, A7, P6, R11",
+    "resolved_fields": "P3, P5",
+    "positional_candidates": "R2, S5",
+    "evaluated_iteration": "R14, A1, M2",
 }

@@ -169,6 +169,25 @@ def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.get(F.array(*texts), pick).alias("text"), F.get(F.array(*golds), gold).alias("gold"))
 
 
+def alias_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as records of files that name their fields differently: of every alias chain the first names are
+    null or empty in some rows, and one name is in no row at all."""
+    li = table(spark, sf_dir, "lineitem")
+    pick = F.pmod(F.col("l_orderkey") + F.col("l_partkey"), F.lit(5))
+    n = F.col("l_quantity").cast("bigint").cast("string")
+
+    def held(*when: int, text=n):
+        """The value in some rows, empty in others, else null."""
+        return F.when(pick.isin(*when), text).when(pick == (when[0] + 1) % 5, F.lit(""))
+
+    return li.select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supp"), held(0).alias("gold"), held(1, text=F.concat(F.lit("#### "), n)).alias("answer"),
+        held(2, 3).alias("gold_answer"), held(3).alias("answer_text"), F.when(pick == 4, n).alias("A"),
+        held(1, 2, text=F.concat(F.lit("so "), n)).alias("generated"), held(2, text=F.lit("how many")).alias("question"),
+        held(4, text=F.lit("count")).alias("q"), held(0, 3, text=F.lit("steps")).alias("solution"))
+
+
 class Tables:
     """The fixture tables of one query, each computed once and written under the shared
     checkpoint folder: every branch of the query reads the same table instead of re-running

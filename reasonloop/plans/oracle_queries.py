@@ -609,6 +609,49 @@ def _restarted_loop() -> str:
 
 RESTARTED_LOOP = _restarted_loop()
 
+def _first_of(names: list[str], empty: bool = True) -> str:
+    """``a or b or ...`` of the names (with "" at the end), or the first that is not null."""
+    if not empty:
+        return f"coalesce({', '.join(names)})"
+    return "coalesce(" + ", ".join(f"nullif({n}, '')" for n in names) + ", '')"
+
+
+def _held(text: str, *when: int) -> str:
+    return f"CASE WHEN pick IN ({', '.join(map(str, when))}) THEN {text} WHEN pick = {(when[0] + 1) % 5} THEN '' END"
+
+
+RESOLVED_FIELDS = f"""
+WITH li AS (SELECT *, (l_orderkey + l_partkey) % 5 AS pick, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n FROM lineitem),
+r AS (
+  SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, {_held('n', 0)} AS gold,
+    {_held("'#### ' || n", 1)} AS answer, {_held('n', 2, 3)} AS gold_answer, {_held('n', 3)} AS answer_text,
+    CASE WHEN pick = 4 THEN n END AS a_name, {_held("'so ' || n", 1, 2)} AS generated, {_held("'how many'", 2)} AS question,
+    {_held("'count'", 4)} AS q_name, {_held("'steps'", 0, 3)} AS solution FROM li),
+f AS (
+  SELECT id, line, part, supp, {_first_of(['answer', 'gold_answer', 'answer_text', 'a_name'])} AS gold_train,
+    {_first_of(['gold', 'answer', 'answer_text'])} AS gold_eval, {_first_of(['gold', 'answer', 'a_name', 'gold_answer'])} AS gold_rescore,
+    {_first_of(['answer', 'generated'])} AS pred, {_first_of(['question', 'q_name'])} AS asked, {_first_of(['solution'])} AS rationale,
+    {_first_of(['gold_answer', 'answer'])} AS final, {_first_of(['gold', 'answer', 'answer_text'], False)} AS gold_eval_get,
+    {_first_of(['question', 'q_name'], False)} AS asked_get FROM r)
+SELECT *, '###Input:' || {NL} || asked || {NL} || {NL} || '###Output:' || {NL} || rationale || {NL} || '#### ' || final AS text FROM f
+"""
+
+POSITIONAL_CANDIDATES = """
+WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey || ' ' || o_orderpriority AS text FROM orders)
+SELECT CAST(floor(pos / 4) AS BIGINT) AS prompt_idx, CAST(pos % 4 + 1 AS INTEGER) AS cand_idx, text FROM p
+"""
+
+EVALUATED_ITERATION = FIX + f""",
+{candidates_cte('c1', 1)},
+test AS (
+  SELECT id, answer FROM prob WHERE CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '#42'), 1, 8)) AS BIGINT) % 1000000 < 100000),
+scored AS (
+  SELECT CAST({m2('t.answer', 'c.text')} AS INTEGER) AS em
+  FROM test t LEFT JOIN (SELECT id, text FROM c1 WHERE cand_idx = 1) c ON c.id = t.id)
+SELECT count(*) AS n, CAST(coalesce(sum(em), 0) AS BIGINT) AS correct, round(coalesce(sum(em), 0) / greatest(count(*), 1), 8) AS accuracy
+FROM scored
+"""
+
 ORACLE = {
     "keep_first_correct": KEEP_FIRST_CORRECT,
     "greedy_accuracy": GREEDY_ACCURACY,
@@ -633,6 +676,9 @@ ORACLE = {
     "rescore_stored_predictions": RESCORE_STORED_PREDICTIONS,
     "resumed_generation": RESUMED_GENERATION,
     "restarted_loop": RESTARTED_LOOP,
+    "resolved_fields": RESOLVED_FIELDS,
+    "positional_candidates": POSITIONAL_CANDIDATES,
+    "evaluated_iteration": EVALUATED_ITERATION,
     "prompt_ablation": PROMPT_ABLATION,
     "ablation_mismatches": ABLATION_MISMATCHES,
     "experiment_comparison": EXPERIMENT_COMPARISON,

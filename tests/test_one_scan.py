@@ -63,3 +63,14 @@ def test_mismatch_listings_score_once(spark):
     df = spark.createDataFrame([(1, 0, "a"), (2, 1, "a"), (3, None, "a"), (4, 0, "b"), (5, 0, "a")], "ordinal int, em int, g string")
     assert {r.ordinal for r in R.mismatch_export(df).collect()} == {1, 4, 5} and R.mismatch_export(df).columns == df.columns
     assert {r.ordinal for r in R.top_mismatches(df, 1, group_by=["g"]).collect()} == {1, 4}
+
+
+def test_integers_have_every_digit_of_their_double(spark):
+    rnd = random.Random(4)
+    texts = ["1e20", str(2 ** 63), str(2 ** 70), "1e300", "1e38", "9.999999999999999e37", "-1e23", str(2 ** 62), str(2 ** 63 - 1), "1e18",
+             "-9223372036854775808", "1.7976931348623157e308", "123", "-0.0", "1e400", "12345678901234567890123"]
+    texts += [repr(rnd.uniform(1, 10) * 10.0 ** rnd.randrange(16, 308)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in A.with_normalized(A.with_normalized(df, "integral", "text", "n3"), "rounded", "text", "n4").collect():
+        want = str(int(float(r.text))) if float(r.text) not in (float("inf"),) else r.text
+        assert r["n3"] == want and r["n4"] == want, r.text
