@@ -240,6 +240,8 @@ def find_items(texts: pa.Array, index: ItemIndex) -> list[tuple[int, int, int, i
         row, piece = cand // len(index.size), cand % len(index.size)
         same = index.size[piece] == m[row]
         row, piece = row[same], piece[same]
+        if not len(row):
+            continue
         # the whole item, where its piece stands in the window
         spot = np.stack([doc[row], index.item[piece], start[row] - index.off[piece], lo[row], hi[row]])
         doc, item, start, lo, hi = np.unique(spot, axis=1)    # in the order of text, item, start

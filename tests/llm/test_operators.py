@@ -176,6 +176,15 @@ def test_items_without_words_are_matched_by_nothing(spark):
             assert kept == (["b", "c", "d"] if more else ["a", "a", "b", "c", "d"])
 
 
+def test_texts_that_share_only_a_few_words_with_an_item():
+    items = [[f"i{i}w{k}" for k in range(40)] for i in range(30)]
+    index = decontam.ItemIndex(list(range(30)), [" ".join(w) for w in items], decontam.MAX_EDIT)
+    fill = [f"f{k}" for k in range(80)]
+    for w in items:                                          # each text alone: its windows have no candidate
+        for at in (0, 10, 30):
+            assert decontam.find_items(pa.array([" ".join(fill + w[at:at + 3] + fill)]), index) == []
+
+
 def test_walks_reach_the_target_recall():
     assert decontam.plan_walks(0.2, 0.9) < decontam.plan_walks(0.2, 0.98) <= decontam.plan_walks(0.2, 0.999)
     assert decontam.plan_walks(0.05, 0.98) < decontam.plan_walks(0.2, 0.98)
