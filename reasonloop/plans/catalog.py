@@ -15,6 +15,7 @@ from ..operators import report as R
 from ..operators import selection as S
 from ..operators.generate import TableGenerator, candidates_for
 from ..operators.genstore import GenerationRun, PromptStore
+from ..operators.merge import MergedTable
 from ..operators.ordinal import with_file_ordinal, with_ordinal
 from ..operators.skew import block_join
 from ..session import materialize, materialize_observed, scratch_path
@@ -102,6 +103,20 @@ def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("pos.__src").alias("first_src"), F.col("pos.__ord").alias("first_pos"))
 
 
+def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6, incremental form: three overlapping sources are merged one after the other into a table cut by id, the
+    last of them holding urgent orders only."""
+    fx = FX.Tables(spark, sf_dir)
+    probs = fx.problems
+    urgent = FX.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    merged = MergedTable(spark, scratch_path(spark, "merged"), order_col="id", parts=16)
+    for shift in (0, RATIONALIZE_SHIFT, RETRY_SHIFT):
+        kept = S.keep_first_correct(fx.candidates(shift), probs).select("id", "rationale", "cand_idx")
+        merged.add(kept.join(urgent, "id", "left_semi") if shift == RETRY_SHIFT else kept)
+    return merged.read().select("id", "rationale", "cand_idx", "src", F.col("pos.__src").alias("first_src"),
+                                F.col("pos.__ord").alias("first_pos"))
+
+
 def _misses_for_retry(fx: FX.Tables, shared: bool = False):
     """``shared``: several branches read the misses, so they are written."""
     _, _, missed = _forward_and_missed(fx)
@@ -735,6 +750,7 @@ QUERIES = {
     "resolved_fields": resolved_fields,
     "positional_candidates": positional_candidates,
     "evaluated_iteration": evaluated_iteration,
+    "incremental_merge": incremental_merge,
 }
 
 
@@ -787,4 +803,5 @@ COVERAGE = {
     "resolved_fields": "P3, P5",
     "positional_candidates": "R2, S5",
     "evaluated_iteration": "R14, A1, M2",
+    "incremental_merge": "R6",
 }

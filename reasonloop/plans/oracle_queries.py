@@ -100,6 +100,17 @@ SELECT id, rationale, cand_idx, src, first_src, first_pos FROM (
 """
 
 
+INCREMENTAL_MERGE = (FIX_R + ",\n" + candidates_cte("xcand", 1) + ",\n" + kept_cte("a", "cand") + ",\n" + kept_cte("b", "rcand")
+                     + ",\n" + kept_cte("x", "xcand") + """,
+u AS (SELECT id, rationale, cand_idx, 0 AS src FROM a
+      UNION ALL SELECT id, rationale, cand_idx, 1 AS src FROM b
+      UNION ALL SELECT id, rationale, cand_idx, 2 AS src FROM x
+      WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'))
+SELECT id, rationale, cand_idx, src, min(src) OVER (PARTITION BY id) AS first_src, id AS first_pos
+FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY src DESC) = 1
+""")
+
+
 def _retry_base(shifts=(1,), last_only=True):
     ctes = [FIX]
     for s in shifts:
@@ -679,6 +690,7 @@ ORACLE = {
     "resolved_fields": RESOLVED_FIELDS,
     "positional_candidates": POSITIONAL_CANDIDATES,
     "evaluated_iteration": EVALUATED_ITERATION,
+    "incremental_merge": INCREMENTAL_MERGE,
     "prompt_ablation": PROMPT_ABLATION,
     "ablation_mismatches": ABLATION_MISMATCHES,
     "experiment_comparison": EXPERIMENT_COMPARISON,
