@@ -8,23 +8,31 @@ The battery adds ``random`` spans. A token is a run of 24 or more base64 charact
 url-safe) that holds a letter and a digit, or of 40 or more without a digit. Its encoding is the
 smallest alphabet that fits: hex, base32, base36 in either case, base64, or letters only of one or
 both cases. ``- _ + /`` are symbols of base64 alone; in the other encodings they are separators and taken out,
-and the symbols left must still be 24 (letters only: 40). Under "drawn uniformly from the alphabet" it is tested for
-alphabet uniformity (chi-squared, Wilson-Hilferty), runs of high and low symbols, and lag-one
-serial correlation; the three p-values are combined by Fisher's method. Written language fails,
-a random secret does not. Which tokens are told to be *not* random is decided by the
-Benjamini-Hochberg rule at ``ALPHA`` within each encoding and length class (a longer token has
-more power, so classes do not share a cutoff); the tokens it does not reject, outside any base
-span, are the added spans. P-values are counted in steps of ``1 / STEPS`` decades over all texts, so the
-rule needs only a bounded table of counts: two passes over the texts, nothing shuffled but counts.
+and the symbols left must still be 24 (letters only: 40). Against "drawn uniformly from the alphabet" it is tested for
+alphabet uniformity (chi-squared, Wilson-Hilferty), runs of digits, small and capital letters (too few changes) and of vowels (too many), and
+lag-one serial correlation; Fisher's method joins the p-values into one statistic.
+
+That statistic alone names no secret: a short word run can look random. A token is called a secret only where
+the statistic rejects the hypothesis "written, not drawn". Its distribution under that hypothesis comes, per encoding and
+length class, from ``NULL_DRAWS`` written tokens (``written``: fixed common words run together, with numbers and capitals
+as the encoding allows; hex: texts and counters in hex) of the shortest length of the class, where the tests are weakest.
+The Benjamini-Hochberg rule at ``ALPHA`` within each class then bounds the share of written tokens among the
+added spans. As no p-value is below ``1 / (NULL_DRAWS + 1)``, a class needs at least one random token in
+``ALPHA * (NULL_DRAWS + 1)`` for any to be told apart. Tokens inside a base span are not tested: they are found already. Statistics
+are counted in steps of ``1 / STEPS`` decades over all texts, so the rule needs only a bounded table of
+counts: two passes over the texts, nothing shuffled but counts.
 
 A null text is empty and has no span. Ties and repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import packed
 
 # the key words' first letters stand alone so that the matcher skips other places at once
@@ -40,6 +48,21 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHA = 0.01
 STEPS = 50
 MOST_STEPS = 15_000
+NULL_DRAWS = 20_000          # written tokens per encoding and length class
+LONGEST_CLASS = 18           # classes are half powers of two; 2 ** 9 symbols and more are one class
+
+# fixed values: common words of which written tokens are made
+WORDS = """
+the and for with from that this have not you are was all one out who get which when make can like time just him know take
+people into year good some could them see other than then now look only come over think also back after use two how our work
+first well way even new want because any these give day most great where right house world school state never last city tree
+user name data file list index value table server client config request response handler session account message group
+image update delete create object string number window event service manager public static final default main test local
+und der die das nicht mit auf ein eine ist von werden haben nach auch wird aber alles jahr zeit stadt
+les des une dans pour que pas plus avec tout faire mais monde jour temps petit maison
+los las una para por con como pero todo hacer tiempo casa mundo noche grande
+""".split()
+VOWELS = "aeiouAEIOU"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
@@ -113,10 +136,37 @@ def _below(z: Column) -> Column:
         F.lit(1e-100), F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z))))))
 
 
+def _tested(tok: Column, encoding: str) -> Column:
+    """The symbols of ``tok`` that are tested."""
+    if encoding == "base64":
+        return F.translate(F.regexp_replace(tok, "=+$", ""), "-_", "+/")
+    return F.lower(_symbols(tok)) if encoding == "hex" else _symbols(tok)
+
+
+def _groups(alphabet: str) -> list[tuple[str, int]]:
+    """The alphabet as group marks, each with the sign that its runs test has in writing: digits, small and
+    capital letters stay together (few changes), vowels and other symbols alternate (many). Groupings of one group and
+    the two vowels of hex are left out."""
+    case = "".join("a" if c.islower() else "A" if c.isupper() else "0" for c in alphabet)
+    vowel = "".join("V" if c in VOWELS else "C" for c in alphabet)
+    return [(g, sign) for g, sign in ((case, -1),) + (((vowel, 1),) if len(alphabet) > 16 else ()) if len(set(g)) > 1]
+
+
+def _runs(s: Column, n: Column, alphabet: str, marks: str) -> Column:
+    """z-value of the number of places where a symbol's group differs from the next one's, against
+    its mean and variance for uniform symbols."""
+    share = [marks.count(m) / len(marks) for m in sorted(set(marks))]
+    q = 1 - sum(p * p for p in share)
+    both = sum(p * (1 - p) ** 2 for p in share)
+    changes = F.length(F.regexp_replace(F.translate(s, alphabet, marks), r"(.)\1+", "$1")) - 1
+    return (changes - (n - 1) * q) / F.sqrt((n - 1) * (q * (1 - q)) + (n - 2) * (2 * (both - q * q)))
+
+
 def battery(tok: Column, encoding: str) -> Column:
     """Fisher-combined p-value of ``tok`` being uniform over the encoding's alphabet."""
     alphabet = ALPHABETS[encoding]
     k = len(alphabet)
+    groups = _groups(alphabet)
 
     def tests(s: Column) -> Column:
         n = F.length(s).cast("double")
@@ -126,9 +176,6 @@ def battery(tok: Column, encoding: str) -> Column:
         df = F.lit(k - 1.0) * n / (n - 1)
         z1 = (F.pow(F.greatest(chi, F.lit(0.0)) / F.lit(k - 1.0), F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * df))) \
             / F.sqrt(F.lit(2.0) / (9 * df))
-        high = F.translate(s, alphabet, "L" * (k // 2) + "H" * (k - k // 2))
-        changes = _let(high, lambda h: (2 * n - F.length(F.replace(h, F.lit("LH"))) - F.length(F.replace(h, F.lit("HL")))) / 2)
-        z2 = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         places = F.transform(F.filter(F.split(s, ""), lambda c: c != ""),
                              lambda c: F.position(c, F.lit(alphabet)).cast("double") - F.lit((k + 1) / 2))
         products = _let(places, lambda x: F.aggregate(
@@ -136,13 +183,67 @@ def battery(tok: Column, encoding: str) -> Column:
             F.lit(0.0), lambda a, v: a + v))
         z3 = products / (F.sqrt(n - 1) * F.lit((k * k - 1) / 12))
         two = lambda z: F.least(F.lit(1.0), 2 * _below(-F.abs(z)))
-        half = -(F.log(_below(-z1)) + F.log(two(z2)) + F.log(two(z3)))
-        return _let(half, lambda v: F.least(F.lit(1.0), F.exp(-v) * (1 + v + v * v / 2)))
+        half = -(F.log(_below(-z1)) + F.log(two(z3)))
+        for marks, sign in groups:
+            half = half - F.log(_below(-sign * _runs(s, n, alphabet, marks)))
 
-    if encoding == "base64":
-        return _let(F.translate(F.regexp_replace(tok, "=+$", ""), "-_", "+/"), tests)
-    bare = _symbols(tok)
-    return _let(F.lower(bare) if encoding == "hex" else bare, tests)
+        def survival(v: Column) -> Column:
+            series = term = F.lit(1.0)
+            for i in range(1, 2 + len(groups)):
+                term = term * v / i
+                series = series + term
+            return F.least(F.lit(1.0), F.exp(-v) * series)
+
+        return _let(half, survival)
+
+    return _let(_tested(tok, encoding), tests)
+
+
+def _class(encoding: Column, symbols: Column) -> Column:
+    size = F.least(F.floor(F.log2(symbols.cast("double")) * 2).cast("int"), F.lit(LONGEST_CLASS))
+    return F.concat_ws(":", encoding, size.cast("string"))
+
+
+def _step(p: Column) -> Column:
+    return F.least(F.lit(MOST_STEPS), F.floor(-F.log10(F.greatest(p, F.lit(1e-290))) * STEPS).cast("int"))
+
+
+def _shortest(cls: str) -> int:
+    """The fewest symbols of a token of the class."""
+    encoding, size = cls.split(":")
+    return max(SHORTEST if encoding in ("hex", "base32", "base36", "base36u", "base64") else SHORTEST_LETTERS,
+               math.ceil(2 ** (int(size) / 2)))
+
+
+def written(i: Column, cls: str) -> Column:
+    """The ``i``-th written token of a class, its choices drawn from a hash of class and ``i``."""
+    encoding, n = cls.split(":")[0], _shortest(cls)
+    words = F.array(*[F.lit(w) for w in WORDS])
+
+    def draw(j: Column, use: str, among: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(f"{cls}:{use}"), i, j), F.lit(among)).cast("int")
+
+    def piece(j: Column) -> Column:
+        word = F.element_at(words, draw(j, "word", len(WORDS)) + 1)
+        number = F.substr(F.lpad(draw(j, "number", 10_000).cast("string"), 4, "0"), F.lit(1), draw(j, "digits", 4) + 1)
+        if encoding in ("base26u", "base32", "base36u"):
+            word = F.upper(word)
+        elif encoding in ("base52", "base64"):     # capitals at every word and no separators: what looks most random
+            word = F.initcap(word)
+        if encoding == "base32":
+            number = F.translate(number, "0189", "2345")
+        # every written token of an encoding with digits has some
+        return word if encoding.startswith("base26") or encoding == "base52" else \
+            F.when((j == 1) | (draw(j, "kind", 12) <= draw(F.lit(0), "numbers", 5)), number).otherwise(word)
+
+    if encoding == "hex":
+        text = F.lower(F.hex(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n // 2)), lambda j: F.element_at(
+            words, draw(j, "word", len(WORDS)) + 1))).cast("binary")))
+        counter = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(n // 8 + 1)), lambda j: F.lpad(
+            F.lower(F.hex(draw(j, "number", 4096))), 8, "0")))
+        return F.substr(F.when(draw(F.lit(0), "form", 2) == 0, text).otherwise(counter), F.lit(1), F.lit(n))
+    run = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(n)), piece))
+    return F.substr(run, draw(F.lit(0), "from", 3) + 1, F.lit(n))
 
 
 def candidates(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -160,36 +261,60 @@ def candidates(df: DataFrame, text: str, out: str) -> DataFrame:
         p = F.when(x["enc"] == "hex", battery(x["tok"], "hex"))
         for name in [e for e in ALPHABETS if e != "hex"]:
             p = p.when(x["enc"] == name, battery(x["tok"], name))
-        size = F.floor(F.log2(F.length(x["tok"]).cast("double")) * 2).cast("string")
-        step = F.least(F.lit(MOST_STEPS), F.floor(-F.log10(F.greatest(p, F.lit(1e-290))) * STEPS).cast("int"))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat_ws(":", x["enc"], size).alias("cls"), step.alias("step"))
+        symbols = F.length(F.when(x["enc"] == "base64", _tested(x["tok"], "base64")).otherwise(_symbols(x["tok"])))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), _class(x["enc"], symbols).alias("cls"), _step(p).alias("step"))
 
     none = F.array().cast("array<struct<s:int,e:int,cls:string,step:int>>")
     return staged.withColumn(out, F.coalesce(F.transform("__c", judged), none)).drop("__t", "__p", "__c")
 
 
+def _outside(base: str):
+    return lambda x: ~F.exists(base, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
+
+
+def null_steps(spark: SparkSession, classes: list[str], draws: int = NULL_DRAWS) -> DataFrame:
+    """(cls, step, n): the statistic's distribution over the written tokens of the classes."""
+    parts = [spark.range(draws).select(F.lit(cls).alias("cls"), _step(battery(written(F.col("id"), cls), cls.split(":")[0]))
+                                       .alias("step")) for cls in classes]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("cls", "step").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cutoffs(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA) -> dict[str, int]:
-    """Class -> step from which the Benjamini-Hochberg rule rejects randomness; a class whose
-    tokens all pass has no entry. At most one row per encoding and length class returns."""
+    """Class -> the last step at which the Benjamini-Hochberg rule rejects "written"; a class in which
+    it rejects nothing has no entry. At most one row per encoding and length class returns."""
     src = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    counts = (candidates(src, "t", "c").select(F.explode("c").alias("c"))
-              .groupBy("c.cls", "c.step").agg(F.count(F.lit(1)).alias("n")))
-    down = Window.partitionBy("cls").orderBy(F.desc("step"))
-    ranked = counts.select("cls", "step", F.sum("n").over(down).alias("rank"),
-                           F.sum("n").over(Window.partitionBy("cls")).alias("m"))
-    hit = ranked.where(F.col("m") * F.pow(F.lit(10.0), -F.col("step") / F.lit(float(STEPS))) <= F.lit(alpha) * F.col("rank"))
-    return {r.cls: r.step for r in hit.groupBy("cls").agg(F.min("step").alias("step")).collect()}
+    found = candidates(base_spans(src.where(F.col("t").rlike(TOKEN)), "t", "base"), "t", "c")
+    counts = materialize(found.select(F.explode(F.filter("c", _outside("base"))).alias("c"))
+                         .groupBy("c.cls", "c.step").agg(F.count(F.lit(1)).alias("n")), "secret-steps")
+    classes = sorted(r.cls for r in counts.select("cls").distinct().collect())
+    if not classes:
+        return {}
+    both = (counts.withColumn("w", F.lit(0).cast("long"))
+            .unionByName(null_steps(docs.sparkSession, classes).select("cls", "step", F.lit(0).cast("long").alias("n"), F.col("n").alias("w")))
+            .groupBy("cls", "step").agg(F.sum("n").alias("n"), F.sum("w").alias("w")))
+    up = Window.partitionBy("cls").orderBy("step")       # at most MOST_STEPS + 1 rows per class
+    ranked = both.select("cls", "step", "n", F.sum("n").over(up).alias("rank"),
+                         ((F.sum("w").over(up) + 1) / F.lit(NULL_DRAWS + 1.0)).alias("p"),
+                         F.sum("n").over(Window.partitionBy("cls")).alias("m"))
+    hit = ranked.where((F.col("n") > 0) & (F.col("m") * F.col("p") <= F.lit(alpha) * F.col("rank")))
+    return {r.cls: r.step for r in hit.groupBy("cls").agg(F.max("step").alias("step")).collect()}
 
 
 def with_spans(docs: DataFrame, text: str, cut: dict[str, int], base: str = "base", spans: str = "spans") -> DataFrame:
     """Adds the base spans and all spans (sorted arrays of start, kind, end) of a null-free column."""
+    if not cut:
+        df = base_spans(docs, text, base)
+        return df.withColumn(spans, F.col(base))
     df = candidates(base_spans(docs, text, base), text, "__cand")
 
     def looks_random(x: Column) -> Column:
-        limit = F.lit(MOST_STEPS + 1)
+        limit = F.lit(-1)
         for cls, step in sorted(cut.items()):
             limit = F.when(x["cls"] == cls, F.lit(step)).otherwise(limit)
-        return (x["step"] < limit) & ~F.exists(base, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
+        return (x["step"] <= limit) & _outside(base)(x)
 
     random = F.transform(F.filter("__cand", looks_random),
                          lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
