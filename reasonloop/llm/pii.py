@@ -9,9 +9,16 @@ entity's canonical form:
   other punctuation, a surname with or without the given name) get one surrogate, in every text;
 * *format*: digits stand where digits stood, the country code stays, letter case and
   punctuation stay, cards pass Luhn, addresses fall in reserved domains;
-* *gender and script*: a given name's surrogate follows the title's gender, every name its script;
+* *gender and script*: a given name's surrogate follows the title's gender, every name its script; a Cyrillic
+  surname in its feminine form shares the masculine form's surrogate and takes a feminine ending;
 * *distinctness*: surrogates of a type are compared with each other and with all entities that
-  occur; of those that collide all but one draw again until none is left.
+  occur; of those that collide all but one draw again until none is left. From the ``WIDEN``-th draw on the
+  forms get longer (more digits or syllables, IPv6 for IPv4), so a type whose form space is full still ends.
+
+A name is a chain of titles and up to four words, with initials, particles, hyphens, apostrophes and inner capitals; its last
+word is the surname. Each hyphenated piece is an entity, particles stay, initials move by one keyed rotation of the alphabet (distinct,
+and alike everywhere). Capitalised words of a fixed list (days, months, sentence starts) do not continue a name; other
+capitalised words after a name are taken as its part.
 
 Mapping tables hold distinct entities only. Texts without an entity are not shuffled; the others meet their replacements by an equi-join on
 the text's md5, so copies of a text share one row there. Null texts stay null, texts without
@@ -20,6 +27,8 @@ entities stay as they are; repeated rows are changed alike; every other column p
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +42,26 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
-#: Titles by gender: fixed values.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "госпожа")
-_TITLE = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
-_NAME_WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+)"
-NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_NAME_WORD}(?:[ -]{_NAME_WORD})?"
+#: Titles by gender, particles inside names, capitalised words that do not continue a name.
+MALE = ("Mr", "Herr", "Herrn", "Sir", "Monsieur", "Señor", "Sr", "господин", "господина", "господину")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "госпожа", "госпожи", "госпоже")
+NEUTRAL = ("Dr", "Prof", "Professor", "Mx", "доктор", "профессор")
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "ter", "ten", "bin", "ibn", "al", "el", "y")
+NO_NAME = ("Yesterday", "Today", "Tomorrow", "Now", "Then", "Here", "There", "However", "The", "This", "That", "These", "Those", "He", "She",
+           "It", "They", "We", "You", "But", "And", "Or", "If", "When", "While", "After", "Before", "Monday", "Tuesday", "Wednesday",
+           "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May", "June", "July", "August",
+           "September", "October", "November", "December", "Gestern", "Heute", "Morgen", "Der", "Die", "Das", "Er", "Sie", "Es", "Wir",
+           "Und", "Aber", "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag", "Hier", "Le", "La", "Les", "El", "Los",
+           "Il", "Elle", "Demain", "Ayer", "Hoy", "Pero", "Mais", "Вчера", "Сегодня", "Завтра", "Он", "Она", "Но", "И", "Это")
+WIDEN = 6
+_TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+_TITLES = rf"(?:{_TITLE})(?:\.? (?:{_TITLE})(?!\p{{L}}))*+\.? "
+_UP, _LOW = r"[\p{Lu}&&[\p{IsLatin}\p{IsCyrillic}]]", r"[\p{Ll}\p{M}]"
+#: one piece of a name word: Smith, McDonald, O'Neil
+UNIT = rf"(?:{_UP}['’])?{_UP}{_LOW}++(?:{_UP}{_LOW}++)*+"
+_WORD = rf"(?!(?:{'|'.join(NO_NAME)}|{_TITLE})(?!\p{{L}})){UNIT}(?:-{UNIT})*+"
+_BEFORE = rf"(?:(?:{_UP}(?:\. ?| ))++|(?:(?:{'|'.join(PARTICLES)}) )++)*+"
+NAME = rf"(?<!\p{{L}}){_TITLES}{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD}){{0,3}}"
 ENTITY = "|".join((EMAIL, PHONE, SSN, IP, CARD, NAME))
 TYPES = (("email", EMAIL), ("phone", PHONE), ("ssn", SSN), ("ip", IP), ("card", CARD), ("name", NAME))
 PART = "array<struct<i:int,type:string,canon:string>>"
@@ -72,29 +95,64 @@ def classify(surface: Column) -> Column:
     return kind
 
 
+def _body(surface: Column) -> Column:
+    return F.regexp_replace(surface, f"^{_TITLES}", "")
+
+
+def _units(surface: Column) -> tuple[Column, Column]:
+    """The pieces of a name's words in order, and how many of them the last word has."""
+    body = _body(surface)
+    return (F.regexp_extract_all(body, F.lit(UNIT), F.lit(0)),
+            F.size(F.regexp_extract_all(F.substring_index(body, " ", -1), F.lit(UNIT), F.lit(0))))
+
+
+def _gender(surface: Column) -> Column:
+    """f or m from the titles (of several the first that tells), n where none tells."""
+    titles = F.regexp_extract(surface, f"^{_TITLES}", 0)
+
+    def any_of(names: tuple[str, ...]) -> Column:
+        return titles.rlike(rf"(?<!\p{{L}})(?:{'|'.join(names)})(?!\p{{L}})")
+
+    return F.when(any_of(FEMALE), F.lit("f")).when(any_of(MALE), F.lit("m")).otherwise(F.lit("n"))
+
+
+def _feminine(low: Column, gender: Column) -> Column:
+    """Whether a lower-case Cyrillic surname stands in its feminine form; after a title without
+    gender only the endings that no masculine surname has count."""
+    return (((gender == "f") & low.rlike("(?:[её]в|ов|ин|ын)а$")) | ((gender != "m") & low.rlike("(?:(?:[её]в|ов)а|[сц]кая)$")))
+
+
+def _masculine(low: Column, gender: Column) -> Column:
+    return F.when(~_feminine(low, gender), low).when(low.endswith("ая"), F.regexp_replace(low, "ая$", "ий")) \
+        .otherwise(F.regexp_replace(low, "а$", ""))
+
+
 def parts(kind: Column, surface: Column) -> Column:
     """The entities of a surface with their canonical forms, in order."""
     def one(type_: Column, canon: Column, i: int = 0) -> Column:
         return F.struct(F.lit(i).alias("i"), type_.alias("type"), canon.alias("canon"))
 
     digits = _digits(surface)
-    words = F.split(F.regexp_replace(surface, rf"^(?:{_TITLE})\.? ", ""), "[ -]")
-    gender = F.when(surface.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), F.lit("f")).otherwise(F.lit("m"))
+    units, of_last = _units(surface)
+    gender = _gender(surface)
 
     def script(w: Column) -> Column:
         return F.when(w.rlike(r"\p{IsCyrillic}"), F.lit("cyr")).otherwise(F.lit("lat"))
 
-    last, first = F.element_at(words, -1), F.element_at(words, 1)
-    surname = one(F.concat_ws("_", F.lit("surname"), script(last)), F.lower(last), 1)
-    given = one(F.concat_ws("_", F.lit("given"), gender, script(first)), F.lower(first))
+    def unit(w: Column, i: Column) -> Column:
+        low = F.translate(F.lower(w), "’", "'")
+        last = i >= F.size(units) - of_last
+        type_ = F.when(last, F.concat_ws("_", F.lit("surname"), script(w))).otherwise(F.concat_ws("_", F.lit("given"), gender, script(w)))
+        return F.struct(i.cast("int").alias("i"), type_.alias("type"),
+                        F.when(last, _masculine(low, gender)).otherwise(low).alias("canon"))
+
     return (F.when(kind == "email", F.array(one(kind, F.lower(surface))))
             .when(kind == "phone", F.array(one(F.concat(kind, F.least(F.length(digits), F.lit(10)).cast("string")),
                                                F.substr(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))))
             .when(kind == "card", F.array(one(F.concat(kind, F.length(digits).cast("string")), digits)))
             .when(kind == "ssn", F.array(one(kind, digits)))
             .when(kind == "ip", F.array(one(kind, surface)))
-            .when((kind == "name") & (F.size(words) > 1), F.array(given, surname))
-            .when(kind == "name", F.array(surname))).cast(PART)
+            .when(kind == "name", F.transform(units, unit))).cast(PART)
 
 
 def surrogate(type_: Column, canon: Column, key: str, attempt: Column) -> Column:
@@ -104,22 +162,24 @@ def surrogate(type_: Column, canon: Column, key: str, attempt: Column) -> Column
     def made(h: Column) -> Column:
         d = F.translate(h, "abcdef", "012345")
         letters = F.translate(h, "0123456789abcdef", "abcdefghijklmnop")
-        n = F.length(canon)
+        wider = F.greatest(attempt - (WIDEN - 1), F.lit(0))
+        n = F.length(canon) + wider
         # the area code of a full number does not start with 0 or 1
         phone = F.concat(F.translate(F.substr(d, F.lit(1), F.lit(1)), "01", "89"), F.substr(d, F.lit(2), n - 1))
         body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(d, F.lit(2), n - 2))
         card = F.concat(body, F.pmod(-_luhn_sum(body, True), F.lit(10)).cast("string"))
-        ssn = F.concat(F.lit("9"), F.substr(d, F.lit(2), F.lit(8)))
+        ssn = F.concat(F.lit("9"), F.substr(d, F.lit(2), wider + 8))
 
         def octet(i: int, most: int) -> Column:
             return (F.conv(F.substr(h, F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("int") % most + 1).cast("string")
 
-        ip = F.concat_ws(".", octet(0, 223), octet(1, 254), octet(2, 254), octet(3, 254))
+        ip = F.when(wider > 0, F.concat_ws(":", F.lit("2001:db8"), *[F.substr(h, F.lit(4 * i + 1), F.lit(4)) for i in range(6)])) \
+            .otherwise(F.concat_ws(".", octet(0, 223), octet(1, 254), octet(2, 254), octet(3, 254)))
         local = F.split(F.substring_index(canon, "@", 1), "")
         swapped = F.array_join(F.transform(local, lambda c, i: F.when(
             c.rlike("[0-9]"), F.substr(d, i % 64 + 1, F.lit(1))).when(
             c.rlike("[a-z]"), F.substr(letters, i % 64 + 1, F.lit(1))).otherwise(c)), "")
-        email = F.concat(swapped, F.lit("@mail"), F.substr(d, F.lit(50), F.lit(6)), F.lit(".example."),
+        email = F.concat(swapped, F.lit("@mail"), F.substr(d, F.lit(44), wider + 6), F.lit(".example."),
                          F.element_at(F.array(F.lit("com"), F.lit("org"), F.lit("net")),
                                       F.conv(F.substr(h, F.lit(60), F.lit(3)), 16, 10).cast("int") % 3 + 1))
 
@@ -129,12 +189,13 @@ def surrogate(type_: Column, canon: Column, key: str, attempt: Column) -> Column
                                 F.lit(1))
             syllables = [F.concat(pick(6 * i + 1, consonants), pick(6 * i + 4, vowels)) for i in range(3)]
             more = F.when(attempt > 0, F.concat(pick(25, consonants), pick(28, vowels))).otherwise(F.lit(""))
-            return F.concat(*syllables, more, ending)
+            most = F.when(wider > 0, F.concat(pick(31, consonants), pick(34, vowels), pick(37, consonants), pick(40, vowels))).otherwise(F.lit(""))
+            return F.concat(*syllables, more, most, ending)
 
         latin = name("bdfghjklmnprstvz", "aeiou", F.when(type_.startswith("given_f"), F.lit("la"))
-                     .when(type_.startswith("given_m"), F.lit("rd")).otherwise(F.lit("ns")))
+                     .when(type_.startswith("given_m"), F.lit("rd")).when(type_.startswith("given_n"), F.lit("is")).otherwise(F.lit("ns")))
         cyrillic = name("бвгджзклмнпрстфх", "аеиоу", F.when(type_.startswith("given_f"), F.lit("на"))
-                        .when(type_.startswith("given_m"), F.lit("р")).otherwise(F.lit("в")))
+                        .when(type_.startswith("given_m"), F.lit("р")).when(type_.startswith("given_n"), F.lit("ли")).otherwise(F.lit("в")))
         return (F.when(type_ == "email", email).when(type_.startswith("phone"), phone).when(type_.startswith("card"), card)
                 .when(type_ == "ssn", ssn).when(type_ == "ip", ip).when(type_.endswith("_cyr"), cyrillic).otherwise(latin))
 
@@ -167,22 +228,39 @@ def _refill(surface: Column, pattern: str, chars: Column) -> Column:
         F.filter(F.split(surface, ""), lambda c: c != ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("i")),
         lambda a, c: F.when(c.rlike(pattern), F.struct(F.concat(a["o"], F.substr(chars, a["i"], F.lit(1))).alias("o"),
                                                        (a["i"] + 1).alias("i")))
-        .otherwise(F.struct(F.concat(a["o"], c).alias("o"), a["i"].alias("i"))))["o"]
+        .otherwise(F.struct(F.concat(a["o"], c).alias("o"), a["i"].alias("i"))),
+        lambda a: F.concat(a["o"], F.substr(chars, a["i"], F.length(chars))))
+
 
+#: Alphabets of initials, each rotated by itself.
+INITIALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÄÅÇÈÉÍÎÑÓÖØÚÜČŁŚŠŽ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ")
 
-def render(kind: Column, surface: Column, made: Column) -> Column:
+
+def _rotated(text: Column, key: str) -> Column:
+    """``text`` with its initials moved inside their alphabets by a number of places drawn from ``key`` (never none)."""
+    turn = int(hashlib.sha256(f"{key}|initials".encode()).hexdigest(), 16)
+    turned = [a[(k := 1 + turn % (len(a) - 1)):] + a[:k] for a in INITIALS]
+    return F.translate(text, "".join(INITIALS), "".join(turned))
+
+
+def render(kind: Column, surface: Column, made: Column, key: str) -> Column:
     """The surface's replacement from its surrogate forms (array by part)."""
     first, digits = F.element_at(made, 1), _digits(surface)
     kept = F.substr(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0)))
-    title = F.regexp_extract(surface, rf"^(?:{_TITLE})\.? ", 0)
-    words = F.transform(made, F.initcap)
-    name = F.when(surface.rlike(rf"{_NAME_WORD}-{_NAME_WORD}$"), F.array_join(words, "-")).otherwise(F.array_join(words, " "))
+    gaps, (units, of_last), gender = F.split(_body(surface), UNIT, -1), _units(surface), _gender(surface)
+
+    def written(m: Column, i: Column) -> Column:
+        feminine = (i >= F.size(units) - of_last) & _feminine(F.lower(F.get(units, i)), gender)
+        return F.concat(F.initcap(m), F.when(feminine, F.lit("а")).otherwise(F.lit("")), _rotated(F.get(gaps, i + 1), key))
+
+    name = F.concat(F.regexp_extract(surface, f"^{_TITLES}", 0), _rotated(F.get(gaps, F.lit(0)), key),
+                    F.array_join(F.transform(made, written), ""))
     email = F.when(F.upper(surface) == surface, F.upper(first)).otherwise(first)
     return (F.when(kind == "email", email)
             .when(kind == "phone", _refill(surface, "[0-9]", F.concat(kept, first)))
             .when(kind.isin("card", "ssn"), _refill(surface, "[0-9]", first))
             .when(kind == "ip", first)
-            .otherwise(F.concat(title, name)))
+            .otherwise(name))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_replaced",
@@ -206,8 +284,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     each = surfaces.select("kind", "surface", F.explode("parts").alias("p")).select("kind", "surface", "p.*")
     made = assign_surrogates(each.select("type", "canon"), key)
     forms = (each.join(made, ["type", "canon"]).groupBy("kind", "surface")
-             .agg(F.array_sort(F.collect_list(F.struct("i", "made"))).alias("made"))       # one or two parts
-             .select("surface", "kind", render(F.col("kind"), F.col("surface"), F.transform("made", lambda x: x["made"])).alias("to")))
+             .agg(F.array_sort(F.collect_list(F.struct("i", "made"))).alias("made"))       # the pieces of one name
+             .select("surface", "kind", render(F.col("kind"), F.col("surface"), F.transform("made", lambda x: x["made"]), key).alias("to")))
     forms = materialize(forms, "pii-forms")
     hits = (found.select("th", F.posexplode("m").alias("i", "surface")).join(forms, "surface")
             .groupBy("th").agg(F.collect_list(F.struct("i", "to", "kind")).alias("hits")))     # of one text

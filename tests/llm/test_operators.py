@@ -311,6 +311,45 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len({r.made for r in made}) == 3000 and not {r.made for r in made} & {r.canon for r in made}
 
 
+@pytest.mark.parametrize("text, shape", [
+    ("Herr Hans-Peter Müller kam", r"Herr [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]+ kam"), ("Mrs Anna Maria Schmidt.", r"Mrs( [A-Z][a-z]+){3}\."),
+    ("Mr McDonald's", r"Mr [A-Z][a-z]+'s"), ("Herr Dvořák", r"Herr [A-Z][a-z]+"), ("Mr O'Neil left", r"Mr [A-Z][a-z]+ left"),
+    ("Mr. J. R. Smith", r"Mr\. (?!J)[A-Z]\. (?!R)[A-Z]\. [A-Z][a-z]+"), ("Frau Łukasik", r"Frau [A-Z][a-z]+"),
+    ("Dr. Jane Roe", r"Dr\. [A-Z][a-z]+ [A-Z][a-z]+"), ("Mr Smith Yesterday", r"Mr [A-Z][a-z]+ Yesterday"),
+    ("Frau Prof. Dr. von der Leyen", r"Frau Prof\. Dr\. von der [A-Z][a-z]+"), ("Mr Srinivasan", r"Mr [A-Z][a-z]+"),
+    ("Mr Smith Mrs Jones", r"Mr [A-Z][a-z]+ Mrs [A-Z][a-z]+"), ("госпожа Иванова", r"госпожа [А-Я][а-я]+ва"),
+    ("госпожа Достоевская", r"госпожа [А-Я][а-я]+ва"), ("Mr. A. MacArthur-O’Brien", r"Mr\. (?!A)[A-Z]\. [A-Z][a-z]+-[A-Z][a-z]+")])
+def test_whole_names(spark, text, shape):
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert re.fullmatch(shape, got.text) and got.n_replaced == shape.count("Mrs [A") + 1
+    for w in re.findall(r"[^\W\d_]{3,}", text):
+        kept = w in pii.MALE + pii.FEMALE + pii.NEUTRAL + pii.PARTICLES + pii.NO_NAME + ("kam", "left")
+        assert kept == (w in re.findall(r"[^\W\d_]{3,}", got.text))
+
+
+def test_names_of_one_person(spark):
+    rows = [(1, "господин Иванов и госпожа Иванова"), (2, "Mr Hans Müller, Dr Müller-Schmidt, Herr Schmidt"),
+            (3, "господин Калина и госпожа Калинина"), (4, "Mr J. Roe and Mr K. Roe")]
+    t = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    he, she = re.fullmatch(r"господин (\w+) и госпожа (\w+)", t[1]).groups()
+    assert she == he + "а" and he != "Иванов"
+    a, b, c, d = re.fullmatch(r"Mr \w+ (\w+), Dr (\w+)-(\w+), Herr (\w+)", t[2]).groups()
+    assert a == b and c == d and a != c
+    he, she = re.fullmatch(r"господин (\w+) и госпожа (\w+)", t[3]).groups()
+    assert she.endswith("ва") and not she.startswith(he)
+    j, a, k, b = re.fullmatch(r"Mr (\w)\. (\w+) and Mr (\w)\. (\w+)", t[4]).groups()
+    assert a == b and j != k and "J" != j and "K" != k
+
+
+def test_a_full_form_space_gets_wider_forms(spark):
+    ent = spark.range(9000).select(F.lit("phone4").alias("type"), F.lpad(F.col("id").cast("string"), 4, "0").alias("canon"))
+    made = pii.assign_surrogates(ent, "k").collect()
+    assert len(made) == len({r.made for r in made}) == 9000 and not {r.made for r in made} & {r.canon for r in made}
+    docs = spark.createDataFrame([(1, "+1 234 56 78")], "doc_id long, text string")
+    wide = docs.select(pii.render(F.lit("phone"), F.col("text"), F.array(F.lit("9876543299")), "k").alias("t")).first().t
+    assert wide == "+9 876 54 3299"
+
+
 def test_secrets_base_spans_and_battery(spark, docs):
     rnd = random.Random(3)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -354,6 +393,24 @@ def test_secrets_of_every_alphabet(spark, symbols, size, pre):
     assert not any(int(x.split(":")[1]) > 4 + len(k) for i, k in enumerate(keys) for x in got[i].split(",") if x)
 
 
+def test_few_written_tokens_are_called_secrets(spark, docs):
+    """Words of the documents run together, not those that the null distribution is made of."""
+    rnd = random.Random(11)
+    words = sorted({w.lower() for r in docs.select("text").collect() for w in re.findall("[A-Za-z]{2,12}", r.text or "")} - set(secret_scan.WORDS))
+    b64 = secret_scan.ALPHABETS["base64"]
+
+    def written():
+        parts = [str(rnd.randrange(10 ** rnd.randint(1, 4)))]
+        while sum(map(len, parts)) < 50:
+            parts.append(rnd.choice(words).capitalize() if rnd.random() < 0.75 else str(rnd.randrange(10 ** rnd.randint(1, 4))))
+        return "".join(parts)[:40]
+
+    rows = [(i, written()) for i in range(900)] + [(i, "".join(rnd.choice(b64) for _ in range(40))) for i in range(900, 1000)]
+    got = {r.doc_id for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("n_random > 0").collect()}
+    found, false = sum(i >= 900 for i in got), sum(i < 900 for i in got)
+    assert found >= 85 and false <= 0.03 * len(got)
+
+
 def test_quality_order_does_not_change_the_verdict(spark, docs):
     got = {r.doc_id: r.kept for r in quality.measure(docs).collect()}
     text = pa.array([r.text for r in docs.orderBy("doc_id").collect()])
