@@ -85,3 +85,16 @@ def test_split_ordinals_of_json_lines(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert all(r.ordinal == r.id for r in got) and len(got) == 5000
+
+
+def test_group_row_number_ranges_only_for_large_groups(spark):
+    df = spark.range(0, 2000).select((F.col("id") % 40).alias("g"), ((F.col("id") * 17) % 2003).alias("v"))
+    small = group_row_number(df, ["g"], ["v"], name="rn")
+    assert "ranges-" not in "".join(small.inputFiles())
+    spark.conf.set("spark.reasonloop.blockRows", "49")
+    try:
+        large = group_row_number(df, ["g"], ["v"], name="rn")
+    finally:
+        spark.conf.unset("spark.reasonloop.blockRows")
+    assert "ranges-" in "".join(large.inputFiles())
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))

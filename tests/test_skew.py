@@ -84,3 +84,12 @@ def test_stored_generations_and_numbering_spread_a_hot_problem(spark):
             assert _largest_share(gens(prompts), 9000) < 0.25
         finally:
             spark.conf.unset(BLOCK_CONF)
+
+
+def test_positions_of_one_block_need_no_pairs(spark):
+    fact = spark.range(0, 600).select((F.col("id") % 40).alias("k"), (F.col("id") % 7).alias("pos"))
+    dim = spark.range(0, 39).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    one, many = (block_join(fact, dim, "k", "pos", "left", b) for b in (7, 3))
+    joins = [j._jdf.queryExecution().optimizedPlan().toString().count("Join ") for j in (one, many)]
+    assert joins == [1, 2]
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
