@@ -198,3 +198,13 @@ def test_large_integers_keep_their_exact_digits(spark):
     for r in df.collect():
         exact = str(int(float(r.t)))
         assert (r.n3, r.n4) == (exact, exact), (r, exact)
+
+
+def test_gold_keys_of_several_profiles_scan_the_cues_once(spark):
+    df = spark.createDataFrame([("#### 1,200",), ("answer is 7.5\x85last x",), ("no\rnumber\x1clast one ",), ("",), (None,), ("٣.",)], "gold string")
+    profiles = ["hash_loose", "hash_then_any", "cascade_last", "cascade_first"]
+    both = A.with_gold_keys(df, {p: p for p in profiles}, "gold")
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("result(?: is|:)?") == 1
+    for p in profiles:
+        want = A.with_gold_key(df, p, "gold", "k").collect()
+        assert [r[p] for r in both.collect()] == [r["k"] for r in want]
