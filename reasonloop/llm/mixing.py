@@ -127,7 +127,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     one, repeated = plan.where("n = 1"), plan.where("n > 1")
     out = joined(one).withColumn("__nth", F.lit(0).cast("long"))
     if not repeated.isEmpty():
-        numbered = group_row_number(joined(repeated), ["__id", "__source", "th"], [], "__nth", base=0)
+        numbered = group_row_number(joined(repeated), ["__id", "__source", "th"], [], "__nth", base=0, ranges=True)
         out = out.unionByName(numbered.withColumn("__nth", F.col("__nth").cast("long")))
     out = out.withColumn("__part", _part(F.col("__nth")))
     out = (out.withColumn("__times", F.col("epochs") + F.when(F.col("__part") > 0, 1).otherwise(0))
