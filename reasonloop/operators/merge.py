@@ -30,8 +30,12 @@ class MergedTable:
         """The last committed record: ``source`` (its number), ``n_parts`` and ``parts`` (part -> folder)."""
         return max(self.manifest.records().values(), key=lambda r: r["source"], default=None)
 
-    def _read(self, folders: list[str], schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+    def _merged(self, rows: DataFrame, old: DataFrame) -> DataFrame:
+        """New rows at their id's old position, and the old rows of other ids, by one outer join."""
+        was = old.select([F.col(c).alias(f"__was_{c}") for c in old.columns])
+        both = rows.withColumn("__new", F.lit(True)).join(was, F.col(self.id_col).eqNullSafe(F.col(f"__was_{self.id_col}")), "full")
+        return both.select(*[F.coalesce("__was_pos", "pos").alias(c) if c == "pos" else
+                             F.when(F.col("__new"), F.col(c)).otherwise(F.col(f"__was_{c}")).alias(c) for c in rows.columns])
 
     def read(self) -> DataFrame | None:
         """The merged rows: the sources' columns, ``src`` and ``pos``; None before the first source."""
@@ -42,19 +46,16 @@ class MergedTable:
         """Merge ``source`` (same columns each time) as the next one; returns the committed record."""
         last = self.last() or {"source": -1, "n_parts": self.parts, "parts": {}}
         number, n = last["source"] + 1, last["n_parts"]
-        new = merge_last_wins([source], self.order_col, self.id_col)
+        new = merge_last_wins([materialize(source, "merge-new")], self.order_col, self.id_col)      # read twice
         new = materialize(new.withColumn("src", F.lit(number))
                           .withColumn("pos", F.struct(F.lit(number).alias("__src"), F.col("pos.__ord").alias("__ord")))
                           .withColumn("part", F.pmod(F.xxhash64(self.id_col), F.lit(n)).cast("int")), "merge-source")
         touched = sorted(r["part"] for r in new.select("part").distinct().collect())      # at most n_parts numbers
         rows = new.drop("part")
-        old = self._read([last["parts"][str(p)] for p in touched if str(p) in last["parts"]], rows.schema)
-        before = old.select(F.col(self.id_col).alias("__id"), F.col("pos").alias("__pos"))
-        same = F.col(self.id_col).eqNullSafe(F.col("__id"))
-        replaced = rows.join(before, same, "left").withColumn("pos", F.coalesce("__pos", "pos")).select(*rows.columns)
-        kept = old.join(rows.select(F.col(self.id_col).alias("__id")), same, "left_anti")
+        folders = [last["parts"][str(p)] for p in touched if str(p) in last["parts"]]
+        merged = self._merged(rows, self.spark.read.schema(rows.schema).parquet(*folders)) if folders else rows
         path = self.manifest.attempt("parts")
-        merged = replaced.unionByName(kept).withColumn("part", F.pmod(F.xxhash64(self.id_col), F.lit(n)).cast("int"))
+        merged = merged.withColumn("part", F.pmod(F.xxhash64(self.id_col), F.lit(n)).cast("int"))
         merged.repartition("part").write.partitionBy("part").parquet(path)
         record = {"source": number, "n_parts": n, "parts": last["parts"] | {str(p): f"{path}/part={p}" for p in touched}}
         if not self.manifest.commit(f"source-{number}", record):
